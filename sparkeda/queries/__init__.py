@@ -1,3 +1,3 @@
 """Query modules; importing this package fills ``registry.QUERIES`` / ``ORACLE``."""
 
-from . import roles, stats  # noqa: F401
+from . import clean_io, roles, stats  # noqa: F401

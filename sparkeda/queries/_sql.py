@@ -146,6 +146,8 @@ DERIVED = {
     "events_numtext": """SELECT event_id,
         CASE WHEN event_id % 101 = 0 THEN '1d' WHEN event_id % 4 = 0 THEN 'n/a'
              ELSE CAST(value AS VARCHAR) END AS value_text FROM events""",
+    "events_empty_cols": """SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS nothing, '' AS blank,
+        '   ' AS spaces, value FROM events""",
     "orders_dup": """SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0""",
     "lineitem_const": """SELECT *, 5.0::DOUBLE AS c_const FROM lineitem""",
     "lineitem_spike": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,

@@ -101,3 +101,14 @@ def doc_quality(spark, sf_dir) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     lab = _t(spark, sf_dir, "labels")
     return d.join(lab, "doc_id")
+
+
+def events_empty_cols(spark, sf_dir) -> DataFrame:
+    """events with an all-null, an all-blank and a whitespace-only column."""
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", "event_type", F.lit(None).cast("string").alias("nothing"),
+                    F.lit("").alias("blank"), F.lit("   ").alias("spaces"), "value")
+
+
+def events_headers_sql_names() -> list[str]:
+    return [" Event ID", "user-id", "Value ", "value"]
