@@ -65,7 +65,9 @@ def is_blank(c: Column) -> Column:
 def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
     """Equal-width bin of ``v`` over [lo, hi]; the last bin is closed."""
     width = (hi - lo) / bins
-    return F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    # ``least`` skips NULL, so keep NULL values out of the last bin explicitly
+    return F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(width)),
+                                         F.lit(bins - 1))).cast("int")
 
 
 def bias_corrected_skew(g1: Column, n: Column) -> Column:
@@ -79,12 +81,12 @@ def bias_corrected_kurt(g2: Column, n: Column) -> Column:
 
 
 def rnd(c: Column, digits: int = 4) -> Column:
-    """Round half up with plain IEEE arithmetic, so that any SQL engine doing the
+    """Round half away from zero with plain IEEE arithmetic, so that any SQL engine doing the
     same three operations gets the very same double (``round`` differs between
     engines on ties such as 0.00015)."""
     scale = float(10 ** digits)
-    t = c * F.lit(scale) + F.lit(0.5)
-    return (t - t % F.lit(1.0)) / F.lit(scale)
+    t = F.abs(c) * F.lit(scale) + F.lit(0.5)
+    return F.signum(c) * ((t - t % F.lit(1.0)) / F.lit(scale))
 
 
 def r4(c: Column) -> Column:

@@ -32,7 +32,8 @@ NUM_RE_SQL = NUMBER_RE.replace("'", "''")
 def rnd(e: str, digits: int = 4) -> str:
     """Same IEEE steps as ``functions.exprs.rnd``."""
     scale = float(10 ** digits)
-    return f"((({e}) * {scale} + 0.5) - ((({e}) * {scale} + 0.5) % 1.0)) / {scale}"
+    t = f"(abs({e}) * {scale} + 0.5)"
+    return f"(CAST(sign({e}) AS DOUBLE) * (({t} - {t} % 1.0) / {scale}))"
 
 
 def qi(c: str) -> str:
