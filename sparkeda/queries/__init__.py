@@ -1,3 +1,3 @@
 """Query modules; importing this package fills ``registry.QUERIES`` / ``ORACLE``."""
 
-from . import clean_io, dist, roles, stats  # noqa: F401
+from . import clean_io, dist, explore_q, roles, stats  # noqa: F401

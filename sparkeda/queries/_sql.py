@@ -149,6 +149,9 @@ DERIVED = {
              ELSE CAST(value AS VARCHAR) END AS value_text FROM events""",
     "events_empty_cols": """SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS nothing, '' AS blank,
         '   ' AS spaces, value FROM events""",
+    "typos": """SELECT substr(n_name, 1, n_nationkey % length(n_name)) || 'x'
+        || substr(n_name, (n_nationkey % length(n_name)) + 2) AS name FROM nation
+        UNION ALL SELECT lower(n_name) AS name FROM nation""",
     "orders_dup": """SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0""",
     "lineitem_const": """SELECT *, 5.0::DOUBLE AS c_const FROM lineitem""",
     "lineitem_spike": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,

@@ -112,3 +112,14 @@ def events_empty_cols(spark, sf_dir) -> DataFrame:
 
 def events_headers_sql_names() -> list[str]:
     return [" Event ID", "user-id", "Value ", "value"]
+
+
+def typos(spark, sf_dir) -> DataFrame:
+    """Nation names with the character at position (key mod length) + 1 replaced
+    by 'x', plus every name in lower case (exact case-insensitive matches)."""
+    n = _t(spark, sf_dir, "nation")
+    pos = (F.col("n_nationkey") % F.length("n_name")) + 1
+    typo = F.concat(F.expr("substring(n_name, 1, (n_nationkey % length(n_name)))"), F.lit("x"),
+                    F.expr("substring(n_name, (n_nationkey % length(n_name)) + 2)"))
+    _ = pos
+    return n.select(typo.alias("name")).unionByName(n.select(F.lower("n_name").alias("name")))
