@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_value, q
@@ -110,11 +110,8 @@ def explore_column_info(df: DataFrame, primary_keys: list[str] | None = None) ->
                         F.when(F.col("is_numeric"), F.col("num_max")).alias("max"))
     sel = [r["name"] for r in info.filter("is_categorical and unique_count <= 50").select("name").collect()]
     if sel:
-        top = value_counts(df.select(*[q(c) for c in sel]), sel, top=None)
-        top = (top.filter(F.col("value") != "NoData")
-               .withColumn("rank", F.row_number().over(
-                   Window.partitionBy("column").orderBy(F.desc("count"), "value")))
-               .filter(F.col("rank") <= 20).select("column", "value", "count", "rank"))
+        top = (value_counts(df, sel, top=20, drop_nan_text=False, include_null=False)
+               .select("column", "value", "count", "rank"))
     else:
         top = df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
     return info, top

@@ -90,7 +90,8 @@ def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, cols: list[str], top: int | None = None,
-                 nodata: str = NODATA, drop_nan_text: bool = True) -> DataFrame:
+                 nodata: str = NODATA, drop_nan_text: bool = True,
+                 include_null: bool = True) -> DataFrame:
     """(column, value, count, rank) with NULL as ``NoData``; the text ``nan``
     (any case, trimmed) is dropped. Rank is by count desc, then value.
 
@@ -104,6 +105,8 @@ def value_counts(df: DataFrame, cols: list[str], top: int | None = None,
     long = df.select(F.inline(F.array(*structs)))
     if drop_nan_text:
         long = long.filter(F.col("value").isNull() | (F.lower(F.trim("value")) != "nan"))
+    if not include_null:
+        long = long.filter(F.col("value").isNotNull())
     counts = (long.groupBy("position", "column", F.coalesce("value", F.lit(nodata)).alias("value"))
               .agg(F.count(F.lit(1)).alias("count")))
     w = Window.partitionBy("column").orderBy(F.desc("count"), "value")
@@ -169,7 +172,7 @@ def imbalance_summary(df: DataFrame, col: str) -> DataFrame:
 
 def top_classes(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """G7 companion: the ``k`` most frequent classes (ties by value)."""
-    return (value_counts(df.filter(q(col).isNotNull()), [col], top=k)
+    return (value_counts(df, [col], top=k, include_null=False)
             .select("value", "count", "rank"))
 
 
