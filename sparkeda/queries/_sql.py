@@ -152,6 +152,9 @@ DERIVED = {
     "typos": """SELECT substr(n_name, 1, n_nationkey % length(n_name)) || 'x'
         || substr(n_name, (n_nationkey % length(n_name)) + 2) AS name FROM nation
         UNION ALL SELECT lower(n_name) AS name FROM nation""",
+    "doc_sections": """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+        lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN 'SECTION: ' || lang ELSE '- ' || x END), chr(10)) AS text
+        FROM documents""",
     "orders_dup": """SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 10 = 0""",
     "lineitem_const": """SELECT *, 5.0::DOUBLE AS c_const FROM lineitem""",
     "lineitem_spike": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,

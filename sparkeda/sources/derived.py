@@ -123,3 +123,14 @@ def typos(spark, sf_dir) -> DataFrame:
                     F.expr("substring(n_name, (n_nationkey % length(n_name)) + 2)"))
     _ = pos
     return n.select(typo.alias("name")).unionByName(n.select(F.lower("n_name").alias("name")))
+
+
+def doc_sections(spark, sf_dir) -> DataFrame:
+    """documents.text re-laid as sections: line i (0-based) becomes a
+    'SECTION: <lang>' header when i % 5 = 2, else a '- ' item (lines 0 and 1
+    come before any header)."""
+    d = _t(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    laid = F.transform(lines, lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("SECTION: "), F.col("lang")))
+                       .otherwise(F.concat(F.lit("- "), x)))
+    return d.select("doc_id", F.array_join(laid, "\n").alias("text"))
