@@ -20,64 +20,75 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
     """Per column: rows, nulls, exact distinct non-null, numeric-castable count and
     distinct, average text length, numeric min/max and whether all values are whole.
 
-    One job: a single ``agg`` (Catalyst expands the distinct aggregates, partial
-    aggregation runs map-side). ``approx=True`` swaps exact distinct counts for
-    HyperLogLog++ (no expand, constant memory) for very wide tables.
+    Long form, so the generated code does not grow with the table width: one
+    narrow unpivot to (position, text value, numeric value, length); then
+    (a) group by (position, value) -- one row per distinct value, duplicates
+    (hot values included) combined map-side -- and (b) group by position with a
+    fixed handful of aggregates. Castable distinct counts group (a) once more
+    by numeric value. ``approx=True`` skips (a) and counts with HyperLogLog++.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else list(fields)
-    distinct = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    # typed keys: numbers group as doubles (cheap), everything else as text
+    structs, text_pos = [], []
     for i, c in enumerate(cols):
         dt = fields[c]
         kind = kind_of(dt)
         cv = clean_value(c, dt)
-        nv = numeric_value(c, dt)
-        aggs.append(F.count(cv).alias(f"n{i}"))
-        aggs.append(distinct(cv).alias(f"d{i}"))
-        if kind == "string":
-            aggs.append(F.count(nv).alias(f"k{i}"))
-            aggs.append(distinct(nv).alias(f"kd{i}"))
-            aggs.append(F.avg(F.length(cv)).alias(f"l{i}"))
-        if kind in ("string", "numeric", "boolean"):
-            aggs.append(F.min(nv).alias(f"mn{i}"))
-            aggs.append(F.max(nv).alias(f"mx{i}"))
-            aggs.append(F.count(F.when(nv % 1 != 0, 1)).alias(f"f{i}"))
-    row = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(cols):
-        dt = fields[c]
-        kind = kind_of(dt)
-        nn = F.col(f"n{i}")
-        if kind == "string":
-            castable, castable_d, avg_len = F.col(f"k{i}"), F.col(f"kd{i}"), F.col(f"l{i}")
-        elif kind in ("numeric", "boolean"):
-            castable, castable_d, avg_len = nn, F.col(f"d{i}"), F.lit(None).cast("double")
-        else:
-            castable, castable_d, avg_len = F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("double")
-        if kind in ("string", "numeric", "boolean"):
-            mn, mx = F.col(f"mn{i}"), F.col(f"mx{i}")
-            integral = (castable > 0) & (F.col(f"f{i}") == 0)
+        if kind in ("numeric", "boolean"):
+            sk, dk = F.lit(None).cast("string"), numeric_value(c, dt)
         else:
-            mn = mx = F.lit(None).cast("double")
-            integral = F.lit(False)
-        structs.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(kind).alias("kind"),
-            F.col("__rows").cast("long").alias("rows"),
-            (F.col("__rows") - nn).cast("long").alias("nulls"),
-            F.col(f"d{i}").cast("long").alias("distinct_count"),
-            castable.cast("long").alias("castable"),
-            castable_d.cast("long").alias("castable_distinct"),
-            avg_len.cast("double").alias("avg_len"),
-            mn.cast("double").alias("num_min"), mx.cast("double").alias("num_max"),
-            integral.alias("integral"),
-            F.lit(name_has(c, KEY_NAME_PATTERNS)).alias("key_name"),
-            F.lit(name_has(c, SENSIBLE_ID_PATTERNS)).alias("sensible_id_name"),
-            F.lit(name_has(c, PHONE_PATTERNS)).alias("phone_name"),
-            F.lit(name_has(c, IDENTIFIER_KEYWORDS)).alias("ident_name"),
-            F.lit(name_has(c, EMAIL_KEYWORDS)).alias("email_name"),
-        ))
-    return row.select(F.inline(F.array(*structs)))
+            sk, dk = cv.cast("string"), F.lit(None).cast("double")
+            if kind == "string":
+                text_pos.append(i)
+        structs.append(F.struct(F.lit(i).alias("pos"), sk.alias("sk"), dk.alias("dk")))
+    long = df.select(F.inline(F.array(*structs)))
+    is_text = F.col("pos").isin(text_pos) if text_pos else F.lit(False)
+    sk_num = numeric_value("sk", T.StringType())
+    nonint = F.when(F.col("nv") % 1 != 0, 1)
+    present = F.col("sk").isNotNull() | F.col("dk").isNotNull()
+    if approx:
+        long = long.withColumn("nv", F.coalesce("dk", F.when(is_text, sk_num))) \
+            .withColumn("ln", F.when(is_text, F.length("sk")))
+        per = long.groupBy("pos").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(F.when(present, 1)).alias("nn"),
+            F.approx_count_distinct(F.coalesce("sk", F.col("dk").cast("string")), rsd).alias("distinct_count"),
+            F.count("nv").alias("castable"),
+            F.approx_count_distinct("nv", rsd).alias("castable_distinct"), F.avg("ln").alias("avg_len"),
+            F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"))
+    else:
+        vals = (long.groupBy("pos", "sk", "dk").agg(F.count(F.lit(1)).alias("n"))
+                .withColumn("nv", F.coalesce("dk", F.when(is_text, sk_num)))
+                .withColumn("ln", F.when(is_text, F.length("sk"))))
+        per = vals.groupBy("pos").agg(
+            F.sum("n").alias("rows"), F.sum(F.when(present, F.col("n"))).alias("nn"),
+            F.count(F.when(present, 1)).alias("distinct_count"),
+            F.sum(F.when(F.col("nv").isNotNull(), F.col("n"))).alias("castable"),
+            (F.sum(F.col("ln") * F.col("n")) / F.sum(F.when(F.col("ln").isNotNull(), F.col("n")))).alias("avg_len"),
+            F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"))
+        cd = (vals.filter(F.col("nv").isNotNull()).groupBy("pos", "nv").agg(F.count(F.lit(1)).alias("_k"))
+              .groupBy("pos").agg(F.count(F.lit(1)).alias("castable_distinct")))
+        per = per.join(cd, "pos", "left")
+    meta = df.sparkSession.createDataFrame(
+        [(i, c, kind_of(fields[c]), name_has(c, KEY_NAME_PATTERNS), name_has(c, SENSIBLE_ID_PATTERNS),
+          name_has(c, PHONE_PATTERNS), name_has(c, IDENTIFIER_KEYWORDS), name_has(c, EMAIL_KEYWORDS))
+         for i, c in enumerate(cols)],
+        "pos int, column string, kind string, key_name boolean, sensible_id_name boolean, "
+        "phone_name boolean, ident_name boolean, email_name boolean")
+    f = meta.join(F.broadcast(per), "pos", "left")  # both sides: one row per column
+    kind = F.col("kind")
+    rows = F.coalesce("rows", F.lit(0)).cast("long")
+    nn = F.coalesce("nn", F.lit(0)).cast("long")
+    castable = F.coalesce("castable", F.lit(0)).cast("long")
+    return f.select(
+        F.col("pos").alias("position"), "column", "kind", rows.alias("rows"), (rows - nn).alias("nulls"),
+        F.coalesce("distinct_count", F.lit(0)).cast("long").alias("distinct_count"),
+        castable.alias("castable"),
+        F.coalesce("castable_distinct", F.lit(0)).cast("long").alias("castable_distinct"),
+        F.when(kind == "string", F.col("avg_len")).cast("double").alias("avg_len"),
+        F.col("num_min").cast("double").alias("num_min"), F.col("num_max").cast("double").alias("num_max"),
+        ((castable > 0) & (F.coalesce("nonint", F.lit(0)) == 0)).alias("integral"),
+        "key_name", "sensible_id_name", "phone_name", "ident_name", "email_name")
 
 
 def facts_rows(facts: DataFrame) -> list[dict]:
