@@ -104,6 +104,29 @@ def _looks_categorical(v: Column) -> Column:
                & ~F.substring(v, 1, 4).rlike(r"\d")))
 
 
+def format_shape(fmt: str) -> str:
+    """A regex that every string a datetime pattern can parse must match; parsing
+    is only tried on matching strings (a failed parse costs an exception)."""
+    out, i = "^", 0
+    tokens = [("yyyy", r"\d{4}"), ("SSSSSS", r"\d{6}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"),
+              ("HH", r"\d{2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("'T'", "T")]
+    while i < len(fmt):
+        for tok, rx in tokens:
+            if fmt.startswith(tok, i):
+                out += rx
+                i += len(tok)
+                break
+        else:
+            out += "\\" + fmt[i] if not fmt[i].isalnum() else fmt[i]
+            i += 1
+    return out + "$"
+
+
+def parse_with(c: Column, fmt: str) -> Column:
+    """``try_to_timestamp`` behind the cheap shape test."""
+    return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)))
+
+
 def _date_aggs(df, cols, formats):
     aggs = []
     for i, c in enumerate(cols):
@@ -111,7 +134,7 @@ def _date_aggs(df, cols, formats):
         aggs += [F.count_distinct(q(c)).alias(f"t_d{i}"),
                  F.count(F.when(_looks_categorical(t), 1)).alias(f"t_c{i}")]
         for j, fmt in enumerate(formats):
-            p = F.try_to_timestamp(q(c), F.lit(fmt))
+            p = parse_with(q(c), fmt)
             aggs += [F.count(p).alias(f"t_n{i}_{j}"), F.min(F.year(p)).alias(f"t_y0{i}_{j}"),
                      F.max(F.year(p)).alias(f"t_y1{i}_{j}")]
     return aggs
@@ -143,7 +166,7 @@ def parse_datetime_columns(df: DataFrame, formats: list[str] | None = None,
         return df
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *_date_aggs(df, cols, formats)).collect()[0]
     conv = _date_columns(row, cols, formats, row["__rows"])
-    return df.select(*[F.try_to_timestamp(q(c), F.lit(conv[c])).alias(c) if c in conv else q(c)
+    return df.select(*[parse_with(q(c), conv[c]).alias(c) if c in conv else q(c)
                        for c in df.columns])
 
 
@@ -193,7 +216,7 @@ def clean(df: DataFrame, strict_empty_rows: bool = False, formats: list[str] | N
         if c in bools:
             exprs.append(_bool_expr(c, *bools[c]).alias(c))
         elif c in dates:
-            exprs.append(F.try_to_timestamp(q(c), F.lit(dates[c])).alias(c))
+            exprs.append(parse_with(q(c), dates[c]).alias(c))
         else:
             exprs.append(q(c))
     out = base.select(*exprs).dropDuplicates()

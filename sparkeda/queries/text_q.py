@@ -12,7 +12,7 @@ CONTROL = tx.CONTROL
 
 
 def s_strip(e):
-    return f"regexp_replace({e}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+    return f"regexp_replace({e}, '^[{WS}]+|[{WS}]+$', '', 'g')"  # RE2 twin of the Spark trim
 
 
 def s_rr(e, pat, rep):
