@@ -57,9 +57,19 @@ def numeric_value(name: str, dt: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+# Python's whitespace set (str.strip / re's \s), as literal characters
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(c: Column) -> Column:
+    """Python ``str.strip()`` as a character-set trim."""
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
 def is_blank(c: Column) -> Column:
-    """Cell that is an empty string after trimming (NULL is not blank)."""
-    return F.trim(c.cast("string")) == F.lit("")
+    """Cell that is an empty string after stripping whitespace (NULL is not blank)."""
+    return strip(c.cast("string")) == F.lit("")
 
 
 def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:

@@ -40,15 +40,6 @@ def drop_empty_rows(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.filter(~empty_row_mask(df, strict))
 
 
-def _empty_column_aggs(df):
-    fields = _fields(df)
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(df.columns):
-        cv = clean_value(c, fields[c])
-        aggs += [F.count(cv).alias(f"e_n{i}"), F.count(F.when(is_blank(cv), 1)).alias(f"e_b{i}")]
-    return aggs
-
-
 def _empty_columns(row, cols) -> list[str]:
     out = []
     for i, c in enumerate(cols):
@@ -59,16 +50,8 @@ def _empty_columns(row, cols) -> list[str]:
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
     """K2: drop columns that are all null or all blank (one aggregate)."""
-    row = df.agg(*_empty_column_aggs(df)).collect()[0]
-    return df.drop(*_empty_columns(row, df.columns))
-
-
-def _bool_aggs(df, cols):
-    aggs = []
-    for i, c in enumerate(cols):
-        w = F.lower(F.trim(q(c)))
-        aggs += [F.count_distinct(w).alias(f"b_d{i}"), F.min(w).alias(f"b_lo{i}"), F.max(w).alias(f"b_hi{i}")]
-    return aggs
+    facts = clean_facts(df, [])
+    return df.drop(*_empty_columns(facts, df.columns))
 
 
 def _bool_columns(row, cols) -> dict[str, tuple[str, str]]:
@@ -90,10 +73,7 @@ def _bool_expr(c: str, yes: str, no: str) -> Column:
 def parse_boolean_words(df: DataFrame) -> DataFrame:
     """K3: string columns holding exactly the two words {yes,no} or {true,false}
     (trimmed, any case, nulls aside) become 1/0; nulls stay null."""
-    cols = [c for c, t in _fields(df).items() if kind_of(t) == "string"]
-    if not cols:
-        return df
-    conv = _bool_columns(df.agg(*_bool_aggs(df, cols)).collect()[0], cols)
+    _, _, conv, _ = _decide(df, df, [])
     return df.select(*[_bool_expr(c, *conv[c]).alias(c) if c in conv else q(c) for c in df.columns])
 
 
@@ -127,19 +107,6 @@ def parse_with(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)))
 
 
-def _date_aggs(df, cols, formats):
-    aggs = []
-    for i, c in enumerate(cols):
-        t = F.trim(q(c))
-        aggs += [F.count_distinct(q(c)).alias(f"t_d{i}"),
-                 F.count(F.when(_looks_categorical(t), 1)).alias(f"t_c{i}")]
-        for j, fmt in enumerate(formats):
-            p = parse_with(q(c), fmt)
-            aggs += [F.count(p).alias(f"t_n{i}_{j}"), F.min(F.year(p)).alias(f"t_y0{i}_{j}"),
-                     F.max(F.year(p)).alias(f"t_y1{i}_{j}")]
-    return aggs
-
-
 def _date_columns(row, cols, formats, rows) -> dict[str, str]:
     """Pick, per column, the format with most parses; convert when it parses more
     than 80 % of all rows with years in [1900, 2100]. Low-cardinality columns
@@ -161,11 +128,8 @@ def parse_datetime_columns(df: DataFrame, formats: list[str] | None = None,
                            skip: list[str] | None = None) -> DataFrame:
     """K4: string columns that parse as dates in > 80 % of all rows become timestamps."""
     formats = formats or DATE_FORMATS
-    cols = [c for c, t in _fields(df).items() if kind_of(t) == "string" and c not in (skip or [])]
-    if not cols:
-        return df
-    row = df.agg(F.count(F.lit(1)).alias("__rows"), *_date_aggs(df, cols, formats)).collect()[0]
-    conv = _date_columns(row, cols, formats, row["__rows"])
+    _, _, _, conv = _decide(df, df, formats)
+    conv = {c: f for c, f in conv.items() if c not in (skip or [])}
     return df.select(*[parse_with(q(c), conv[c]).alias(c) if c in conv else q(c)
                        for c in df.columns])
 
@@ -194,23 +158,89 @@ def normalize_column_names(df: DataFrame) -> DataFrame:
     return df.toDF(*normalized_names(df.columns))
 
 
+def clean_facts(base: DataFrame, formats: list[str]) -> dict:
+    """Every fact the cleaning rules read, in long form so that the generated
+    code does not grow with the width: string columns are unpivoted and grouped
+    to (column, distinct value, count) once -- parsing and word tests then run
+    per distinct value, weighted by its count. Other columns only need their
+    non-null counts."""
+    fields = _fields(base)
+    cols = base.columns
+    texts = [i for i, c in enumerate(cols) if kind_of(fields[c]) == "string"]
+    others = [i for i in range(len(cols)) if i not in texts]
+    out: dict = {}
+    head = base.agg(F.count(F.lit(1)).alias("__rows"),
+                    *[F.count(clean_value(cols[i], fields[cols[i]])).alias(f"e_n{i}") for i in others]).collect()[0]
+    out["__rows"] = head["__rows"]
+    for i in others:
+        out[f"e_n{i}"], out[f"e_b{i}"] = head[f"e_n{i}"], 0
+    if not texts:
+        return out
+    long = base.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), q(cols[i]).alias("v")) for i in texts])))
+    vals = long.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n = F.col("v"), F.col("n")
+    t = F.trim(v)
+    aggs = [F.sum(F.when(v.isNotNull(), n)).alias("nn"), F.sum(F.when(is_blank(v), n)).alias("blank"),
+            F.count(v).alias("distinct"), F.count(F.when(_looks_categorical(t), 1)).alias("cat")]
+    for j, fmt in enumerate(formats):
+        p = parse_with(v, fmt)
+        aggs += [F.sum(F.when(p.isNotNull(), n)).alias(f"n{j}"), F.min(F.year(p)).alias(f"y0{j}"),
+                 F.max(F.year(p)).alias(f"y1{j}")]
+    per = {r["pos"]: r for r in vals.groupBy("pos").agg(*aggs).collect()}
+    words = (vals.filter(v.isNotNull()).select("pos", F.lower(F.trim(v)).alias("w")).distinct()
+             .groupBy("pos").agg(F.count(F.lit(1)).alias("d"), F.min("w").alias("lo"), F.max("w").alias("hi")))
+    wd = {r["pos"]: r for r in words.collect()}
+    for i in texts:
+        r = per.get(i)
+        out[f"e_n{i}"] = (r["nn"] or 0) if r else 0
+        out[f"e_b{i}"] = (r["blank"] or 0) if r else 0
+        out[f"t_d{i}"] = r["distinct"] if r else 0
+        out[f"t_c{i}"] = r["cat"] if r else 0
+        for j in range(len(formats)):
+            out[f"t_n{i}_{j}"] = (r[f"n{j}"] or 0) if r else 0
+            out[f"t_y0{i}_{j}"] = r[f"y0{j}"] if r else None
+            out[f"t_y1{i}_{j}"] = r[f"y1{j}"] if r else None
+        w = wd.get(i)
+        out[f"b_d{i}"], out[f"b_lo{i}"], out[f"b_hi{i}"] = (w["d"], w["lo"], w["hi"]) if w else (0, None, None)
+    return out
+
+
+def _by_position(facts: dict, cols: list[str], idx: list[int], prefix: tuple[str, ...]) -> dict:
+    """Re-key per-position facts to the 0..k-1 numbering the rule helpers use."""
+    out = {"__rows": facts["__rows"]}
+    for k, i in enumerate(idx):
+        for key, val in facts.items():
+            for pre in prefix:
+                if key == f"{pre}{i}" or key.startswith(f"{pre}{i}_"):
+                    out[key.replace(f"{pre}{i}", f"{pre}{k}", 1)] = val
+    return out
+
+
+def _decide(df: DataFrame, base: DataFrame, formats: list[str]):
+    facts = clean_facts(base, formats)
+    fields = _fields(df)
+    cols = df.columns
+    texts = [i for i, c in enumerate(cols) if kind_of(fields[c]) == "string"]
+    strings = [cols[i] for i in texts]
+    empty = set(_empty_columns(facts, cols))
+    sf = _by_position(facts, cols, texts, ("b_d", "b_lo", "b_hi", "t_d", "t_c", "t_n", "t_y0", "t_y1"))
+    bools = _bool_columns(sf, strings)
+    dates = _date_columns(sf, strings, formats, facts["__rows"])
+    dates = {c: f for c, f in dates.items() if c not in bools}
+    return facts["__rows"], empty, bools, dates
+
+
 def clean(df: DataFrame, strict_empty_rows: bool = False, formats: list[str] | None = None) -> DataFrame:
     """K8: K1-K6 with every data-dependent decision taken from ONE aggregate pass
     over the non-empty rows; raises when nothing remains."""
     formats = formats or DATE_FORMATS
     base = drop_empty_rows(df, strict_empty_rows)
-    strings = [c for c, t in _fields(df).items() if kind_of(t) == "string"]
-    aggs = _empty_column_aggs(base) + _bool_aggs(base, strings) + _date_aggs(base, strings, formats)
-    row = base.agg(*aggs).collect()[0]
-    rows = row["__rows"]
+    rows, empty, bools, dates = _decide(df, base, formats)
     if rows == 0:
         raise ValueError("no rows left after removing empty rows")
-    empty = set(_empty_columns(row, df.columns))
     keep = [c for c in df.columns if c not in empty]
     if not keep:
         raise ValueError("no columns left after removing empty columns")
-    bools = _bool_columns(row, strings)
-    dates = _date_columns(row, strings, formats, rows)
     exprs = []
     for c in keep:
         if c in bools:
@@ -227,12 +257,7 @@ def cleaning_plan(df: DataFrame, strict_empty_rows: bool = False, formats=None)
     """What ``clean`` decides, one row per input column: (column, action, detail)."""
     formats = formats or DATE_FORMATS
     base = drop_empty_rows(df, strict_empty_rows)
-    strings = [c for c, t in _fields(df).items() if kind_of(t) == "string"]
-    row = base.agg(*(_empty_column_aggs(base) + _bool_aggs(base, strings)
-                     + _date_aggs(base, strings, formats))).collect()[0]
-    empty = set(_empty_columns(row, df.columns))
-    bools = _bool_columns(row, strings)
-    dates = _date_columns(row, strings, formats, row["__rows"])
+    _, empty, bools, dates = _decide(df, base, formats)
     names = normalized_names(df.columns)
     out = []
     for i, c in enumerate(df.columns):

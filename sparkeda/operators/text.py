@@ -11,21 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import q
+from ..functions.exprs import WS_CHARS, q, strip  # noqa: F401
 
 # Python's str whitespace (what re's \s and str.strip() use), as a class body.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 CONTROL = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F-\x9F]"
 
 
-# the same set as literal characters, for trimming without a regex
-WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
-
-
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` (a character-set trim, no regex)."""
-    return F.btrim(c, F.lit(WS_CHARS))
+    return strip(c)
 
 
 def _markdown_common(c: Column) -> Column:
