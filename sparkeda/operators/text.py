@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import WS_CHARS, q, strip  # noqa: F401
+from ..session import spread
 
 # Python's str whitespace (what re's \s and str.strip() use), as a class body.
 WS = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -23,7 +24,15 @@ def strip_ws(c: Column) -> Column:
     return strip(c)
 
 
+# characters the rules delete outright (no regex needed: ``translate``)
+CONTROL_CHARS = "".join(chr(x) for x in list(range(0x00, 0x09)) + [0x0B, 0x0C] + list(range(0x0E, 0x20))
+                        + list(range(0x7F, 0xA0)))
+
+
 def _markdown_common(c: Column) -> Column:
+    # each step reads the previous one once: in projections that hold lambdas
+    # Spark evaluates without common-subexpression reuse, so no step may
+    # reference its input twice
     c = F.regexp_replace(c, r"[*`]", "")
     c = F.regexp_replace(c, f"(?md)^#{{1,6}}[{WS}]+", "")
     return F.regexp_replace(c, r"(?d)__(.+?)__", "$1")
@@ -36,7 +45,7 @@ def strip_markdown_expr(c: Column) -> Column:
     c = F.regexp_replace(c, "```", "")
     c = _markdown_common(c)
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    c = F.regexp_replace(c, " +", " ")
+    c = F.regexp_replace(c, " {2,}", " ")
     return F.coalesce(strip_ws(c), F.lit(""))
 
 
@@ -54,28 +63,33 @@ def clean_generated_text_expr(c: Column) -> Column:
 
 def strip_markdown(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """X1."""
-    return df.withColumn(out or col, strip_markdown_expr(q(col)))
+    return spread(df).withColumn(out or col, strip_markdown_expr(q(col)))
 
 
 def clean_generated_text(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """X2."""
-    return df.withColumn(out or col, clean_generated_text_expr(q(col)))
+    return spread(df).withColumn(out or col, clean_generated_text_expr(q(col)))
 
 
 def bullets_expr(c: Column, max_bullets: int = 10) -> Column:
     """X3 as an array: clean, split lines, strip, drop empties and leading bullet
     marks; a line over 200 characters holding '.' is split into sentences after
-    [.!?] + whitespace; the first ``max_bullets`` pieces. Row-local (no shuffle)."""
+    [.!?] + whitespace; the first ``max_bullets`` pieces. Row-local (no shuffle).
+
+    Every line left non-empty after the mark is removed yields at least one
+    piece, so only the first ``max_bullets`` such lines are split: the same
+    result without sentence-splitting the rest of a long text."""
     text = clean_generated_text_expr(c)
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip_ws(x)), lambda x: x != "")
-    lines = F.transform(lines, lambda x: F.regexp_replace(x, f"^[•\\-*+][{WS}]*", ""))
+    lines = F.transform(lines, lambda x: F.when(F.substring(x, 1, 1).isin("•", "-", "*", "+"),
+                                                F.regexp_replace(x, f"^[•\\-*+][{WS}]*", "")).otherwise(x))
+    lines = F.slice(F.filter(lines, lambda x: x != ""), 1, max_bullets)
     sep = "\u0001"
 
     def pieces(x):
         sentences = F.filter(F.transform(F.split(F.regexp_replace(x, f"([.!?])[{WS}]+", "$1" + sep), sep),
                                          lambda s: strip_ws(s)), lambda s: s != "")
-        return F.when((F.length(x) > 200) & x.contains("."), sentences).otherwise(
-            F.filter(F.array(x), lambda s: s != ""))
+        return F.when((F.length(x) > 200) & x.contains("."), sentences).otherwise(F.array(x))
 
     return F.slice(F.flatten(F.transform(lines, pieces)), 1, max_bullets)
 
@@ -83,8 +97,11 @@ def bullets_expr(c: Column, max_bullets: int = 10) -> Column:
 def to_bullets(df: DataFrame, col: str, key: str, max_bullets: int = 10) -> DataFrame:
     """One row per bullet (key, bullet_no 1.., n_bullets, bullet)."""
     arr = bullets_expr(q(col), max_bullets)
-    return (df.select(q(key).alias(key), arr.alias("_b"))
-            .select(key, F.size("_b").alias("n_bullets"), F.posexplode("_b").alias("pos", "bullet"))
+    return (spread(df.select(q(key).alias(key), q(col))).select(q(key).alias(key), arr.alias("_b"))
+            # outer explode: an inner one makes Catalyst infer size(_b) > 0 below
+            # the projection, which would compute the whole array twice
+            .select(key, F.size("_b").alias("n_bullets"), F.posexplode_outer("_b").alias("pos", "bullet"))
+            .filter(F.col("bullet").isNotNull())
             .select(key, (F.col("pos") + 1).alias("bullet_no"), "n_bullets", "bullet"))
 
 

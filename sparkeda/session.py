@@ -67,3 +67,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over the cluster's cores when its scan yields fewer
+    partitions than that (one big file, one row group), before CPU-heavy
+    row-local work. On inputs already split across many tasks it does nothing,
+    so at scale no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
