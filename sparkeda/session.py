@@ -74,6 +74,8 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than that (one big file, one row group), before CPU-heavy
     row-local work. On inputs already split across many tasks it does nothing,
     so at scale no shuffle is added."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)

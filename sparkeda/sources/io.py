@@ -161,23 +161,27 @@ def downsample_ordered(df: DataFrame, order: list[str], max_rows: int, total: in
 
 def read_images(spark: SparkSession, directory: str, with_size: bool = False) -> DataFrame:
     """Image files under class folders (suffix allow-list), with their class
-    label (parent folder, ``__root__`` for files at the top) and byte length.
+    label (parent folder, ``__root__`` for files at the top), path relative to
+    the set (``relpath``) and byte length.
     ``with_size=True`` adds width, height and channels from Spark's image source
     (formats the JVM can decode)."""
     root = directory.rstrip("/")
     pattern = "(?i).*(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", "length").filter(F.col("path").rlike(pattern)))
-    rel = F.regexp_replace("path", r"^.*?" + _escape(root) + "/", "")
+    def rel_of(c):  # the two sources spell the scheme differently (file:/ vs file:///)
+        return F.regexp_replace(c, r"^.*?" + _escape(root.lstrip("/")) + "/", "")
+
+    rel = rel_of(F.col("path"))
     parts = F.split(rel, "/")
     files = files.withColumn("relpath", rel).withColumn(
         "label", F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("__root__")))
     if with_size:
         img = (spark.read.format("image").option("dropInvalid", True)
                .option("recursiveFileLookup", True).load(root)
-               .select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"),
+               .select(rel_of(F.col("image.origin")).alias("relpath"), F.col("image.width").alias("width"),
                        F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels")))
-        files = files.join(img, "path", "left")
+        files = files.join(img, "relpath", "left")
     return files
 
 
