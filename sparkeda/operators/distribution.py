@@ -18,6 +18,15 @@ def _fields(df):
     return {f.name: f.dataType for f in df.schema.fields}
 
 
+def _projected(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
+    """The numeric value of each column computed once, in a projection that the
+    later binning expressions only read."""
+    fields = _fields(df)
+    names = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(cols))}
+    base = df.select(*[numeric_value(c, fields[c]).alias(n) for c, n in names.items()])
+    return base, {c: F.col(n) for c, n in names.items()}
+
+
 def _bounds(df: DataFrame, vals: dict) -> dict:
     aggs = []
     for i, c in enumerate(vals):
@@ -58,8 +67,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed; a constant column
     uses [v - 0.5, v + 0.5]); zero bins kept; the null bucket is the row with
     ``bin`` NULL. Columns: column, bin, lower, upper, count."""
-    fields = _fields(df)
-    vals = {c: numeric_value(c, fields[c]) for c in cols}
+    df, vals = _projected(df, cols)
     b = _bounds(df, vals)
     spec = {c: (b[c]["lo"], b[c]["hi"], bins) for c in cols}
     return _assemble(df, vals, spec)
@@ -84,8 +92,7 @@ def distribution_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
     (label = the integer, plus ``No Value`` for missing); others get
     min(50, max(10, floor(sqrt(n)))) equal-width bins (label = bin number).
     Columns: column, label, lower, upper, count."""
-    fields = _fields(df)
-    vals = {c: numeric_value(c, fields[c]) for c in cols}
+    df, vals = _projected(df, cols)
     b = _bounds(df, vals)
     bar_cols = [c for c in cols if b[c]["integral"] and b[c]["distinct"] <= 60]
     hist_cols = [c for c in cols if c not in bar_cols and b[c]["n"]]
@@ -144,11 +151,10 @@ def density_pairs(df: DataFrame, cols: list[str], bins: int = 20, min_rows: int
                   pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """All pairs (i < j) among the first 6 columns, first 5 as the left side
     (15 pairs at most): one bounds aggregate and one counting job for all pairs."""
-    fields = _fields(df)
     if pairs is None:
         cols = cols[:6]
         pairs = [(a, b) for i, a in enumerate(cols[:5]) for b in cols[i + 1:6]]
-    vals = {c: numeric_value(c, fields[c]) for p in pairs for c in p}
+    df, vals = _projected(df, [c for p in pairs for c in p])
     aggs = []
     for i, (a, b) in enumerate(pairs):
         both = vals[a].isNotNull() & vals[b].isNotNull()

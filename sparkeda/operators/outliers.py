@@ -20,6 +20,13 @@ def _vals(df, cols):
     return {c: numeric_value(c, fields[c]) for c in cols}
 
 
+def _projected(df, cols):
+    """Numeric values computed once in a projection the counting passes read."""
+    vals = _vals(df, cols)
+    names = {c: f"__v{i}" for i, c in enumerate(cols)}
+    return df.select(*[vals[c].alias(n) for c, n in names.items()]), {c: F.col(n) for c, n in names.items()}
+
+
 def outlier_bounds(df: DataFrame, cols: list[str], method: str = "exact") -> dict:
     """Per column: n, mean, sample std, min, max, q1, q3, iqr and IQR fences."""
     vals = _vals(df, cols)
@@ -53,8 +60,8 @@ def outlier_summary(df: DataFrame, cols: list[str], z: float = 3.0, min_values:
     values: IQR outliers (strictly outside Q1 - 1.5 IQR, Q3 + 1.5 IQR) and
     z-score outliers (|z| > 3; none when std = 0), counts and percents (2 dp)."""
     cols = cols[:max_cols] if max_cols else cols
-    vals = _vals(df, cols)
     b = outlier_bounds(df, cols, method)
+    df, vals = _projected(df, cols)
     keep = [c for c in cols if b[c]["n"] and b[c]["n"] >= min_values]
     spark = df.sparkSession
     schema = ("column string, total_values long, iqr_outliers long, iqr_percent double, "
@@ -119,8 +126,8 @@ def outlier_rows(df: DataFrame, col: str, k: int = 20, method: str = "iqr", z: f
 def box_summary(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """Five numbers, mean +/- sd, IQR fences and whisker ends (most extreme
     values inside the fences)."""
-    vals = _vals(df, cols)
     b = outlier_bounds(df, cols, method)
+    df, vals = _projected(df, cols)
     live = [c for c in cols if b[c]["n"]]
     if not live:
         return df.sparkSession.createDataFrame([], "column string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (bias_corrected_kurt, bias_corrected_skew, clean_value, kind_of,
-                               numeric_value, q, rnd)
+                               local_frame, numeric_value, q, rnd)
 from ..functions.values import NODATA
 from ..plans.quantiles import exact_quantiles
 
@@ -40,38 +40,40 @@ def _numeric_exprs(df, cols):
     return {c: numeric_value(c, fields[c]) for c in cols}
 
 
+def column_moments(df: DataFrame, vals: dict) -> DataFrame:
+    """Per value expression: rows, count, mean, sample std, min, max and the
+    population skewness / excess kurtosis, in long form: one narrow unpivot and
+    one grouped aggregate with a fixed set of functions, so the generated code
+    (and whole-stage codegen) does not depend on how many columns are asked."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                                                 v.alias("v")) for i, (c, v) in enumerate(vals.items())])))
+    return long.groupBy("position", "column").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("v").alias("n"), F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"))
+
+
 def numeric_stats(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """G2 + G3: count, missing, mean, median, sample std, min, max, q25, q75,
     bias-corrected skewness and excess kurtosis, per column.
 
-    Moments come from one aggregate; quantiles from ``exact_quantiles``
-    (distributed selection) or ``percentile_approx`` when ``method='approx'``.
+    Moments come from ``column_moments`` (one grouped aggregate); quantiles from
+    ``exact_quantiles`` (distributed selection) or ``percentile_approx`` when
+    ``method='approx'``. The quartiles join back as a one-row-per-column frame.
     """
     vals = _numeric_exprs(df, cols)
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i, c in enumerate(cols):
-        v = vals[c]
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.skewness(v).alias(f"g1{i}"), F.kurtosis(v).alias(f"g2{i}")]
-    row = df.agg(*aggs)
-    quant = exact_quantiles(df, vals, [0.25, 0.5, 0.75], method=method)
-    structs = []
-    for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        structs.append(F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.col(f"n{i}").cast("long").alias("count"),
-            (F.col("__n") - F.col(f"n{i}")).cast("long").alias("missing"),
-            F.col(f"m{i}").alias("mean"),
-            F.lit(quant[(c, 0.5)]).cast("double").alias("median"),
-            F.col(f"s{i}").alias("std"),
-            F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-            F.lit(quant[(c, 0.25)]).cast("double").alias("q25"),
-            F.lit(quant[(c, 0.75)]).cast("double").alias("q75"),
-            bias_corrected_skew(F.col(f"g1{i}"), n).alias("skewness"),
-            bias_corrected_kurt(F.col(f"g2{i}"), n).alias("kurtosis")))
-    return row.select(F.inline(F.array(*structs)))
+    mom = local_frame(column_moments(df, vals))  # one row per column
+    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}
+    quant = exact_quantiles(df, vals, [0.25, 0.5, 0.75], method=method, known=known)
+    qf = df.sparkSession.createDataFrame(
+        [(c, quant[(c, 0.25)], quant[(c, 0.5)], quant[(c, 0.75)]) for c in cols],
+        "column string, q25 double, median double, q75 double")
+    n = F.col("n").cast("double")
+    return mom.join(F.broadcast(qf), "column").select(
+        "position", "column", F.col("n").cast("long").alias("count"),
+        (F.col("rows") - F.col("n")).cast("long").alias("missing"), "mean", "median", "std", "min", "max",
+        "q25", "q75", bias_corrected_skew(F.col("g1"), n).alias("skewness"),
+        bias_corrected_kurt(F.col("g2"), n).alias("kurtosis"))
 
 
 def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:

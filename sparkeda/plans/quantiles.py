@@ -30,20 +30,32 @@ def _rank_targets(n: int, p: float):
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float],
                     buckets: int = 4096, final_size: int = 20000,
-                    method: str = "exact", accuracy: int = 100000) -> dict[tuple[str, float], float | None]:
-    """{(name, p): quantile} for each named value expression and probability."""
+                    method: str = "exact", accuracy: int = 100000,
+                    known: dict[str, tuple] | None = None) -> dict[tuple[str, float], float | None]:
+    """{(name, p): quantile} for each named value expression and probability.
+    ``known`` may pass (count, min, max) per name when an earlier aggregate has
+    them, which saves the first pass."""
     names = list(values)
     if not names:
         return {}
+    # evaluate each value expression once, in a projection below the passes, so
+    # the bracket tests below only read plain columns
+    df = df.select(*[values[c].alias(f"__q{i}") for i, c in enumerate(names)])
+    values = {c: F.col(f"__q{i}") for i, c in enumerate(names)}
     if method == "approx":
         row = df.agg(*[F.percentile_approx(values[c], list(probs), accuracy).alias(f"q{i}")
                        for i, c in enumerate(names)]).collect()[0]
         return {(c, p): (None if row[f"q{i}"] is None else float(row[f"q{i}"][j]))
                 for i, c in enumerate(names) for j, p in enumerate(probs)}
 
-    stats = df.agg(*[e for i, c in enumerate(names) for e in
-                     (F.count(values[c]).alias(f"n{i}"), F.min(values[c]).alias(f"a{i}"),
-                      F.max(values[c]).alias(f"b{i}"))]).collect()[0]
+    if known is not None and all(c in known for c in names):
+        stats = {}
+        for i, c in enumerate(names):
+            stats[f"n{i}"], stats[f"a{i}"], stats[f"b{i}"] = known[c]
+    else:
+        stats = df.agg(*[e for i, c in enumerate(names) for e in
+                         (F.count(values[c]).alias(f"n{i}"), F.min(values[c]).alias(f"a{i}"),
+                          F.max(values[c]).alias(f"b{i}"))]).collect()[0]
     # bracket state per (column, rank): [lo, hi], values below lo, values inside
     state: dict[tuple[str, int], dict] = {}
     wanted: dict[tuple[str, float], tuple] = {}
@@ -81,7 +93,7 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
             continue
         lo, hi, frac = t
         a, b = found[(key[0], lo)], found[(key[0], hi)]
-        out[key] = a + (b - a) * frac
+        out[key] = a * (1.0 - frac) + b * frac
     return out
 
 
@@ -95,15 +107,28 @@ def _brackets(open_: dict) -> list[tuple]:
     return seen
 
 
+def _per_column(brs: list[tuple], values) -> list:
+    """One struct per column: the brackets of a column are disjoint (or the same),
+    so a CASE picks the one a value falls in; rows outside every bracket drop."""
+    by_col: dict[str, list] = {}
+    for j, (c, lo, hi) in enumerate(brs):
+        by_col.setdefault(c, []).append((j, lo, hi))
+    return list(by_col.items())
+
+
 def _narrow(df: DataFrame, values, open_: dict, buckets: int) -> None:
     brs = _brackets(open_)
     structs = []
-    for j, (c, lo, hi) in enumerate(brs):
+    for c, items in _per_column(brs, values):
         v = values[c]
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        width = (hi - lo) / buckets
-        b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-        structs.append(F.struct(F.lit(j).alias("br"), F.when(inside, b).alias("bk"), v.alias("v")))
+        br, bk = None, None
+        for j, lo, hi in items:
+            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            width = (hi - lo) / buckets
+            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            br = F.when(inside, F.lit(j)) if br is None else br.when(inside, F.lit(j))
+            bk = F.when(inside, b) if bk is None else bk.when(inside, b)
+        structs.append(F.struct(br.alias("br"), bk.alias("bk"), v.alias("v")))
     long = df.select(F.inline(F.array(*structs))).filter(F.col("bk").isNotNull())
     hist = (long.groupBy("br", "bk")
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
@@ -124,11 +149,14 @@ def _narrow(df: DataFrame, values, open_: dict, buckets: int) -> None:
 def _finish(df: DataFrame, values, open_: dict, found: dict) -> None:
     brs = _brackets(open_)
     structs = []
-    for j, (c, lo, hi) in enumerate(brs):
+    for c, items in _per_column(brs, values):
         v = values[c]
-        structs.append(F.struct(F.lit(j).alias("br"),
-                                F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v).alias("v")))
-    long = df.select(F.inline(F.array(*structs))).filter(F.col("v").isNotNull())
+        br = None
+        for j, lo, hi in items:
+            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            br = F.when(inside, F.lit(j)) if br is None else br.when(inside, F.lit(j))
+        structs.append(F.struct(br.alias("br"), v.alias("v")))
+    long = df.select(F.inline(F.array(*structs))).filter(F.col("br").isNotNull())
     rows = long.groupBy("br", "v").agg(F.count(F.lit(1)).alias("n")).collect()
     per: dict[int, list] = {}
     for r in rows:
