@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, numeric_value, q, rnd
 from ..functions.values import NO_VALUE
+from ..plans.ranking import top_n_per_group
 
 
 def _fields(df):
@@ -124,8 +125,7 @@ def category_bars(df: DataFrame, col: str, k: int = 30) -> DataFrame:
     missing = df.agg(F.count(F.when(v.isNull() | (F.trim(v) == ""), 1)).alias("m"))
     vals = df.filter(v.isNotNull() & (v != "") & (F.lower(v) != "nan"))
     counts = vals.groupBy(v.alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.orderBy(F.desc("count"), "label")
-    top = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = top_n_per_group(counts, [], [F.desc("count"), F.col("label")], k, rank="rank")
     miss = missing.filter(F.col("m") > 0).select(F.lit(NO_VALUE).alias("label"),
                                                  F.col("m").cast("long").alias("count"),
                                                  F.lit(k + 1).alias("rank"))

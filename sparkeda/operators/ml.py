@@ -25,8 +25,7 @@ from ..functions.exprs import numeric_value, q, rnd
 from ..plans.facts import column_facts
 from ..plans.quantiles import exact_quantiles
 from ..plans.roles import role_columns, select_prediction_features
-from .stats import imbalance_summary
-from .text import top_n_per_group
+from ..plans.ranking import top_n_per_group
 
 
 # ---------------------------------------------------------------- labels, splits
@@ -68,17 +67,17 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """L5: 'balanced' weights n / (classes x count(class)); one tiny aggregate
     (one row per class, bounded by the class cap) broadcast back."""
     counts = df.groupBy(q(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
-    tot = counts.agg(F.sum("__n").alias("__t"), F.count(F.lit(1)).alias("__k"))
-    w = counts.crossJoin(tot).select("__c", (F.col("__t") / (F.col("__k") * F.col("__n"))).alias(out))
+    every = Window.partitionBy()  # over the per-class counts: one row per class
+    w = counts.select("__c", (F.sum("__n").over(every) / (F.count(F.lit(1)).over(every) * F.col("__n"))).alias(out))
     return df.join(F.broadcast(w), q(label) == F.col("__c"), "left").drop("__c")
 
 
 def training_warnings(df: DataFrame, label: str) -> DataFrame:
     """Imbalance (majority share >= 0.8), small sample (< 200 rows) and
     rare classes (some class below 2 rows: no stratified split)."""
-    imb = imbalance_summary(df, label)
-    cnt = df.filter(q(label).isNotNull()).groupBy(q(label)).count().agg(F.min("count").alias("mn"))
-    s = imb.crossJoin(cnt)
+    counts = df.filter(q(label).isNotNull()).groupBy(q(label)).agg(F.count(F.lit(1)).alias("n"))
+    s = counts.agg(F.sum("n").alias("total"), F.max("n").alias("mx"), F.min("n").alias("mn")) \
+        .withColumn("majority_share", rnd(F.col("mx") / F.col("total"), 3))
     msgs = F.array(
         F.when(F.col("majority_share") >= 0.8,
                F.lit("Class imbalance detected - consider SMOTE or class_weight='balanced'.")),

@@ -32,9 +32,9 @@ def health_score(df: DataFrame, primary_keys: list[str] | None = None) -> DataFr
         v = numeric_value(c, fields[c])
         aggs += [F.count(v).alias(f"k{j}"), F.skewness(v).alias(f"g{j}")]
     row = df.agg(*aggs)
-    dup = (df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.count(F.lit(1)).alias("distinct_rows")))
-    s = row.crossJoin(dup)  # two one-row frames
+    distinct_rows = (df.groupBy(*[q(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+                     .agg(F.count(F.lit(1))).collect()[0][0])  # one number
+    s = row.withColumn("distinct_rows", F.lit(distinct_rows).cast("long"))
     ncols = len(cols)
     cells = F.col("rows") * ncols
     missing = sum((F.col("rows") - F.col(f"n{i}") for i in range(ncols)), F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import WS_CHARS, q, strip  # noqa: F401
+from ..plans.ranking import top_n_per_group
 from ..session import spread
 
 # Python's str whitespace (what re's \s and str.strip() use), as a class body.
@@ -138,19 +139,6 @@ def parse_sections(df: DataFrame, col: str, key: str) -> tuple[DataFrame, DataFr
     return sections, items
 
 
-def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
-                    salt_buckets: int = 64, salt_on: list[str] | None = None) -> DataFrame:
-    """Top ``n`` rows per group without sending a hot group to one task: first
-    the top n inside each (group, salt) slice, then the top n of at most
-    n x salt_buckets survivors per group."""
-    salt = F.abs(F.xxhash64(*[q(c) for c in (salt_on or df.columns)])) % salt_buckets
-    w1 = Window.partitionBy(*[q(g) for g in group], F.col("__salt")).orderBy(*order)
-    pre = (df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1))
-           .filter(F.col("__r") <= n).drop("__r", "__salt"))
-    w2 = Window.partitionBy(*[q(g) for g in group]).orderBy(*order)
-    return pre.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= n).drop("__r")
-
-
 def recent_turns(df: DataFrame, conv: str, turn: str, role: str, text: str, n: int = 5) -> DataFrame:
     """The last ``n`` entries of each conversation, in order, rendered as
     'role: text' lines (one row per conversation). Hot conversations are cut
