@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clean_value, is_blank, kind_of, q
 from ..functions.values import BOOLEAN_WORD_PAIRS, CATEGORICAL_WORDS, DATE_FORMATS
+from ..session import spread
 
 
 def _fields(df):
@@ -234,7 +235,7 @@ def clean(df: DataFrame, strict_empty_rows: bool = False, formats: list[str] | N
     """K8: K1-K6 with every data-dependent decision taken from ONE aggregate pass
     over the non-empty rows; raises when nothing remains."""
     formats = formats or DATE_FORMATS
-    base = drop_empty_rows(df, strict_empty_rows)
+    base = spread(drop_empty_rows(df, strict_empty_rows), passes=3)
     rows, empty, bools, dates = _decide(df, base, formats)
     if rows == 0:
         raise ValueError("no rows left after removing empty rows")

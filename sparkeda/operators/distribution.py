@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import bin_index, numeric_value, q, rnd
 from ..functions.values import NO_VALUE
 from ..plans.ranking import top_n_per_group
+from ..session import spread
 
 
 def _fields(df):
@@ -21,10 +22,11 @@ def _fields(df):
 
 def _projected(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     """The numeric value of each column computed once, in a projection that the
-    later binning expressions only read."""
+    later binning expressions only read (spread over the cores once when the
+    scan is narrower than the cluster: bounds and counts read it twice)."""
     fields = _fields(df)
     names = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(cols))}
-    base = df.select(*[numeric_value(c, fields[c]).alias(n) for c, n in names.items()])
+    base = spread(df.select(*[numeric_value(c, fields[c]).alias(n) for c, n in names.items()]), passes=2)
     return base, {c: F.col(n) for c, n in names.items()}
 
 

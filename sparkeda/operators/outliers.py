@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_value, rnd
 from ..plans.quantiles import exact_quantiles
+from ..session import spread
 
 
 def _vals(df, cols):
@@ -24,12 +25,13 @@ def _projected(df, cols):
     """Numeric values computed once in a projection the counting passes read."""
     vals = _vals(df, cols)
     names = {c: f"__v{i}" for i, c in enumerate(cols)}
-    return df.select(*[vals[c].alias(n) for c, n in names.items()]), {c: F.col(n) for c, n in names.items()}
+    base = spread(df.select(*[vals[c].alias(n) for c, n in names.items()]), passes=3)
+    return base, {c: F.col(n) for c, n in names.items()}
 
 
 def outlier_bounds(df: DataFrame, cols: list[str], method: str = "exact") -> dict:
     """Per column: n, mean, sample std, min, max, q1, q3, iqr and IQR fences."""
-    vals = _vals(df, cols)
+    df, vals = _projected(df, cols)
     row = df.agg(*[e for i, c in enumerate(cols) for e in
                    (F.count(vals[c]).alias(f"n{i}"), F.avg(vals[c]).alias(f"m{i}"),
                     F.stddev_samp(vals[c]).alias(f"s{i}"), F.min(vals[c]).alias(f"a{i}"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clean_value, numeric_value, q, rnd
 from ..plans.facts import column_facts
 from ..plans.roles import role_columns
+from ..session import spread
 
 
 def health_score(df: DataFrame, primary_keys: list[str] | None = None) -> DataFrame:
@@ -21,6 +22,7 @@ def health_score(df: DataFrame, primary_keys: list[str] | None = None) -> DataFr
     duplicates are gone and uniqueness is always 100.
     Jobs: facts (roles), one moments aggregate, one duplicate grouping.
     """
+    df = spread(df, passes=3)
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols = list(fields)
     roles = role_columns(column_facts(df), primary_keys=primary_keys).select(

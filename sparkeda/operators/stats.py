@@ -9,6 +9,7 @@ from ..functions.exprs import (bias_corrected_kurt, bias_corrected_skew, clean_v
                                local_frame, numeric_value, q, rnd)
 from ..functions.values import NODATA
 from ..plans.quantiles import exact_quantiles
+from ..session import spread
 
 
 def _fields(df):
@@ -61,6 +62,7 @@ def numeric_stats(df: DataFrame, cols: list[str], method: str = "exact") -> Data
     ``exact_quantiles`` (distributed selection) or ``percentile_approx`` when
     ``method='approx'``. The quartiles join back as a one-row-per-column frame.
     """
+    df = spread(df.select(*[q(c) for c in cols]), passes=3)
     vals = _numeric_exprs(df, cols)
     mom = local_frame(column_moments(df, vals))  # one row per column
     known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}

@@ -69,14 +69,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, passes: int = 1) -> DataFrame:
     """Round-robin a frame over the cluster's cores when its scan yields fewer
-    partitions than that (one big file, one row group), before CPU-heavy
-    row-local work. On inputs already split across many tasks it does nothing,
-    so at scale no shuffle is added."""
+    partitions than that (one big file, one row group), before CPU-heavy work.
+    For operators that read their input several times (``passes`` > 1) the
+    spread frame is written once to the checkpoint folder, so the passes do
+    not repeat the shuffle. On inputs already split across many tasks it does
+    nothing, so at scale neither a shuffle nor a write is added."""
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    out = df.repartition(cores)
+    return cut_lineage(out) if passes > 1 else out
