@@ -3,7 +3,7 @@ and fuzzy matching of values against a vocabulary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import q
@@ -42,37 +42,110 @@ def run_query_spec(df: DataFrame, spec: dict) -> DataFrame:
     return out
 
 
+def _edit_budget(cutoff: float, la: Column, lb: Column) -> Column:
+    """Largest edit distance t with 1 - t / max(la, lb) >= cutoff (a hair generous,
+    so candidates are a superset; the final filter uses the exact score)."""
+    return F.floor(F.lit(1.0 - cutoff) * F.greatest(la, lb) + F.lit(1e-9)).cast("int")
+
+
+def _length_reach(length: Column, cutoff: float) -> Column:
+    """Partner lengths L' that can reach similarity >= cutoff: |L - L'| <= edits
+    <= (1 - c) max(L, L') means L' in [c L, L / c]."""
+    lo = F.greatest(F.ceil(length * F.lit(cutoff) - F.lit(1e-9)), F.lit(0)).cast("int")
+    hi = F.floor(length / F.lit(cutoff) + F.lit(1e-9)).cast("int")
+    return F.sequence(lo, hi)
+
+
+def _segments(le: Column, t: Column):
+    """Even split of a length-``le`` string into t + 1 pieces: (index, start, length)
+    of piece i, for ``F.transform`` over sequence(0, t)."""
+    k = t + 1
+    base, extra = (le / k).cast("int"), le % k
+    def piece(i):
+        ln = base + F.when(i >= k - extra, 1).otherwise(0)
+        st = i * base + F.greatest(i - (k - extra), F.lit(0))
+        return F.struct(i.alias("i"), st.alias("p"), ln.alias("n"))
+    return piece
+
+
 def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str,
-                        cutoff: float = 0.7, broadcast_limit: int = 200_000) -> DataFrame:
+                        cutoff: float = 0.7, broadcast_limit: int = 10_000) -> DataFrame:
     """Q3: map each distinct value of ``col`` to a vocabulary entry: its
     case-insensitive equal when there is one, else the most similar entry with
     similarity 1 - levenshtein / max(length) >= ``cutoff`` (ties: the smallest
     entry). Values without a match keep themselves (score NULL).
 
-    No cross product: similarity >= c needs lengths within [c*L, L/c], so each
-    vocabulary entry is expanded to the lengths it can reach and the values are
-    equi-joined on length. The vocabulary side is broadcast only when its row
-    count is within ``broadcast_limit``; otherwise a shuffled join on length.
+    Exact, without pairing every value with every entry. If an entry of length Le
+    is within t edits of a value, then cut into t + 1 pieces one piece survives
+    whole in the value, shifted by at most t (pigeonhole). So entries emit their
+    pieces keyed by (value length, entry length, piece no, piece text), values
+    emit their substrings at the reachable positions under the same key, and an
+    equi-join yields the candidates (plus a join on lower() for case-insensitive
+    equals). Only entries too short to cut (Le <= t, possible for cutoff <= 0.5)
+    fall back to a join on the two lengths. Values emit keys only for entry
+    lengths present in the vocabulary; that length list (at most one row per
+    length) is broadcast when its size is within ``broadcast_limit``.
+    The best entry per value is a grouped min, combined map-side.
     """
+    if not 0.0 < cutoff <= 1.0:
+        raise ValueError("cutoff must be in (0, 1]")
     vals = df.select(q(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    vocab = vocab.select(q(vocab_col).alias("entry")).filter(F.col("entry").isNotNull())
-    vocab = vocab.dropDuplicates(["entry"])
-    n_vocab = vocab.count()
-    lo = F.ceil(F.length("entry") * F.lit(cutoff)).cast("int")
-    hi = F.floor(F.length("entry") / F.lit(cutoff)).cast("int")
-    reach = vocab.withColumn("vlen", F.explode(F.sequence(F.greatest(lo, F.lit(0)), hi)))
-    side = F.broadcast(reach) if n_vocab <= broadcast_limit else reach
-    cand = vals.withColumn("vlen", F.length("value")).join(side, "vlen")
+    vocab = vocab.select(q(vocab_col).alias("entry")).filter(F.col("entry").isNotNull()).distinct()
+
+    # entries: (lv, le, i, piece) for every value length lv they can reach
+    ent = (vocab.withColumn("le", F.length("entry"))
+           .withColumn("lv", F.explode(_length_reach(F.col("le"), cutoff)))
+           .withColumn("t", _edit_budget(cutoff, F.col("le"), F.col("lv"))))
+    short = F.col("le") <= F.col("t")
+    ent_keys = ent.withColumn("seg", F.when(short, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"),
+                                                                   F.lit(0).alias("n"))))
+                              .otherwise(F.transform(F.sequence(F.lit(0), F.col("t")),
+                                                     _segments(F.col("le"), F.col("t")))))
+    ent_keys = (ent_keys.select("entry", "lv", "le", F.explode("seg").alias("s"))
+                .select("entry", "lv", "le", F.col("s.i").alias("i"),
+                        F.when(F.col("s.i") >= 0, F.substring("entry", F.col("s.p") + 1, F.col("s.n")))
+                        .otherwise(F.lit("")).alias("piece")))
+
+    # values: substrings at every position a piece can have moved to
+    lengths = vocab.select(F.length("entry").alias("le")).distinct()
+    n_len = lengths.count()  # bounded by the longest entry
+    lengths = F.broadcast(lengths) if n_len <= broadcast_limit else lengths
+    v = (vals.withColumn("lv", F.length("value"))
+         .withColumn("le", F.explode(_length_reach(F.col("lv"), cutoff)))
+         .join(lengths, "le")
+         .withColumn("t", _edit_budget(cutoff, F.col("le"), F.col("lv"))))
+    vshort = F.col("le") <= F.col("t")
+    v = v.withColumn("seg", F.when(vshort, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"),
+                                                           F.lit(0).alias("n"))))
+                     .otherwise(F.transform(F.sequence(F.lit(0), F.col("t")),
+                                            _segments(F.col("le"), F.col("t")))))
+    v = v.select("value", "lv", "le", "t", F.explode("seg").alias("s"))
+    lo = F.greatest(F.col("s.p") - F.col("t"), F.lit(0))
+    hi = F.least(F.col("s.p") + F.col("t"), F.col("lv") - F.col("s.n"))
+    starts = F.when(F.col("s.i") < 0, F.array(F.lit(0))).when(lo <= hi, F.sequence(lo, hi)) \
+        .otherwise(F.array().cast("array<int>"))
+    v_keys = (v.select("value", "lv", "le", F.col("s.i").alias("i"), F.col("s.n").alias("n"),
+                       F.explode(starts).alias("st"))
+              .select("value", "lv", "le", "i",
+                      F.when(F.col("i") >= 0, F.substring("value", F.col("st") + 1, F.col("n")))
+                      .otherwise(F.lit("")).alias("piece"))
+              .distinct())
+    by_piece = v_keys.join(ent_keys, ["lv", "le", "i", "piece"]).select("value", "entry")
+    by_case = vals.withColumn("k", F.lower("value")).join(
+        vocab.withColumn("k", F.lower("entry")), "k").select("value", "entry")
+    cand = by_piece.unionByName(by_case).distinct()
+
     maxlen = F.greatest(F.length("value"), F.length("entry"))
     sim = F.when(maxlen == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein("value", "entry") / maxlen)
     exact = F.lower("value") == F.lower("entry")
     scored = (cand.withColumn("score", sim).withColumn("exact", exact)
               .filter(F.col("exact") | (F.col("score") >= cutoff)))
-    w = Window.partitionBy("value").orderBy(F.desc("exact"), F.desc("score"), "entry")
-    best = scored.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    out = vals.join(best.select("value", "entry", "score", "exact"), "value", "left")
-    return out.select("value", F.coalesce("entry", "value").alias("match"),
-                      F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("score")).alias("score"))
+    best = scored.groupBy("value").agg(
+        F.min(F.struct((~F.col("exact")).alias("inexact"), (-F.col("score")).alias("neg"),
+                       F.col("entry").alias("entry"))).alias("b"))
+    out = vals.join(best, "value", "left")
+    return out.select("value", F.coalesce("b.entry", "value").alias("match"),
+                      F.when(~F.col("b.inexact"), F.lit(1.0)).otherwise(-F.col("b.neg")).alias("score"))
 
 
 def replace_with_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str,

@@ -14,8 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (BucketedRandomProjectionLSH, OneHotEncoder, StandardScaler,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
@@ -25,7 +24,6 @@ from ..functions.exprs import numeric_value, q, rnd
 from ..plans.facts import column_facts
 from ..plans.quantiles import exact_quantiles
 from ..plans.roles import role_columns, select_prediction_features
-from ..plans.ranking import top_n_per_group
 
 
 # ---------------------------------------------------------------- labels, splits
@@ -374,34 +372,65 @@ def _mean_std(xs: list[float]) -> tuple[float, float]:
 
 
 # ---------------------------------------------------------------- neighbours
+def _block_top_k(k: int):
+    """Per (query block, train block) cell: exact squared L2 distances of every
+    query to every train row of the cell, in bounded chunks, keeping only the k
+    nearest per query (ties: smaller train key)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(tr: "pd.DataFrame", te: "pd.DataFrame") -> "pd.DataFrame":
+        if tr.empty or te.empty:
+            return pd.DataFrame({"qk": pd.Series([], "int64"), "tk": pd.Series([], "int64"),
+                                 "y": pd.Series([], "int64"), "d": pd.Series([], "float64")})
+        tv = np.stack(tr["v"].to_numpy()).astype(np.float64)
+        tk = tr["tk"].to_numpy(np.int64)
+        ty = tr["y"].to_numpy(np.int64)
+        qv = np.stack(te["v"].to_numpy()).astype(np.float64)
+        qk = te["qk"].to_numpy(np.int64)
+        kk = min(k, len(tk))
+        chunk = max(1, 4_000_000 // max(1, tv.size))  # bounded memory per step
+        out = []
+        for s in range(0, len(qk), chunk):
+            diff = qv[s:s + chunk, None, :] - tv[None, :, :]
+            d = np.einsum("qtd,qtd->qt", diff, diff)
+            order = np.lexsort((np.broadcast_to(tk, d.shape), d), axis=1)[:, :kk]
+            rows = np.arange(d.shape[0])[:, None]
+            out.append(pd.DataFrame({"qk": np.repeat(qk[s:s + chunk], kk), "tk": tk[order].ravel(),
+                                     "y": ty[order].ravel(), "d": d[rows, order].ravel()}))
+        return pd.concat(out, ignore_index=True)
+    return run
+
+
 def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str, k: int | None = None,
-             bucket_length: float = 2.0, tables: int = 4, seed: int = 42) -> DataFrame:
-    """K-nearest-neighbour vote, k = min(5, n_train // 10 or 1). Candidates
-    come from random-projection LSH buckets (an equi-join on (table, bucket), no
-    cross product); exact distances rank them, a salted top-k keeps hot
-    buckets off one task, and the majority label wins (ties: smaller label)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    n_train = train.count()
+             block_rows: int = 4096) -> DataFrame:
+    """Exact k-nearest-neighbour vote (squared L2), k = min(5, n_train // 10 or 1);
+    the majority label wins (ties: smaller label).
+
+    Brute force like the reference, but never a whole side in one task: train and
+    test rows are hashed into blocks of about ``block_rows``; each train row is
+    copied to every query block and each query row to every train block, and a
+    cogrouped Pandas step per (query block, train block) cell emits only its k
+    nearest per query. The <= k x train-blocks survivors per query are then ranked
+    once more. Labels must be integers."""
+    n_train, n_test = train.count(), test.count()
     k = k or min(5, n_train // 10 or 1)
-    tr = train.select(F.col(key).alias("tk"), array_to_vector(F.col(vec)).alias("v"), F.col(label).alias("y"))
-    te = test.select(F.col(key).alias("qk"), array_to_vector(F.col(vec)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed).fit(tr)
-    def buckets(d, idcol):
-        keep = [idcol, "v"] + (["y"] if "y" in d.columns else [])
-        x = lsh.transform(d).select(*keep, F.posexplode("h").alias("tbl", "hv"))
-        return x.withColumn("bkt", vector_to_array("hv")[0]).drop("hv")
-
-    a, b = buckets(tr, "tk"), buckets(te, "qk")
-    cand = (b.join(a.withColumnRenamed("v", "tv"), ["tbl", "bkt"]).select("qk", "tk", "y", "v", "tv")
-            .dropDuplicates(["qk", "tk"]))
-    dist = F.aggregate(F.zip_with(vector_to_array("v"), vector_to_array("tv"), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda acc, x: acc + x)
-    cand = cand.withColumn("d", dist)
-    near = top_n_per_group(cand.select("qk", "tk", "y", "d"), ["qk"], [F.col("d"), F.col("tk")], k, salt_on=["tk"])
+    tb = max(1, math.ceil(n_train / block_rows))
+    qb = max(1, math.ceil(n_test / block_rows))
+    tr = train.select(F.col(key).cast("long").alias("tk"), F.col(vec).cast("array<double>").alias("v"),
+                      F.col(label).cast("long").alias("y"))
+    te = test.select(F.col(key).cast("long").alias("qk"), F.col(vec).cast("array<double>").alias("v"))
+    queries = te.select("qk")
+    tr = (tr.withColumn("tb", F.pmod(F.xxhash64("tk"), F.lit(tb)))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
+    te = (te.withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(qb)))
+          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)).cast("array<long>"))))
+    cells = (tr.groupBy("qb", "tb").cogroup(te.groupBy("qb", "tb"))
+             .applyInPandas(_block_top_k(k), "qk long, tk long, y long, d double"))
+    w = Window.partitionBy("qk").orderBy("d", "tk")  # <= k x train blocks rows per query
+    near = cells.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     votes = near.groupBy("qk", "y").agg(F.count(F.lit(1)).alias("votes"))
-    w = Window.partitionBy("qk").orderBy(F.desc("votes"), "y")  # <= k rows per query
-    best = votes.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    # every test row is kept; one without any bucket neighbour gets NULL
-    return (te.select("qk").join(best, "qk", "left")
+    w2 = Window.partitionBy("qk").orderBy(F.desc("votes"), "y")  # <= k rows per query
+    best = votes.withColumn("_r", F.row_number().over(w2)).filter("_r = 1")
+    return (queries.join(best, "qk", "left")
             .select(F.col("qk").alias(key), F.col("y").alias("prediction"), "votes"))
