@@ -372,7 +372,7 @@ def _mean_std(xs: list[float]) -> tuple[float, float]:
 
 
 # ---------------------------------------------------------------- neighbours
-def _block_top_k(k: int):
+def _block_top_k(k: int, exclude_self: bool = False):
     """Per (query block, train block) cell: exact squared L2 distances of every
     query to every train row of the cell, in bounded chunks, keeping only the k
     nearest per query (ties: smaller train key)."""
@@ -394,16 +394,19 @@ def _block_top_k(k: int):
         for s in range(0, len(qk), chunk):
             diff = qv[s:s + chunk, None, :] - tv[None, :, :]
             d = np.einsum("qtd,qtd->qt", diff, diff)
+            if exclude_self:  # leave-one-out: a row is not its own neighbour
+                d[qk[s:s + chunk, None] == tk[None, :]] = np.inf
             order = np.lexsort((np.broadcast_to(tk, d.shape), d), axis=1)[:, :kk]
             rows = np.arange(d.shape[0])[:, None]
-            out.append(pd.DataFrame({"qk": np.repeat(qk[s:s + chunk], kk), "tk": tk[order].ravel(),
-                                     "y": ty[order].ravel(), "d": d[rows, order].ravel()}))
+            part = pd.DataFrame({"qk": np.repeat(qk[s:s + chunk], kk), "tk": tk[order].ravel(),
+                                 "y": ty[order].ravel(), "d": d[rows, order].ravel()})
+            out.append(part[np.isfinite(part["d"].to_numpy())])
         return pd.concat(out, ignore_index=True)
     return run
 
 
 def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str, k: int | None = None,
-             block_rows: int = 4096) -> DataFrame:
+             block_rows: int = 4096, exclude_self: bool = False) -> DataFrame:
     """Exact k-nearest-neighbour vote (squared L2), k = min(5, n_train // 10 or 1);
     the majority label wins (ties: smaller label).
 
@@ -412,7 +415,8 @@ def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str,
     copied to every query block and each query row to every train block, and a
     cogrouped Pandas step per (query block, train block) cell emits only its k
     nearest per query. The <= k x train-blocks survivors per query are then ranked
-    once more. Labels must be integers."""
+    once more. Labels must be integers. ``exclude_self`` gives the leave-one-out
+    vote (train = test, a row never votes for itself)."""
     n_train, n_test = train.count(), test.count()
     k = k or min(5, n_train // 10 or 1)
     tb = max(1, math.ceil(n_train / block_rows))
@@ -426,7 +430,7 @@ def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str,
     te = (te.withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(qb)))
           .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)).cast("array<long>"))))
     cells = (tr.groupBy("qb", "tb").cogroup(te.groupBy("qb", "tb"))
-             .applyInPandas(_block_top_k(k), "qk long, tk long, y long, d double"))
+             .applyInPandas(_block_top_k(k, exclude_self), "qk long, tk long, y long, d double"))
     w = Window.partitionBy("qk").orderBy("d", "tk")  # <= k x train blocks rows per query
     near = cells.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
     votes = near.groupBy("qk", "y").agg(F.count(F.lit(1)).alias("votes"))

@@ -232,3 +232,29 @@ register("trend_direction_lineitem", """SELECT 'l_shipdate' AS date_column, 'l_q
   CASE WHEN max_by(l_quantity, (l_shipdate, l_orderkey)) > min_by(l_quantity, (l_shipdate, l_orderkey))
        THEN 'increasing' ELSE 'decreasing' END AS trend_direction FROM lineitem""")(
     lambda spark, sf: tsr.trend_direction(table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "l_orderkey"))
+
+
+def _words(spark, sf, name):
+    """Distinct lower-cased ASCII words of a text table (split on non-letters)."""
+    t = table(spark, sf, name)
+    w = t.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).filter(F.length("w") > 0)
+    return w.select(F.lower("w").alias("word"))
+
+
+_WORDS_SQL = """(SELECT DISTINCT lower(w) AS {alias} FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w
+                 FROM {table}) WHERE w <> '')"""
+
+register("match_vocabulary_document_words", f"""
+WITH v AS {_WORDS_SQL.format(alias="value", table="documents")},
+e AS {_WORDS_SQL.format(alias="entry", table="benchmark")},
+c AS (SELECT v.value, e.entry,
+        1.0 - levenshtein(v.value, e.entry) / greatest(length(v.value), length(e.entry)) AS score,
+        lower(v.value) = lower(e.entry) AS exact
+      FROM v, e),
+b AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY exact DESC, score DESC, entry) AS r
+      FROM c WHERE exact OR score >= 0.7)
+SELECT v.value, coalesce(b.entry, v.value) AS match, CASE WHEN b.exact THEN 1.0 ELSE {srnd('b.score')} END AS score
+FROM v LEFT JOIN b ON v.value = b.value AND b.r = 1""")(
+    lambda spark, sf: ad.match_to_vocabulary(_words(spark, sf, "documents"), "word",
+                                             _words(spark, sf, "benchmark"), "word")
+    .withColumn("score", rnd(F.col("score"))))

@@ -145,3 +145,17 @@ def _knn(spark, sf):
     s = ml.stratified_split(e, "label", ["vec_id"])
     train, test = s.filter(~F.col("is_test")), s.filter(F.col("is_test"))
     return ml.knn_vote(train, test, "embedding", "label", "vec_id")
+
+
+register("knn_loo_vote_embeddings", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+p AS (SELECT a.vec_id AS qk, b.vec_id AS tk, b.label AS y,
+        list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+      FROM e a, e b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY d, tk) AS rn FROM p),
+n AS (SELECT qk, y, count(*) AS votes FROM r
+      WHERE rn <= (SELECT least(5, greatest(1, count(*) // 10)) FROM embeddings) GROUP BY qk, y),
+b AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY votes DESC, y) AS rn FROM n)
+SELECT qk AS vec_id, CAST(y AS BIGINT) AS prediction, CAST(votes AS BIGINT) AS votes FROM b WHERE rn = 1""")(
+    lambda spark, sf: ml.knn_vote(table(spark, sf, "embeddings"), table(spark, sf, "embeddings"),
+                                  "embedding", "label", "vec_id", exclude_self=True))
