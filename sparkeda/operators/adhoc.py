@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import q
+from ..session import cut_lineage
 from .explore import apply_filters, paginate, top_n
 from .stats import group_aggregate, scalar_result
 
@@ -56,20 +57,26 @@ def _length_reach(length: Column, cutoff: float) -> Column:
     return F.sequence(lo, hi)
 
 
-def _segments(le: Column, t: Column):
-    """Even split of a length-``le`` string into t + 1 pieces: (index, start, length)
-    of piece i, for ``F.transform`` over sequence(0, t)."""
-    k = t + 1
-    base, extra = (le / k).cast("int"), le % k
-    def piece(i):
+def _pieces(le: Column, t: Column, short: Column) -> tuple[Column, Column, Column]:
+    """Even split of a length-``le`` string into t + 1 pieces: the piece numbers to
+    explode (-1 alone for strings too short to cut), and the start and length of
+    piece ``i`` as plain arithmetic (code-generated, no lambda)."""
+    nums = F.when(short, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), t))
+    def where(i: Column) -> tuple[Column, Column]:
+        k = t + 1
+        base, extra = F.floor(le / k).cast("int"), le % k
         ln = base + F.when(i >= k - extra, 1).otherwise(0)
         st = i * base + F.greatest(i - (k - extra), F.lit(0))
-        return F.struct(i.alias("i"), st.alias("p"), ln.alias("n"))
-    return piece
+        return st, ln
+    return nums, where
+
+
+_RANK_TYPE = "struct<inexact:boolean,neg:double,entry:string>"
 
 
 def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str,
-                        cutoff: float = 0.7, broadcast_limit: int = 10_000) -> DataFrame:
+                        cutoff: float = 0.7, broadcast_limit: int = 10_000,
+                        key_broadcast_limit: int = 2_000_000) -> DataFrame:
     """Q3: map each distinct value of ``col`` to a vocabulary entry: its
     case-insensitive equal when there is one, else the most similar entry with
     similarity 1 - levenshtein / max(length) >= ``cutoff`` (ties: the smallest
@@ -84,27 +91,28 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
     equals). Only entries too short to cut (Le <= t, possible for cutoff <= 0.5)
     fall back to a join on the two lengths. Values emit keys only for entry
     lengths present in the vocabulary; that length list (at most one row per
-    length) is broadcast when its size is within ``broadcast_limit``.
+    length) is broadcast when its size is within ``broadcast_limit``, and the
+    vocabulary's pieces when their row count is within ``key_broadcast_limit``,
+    so the many value keys are joined where they are made, without a shuffle.
     The best entry per value is a grouped min, combined map-side.
     """
     if not 0.0 < cutoff <= 1.0:
         raise ValueError("cutoff must be in (0, 1]")
-    vals = df.select(q(col).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    vocab = vocab.select(q(vocab_col).alias("entry")).filter(F.col("entry").isNotNull()).distinct()
+    # both distinct lists are read by three branches below: written once to the
+    # checkpoint folder instead of recomputing their scans and shuffles
+    vals = cut_lineage(df.select(q(col).alias("value")).filter(F.col("value").isNotNull()).distinct())
+    vocab = cut_lineage(vocab.select(q(vocab_col).alias("entry")).filter(F.col("entry").isNotNull()).distinct())
 
     # entries: (lv, le, i, piece) for every value length lv they can reach
     ent = (vocab.withColumn("le", F.length("entry"))
            .withColumn("lv", F.explode(_length_reach(F.col("le"), cutoff)))
            .withColumn("t", _edit_budget(cutoff, F.col("le"), F.col("lv"))))
-    short = F.col("le") <= F.col("t")
-    ent_keys = ent.withColumn("seg", F.when(short, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"),
-                                                                   F.lit(0).alias("n"))))
-                              .otherwise(F.transform(F.sequence(F.lit(0), F.col("t")),
-                                                     _segments(F.col("le"), F.col("t")))))
-    ent_keys = (ent_keys.select("entry", "lv", "le", F.explode("seg").alias("s"))
-                .select("entry", "lv", "le", F.col("s.i").alias("i"),
-                        F.when(F.col("s.i") >= 0, F.substring("entry", F.col("s.p") + 1, F.col("s.n")))
-                        .otherwise(F.lit("")).alias("piece")))
+    nums, where = _pieces(F.col("le"), F.col("t"), F.col("le") <= F.col("t"))
+    ent_keys = ent.select("entry", "lv", "le", "t", F.explode(nums).alias("i"))
+    st, ln = where(F.col("i"))
+    ent_keys = ent_keys.select("entry", "lv", "le", "i",
+                               F.when(F.col("i") >= 0, F.substring("entry", st + 1, ln))
+                               .otherwise(F.lit("")).alias("piece"))
 
     # values: substrings at every position a piece can have moved to
     lengths = vocab.select(F.length("entry").alias("le")).distinct()
@@ -114,38 +122,50 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
          .withColumn("le", F.explode(_length_reach(F.col("lv"), cutoff)))
          .join(lengths, "le")
          .withColumn("t", _edit_budget(cutoff, F.col("le"), F.col("lv"))))
-    vshort = F.col("le") <= F.col("t")
-    v = v.withColumn("seg", F.when(vshort, F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"),
-                                                           F.lit(0).alias("n"))))
-                     .otherwise(F.transform(F.sequence(F.lit(0), F.col("t")),
-                                            _segments(F.col("le"), F.col("t")))))
-    v = v.select("value", "lv", "le", "t", F.explode("seg").alias("s"))
-    lo = F.greatest(F.col("s.p") - F.col("t"), F.lit(0))
-    hi = F.least(F.col("s.p") + F.col("t"), F.col("lv") - F.col("s.n"))
-    starts = F.when(F.col("s.i") < 0, F.array(F.lit(0))).when(lo <= hi, F.sequence(lo, hi)) \
+    nums, where = _pieces(F.col("le"), F.col("t"), F.col("le") <= F.col("t"))
+    v = v.select("value", "lv", "le", "t", F.explode(nums).alias("i"))
+    p, n = where(F.col("i"))
+    v = v.withColumn("p", p).withColumn("n", n)
+    # a piece kept whole at shift d leaves >= |d| edits before it and >= |D - d| after
+    # it (D = lv - le), so |d| + |D - d| <= t: d in [-floor((t-D)/2), floor((t+D)/2)].
+    # Taking the first piece (from the left) that is kept whole also bounds d by the
+    # pieces on either side of it: d in [max(-i, D - (t - i)), min(i, D + (t - i))]
+    dd = F.col("lv") - F.col("le")
+    i, t = F.col("i"), F.col("t")
+    d_lo = F.greatest(-F.floor((t - dd) / 2).cast("int"), -i, dd - (t - i))
+    d_hi = F.least(F.floor((t + dd) / 2).cast("int"), i, dd + (t - i))
+    lo = F.greatest(F.col("p") + d_lo, F.lit(0))
+    hi = F.least(F.col("p") + d_hi, F.col("lv") - F.col("n"))
+    starts = F.when(i < 0, F.array(F.lit(0))).when(lo <= hi, F.sequence(lo, hi)) \
         .otherwise(F.array().cast("array<int>"))
-    v_keys = (v.select("value", "lv", "le", F.col("s.i").alias("i"), F.col("s.n").alias("n"),
-                       F.explode(starts).alias("st"))
+    v_keys = (v.select("value", "lv", "le", "i", "n", F.explode(starts).alias("st"))
               .select("value", "lv", "le", "i",
                       F.when(F.col("i") >= 0, F.substring("value", F.col("st") + 1, F.col("n")))
-                      .otherwise(F.lit("")).alias("piece"))
-              .distinct())
-    by_piece = v_keys.join(ent_keys, ["lv", "le", "i", "piece"]).select("value", "entry")
-    by_case = vals.withColumn("k", F.lower("value")).join(
-        vocab.withColumn("k", F.lower("entry")), "k").select("value", "entry")
-    cand = by_piece.unionByName(by_case).distinct()
-
+                      .otherwise(F.lit("")).alias("piece")))
+    # the entry side is small next to the values (pieces of the vocabulary only):
+    # broadcast it when its row count is within the limit, else a shuffled join
+    n_keys = ent_keys.count()
+    small = n_keys <= key_broadcast_limit
+    ent_side = F.broadcast(ent_keys) if small else ent_keys
+    by_piece = v_keys.join(ent_side, ["lv", "le", "i", "piece"]).select("value", "entry")
+    low = vocab.withColumn("k", F.lower("entry"))
+    by_case = vals.withColumn("k", F.lower("value")).join(F.broadcast(low) if small else low, "k") \
+        .select("value", "entry")
+
+    # candidates may repeat (several pieces hit); the min below absorbs that, and a
+    # NULL row per value keeps values without any candidate, so one grouped
+    # aggregate (combined map-side) does dedup, ranking and the outer join at once
     maxlen = F.greatest(F.length("value"), F.length("entry"))
     sim = F.when(maxlen == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein("value", "entry") / maxlen)
     exact = F.lower("value") == F.lower("entry")
-    scored = (cand.withColumn("score", sim).withColumn("exact", exact)
+    scored = (by_piece.unionByName(by_case).withColumn("score", sim).withColumn("exact", exact)
               .filter(F.col("exact") | (F.col("score") >= cutoff)))
-    best = scored.groupBy("value").agg(
-        F.min(F.struct((~F.col("exact")).alias("inexact"), (-F.col("score")).alias("neg"),
-                       F.col("entry").alias("entry"))).alias("b"))
-    out = vals.join(best, "value", "left")
-    return out.select("value", F.coalesce("b.entry", "value").alias("match"),
-                      F.when(~F.col("b.inexact"), F.lit(1.0)).otherwise(-F.col("b.neg")).alias("score"))
+    rank = F.struct((~F.col("exact")).alias("inexact"), (-F.col("score")).alias("neg"),
+                    F.col("entry").alias("entry"))
+    none = vals.select("value", F.lit(None).cast(_RANK_TYPE).alias("b"))
+    best = scored.select("value", rank.alias("b")).unionByName(none).groupBy("value").agg(F.min("b").alias("b"))
+    return best.select("value", F.coalesce("b.entry", "value").alias("match"),
+                       F.when(~F.col("b.inexact"), F.lit(1.0)).otherwise(-F.col("b.neg")).alias("score"))
 
 
 def replace_with_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str,

@@ -9,6 +9,7 @@ from ..operators import adhoc as ad
 from ..operators import explore as ex
 from ..operators import timeseries as tsr
 from ..registry import register, table
+from ..session import spread
 from ..sources import derived as dv
 from ._sql import TABLES, roles_ctes, rnd as srnd, with_views
 
@@ -236,7 +237,7 @@ register("trend_direction_lineitem", """SELECT 'l_shipdate' AS date_column, 'l_q
 
 def _words(spark, sf, name):
     """Distinct lower-cased ASCII words of a text table (split on non-letters)."""
-    t = table(spark, sf, name)
+    t = spread(table(spark, sf, name).select("text"))
     w = t.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).filter(F.length("w") > 0)
     return w.select(F.lower("w").alias("word"))
 
