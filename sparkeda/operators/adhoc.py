@@ -155,11 +155,17 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
     # candidates may repeat (several pieces hit); the min below absorbs that, and a
     # NULL row per value keeps values without any candidate, so one grouped
     # aggregate (combined map-side) does dedup, ranking and the outer join at once
+    # banded distance: gives up (-1) past the row's edit budget, which no match exceeds
     maxlen = F.greatest(F.length("value"), F.length("entry"))
-    sim = F.when(maxlen == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein("value", "entry") / maxlen)
+    budget = _edit_budget(cutoff, F.length("value"), F.length("entry"))
+    dist = F.call_function("levenshtein", F.col("value"), F.col("entry"), budget)
+    sim = F.when(maxlen == 0, F.lit(1.0)).when(dist >= 0, 1.0 - dist / maxlen)
     exact = F.lower("value") == F.lower("entry")
     scored = (by_piece.unionByName(by_case).withColumn("score", sim).withColumn("exact", exact)
               .filter(F.col("exact") | (F.col("score") >= cutoff)))
+    scored = scored.withColumn("score", F.when(F.col("exact") & F.col("score").isNull(),
+                                               1.0 - F.levenshtein("value", "entry") / maxlen)
+                               .otherwise(F.col("score")))
     rank = F.struct((~F.col("exact")).alias("inexact"), (-F.col("score")).alias("neg"),
                     F.col("entry").alias("entry"))
     none = vals.select("value", F.lit(None).cast(_RANK_TYPE).alias("b"))
