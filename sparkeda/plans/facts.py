@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import clean_value, kind_of, numeric_value, q
+from ..session import spread
 from ..functions.values import (EMAIL_KEYWORDS, IDENTIFIER_KEYWORDS, KEY_NAME_PATTERNS,
                                 PHONE_PATTERNS, SENSIBLE_ID_PATTERNS, name_has)
 
@@ -42,7 +43,8 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
             if kind == "string":
                 text_pos.append(i)
         structs.append(F.struct(F.lit(i).alias("pos"), sk.alias("sk"), dk.alias("dk")))
-    long = df.select(F.inline(F.array(*structs)))
+    # a narrow scan (one file, one row group) would unpivot in a single task
+    long = spread(df.select(*[q(c) for c in cols])).select(F.inline(F.array(*structs)))
     is_text = F.col("pos").isin(text_pos) if text_pos else F.lit(False)
     sk_num = numeric_value("sk", T.StringType())
     nonint = F.when(F.col("nv") % 1 != 0, 1)
@@ -57,18 +59,25 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
             F.approx_count_distinct("nv", rsd).alias("castable_distinct"), F.avg("ln").alias("avg_len"),
             F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"))
     else:
+        # (a) one row per distinct value; (b) those rolled up by numeric value, which
+        # carries every fact as a partial sum and counts castable distincts as groups;
+        # (c) per column. One scan: a second branch over (a) would be rewritten by
+        # filter pushdown into a second scan and aggregate of the raw data.
         vals = (long.groupBy("pos", "sk", "dk").agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("nv", F.coalesce("dk", F.when(is_text, sk_num)))
                 .withColumn("ln", F.when(is_text, F.length("sk"))))
-        per = vals.groupBy("pos").agg(
-            F.sum("n").alias("rows"), F.sum(F.when(present, F.col("n"))).alias("nn"),
-            F.count(F.when(present, 1)).alias("distinct_count"),
+        by_num = vals.groupBy("pos", "nv").agg(
+            F.sum("n").alias("n"), F.sum(F.when(present, F.col("n"))).alias("nn"),
+            F.count(F.when(present, 1)).alias("groups"),
+            F.sum(F.col("ln") * F.col("n")).alias("ln_sum"),
+            F.sum(F.when(F.col("ln").isNotNull(), F.col("n"))).alias("ln_n"))
+        per = by_num.groupBy("pos").agg(
+            F.sum("n").alias("rows"), F.sum("nn").alias("nn"),
+            F.sum("groups").alias("distinct_count"),
             F.sum(F.when(F.col("nv").isNotNull(), F.col("n"))).alias("castable"),
-            (F.sum(F.col("ln") * F.col("n")) / F.sum(F.when(F.col("ln").isNotNull(), F.col("n")))).alias("avg_len"),
-            F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"))
-        cd = (vals.filter(F.col("nv").isNotNull()).groupBy("pos", "nv").agg(F.count(F.lit(1)).alias("_k"))
-              .groupBy("pos").agg(F.count(F.lit(1)).alias("castable_distinct")))
-        per = per.join(cd, "pos", "left")
+            (F.sum("ln_sum") / F.sum("ln_n")).alias("avg_len"),
+            F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"),
+            F.count("nv").alias("castable_distinct"))
     meta = df.sparkSession.createDataFrame(
         [(i, c, kind_of(fields[c]), name_has(c, KEY_NAME_PATTERNS), name_has(c, SENSIBLE_ID_PATTERNS),
           name_has(c, PHONE_PATTERNS), name_has(c, IDENTIFIER_KEYWORDS), name_has(c, EMAIL_KEYWORDS))
