@@ -8,7 +8,7 @@ sort with per-partition offsets, and the moving average is an equi-join-free
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import kind_of, numeric_value, q
@@ -49,24 +49,15 @@ def centered_moving_average(df: DataFrame, ts: str, val: str, key: str,
     Whole-table series: each row is numbered (distributed), then feeds the w
     windows it belongs to (w <= 7 copies), and one grouped sum/count per
     window gives the average; no single task sees the series.
-    ``partition_by``: many independent series, one window per partition.
+    ``partition_by``: many independent series, each with its own width; handled the
+    same way over one global numbering, so a hot series is never one task.
     """
     v = numeric_value(val, df.schema[val].dataType)
     base = df.select(*[q(c) for c in (partition_by or [])], _ts(df, ts).alias("ts"),
                      v.alias("value"), q(key).alias("key")).filter(
         F.col("ts").isNotNull() & F.col("value").isNotNull())
     if partition_by:
-        n_w = Window.partitionBy(*partition_by)
-        o_w = n_w.orderBy("ts", "key")
-        base = base.withColumn("_n", F.count(F.lit(1)).over(n_w))
-        out = None
-        for w in range(2, 8):  # width depends on each series' length
-            off = (w - 1) // 2
-            frame = o_w.rowsBetween(-(w - 1 - off), off)
-            ma = F.when(F.count("value").over(frame) == w, F.avg("value").over(frame))
-            expr = F.when(F.least(F.lit(7), F.floor(F.col("_n") / 3)) == w, ma)
-            out = expr if out is None else F.coalesce(out, expr)
-        return base.withColumn("trend", F.when(F.col("_n") > 7, out)).drop("_n")
+        return _moving_average_per_series(base, partition_by)
     n = base.count()
     w = width or moving_average_width(n)
     if not w:
@@ -117,3 +108,29 @@ def timeseries(df: DataFrame, key: str, date_cols: list[str], numeric_cols: list
     """Up to 2 date columns x 5 numeric columns, all pairs in one aggregate."""
     pairs = [(t, v) for t in date_cols[:2] for v in numeric_cols[:5]]
     return series_stats(df, pairs, key)
+
+
+def _moving_average_per_series(base: DataFrame, partition_by: list[str],
+                               broadcast_limit: int = 1_000_000) -> DataFrame:
+    """W2 for many series at once. Rows are numbered over (series, ts, key); each
+    series owns a contiguous range [g0, g0 + n). Every row feeds the <= 7 windows
+    of its own series it belongs to, and one grouped sum/count per window position
+    gives the averages. Per-series (g0, n) -- one row per series -- is broadcast
+    when the series count is within ``broadcast_limit``, else joined by a shuffle
+    that AQE's skew-join handling splits for a hot series."""
+    keys = [q(c) for c in partition_by]
+    idx = with_global_index(base, keys + [F.col("ts"), F.col("key")], "gi")
+    per = idx.groupBy(*keys).agg(F.min("gi").alias("g0"), F.count(F.lit(1)).alias("_n"))
+    n_series = per.count()
+    idx = idx.join(F.broadcast(per) if n_series <= broadcast_limit else per, partition_by)
+    w = F.when(F.col("_n") > 7, F.least(F.lit(7), F.floor(F.col("_n") / 3)).cast("long"))
+    off = F.floor((w - 1) / 2).cast("long")
+    idx = idx.withColumn("_w", w).withColumn("_off", off)
+    lo = F.greatest(F.col("gi") - F.col("_off"), F.col("g0"))
+    hi = F.least(F.col("gi") + (F.col("_w") - 1 - F.col("_off")), F.col("g0") + F.col("_n") - 1)
+    feeds = (idx.filter(F.col("_w").isNotNull())
+             .select(F.explode(F.sequence(lo, hi)).alias("gi"), "value"))
+    win = feeds.groupBy("gi").agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    out = idx.join(win, "gi", "left")
+    return out.select(*[q(c) for c in partition_by], "ts", "value", "key",
+                      F.when(F.col("_c") == F.col("_w"), F.col("_s") / F.col("_w")).alias("trend"))

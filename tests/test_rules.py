@@ -109,6 +109,27 @@ def test_moving_average_widths(spark):
             assert (g is None and math.isnan(e)) or math.isclose(g, e, rel_tol=1e-9)
 
 
+
+def test_moving_average_per_series(spark):
+    # several series (one hot, one too short for a trend), each with its own width
+    from sparkeda.operators import timeseries as ts
+    import pandas as pd
+    parts = []
+    for sid, n in (("hot", 300), ("a", 10), ("b", 21), ("short", 7)):
+        parts.append(pd.DataFrame({"s": sid, "t": pd.date_range("2024-01-01", periods=n, freq="D"),
+                                   "v": [float((i * 7 + len(sid)) % 11) for i in range(n)],
+                                   "k": [f"{sid}{i:04d}" for i in range(n)]}))
+    pdf = pd.concat(parts, ignore_index=True)
+    got = {(r["s"], r["key"]): r["trend"] for r in
+           ts.centered_moving_average(spark.createDataFrame(pdf), "t", "v", "k", partition_by=["s"]).collect()}
+    assert len(got) == len(pdf)
+    for sid, g in pdf.groupby("s"):
+        n = len(g)
+        exp = [float("nan")] * n if n <= 7 else g["v"].rolling(window=min(7, n // 3), center=True).mean().tolist()
+        for k, e in zip(g["k"], exp):
+            v = got[(sid, k)]
+            assert (v is None and math.isnan(e)) or math.isclose(v, e, rel_tol=1e-9), (sid, k)
+
 def test_value_counts_nodata_and_nan_text(spark):
     df = spark.createDataFrame([("a",), (None,), (" NaN ",), ("a",)], "x string")
     r = {x["value"]: x["count"] for x in st.value_counts(df, ["x"]).collect()}
