@@ -149,9 +149,9 @@ DERIVED = {
              ELSE CAST(value AS VARCHAR) END AS value_text FROM events""",
     "events_empty_cols": """SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS nothing, '' AS blank,
         '   ' AS spaces, value FROM events""",
-    "typos": """SELECT substr(n_name, 1, n_nationkey % length(n_name)) || 'x'
-        || substr(n_name, (n_nationkey % length(n_name)) + 2) AS name FROM nation
-        UNION ALL SELECT lower(n_name) AS name FROM nation""",
+    "typos": """SELECT CASE WHEN c_custkey % 2 = 0 THEN substr(n_name, 1, c_custkey % length(n_name)) || 'x'
+        || substr(n_name, (c_custkey % length(n_name)) + 2) ELSE lower(n_name) END AS name
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "doc_sections": """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
         lambda x, i: CASE WHEN (i - 1) % 5 = 2 THEN 'SECTION: ' || lang ELSE '- ' || x END), chr(10)) AS text
         FROM documents""",

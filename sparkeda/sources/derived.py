@@ -115,14 +115,15 @@ def events_headers_sql_names() -> list[str]:
 
 
 def typos(spark, sf_dir) -> DataFrame:
-    """Nation names with the character at position (key mod length) + 1 replaced
-    by 'x', plus every name in lower case (exact case-insensitive matches)."""
-    n = _t(spark, sf_dir, "nation")
-    pos = (F.col("n_nationkey") % F.length("n_name")) + 1
-    typo = F.concat(F.expr("substring(n_name, 1, (n_nationkey % length(n_name)))"), F.lit("x"),
-                    F.expr("substring(n_name, (n_nationkey % length(n_name)) + 2)"))
-    _ = pos
-    return n.select(typo.alias("name")).unionByName(n.select(F.lower("n_name").alias("name")))
+    """One name per customer: its nation's name with the character at position
+    (custkey mod length) + 1 replaced by 'x' for even custkeys, the name in lower
+    case (an exact case-insensitive match) for odd ones. Grows with ``customer``."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    cn = c.join(n, c["c_nationkey"] == n["n_nationkey"])  # nation: 25 rows, broadcast by the planner
+    typo = F.concat(F.expr("substring(n_name, 1, (c_custkey % length(n_name)))"), F.lit("x"),
+                    F.expr("substring(n_name, (c_custkey % length(n_name)) + 2)"))
+    return cn.select(F.when(F.col("c_custkey") % 2 == 0, typo).otherwise(F.lower("n_name")).alias("name"))
 
 
 def doc_sections(spark, sf_dir) -> DataFrame:
