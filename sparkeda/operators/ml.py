@@ -406,7 +406,7 @@ def _block_top_k(k: int, exclude_self: bool = False):
 
 
 def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str, k: int | None = None,
-             block_rows: int = 4096, exclude_self: bool = False) -> DataFrame:
+             block_rows: int = 16384, exclude_self: bool = False) -> DataFrame:
     """Exact k-nearest-neighbour vote (squared L2), k = min(5, n_train // 10 or 1);
     the majority label wins (ties: smaller label).
 
@@ -415,7 +415,10 @@ def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str,
     copied to every query block and each query row to every train block, and a
     cogrouped Pandas step per (query block, train block) cell emits only its k
     nearest per query. The <= k x train-blocks survivors per query are then ranked
-    once more. Labels must be integers. ``exclude_self`` gives the leave-one-out
+    once more. Shuffle volume is n_train x query blocks + n_test x train blocks
+    (about 2 n^2 / block_rows), so blocks are as large as the bounded-memory NumPy
+    step allows; compute is n_train x n_test distances, as for any exact kNN.
+    Labels must be integers. ``exclude_self`` gives the leave-one-out
     vote (train = test, a row never votes for itself)."""
     n_train, n_test = train.count(), test.count()
     k = k or min(5, n_train // 10 or 1)
