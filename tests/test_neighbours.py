@@ -61,9 +61,9 @@ def _brute_match(values, vocab, cutoff):
 
 def test_vocabulary_match_equals_brute_force(spark):
     vocab = ["GERMANY", "FRANCE", "UNITED STATES", "UNITED KINGDOM", "PERU", "IRAN", "IRAQ",
-             "CHINA", "INDIA", "ab", "a", ""]
+             "CHINA", "INDIA", "ab", "a", "", "USA", "usa", "Usa "]
     values = ["germany", "FRANXE", "UNITED STATEZ", "UNITED KINGDON", "PERX", "IRAK", "IRAN",
-              "CHIAN", "INDAI", "xyz", "b", "ab", "", "A", "UNITED", "KINGDOM UNITED"]
+              "CHIAN", "INDAI", "xyz", "b", "ab", "", "A", "UNITED", "KINGDOM UNITED", "Usa", "uSA", "usa "]
     for cutoff in (0.5, 0.7, 0.9):
         m = ad.match_to_vocabulary(spark.createDataFrame([(v,) for v in values], "name string"), "name",
                                    spark.createDataFrame([(e,) for e in vocab], "entry string"), "entry",
