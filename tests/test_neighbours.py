@@ -87,3 +87,11 @@ def test_vocabulary_match_random_strings(spark):
         got = {r["value"]: (r["match"], None if r["score"] is None else round(r["score"], 6))
                for r in m.collect()}
         assert got == _brute_match(values, vocab, cutoff), cutoff
+
+
+def test_vocabulary_match_rejects_cutoff_outside_unit_interval(spark):
+    import pytest
+    df = spark.createDataFrame([("a",)], "name string")
+    for bad in (0.0, -0.1, 1.5):
+        with pytest.raises(ValueError):
+            ad.match_to_vocabulary(df, "name", df, "name", cutoff=bad)
