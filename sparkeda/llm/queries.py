@@ -34,6 +34,12 @@ def op4_bpe(spark, sf_dir):
     return bpe_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op5_lm_scoring(spark, sf_dir):
+    from .lm import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_personal_data(spark, sf_dir):
     from .pii import find_personal_data
