@@ -17,6 +17,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Exact integer arithmetic, so DuckDB can say the same: floor(1024 x) inner products.
+ORACLE["op6_top_k"] = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10"""
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -28,6 +43,13 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op2_nearest_neighbours(spark, sf_dir):
+    from .ann import nearest
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.filter("vec_id % 50 = 0"))
+
+
 @query
 def op4_bpe(spark, sf_dir):
     from .bpe import bpe_documents
@@ -40,6 +62,13 @@ def op5_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_top_k(spark, sf_dir):
+    from .topk import top_k
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter("vec_id % 100 = 0"))
+
+
 @query
 def op7_personal_data(spark, sf_dir):
     from .pii import find_personal_data
