@@ -32,6 +32,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 
+ORACLE["op3_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f"""
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -50,6 +60,13 @@ def op2_nearest_neighbours(spark, sf_dir):
     return nearest(rows, rows.filter("vec_id % 50 = 0"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    from .warc import archive_round_trip
+    return archive_round_trip(table(spark, sf_dir, "pages")) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op4_bpe(spark, sf_dir):
     from .bpe import bpe_documents
@@ -81,6 +98,12 @@ def op8_language_id(spark, sf_dir):
     return identify_with_labels(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_url_filters(spark, sf_dir):
+    from .urls import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_simhash(spark, sf_dir):
     from .simhash import simhash_components
