@@ -77,11 +77,11 @@ def _by_length(batch: pa.RecordBatch):
         yield np.asarray(part.column(0)), matrix(part.column(1)), part.column(1)
 
 
-def _measure(k: int):
+def _measure(k: int, tables: int):
     """Cogroup step of one work cell: exact cosines of the rows in the visited buckets."""
 
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         if rows.num_rows and asks.num_rows:
             rows, asks = rows.combine_chunks(), asks.combine_chunks()
             unit_key = np.asarray(rows["unit"])
@@ -113,12 +113,14 @@ def _measure(k: int):
                         near = np.arange(len(score))
                     near = near[score[near] > -np.inf]
                     near = near[np.lexsort((ids[a:b][near], -score[near]))[:k]]
-                    out["query_id"].append(np.full(len(near), query_id[i]))
-                    out["vec_id"].append(ids[a:b][near])
-                    out["score"].append(score[near])
-        cat = lambda v, t: pa.array(np.concatenate(v).astype(t) if v else np.zeros(0, t))
-        return pa.table({"query_id": cat(out["query_id"], np.int64), "vec_id": cat(out["vec_id"], np.int64),
-                         "score": cat(out["score"], np.float64)})
+                    found.setdefault(int(query_id[i]), []).append((ids[a:b][near], score[near]))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for q, parts in found.items():                            # the best of this cell for each query
+            vec, score = (np.concatenate(x) for x in zip(*parts))
+            top = np.lexsort((vec, -score))[:k * tables]          # a row may be here once for each table
+            out.append((np.full(len(top), q), vec[top], score[top]))
+        q, vec, score = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"query_id": q.astype(np.int64), "vec_id": vec.astype(np.int64), "score": score})
 
     return run
 
@@ -172,5 +174,5 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     lists = visits.groupBy("query_id", "cell").agg(F.collect_set("unit").alias("units")) \
         .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     found = placed.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(
-        lambda a, b: _measure(k)(a, b), "query_id long, vec_id long, score double")
+        lambda a, b: _measure(k, tables)(a, b), "query_id long, vec_id long, score double")
     return best(found, k, "double")
