@@ -134,59 +134,87 @@ def _pair_rows(states: dict[bytes, int]):
     return run
 
 
-def _score_block(n_train: int, vocabulary: int, states: dict[bytes, int], left_over: np.ndarray,
-                 state_count: np.ndarray, discount: float):
-    """Function scoring one block: its texts, its words' and its pairs' counts."""
+class _Block:
+    """One block's part of the automaton, put together from its words and pairs."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.counts: list[int] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ready = False
+
+    def add_words(self, words: list[bytes], counts: list[int]):
+        for w, c in zip(words, counts):                           # a word may come more than once
+            if self.number.setdefault(w, len(self.counts)) == len(self.counts):
+                self.counts.append(c)
+
+    def build(self, states: dict[bytes, int], log_all: float):
+        self.count = np.array(self.counts, dtype=np.float64)
+        self.single = np.log10(self.count + 1) - log_all          # arcs of the empty history
+        self.state = np.fromiter(map(states.get, self.number, repeat(-1)), dtype=np.int64, count=len(self.number))
+        keys, n = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*self.pairs) if self.pairs else ((), ())))
+        self.key, at = np.unique(keys.astype(np.int64), return_index=True)
+        self.pair_count = n[at].astype(np.float64)
+        self.counts, self.pairs, self.ready = [], [], True
+
+
+def _score_sorted(n_train: int, vocabulary: int, states: dict[bytes, int], left_over: np.ndarray,
+                  state_count: np.ndarray, discount: float):
+    """Function scoring the texts of a partition sorted by block and kind (words 0, pairs 1,
+    texts 2): a block's model rows stream in before its texts."""
     log_all = np.log10(n_train + vocabulary + 1.0)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        kind = np.asarray(table["kind"])
-        words = table.filter(pa.array(kind == 1))
-        pairs = table.filter(pa.array(kind == 2))
-        texts = table.filter(pa.array(kind == 0))
-        asked = words["data"].to_pylist()                         # a word may come more than once
-        number = {w: i for i, w in enumerate(dict.fromkeys(asked))}
-        count = np.zeros(len(number), dtype=np.float64)
-        count[[number[w] for w in asked]] = np.asarray(words["num"])
-        single = np.log10(count + 1) - log_all                   # arcs of the empty history
-        state = np.fromiter(map(states.get, number, repeat(-1)), dtype=np.int64, count=len(number))
-        key, at = np.unique(np.asarray(pairs["pair"]), return_index=True)
-        pair_count = np.asarray(pairs["num"])[at].astype(np.float64)
-        out = {k: [] for k in ("tokens", "known", "base", "score")}
-        data = texts["data"]
-        for a in range(0, len(data), 256):
-            ids = []
-            for t in data.slice(a, 256).to_pylist():
-                w = (t or b"").lower().split()
-                w.append(END)
-                ids.append(np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)))
-            size = np.array([len(x) for x in ids])
-            start = np.cumsum(size) - size
-            seq = np.concatenate(ids)
-            base = single[seq]
-            here = state[seq]
-            before = np.concatenate([[0], here[:-1]])
-            before[start] = states[END]                           # a text begins after an end
-            score = base.copy()
-            inside = before >= 0
-            weight = left_over[before[inside]]
-            # an arc of the state adds its discounted share; the failure arc always gives its weight
-            p = weight * 10.0 ** base[inside]
-            j = np.minimum(np.searchsorted(key, (before[inside] << _BITS) | here[inside]), max(len(key) - 1, 0))
-            if len(key):
-                hit = (here[inside] >= 0) & (key[j] == ((before[inside] << _BITS) | here[inside]))
-                p += np.where(hit, (pair_count[j] - discount) / np.maximum(state_count[before[inside]], 1), 0.0)
-            score[inside] = np.log10(p)
-            out["tokens"].append(size)
-            out["known"].append(np.add.reduceat((count[seq] > 0).astype(np.int64), start))
-            out["base"].append(np.add.reduceat(base, start))
-            out["score"].append(np.add.reduceat(score, start))
-        cols = [np.concatenate(v) if v else np.zeros(0) for v in out.values()]
-        return pa.table([texts["id"], texts["held"], pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)),
-                         pa.array(np.full(len(texts), n_train, np.int64)), pa.array(cols[2].astype(np.float64)),
-                         pa.array(cols[3].astype(np.float64))],
-                        names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def score(block: _Block, texts: list[bytes | None]):
+        ids = []
+        for t in texts:
+            w = (t or b"").lower().split()
+            w.append(END)
+            ids.append(np.fromiter(map(block.number.__getitem__, w), dtype=np.int64, count=len(w)))
+        size = np.array([len(x) for x in ids])
+        start = np.cumsum(size) - size
+        seq = np.concatenate(ids)
+        base = block.single[seq]
+        here = block.state[seq]
+        before = np.concatenate([[0], here[:-1]])
+        before[start] = states[END]                               # a text begins after an end
+        out = base.copy()
+        inside = before >= 0
+        # an arc of the state adds its discounted share; the failure arc always gives its weight
+        p = left_over[before[inside]] * 10.0 ** base[inside]
+        if len(block.key):
+            key = (before[inside] << _BITS) | here[inside]
+            j = np.minimum(np.searchsorted(block.key, key), len(block.key) - 1)
+            hit = (here[inside] >= 0) & (block.key[j] == key)
+            p += np.where(hit, (block.pair_count[j] - discount) / np.maximum(state_count[before[inside]], 1), 0.0)
+        out[inside] = np.log10(p)
+        known = np.add.reduceat((block.count[seq] > 0).astype(np.int64), start)
+        return size, known, np.add.reduceat(base, start), np.add.reduceat(out, start)
+
+    def run(batches):
+        current, model = None, _Block()
+        for batch in batches:
+            blocks, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)]):
+                if a == b:
+                    continue
+                if blocks[a] != current:
+                    current, model = blocks[a], _Block()
+                part = batch.slice(a, b - a)
+                if kinds[a] == 0:
+                    model.add_words(part.column(4).to_pylist(), part.column(6).to_pylist())
+                elif kinds[a] == 1:
+                    model.pairs.append((np.array(part.column(5)), np.array(part.column(6))))
+                else:
+                    if not model.ready:
+                        model.build(states, log_all)
+                    for at in range(0, b - a, 256):
+                        rows = part.slice(at, 256)
+                        size, known, base, total = score(model, rows.column(4).to_pylist())
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column(2), rows.column(3), pa.array(size.astype(np.int64)), pa.array(known),
+                             pa.array(np.full(len(size), n_train, np.int64)), pa.array(base), pa.array(total)],
+                            ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -227,13 +255,13 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             .agg(F.sum(F.col("c") - F.lit(discount)).alias("kept")).collect():
         left_over[r["s"]] = max(1e-12, 1.0 - r["kept"] / state_count[r["s"]])
     null = F.lit(None)
-    rows = texts.select("block", F.lit(0).alias("kind"), "id", "held", F.col("text").cast("binary").alias("data"),
+    rows = texts.select("block", F.lit(2).alias("kind"), "id", "held", F.col("text").cast("binary").alias("data"),
                         null.cast("long").alias("pair"), null.cast("long").alias("num"))
-    asked = words.select("block", F.lit(1).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
+    asked = words.select("block", F.lit(0).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
                          F.col("word").alias("data"), null.cast("long").alias("pair"), F.col("c").alias("num"))
-    arcs = pairs.select("block", F.lit(2).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
+    arcs = pairs.select("block", F.lit(1).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
                         null.cast("binary").alias("data"), "pair", F.col("c").alias("num"))
-    scored = rows.union(asked).union(arcs).groupBy("block").applyInArrow(
-        _score_block(n_train, vocabulary, states, left_over, state_count, discount),
+    scored = rows.union(asked).union(arcs).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        _score_sorted(n_train, vocabulary, states, left_over, state_count, discount),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)
