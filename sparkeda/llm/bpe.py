@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 1 << 20          # code points handled at once (memory bound, not a limit on texts)
+SEGMENT = 1 << 19          # code points handled at once (memory bound, not a limit on texts)
 CACHE_WORDS = 300_000      # distinct words remembered by a Python worker before it starts afresh
 LONG_WORD = 512            # bytes above which one word is merged with a heap instead of in the batch
 _NO_RANK = np.int32(2 ** 31 - 1)
@@ -74,7 +74,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 def _word_hashes(raw: bytes, cut: np.ndarray, seed: int) -> np.ndarray:
     """Polynomial hash (modulo 2^64) of the bytes between successive cuts."""
     values, m, inverse = _hash_tables(seed)
-    n = max(4 * SEGMENT, 1 << (len(raw) + 1).bit_length())
+    n = max(2 * SEGMENT, 1 << len(raw).bit_length())
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(values[np.frombuffer(raw, dtype=np.uint8)] * _powers(m, n)[:len(raw)], out=total[1:])
     return (total[cut[1:]] - total[cut[:-1]]) * _powers(inverse, n)[cut[:-1]]

@@ -169,7 +169,7 @@ def cross_entropies(models: list[Model], texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def entropies_of(models: list[Model], texts: list[str | None], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def entropies_of(models: list[Model], texts: list[str | None], limit: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(cross-entropies, characters) of raw texts; rows without letters have 0 characters.
     Long texts are scored in windows of ``limit`` characters whose sums are added up."""
     total, chars = np.zeros((len(texts), len(models))), np.zeros(len(texts), dtype=np.int64)

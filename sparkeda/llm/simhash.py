@@ -81,6 +81,12 @@ def _longs(values: list[int]):
     return F.expr("array(" + ",".join(f"{v}L" if v != -2 ** 63 else "shiftleft(1L, 63)" for v in values) + ")")
 
 
+def _spread(fps: DataFrame, per_task: int) -> DataFrame:
+    """Fingerprints dealt evenly over tasks before each of them gives many rows."""
+    spark = fps.sparkSession
+    return fps.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-fps.count() // per_task)), "fp")
+
+
 def _with_possible_partner(fps: DataFrame) -> DataFrame:
     """Fingerprints that share a 32-bit half, up to one flipped bit, with another one."""
     halves = F.array(F.struct(F.lit(0).alias("side"), F.expr("shiftrightunsigned(fp, 32)").alias("half")),
@@ -100,7 +106,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     over distinct fingerprints ``fp``."""
     if max_bits != 3:
         raise ValueError("the balls are laid out for a radius of 3 bits")
-    fps = cut_lineage(_with_possible_partner(fps))
+    fps = _spread(cut_lineage(_with_possible_partner(_spread(cut_lineage(fps), 20_000))), 2_000)
     one = fps.select("fp", F.explode(_longs([0, *(_signed(1 << i) for i in range(64))])).alias("m")) \
         .select(F.expr("fp ^ m").alias("variant"), "fp", F.lit(True).alias("near"))
     two = fps.filter("bit_count(fp) % 2 = 0").select("fp", F.explode(_longs(_two_flips())).alias("m")) \
