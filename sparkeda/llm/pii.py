@@ -115,21 +115,25 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", disclosure: float =
         *[F.expr(_beside(k, "text", context_chars, context_words)) for k in KINDS]))).alias("x")) \
         .select("key", F.lower("x.entity").alias("entity"), "x.terms")
     seen = cut_lineage(entities)
-    pairs = seen.select("key", "entity", F.explode(F.array_distinct("terms")).alias("term")) \
-        .filter(F.length("term") >= letters).distinct() \
-        .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    beside = seen.select("key", "entity", F.explode(F.array_distinct("terms")).alias("term")) \
+        .filter(F.length("term") >= letters).distinct()
+    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= support)
+    per_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("of_entity"))
+    texts = rows.agg(F.count_distinct(F.expr("md5(cast(text as binary))")).alias("n")).collect()[0]["n"]
+    # a term stands in at least the texts in which it is beside any entity, which bounds its
+    # disclosure from above: common words drop out before the corpus is counted
+    near_any = beside.groupBy("term").agg(F.count_distinct("key").alias("near_any"))
+    measure = "case when p_e >= 1.0 then 0.0 else ln(least(1.0, both / {}) / p_e) / -ln(p_e) end"
+    pairs = pairs.join(per_entity, "entity").join(near_any, "term") \
+        .withColumn("p_e", F.col("of_entity") / F.lit(float(max(texts, 1)))) \
+        .filter(F.expr(measure.format("near_any")) >= disclosure).select("entity", "term", "both", "p_e")
     pairs = cut_lineage(pairs)
     terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.col("both").alias("texts"), F.lit(0.0).alias("disclosure"))
-    per_entity = seen.groupBy("entity").agg(F.count_distinct("key").alias("of_entity"))
-    texts = rows.agg(F.count_distinct(F.expr("md5(cast(text as binary))")).alias("n")).collect()[0]["n"]
     hits = _texts_with(rows, terms)
     of_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    scored = pairs.join(per_entity, "entity").join(of_term, "term") \
-        .withColumn("p_e", F.col("of_entity") / F.lit(float(texts))) \
-        .withColumn("p_et", F.least(F.lit(1.0), F.col("both") / F.col("of_term"))) \
-        .withColumn("disclosure", F.expr("case when p_e >= 1.0 then 0.0 else ln(p_et / p_e) / -ln(p_e) end"))
+    scored = pairs.join(of_term, "term").withColumn("disclosure", F.expr(measure.format("of_term")))
     return cut_lineage(scored.filter(F.col("disclosure") >= disclosure)
                        .select("term", "entity", F.col("both").alias("texts"), "disclosure"))
 
