@@ -3,22 +3,39 @@ and fuzzy matching of values against a vocabulary."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import q
 from ..session import cut_lineage
-from .explore import apply_filters, paginate, top_n
+from ..sources.io import number_rows
+from .explore import apply_filters, page_of, paginate, top_n
 from .stats import group_aggregate, scalar_result
 
 
+_SELECT = re.compile(r"(select|with)\b", re.I)
+_CHANGES = re.compile(r"\)\s*(insert|merge|update|delete)\b", re.I)
+
+
 def run_sql(df: DataFrame, sql: str, page: int = 1, size: int = 50, view: str = "dataset",
             tiebreak: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Q1: run a user SELECT against ``df`` registered as ``dataset``; page the
-    result. Spark's parser and Catalyst do all the work; a trailing ';' is allowed."""
+    """Q1: run a user SELECT against ``df`` registered as ``dataset``; page the result in
+    the order the statement gives it. Spark's parser and Catalyst do all the work; a
+    trailing ';' is allowed, anything but a SELECT (or WITH ... SELECT) is rejected.
+    ``tiebreak`` replaces the statement's order by an order on those columns."""
+    statement = sql.strip().rstrip(";").strip()
+    if not _SELECT.match(statement) or _CHANGES.search(statement):
+        raise ValueError("only SELECT statements can be run")
     df.createOrReplaceTempView(view)
-    result = df.sparkSession.sql(sql.strip().rstrip(";"))
-    return paginate(result, page, size, None, "asc", tiebreak)
+    try:
+        result = df.sparkSession.sql(statement)
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+    if tiebreak:
+        return paginate(result, page, size, None, "asc", tiebreak)
+    return page_of(number_rows(result, "__row"), page, size)
 
 
 def run_query_spec(df: DataFrame, spec: dict) -> DataFrame:

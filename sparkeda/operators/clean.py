@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clean_value, is_blank, kind_of, q
+from ..functions.exprs import clean_value, is_blank, kind_of, q, strip
 from ..functions.values import BOOLEAN_WORD_PAIRS, CATEGORICAL_WORDS, DATE_FORMATS
 from ..session import spread
 
@@ -67,7 +67,7 @@ def _bool_columns(row, cols) -> dict[str, tuple[str, str]]:
 
 
 def _bool_expr(c: str, yes: str, no: str) -> Column:
-    w = F.lower(F.trim(q(c)))
+    w = F.lower(strip(q(c)))
     return F.when(w == yes, F.lit(1)).when(w == no, F.lit(0)).cast("int")
 
 
@@ -180,7 +180,7 @@ def clean_facts(base: DataFrame, formats: list[str]) -> dict:
     long = base.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), q(cols[i]).alias("v")) for i in texts])))
     vals = long.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
     v, n = F.col("v"), F.col("n")
-    t = F.trim(v)
+    t = strip(v)
     aggs = [F.sum(F.when(v.isNotNull(), n)).alias("nn"), F.sum(F.when(is_blank(v), n)).alias("blank"),
             F.count(v).alias("distinct"), F.count(F.when(_looks_categorical(t), 1)).alias("cat")]
     for j, fmt in enumerate(formats):
@@ -188,7 +188,7 @@ def clean_facts(base: DataFrame, formats: list[str]) -> dict:
         aggs += [F.sum(F.when(p.isNotNull(), n)).alias(f"n{j}"), F.min(F.year(p)).alias(f"y0{j}"),
                  F.max(F.year(p)).alias(f"y1{j}")]
     per = {r["pos"]: r for r in vals.groupBy("pos").agg(*aggs).collect()}
-    words = (vals.filter(v.isNotNull()).select("pos", F.lower(F.trim(v)).alias("w")).distinct()
+    words = (vals.filter(v.isNotNull()).select("pos", F.lower(strip(v)).alias("w")).distinct()
              .groupBy("pos").agg(F.count(F.lit(1)).alias("d"), F.min("w").alias("lo"), F.max("w").alias("hi")))
     wd = {r["pos"]: r for r in words.collect()}
     for i in texts:

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bin_index, numeric_value, q, rnd
+from ..functions.exprs import bin_index, numeric_value, q, rnd, strip
 from ..functions.values import NO_VALUE
 from ..plans.ranking import top_n_per_group
 from ..session import spread
@@ -124,7 +124,7 @@ def category_bars(df: DataFrame, col: str, k: int = 30) -> DataFrame:
     after trimming. As in the reference, a whitespace-only cell counts both as
     missing and as a value (only the exact empty string is removed)."""
     v = q(col).cast("string")
-    missing = df.agg(F.count(F.when(v.isNull() | (F.trim(v) == ""), 1)).alias("m"))
+    missing = df.agg(F.count(F.when(v.isNull() | (strip(v) == ""), 1)).alias("m"))
     vals = df.filter(v.isNotNull() & (v != "") & (F.lower(v) != "nan"))
     counts = vals.groupBy(v.alias("label")).agg(F.count(F.lit(1)).alias("count"))
     top = top_n_per_group(counts, [], [F.desc("count"), F.col("label")], k, rank="rank")

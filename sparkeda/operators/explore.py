@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import numeric_value, q
 from ..plans.facts import column_facts
@@ -19,8 +21,25 @@ def _dtype(df, c):
 
 
 def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
-    """inclusive numeric range; values that are not numbers never pass."""
-    v = numeric_value(col, _dtype(df, col))
+    """inclusive numeric range; values that are not numbers never pass. Numeric columns
+    are compared as they are, so the bounds reach the scan."""
+    dt = _dtype(df, col)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and \
+            all(x is None or abs(x) < 2 ** 31 for x in (lo, hi)):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (q(col) >= F.lit(math.ceil(lo)))
+        if hi is not None:
+            cond = cond & (q(col) <= F.lit(math.floor(hi)))
+        return df.filter(cond)
+    if isinstance(dt, T.DoubleType):
+        cond = F.lit(True)
+        if lo is not None:                       # NaN counts as larger than any number
+            cond = cond & (q(col) >= F.lit(float(lo))) & ~F.isnan(q(col))
+        if hi is not None:
+            cond = cond & (q(col) <= F.lit(float(hi))) & ~F.isnan(q(col))
+        return df.filter(cond)
+    v = numeric_value(col, dt)
     cond = F.lit(True)
     if lo is not None:
         cond = cond & (v >= F.lit(float(lo)))
@@ -83,13 +102,16 @@ def paginate(df: DataFrame, page: int = 1, size: int = 50, sort_by: str | None =
     offsets, so any page costs one distributed sort: no task ever holds
     offset + size rows (which ``offset().limit()`` would gather in one task).
     """
+    return page_of(with_global_index(df, sort_keys(df, sort_by, order, tiebreak), "__row"), page, size)
+
+
+def page_of(idx: DataFrame, page: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """One page of a frame numbered by ``__row``, and the pagination facts."""
     page, size = clamp_page(page, size)
-    keys = sort_keys(df, sort_by, order, tiebreak)
-    idx = with_global_index(df, keys, "__row")
     start = (page - 1) * size
     rows = (idx.filter((F.col("__row") >= start) & (F.col("__row") < start + size))
             .orderBy("__row").drop("__row"))
-    meta = df.agg(F.count(F.lit(1)).alias("total_rows")).select(
+    meta = idx.agg(F.count(F.lit(1)).alias("total_rows")).select(
         F.lit(page).alias("page"), F.lit(size).alias("page_size"),
         F.col("total_rows").cast("long").alias("total_rows"),
         F.floor((F.col("total_rows") + size - 1) / size).cast("long").alias("total_pages"),

@@ -78,8 +78,8 @@ def training_warnings(df: DataFrame, label: str) -> DataFrame:
         .withColumn("majority_share", rnd(F.col("mx") / F.col("total"), 3))
     msgs = F.array(
         F.when(F.col("majority_share") >= 0.8,
-               F.lit("Class imbalance detected - consider SMOTE or class_weight='balanced'.")),
-        F.when(F.col("total") < 200, F.lit("Small training sample - metrics may be unstable.")),
+               F.lit("Class imbalance detected — consider SMOTE or class_weight='balanced'.")),
+        F.when(F.col("total") < 200, F.lit("Small training sample — metrics may be unstable.")),
         F.when(F.col("mn") < 2, F.lit("Stratified split not possible due to rare classes.")))
     return s.select(F.posexplode(msgs).alias("n", "warning")).filter(F.col("warning").isNotNull())
 

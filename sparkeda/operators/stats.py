@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (bias_corrected_kurt, bias_corrected_skew, clean_value, kind_of,
+from ..functions.exprs import (bias_corrected_kurt, bias_corrected_skew, clean_value, kind_of, strip,
                                local_frame, numeric_value, q, rnd)
 from ..functions.values import NODATA
 from ..plans.quantiles import exact_quantiles
@@ -108,7 +108,7 @@ def value_counts(df: DataFrame, cols: list[str], top: int | None = None,
                for i, c in enumerate(cols)]
     long = df.select(F.inline(F.array(*structs)))
     if drop_nan_text:
-        long = long.filter(F.col("value").isNull() | (F.lower(F.trim("value")) != "nan"))
+        long = long.filter(F.col("value").isNull() | (F.lower(strip(F.col("value"))) != "nan"))
     if not include_null:
         long = long.filter(F.col("value").isNotNull())
     counts = (long.groupBy("position", "column", F.coalesce("value", F.lit(nodata)).alias("value"))
@@ -162,13 +162,12 @@ def imbalance_summary(df: DataFrame, col: str) -> DataFrame:
     counts = df.filter(q(col).isNotNull()).groupBy(q(col).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     s = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"),
                    F.max("n").alias("mx"), F.min("n").alias("mn"))
-    one = F.col("classes") <= 1
     return s.select(
-        F.lit(col).alias("column"), F.col("total").cast("long").alias("total"),
+        F.lit(col).alias("column"), F.coalesce("total", F.lit(0)).cast("long").alias("total"),
         F.col("classes").cast("long").alias("classes"),
         rnd(F.col("mx") / F.col("total"), 3).alias("majority_share"),
-        F.when(one, F.lit(0.0)).otherwise(rnd(F.col("mn") / F.col("total"), 3)).alias("minority_share"),
-        F.when(one, F.lit(float("inf"))).otherwise(
+        F.when(F.col("classes") == 1, F.lit(0.0)).otherwise(rnd(F.col("mn") / F.col("total"), 3)).alias("minority_share"),
+        F.when(F.col("classes") == 1, F.lit(float("inf"))).otherwise(
             rnd(F.col("mx") / F.greatest(F.lit(1), F.col("mn")), 3)).alias("imbalance_ratio"))
 
 

@@ -36,13 +36,19 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
         dt = fields[c]
         kind = kind_of(dt)
         cv = clean_value(c, dt)
+        low = F.lit(None).cast("int")
         if kind in ("numeric", "boolean"):
+            # exact keys: a double loses up to 11 low bits of a long, and digits of a decimal
             sk, dk = F.lit(None).cast("string"), numeric_value(c, dt)
+            if isinstance(dt, T.LongType):
+                low = q(c).bitwiseAND(F.lit(4095)).cast("int")
+            elif isinstance(dt, T.DecimalType):
+                sk = q(c).cast("string")
         else:
             sk, dk = cv.cast("string"), F.lit(None).cast("double")
             if kind == "string":
                 text_pos.append(i)
-        structs.append(F.struct(F.lit(i).alias("pos"), sk.alias("sk"), dk.alias("dk")))
+        structs.append(F.struct(F.lit(i).alias("pos"), sk.alias("sk"), dk.alias("dk"), low.alias("low")))
     # a narrow scan (one file, one row group) would unpivot in a single task
     long = spread(df.select(*[q(c) for c in cols])).select(F.inline(F.array(*structs)))
     is_text = F.col("pos").isin(text_pos) if text_pos else F.lit(False)
@@ -54,7 +60,7 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
             .withColumn("ln", F.when(is_text, F.length("sk")))
         per = long.groupBy("pos").agg(
             F.count(F.lit(1)).alias("rows"), F.count(F.when(present, 1)).alias("nn"),
-            F.approx_count_distinct(F.coalesce("sk", F.col("dk").cast("string")), rsd).alias("distinct_count"),
+            F.approx_count_distinct(F.when(present, F.xxhash64("sk", "dk", "low")), rsd).alias("distinct_count"),
             F.count("nv").alias("castable"),
             F.approx_count_distinct("nv", rsd).alias("castable_distinct"), F.avg("ln").alias("avg_len"),
             F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"))
@@ -63,7 +69,7 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
         # carries every fact as a partial sum and counts castable distincts as groups;
         # (c) per column. One scan: a second branch over (a) would be rewritten by
         # filter pushdown into a second scan and aggregate of the raw data.
-        vals = (long.groupBy("pos", "sk", "dk").agg(F.count(F.lit(1)).alias("n"))
+        vals = (long.groupBy("pos", "sk", "dk", "low").agg(F.count(F.lit(1)).alias("n"))
                 .withColumn("nv", F.coalesce("dk", F.when(is_text, sk_num)))
                 .withColumn("ln", F.when(is_text, F.length("sk"))))
         by_num = vals.groupBy("pos", "nv").agg(
@@ -77,7 +83,7 @@ def column_facts(df: DataFrame, cols: list[str] | None = None, approx: bool = Fa
             F.sum(F.when(F.col("nv").isNotNull(), F.col("n"))).alias("castable"),
             (F.sum("ln_sum") / F.sum("ln_n")).alias("avg_len"),
             F.min("nv").alias("num_min"), F.max("nv").alias("num_max"), F.count(nonint).alias("nonint"),
-            F.count("nv").alias("castable_distinct"))
+            F.sum(F.when(F.col("nv").isNotNull(), F.when(is_text, 1).otherwise(F.col("groups")))).alias("castable_distinct"))
     meta = df.sparkSession.createDataFrame(
         [(i, c, kind_of(fields[c]), name_has(c, KEY_NAME_PATTERNS), name_has(c, SENSIBLE_ID_PATTERNS),
           name_has(c, PHONE_PATTERNS), name_has(c, IDENTIFIER_KEYWORDS), name_has(c, EMAIL_KEYWORDS))

@@ -56,6 +56,23 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
         stats = df.agg(*[e for i, c in enumerate(names) for e in
                          (F.count(values[c]).alias(f"n{i}"), F.min(values[c]).alias(f"a{i}"),
                           F.max(values[c]).alias(f"b{i}"))]).collect()[0]
+    # infinities are ranked by their counts; brackets hold finite values only
+    stats = dict(stats if isinstance(stats, dict) else stats.asDict())
+    ends = {i: (0, 0) for i in range(len(names))}
+    infinite = [i for i in range(len(names))
+                if any(x is not None and math.isinf(x) for x in (stats[f"a{i}"], stats[f"b{i}"]))]
+    if infinite:
+        inf = float("inf")
+        finite = {i: F.when(F.abs(F.col(f"__q{i}")) < F.lit(inf), F.col(f"__q{i}")) for i in infinite}
+        more = df.agg(*[e for i in infinite for e in
+                        (F.count(F.when(F.col(f"__q{i}") == F.lit(-inf), 1)).alias(f"l{i}"),
+                         F.count(F.when(F.col(f"__q{i}") == F.lit(inf), 1)).alias(f"h{i}"),
+                         F.min(finite[i]).alias(f"a{i}"), F.max(finite[i]).alias(f"b{i}"))]).collect()[0]
+        for i in infinite:
+            ends[i] = (more[f"l{i}"], more[f"h{i}"])
+            stats[f"a{i}"], stats[f"b{i}"] = more[f"a{i}"], more[f"b{i}"]
+            values[names[i]] = finite[i]
+    found: dict[tuple[str, int], float] = {}
     # bracket state per (column, rank): [lo, hi], values below lo, values inside
     state: dict[tuple[str, int], dict] = {}
     wanted: dict[tuple[str, float], tuple] = {}
@@ -68,9 +85,12 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
             lo, hi, frac = _rank_targets(n, p)
             wanted[(c, p)] = (lo, hi, frac)
             for r in (lo, hi):
+                below, above = ends[i]
+                if r < below or r >= n - above:
+                    found[(c, r)] = float("-inf") if r < below else float("inf")
+                    continue
                 state[(c, r)] = {"lo": float(stats[f"a{i}"]), "hi": float(stats[f"b{i}"]),
-                                 "below": 0, "size": n}
-    found: dict[tuple[str, int], float] = {}
+                                 "below": below, "size": n - below - above}
 
     while True:
         open_ = {k: s for k, s in state.items() if k not in found}
@@ -80,8 +100,8 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
                 del open_[k]
         if not open_:
             break
-        refine = {k: s for k, s in open_.items() if s["size"] > final_size}
-        final = {k: s for k, s in open_.items() if s["size"] <= final_size}
+        refine = {k: s for k, s in open_.items() if s["size"] > final_size and not s.get("stuck")}
+        final = {k: s for k, s in open_.items() if k not in refine}
         if final:
             _finish(df, values, final, found)
         if refine:
@@ -93,7 +113,7 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
             continue
         lo, hi, frac = t
         a, b = found[(key[0], lo)], found[(key[0], hi)]
-        out[key] = a * (1.0 - frac) + b * frac
+        out[key] = a if a == b or frac == 0 else a * (1.0 - frac) + b * frac
     return out
 
 
@@ -125,7 +145,14 @@ def _narrow(df: DataFrame, values, open_: dict, buckets: int) -> None:
         for j, lo, hi in items:
             inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
             width = (hi - lo) / buckets
-            b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            if math.isinf(width):                # the difference overflows
+                width = hi / buckets - lo / buckets
+                step = v / F.lit(width) - F.lit(lo / width)
+            elif width == 0:                     # neighbouring numbers
+                step = F.when(v > F.lit(lo), F.lit(buckets - 1)).otherwise(F.lit(0))
+            else:
+                step = (v - F.lit(lo)) / F.lit(width)
+            b = F.greatest(F.least(F.floor(step), F.lit(buckets - 1)), F.lit(0)).cast("int")
             br = F.when(inside, F.lit(j)) if br is None else br.when(inside, F.lit(j))
             bk = F.when(inside, b) if bk is None else bk.when(inside, b)
         structs.append(F.struct(br.alias("br"), bk.alias("bk"), v.alias("v")))
@@ -141,6 +168,8 @@ def _narrow(df: DataFrame, values, open_: dict, buckets: int) -> None:
         acc = s["below"]
         for bk, n, mn, mx in sorted(per.get(j, [])):
             if rank < acc + n:
+                # a pass that does not shrink the bracket is the last one
+                s["stuck"] = (float(mn), float(mx), n) == (s["lo"], s["hi"], s["size"])
                 s.update(lo=float(mn), hi=float(mx), below=acc, size=n)
                 break
             acc += n

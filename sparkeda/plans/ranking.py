@@ -16,7 +16,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     inside each (group, salt) slice, then the top n of at most n x salt_buckets
     survivors per group, so a hot group never lands in one task. ``rank`` names
     an output column with the 1-based position."""
-    salt = F.abs(F.xxhash64(*[q(c) for c in (salt_on or df.columns)])) % salt_buckets
+    salt = F.pmod(F.xxhash64(*[q(c) for c in (salt_on or df.columns)]), F.lit(salt_buckets))
     keys = [q(g) for g in group]
     w1 = Window.partitionBy(*keys, F.col("__salt")).orderBy(*order)
     pre = (df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1))
@@ -36,7 +36,7 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], rank: s
     keys = [q(g) for g in group]
     idx = with_global_index(df, keys + order, "__gi")
     if not group:
-        return idx.withColumn(rank, (F.col("__gi") + 1).cast("int")).drop("__gi")
+        return idx.withColumn(rank, (F.col("__gi") + 1).cast("long")).drop("__gi")
     first = idx.groupBy(*[q(g).alias(g) for g in group]).agg(F.min("__gi").alias("__g0"))
     joined = idx.join(F.broadcast(first), group)  # one row per group
-    return joined.withColumn(rank, (F.col("__gi") - F.col("__g0") + 1).cast("int")).drop("__gi", "__g0")
+    return joined.withColumn(rank, (F.col("__gi") - F.col("__g0") + 1).cast("long")).drop("__gi", "__g0")

@@ -157,6 +157,22 @@ def detect_candidate_targets(df: DataFrame, facts: DataFrame | None = None, prim
             .select("position", "column", "distinct_count"))
 
 
+def auto_select_target(df: DataFrame, facts: DataFrame | None = None, primary_keys=None) -> DataFrame:
+    """The candidate target with the highest (1 - majority share) + distinct / 20, the
+    earlier column on ties; no row when no column qualifies. One pass over the candidates."""
+    found = [(r["position"], r["column"]) for r in
+             detect_candidate_targets(df, facts, primary_keys).orderBy("position").collect()]
+    spark = df.sparkSession
+    if not found:
+        return spark.createDataFrame([], "column string, score double")
+    cells = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(c).alias("column"), q(c).cast("string").alias("v"))
+                      for p, c in found])
+    counts = df.select(F.inline(cells)).filter("v is not null").groupBy("pos", "column", "v").agg(F.count(F.lit(1)).alias("n"))
+    scored = counts.groupBy("pos", "column").agg(
+        (1.0 - rnd(F.max("n") / F.sum("n"), 3) + F.count(F.lit(1)) / 20.0).alias("score"))
+    return scored.orderBy(F.desc("score"), "pos").limit(1).select("column", "score")
+
+
 def detect_task_type(df: DataFrame, target: str, facts: DataFrame | None = None) -> DataFrame:
     """Regression for a float target with > 20 values, or a numeric one with
     > 30 values and ratio > 0.1; classification otherwise."""

@@ -136,6 +136,8 @@ register("csv_roundtrip_orders",
          "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
          "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders")(
     lambda spark, sf: _roundtrip(spark, sf, "orders"))
+register("csv_roundtrip_documents", "SELECT * FROM documents")(
+    lambda spark, sf: _roundtrip(spark, sf, "documents"))
 register("csv_roundtrip_customer", "SELECT * FROM customer")(
     lambda spark, sf: _roundtrip(spark, sf, "customer"))
 register("read_parquet_nation", "SELECT * FROM nation")(

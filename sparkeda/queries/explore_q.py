@@ -111,6 +111,9 @@ _SQL_Q = ("SELECT o_orderstatus, count(*) AS n, sum(o_custkey) AS sum_cust, max(
 register("run_sql_orders", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS sum_cust, "
          "max(o_totalprice) AS max_price FROM orders GROUP BY o_orderstatus")(
     lambda spark, sf: ad.run_sql(table(spark, sf, "orders"), _SQL_Q, 1, 10)[0])
+register("run_sql_ordered_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 100")(
+    lambda spark, sf: ad.run_sql(table(spark, sf, "orders"),
+                                 "SELECT o_orderkey, o_totalprice FROM dataset ORDER BY o_totalprice DESC, o_orderkey", 2, 100)[0])
 register("run_sql_join_lineitem", """SELECT o.o_orderpriority, CAST(count(*) AS BIGINT) AS n_lines,
   CAST(sum(l.l_quantity) AS DOUBLE) AS qty FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1""")(
     lambda spark, sf: _join_sql(spark, sf))

@@ -107,8 +107,8 @@ register("class_weights_labels", f"""SELECT doc_id, quality, {srnd('count(*) OVE
 register("training_warnings_labels_toxic", """WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1),
 s AS (SELECT sum(n) AS total, max(n) / sum(n) AS maj, min(n) AS mn FROM c)
 SELECT * FROM (
-  SELECT 0 AS n, 'Class imbalance detected - consider SMOTE or class_weight=''balanced''.' AS warning FROM s WHERE round(maj, 3) >= 0.8
-  UNION ALL SELECT 1, 'Small training sample - metrics may be unstable.' FROM s WHERE total < 200
+  SELECT 0 AS n, 'Class imbalance detected — consider SMOTE or class_weight=''balanced''.' AS warning FROM s WHERE round(maj, 3) >= 0.8
+  UNION ALL SELECT 1, 'Small training sample — metrics may be unstable.' FROM s WHERE total < 200
   UNION ALL SELECT 2, 'Stratified split not possible due to rare classes.' FROM s WHERE mn < 2)""")(
     lambda spark, sf: ml.training_warnings(table(spark, sf, "labels"), "toxic").withColumn("n", F.col("n").cast("int")))
 

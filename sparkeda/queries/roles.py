@@ -91,6 +91,17 @@ for _t in ["lineitem", "orders", "customer", "part"]:
              "WHERE NOT is_key AND is_categorical AND distinct_count BETWEEN 2 AND 20")(
         lambda spark, sf, _t=_t: ro.detect_candidate_targets(table(spark, sf, _t)))
 
+for _t in ["lineitem", "orders", "customer", "part"]:
+    _shares = " UNION ALL ".join(
+        f"SELECT '{_c}' AS col, round(max(n) / sum(n), 3) AS maj, count(*) AS d FROM "
+        f"(SELECT count(*) AS n FROM {_t} WHERE {_c} IS NOT NULL GROUP BY {_c})"
+        for _c, _ in TABLES[_t])
+    register(f"auto_select_target_{_t}",
+             f"WITH {roles_ctes(_t, TABLES[_t])}, shares AS ({_shares})\n"
+             "SELECT \"column\", round(1.0 - maj + d / 20.0, 6) AS score FROM r JOIN shares ON shares.col = r.\"column\" "
+             "WHERE NOT is_key AND is_categorical AND distinct_count BETWEEN 2 AND 20 ORDER BY 1.0 - maj + d / 20.0 DESC, position LIMIT 1")(
+        lambda spark, sf, _t=_t: ro.auto_select_target(table(spark, sf, _t)).withColumn("score", F.round("score", 6)))
+
 for _t in ["events", "lineitem", "customer"]:
     register(f"skipped_columns_{_t}",
              f"WITH {roles_ctes(_t, TABLES[_t])}\nSELECT position, \"column\", " + srnd("unique_ratio * 100", 2) + " AS uniqueness, "

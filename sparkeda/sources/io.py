@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import q
+from ..functions.exprs import q, strip
 from ..functions.values import IMAGE_SUFFIXES, NA_TOKENS
+from ..session import cut_lineage
 
 _INT_RE = r"^\s*[+-]?\d{1,18}\s*$"
 _FLOAT_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+#: Quoted fields may hold quotes (doubled), line breaks and blanks at their ends.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False}
 _TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 
@@ -32,7 +36,7 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     becomes long / double / boolean when every non-null value fits, else stays
     string. One aggregate decides all columns; one select applies it."""
     tokens = list(na_tokens)
-    nulled = df.select(*[F.when(~F.trim(q(c)).isin(tokens) & ~q(c).isin(tokens), q(c)).alias(c)
+    nulled = df.select(*[F.when(~strip(q(c)).isin(tokens) & ~q(c).isin(tokens), q(c)).alias(c)
                          for c in df.columns])
     aggs = []
     for i, c in enumerate(df.columns):
@@ -45,9 +49,9 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     for i, c in enumerate(df.columns):
         n, v = row[f"n{i}"], q(c)
         if n and row[f"i{i}"] == n:
-            exprs.append(F.trim(v).cast("long").alias(c))
+            exprs.append(strip(v).cast("long").alias(c))
         elif n and row[f"f{i}"] == n:
-            exprs.append(F.trim(v).cast("double").alias(c))
+            exprs.append(strip(v).cast("double").alias(c))
         elif n and row[f"b{i}"] == n:
             exprs.append(v.isin(_TRUE).alias(c))
         else:
@@ -56,12 +60,13 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens=NA_TOKENS,
-               schema=None) -> DataFrame:
+               schema=None, multi_line: bool = True) -> DataFrame:
     """CSV (header, reader-style type inference, missing tokens) or parquet,
-    chosen by suffix unless ``fmt`` is given. Other suffixes are rejected."""
+    chosen by suffix unless ``fmt`` is given. Other suffixes are rejected. Files whose
+    fields hold no line breaks can be read in splits with ``multi_line=False``."""
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        reader = spark.read.options(**_CSV).option("multiLine", multi_line).option("mode", "PERMISSIVE")
         if schema is not None:
             return _normalise_nan(reader.schema(schema).csv(path))
         raw = reader.option("inferSchema", False).csv(path)
@@ -73,7 +78,7 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S3: export with a header row (one file per task; no index column)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**_CSV).csv(path)
 
 
 def null_to_display(df: DataFrame) -> DataFrame:
@@ -130,14 +135,18 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: list[str] | None =
 def with_global_index(df: DataFrame, order: list, name: str = "__idx") -> DataFrame:
     """0-based position of each row in ``order`` without a single-task window.
 
-    A range-partitioned sort gives ordered partitions; monotonically increasing
-    ids number rows inside each; per-partition counts (one row per partition)
-    become offsets by a running sum over that tiny frame, broadcast back. The
-    sort exchange is shared by both branches (exchange reuse), so both see the
-    same partitioning.
-    """
-    s = (df.orderBy(*order).withColumn("__pid", F.spark_partition_id())
-         .withColumn("__mid", F.monotonically_increasing_id()))
+    The rows are range-sorted and checkpointed once; counts and rows then read that one
+    frame. (Sorting twice would not do: the two branches sample their range bounds and
+    coalesce their partitions independently.)"""
+    return number_rows(df.orderBy(*order), name)
+
+
+def number_rows(ordered: DataFrame, name: str = "__idx") -> DataFrame:
+    """0-based position of each row of a frame in the order it already has: partition
+    numbers and row numbers are checkpointed with the rows, per-partition counts (one row
+    per partition) become offsets by a running sum and are broadcast back."""
+    s = cut_lineage(ordered.withColumn("__pid", F.spark_partition_id())
+                    .withColumn("__mid", F.monotonically_increasing_id()))
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
