@@ -89,8 +89,10 @@ def format_shape(fmt: str) -> str:
     """A regex that every string a datetime pattern can parse must match; parsing
     is only tried on matching strings (a failed parse costs an exception)."""
     out, i = "^", 0
-    tokens = [("yyyy", r"\d{4}"), ("SSSSSS", r"\d{6}"), ("MM", r"\d{2}"), ("dd", r"\d{2}"),
-              ("HH", r"\d{2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}"), ("'T'", "T")]
+    tokens = [("yyyy", r"\d{4}"), ("SSSSSS", r"\d{6}"), ("SSS", r"\d{3}"), ("MMMM", "[A-Za-z]{3,9}"),
+              ("MMM", "[A-Za-z]{3}"), ("MM", r"\d{2}"), ("M", r"\d{1,2}"), ("dd", r"\d{2}"), ("d", r"\d{1,2}"),
+              ("HH", r"\d{2}"), ("H", r"\d{1,2}"), ("mm", r"\d{2}"), ("ss", r"\d{2}"),
+              ("XXX", r"(?:Z|[+-]\d{2}:\d{2})"), ("'T'", "T")]
     while i < len(fmt):
         for tok, rx in tokens:
             if fmt.startswith(tok, i):

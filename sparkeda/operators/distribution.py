@@ -30,12 +30,15 @@ def _projected(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     return base, {c: F.col(n) for c, n in names.items()}
 
 
-def _bounds(df: DataFrame, vals: dict) -> dict:
+def _bounds(df: DataFrame, vals: dict, distinct: bool = False) -> dict:
+    """Count, min, max and whole-number test per column; distinct values only on demand
+    (they cost a shuffle of all values)."""
     aggs = []
     for i, c in enumerate(vals):
         v = vals[c]
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"),
-                 F.count_distinct(v).alias(f"d{i}"), F.count(F.when(v % 1 != 0, 1)).alias(f"f{i}")]
+                 (F.count_distinct(v) if distinct else F.lit(None).cast("long")).alias(f"d{i}"),
+                 F.count(F.when(v % 1 != 0, 1)).alias(f"f{i}")]
     aggs.append(F.count(F.lit(1)).alias("__rows"))
     row = df.agg(*aggs).collect()[0]
     out = {}
@@ -96,7 +99,7 @@ def distribution_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
     min(50, max(10, floor(sqrt(n)))) equal-width bins (label = bin number).
     Columns: column, label, lower, upper, count."""
     df, vals = _projected(df, cols)
-    b = _bounds(df, vals)
+    b = _bounds(df, vals, distinct=True)
     bar_cols = [c for c in cols if b[c]["integral"] and b[c]["distinct"] <= 60]
     hist_cols = [c for c in cols if c not in bar_cols and b[c]["n"]]
     parts = []
@@ -150,12 +153,12 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 20, min_rows: int = 10
 
 
 def density_pairs(df: DataFrame, cols: list[str], bins: int = 20, min_rows: int = 10,
-                  pairs: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All pairs (i < j) among the first 6 columns, first 5 as the left side
-    (15 pairs at most): one bounds aggregate and one counting job for all pairs."""
+                  pairs: list[tuple[str, str]] | None = None, max_cols: int | None = None) -> DataFrame:
+    """All pairs (i < j) of the columns, or of the first ``max_cols``: one bounds
+    aggregate and one counting job for all pairs."""
     if pairs is None:
-        cols = cols[:6]
-        pairs = [(a, b) for i, a in enumerate(cols[:5]) for b in cols[i + 1:6]]
+        cols = cols[:max_cols]
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     df, vals = _projected(df, [c for p in pairs for c in p])
     aggs = []
     for i, (a, b) in enumerate(pairs):

@@ -160,10 +160,10 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
 
 
 def confusion_matrix(pred: DataFrame, classes: list, label: str = "label", prediction: str = "prediction",
-                     max_classes: int = 25) -> DataFrame:
-    """Dense (true, predicted, count) with zeros, only for <= 25 classes."""
+                     max_classes: int | None = None) -> DataFrame:
+    """Dense (true, predicted, count) with zeros; empty past ``max_classes``."""
     spark = pred.sparkSession
-    if len(classes) > max_classes:
+    if max_classes is not None and len(classes) > max_classes:
         return spark.createDataFrame([], "true_class string, predicted_class string, count long")
     conf = pred.groupBy(q(label).cast("string").alias("true_class"),
                         q(prediction).cast("string").alias("predicted_class")).agg(F.count(F.lit(1)).alias("n"))
@@ -241,9 +241,12 @@ def regressors(n_train: int) -> list[tuple[str, object]]:
     ]
 
 
-def feature_importance(model, names: list[str], n: int = 25) -> list[tuple[str, float]]:
-    """Tree importances or mean |coefficient|; top n, > 0 only, 6 dp."""
-    if hasattr(model, "featureImportances"):
+def feature_importance(model, names: list[str], n: int | None = None) -> list[tuple[str, float]]:
+    """Tree importances (their mean over the classes of a one-vs-rest model) or
+    mean |coefficient|; > 0 only, 6 dp, the top ``n``."""
+    if hasattr(model, "models"):
+        imp = sum(m.featureImportances.toArray() for m in model.models) / len(model.models)
+    elif hasattr(model, "featureImportances"):
         imp = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
         m = model.coefficientMatrix.toArray()
@@ -351,12 +354,12 @@ def tournament(df: DataFrame, target: str, key: list[str], task: str | None = No
             out["metrics"] = classification_metrics(p)
             out["confusion"] = confusion_matrix(p.withColumn("label", F.col("label").cast("int"))
                                                 .withColumn("prediction", F.col("prediction").cast("int")),
-                                                list(range(len(classes))))
+                                                list(range(len(classes))), max_classes=25)
         else:
             out["metrics"] = regression_metrics(p)
         names = _vector_names(enc, "features")
         last = best.stages[-1]
-        out["importance"] = spark.createDataFrame(feature_importance(last, names) or [],
+        out["importance"] = spark.createDataFrame(feature_importance(last, names, n=25) or [],
                                                   "feature string, importance double")
     return out
 

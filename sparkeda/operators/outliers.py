@@ -29,17 +29,18 @@ def _projected(df, cols):
     return base, {c: F.col(n) for c, n in names.items()}
 
 
-def outlier_bounds(df: DataFrame, cols: list[str], method: str = "exact") -> dict:
-    """Per column: n, mean, sample std, min, max, q1, q3, iqr and IQR fences."""
+def outlier_bounds(df: DataFrame, cols: list[str], method: str = "exact", quartiles: bool = True) -> dict:
+    """Per column: n, mean, sample std, min, max, q1, q3, iqr and IQR fences (the
+    last four None without ``quartiles``, which saves the selection passes)."""
     df, vals = _projected(df, cols)
     row = df.agg(*[e for i, c in enumerate(cols) for e in
                    (F.count(vals[c]).alias(f"n{i}"), F.avg(vals[c]).alias(f"m{i}"),
                     F.stddev_samp(vals[c]).alias(f"s{i}"), F.min(vals[c]).alias(f"a{i}"),
                     F.max(vals[c]).alias(f"b{i}"))]).collect()[0]
-    qs = exact_quantiles(df, vals, [0.25, 0.75], method=method)
+    qs = exact_quantiles(df, vals, [0.25, 0.75], method=method) if quartiles else {}
     out = {}
     for i, c in enumerate(cols):
-        q1, q3 = qs[(c, 0.25)], qs[(c, 0.75)]
+        q1, q3 = qs.get((c, 0.25)), qs.get((c, 0.75))
         iqr = None if q1 is None else q3 - q1
         out[c] = {"n": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"], "min": row[f"a{i}"],
                   "max": row[f"b{i}"], "q1": q1, "q3": q3, "iqr": iqr,
@@ -57,11 +58,11 @@ def _is_z(v, b, t):
 
 
 def outlier_summary(df: DataFrame, cols: list[str], z: float = 3.0, min_values: int = 4,
-                    max_cols: int | None = 10, method: str = "exact") -> DataFrame:
-    """O1 + O2 + O3: for the first ``max_cols`` columns with >= ``min_values``
+                    max_cols: int | None = None, method: str = "exact") -> DataFrame:
+    """O1 + O2 + O3: for the columns (or the first ``max_cols``) with >= ``min_values``
     values: IQR outliers (strictly outside Q1 - 1.5 IQR, Q3 + 1.5 IQR) and
     z-score outliers (|z| > 3; none when std = 0), counts and percents (2 dp)."""
-    cols = cols[:max_cols] if max_cols else cols
+    cols = cols[:max_cols]
     b = outlier_bounds(df, cols, method)
     df, vals = _projected(df, cols)
     keep = [c for c in cols if b[c]["n"] and b[c]["n"] >= min_values]
@@ -101,9 +102,22 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact") -> DataF
 
 
 def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
-    """O2: |x - mean| / sample std > z (no outliers when std is 0)."""
-    return outlier_summary(df, cols, z=z, min_values=1, max_cols=None).select(
-        "column", "total_values", "zscore_outliers", "zscore_percent", "mean", "std")
+    """O2: |x - mean| / sample std > z (no outliers when std is 0). One aggregate for the
+    moments, one for the counts."""
+    b = outlier_bounds(df, cols, quartiles=False)
+    df, vals = _projected(df, cols)
+    keep = [c for c in cols if b[c]["n"]]
+    if not keep:
+        return df.sparkSession.createDataFrame(
+            [], "column string, total_values long, zscore_outliers long, zscore_percent double, mean double, std double")
+    row = df.agg(*[(F.count(F.when(_is_z(vals[c], b[c], z), 1)) if b[c]["std"] else F.lit(0).cast("long")).alias(f"z{i}")
+                   for i, c in enumerate(keep)])
+    return row.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.lit(b[c]["n"]).cast("long").alias("total_values"),
+        F.col(f"z{i}").cast("long").alias("zscore_outliers"),
+        rnd(F.col(f"z{i}") * 100.0 / F.lit(b[c]["n"]), 2).alias("zscore_percent"),
+        F.lit(b[c]["mean"]).cast("double").alias("mean"), F.lit(b[c]["std"]).cast("double").alias("std"))
+        for i, c in enumerate(keep)])))
 
 
 def outlier_rows(df: DataFrame, col: str, k: int = 20, method: str = "iqr", z: float = 3.0) -> DataFrame:

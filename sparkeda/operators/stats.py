@@ -134,9 +134,9 @@ def datetime_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         for i, c in enumerate(cols)])))
 
 
-def monthly_counts(df: DataFrame, col: str, max_months: int | None = 20) -> DataFrame:
+def monthly_counts(df: DataFrame, col: str, max_months: int | None = None) -> DataFrame:
     """Records per month ('yyyy-MM'); with ``max_months`` the result is
-    empty when the column spans more months (the reference then omits it)."""
+    empty when the column spans more months."""
     m = (df.filter(q(col).isNotNull())
          .groupBy(F.date_format(F.date_trunc("month", q(col)), "yyyy-MM").alias("month"))
          .agg(F.count(F.lit(1)).alias("count")))
@@ -173,7 +173,7 @@ def imbalance_summary(df: DataFrame, col: str) -> DataFrame:
 
 def top_classes(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """G7 companion: the ``k`` most frequent classes (ties by value)."""
-    return (value_counts(df, [col], top=k, include_null=False)
+    return (value_counts(df, [col], top=k, include_null=False, drop_nan_text=False)
             .select("value", "count", "rank"))
 
 

@@ -104,9 +104,11 @@ def trend_direction(df: DataFrame, ts: str, val: str, key: str) -> DataFrame:
     return series_stats(df, [(ts, val)], key, 0, 0).select("date_column", "value_column", "trend_direction")
 
 
-def timeseries(df: DataFrame, key: str, date_cols: list[str], numeric_cols: list[str]) -> DataFrame:
-    """Up to 2 date columns x 5 numeric columns, all pairs in one aggregate."""
-    pairs = [(t, v) for t in date_cols[:2] for v in numeric_cols[:5]]
+def timeseries(df: DataFrame, key: str, date_cols: list[str], numeric_cols: list[str],
+               max_dates: int | None = None, max_values: int | None = None) -> DataFrame:
+    """Every date column x every numeric column, all pairs in one aggregate;
+    ``max_dates`` / ``max_values`` keep only the first columns."""
+    pairs = [(t, v) for t in date_cols[:max_dates] for v in numeric_cols[:max_values]]
     return series_stats(df, pairs, key)
 
 

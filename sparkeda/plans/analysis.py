@@ -81,10 +81,12 @@ def profile_long(df: DataFrame, method: str = "exact") -> DataFrame:
 
 
 def profile_summary(df: DataFrame, primary_keys: list[str] | None = None,
-                    sample: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Rows, columns, sample ratio (4 dp), keys, top 8 missing columns,
-    column groups (30 each), candidate targets (10) and imbalance of the first 5.
-    Without ``sample`` the full data is the sample (ratio 1)."""
+                    sample: DataFrame | None = None, top_missing: int | None = None,
+                    per_group: int | None = None, n_candidates: int | None = None,
+                    n_imbalance: int | None = None) -> dict[str, DataFrame]:
+    """Rows, columns, sample ratio (4 dp), keys, columns by share missing, column
+    groups, candidate targets and their imbalance; the last four arguments keep only the
+    first so many. Without ``sample`` the full data is the sample (ratio 1)."""
     sample = sample if sample is not None else df
     facts, roles = _roles(sample, primary_keys)
     keys = [r["column"] for r in roles.filter("is_key").orderBy("position").collect()] \
@@ -95,14 +97,17 @@ def profile_summary(df: DataFrame, primary_keys: list[str] | None = None,
     head = spark.createDataFrame([(n_rows, len(df.columns), n_sample, ", ".join(keys))],
                                  "rows long, columns long, sampled_rows long, primary_keys string")
     head = head.withColumn("sample_ratio", rnd(F.col("sampled_rows") / F.greatest(F.lit(1), F.col("rows")), 4))
-    missing = (st.missing_profile(sample).orderBy(F.desc("missing_percent"), "position").limit(8)
+    missing = (st.missing_profile(sample).orderBy(F.desc("missing_percent"), "position")
                .select("column", "missing_percent"))
+    if top_missing is not None:
+        missing = missing.limit(top_missing)
     from .roles import column_groups
-    groups = column_groups(sample, facts, primary_keys=keys, per_group=30)
-    cands = detect_candidate_targets(sample, facts, primary_keys=keys).orderBy("position").limit(10)
-    first5 = [r["column"] for r in cands.limit(5).collect()]
+    groups = column_groups(sample, facts, primary_keys=keys, per_group=per_group)
+    cands = detect_candidate_targets(sample, facts, primary_keys=keys).orderBy("position")
+    if n_candidates is not None:
+        cands = cands.limit(n_candidates)
     imb = None
-    for c in first5:
+    for c in [r["column"] for r in cands.collect()][:n_imbalance]:
         x = st.imbalance_summary(sample, c)
         imb = x if imb is None else imb.unionByName(x)
     out = {"summary": head, "top_missing": missing, "groups": groups, "candidates": cands}
@@ -182,9 +187,11 @@ def categorical_analysis(df: DataFrame, entity: str | None = None, order: str |
     return out
 
 
-def report_tables(df: DataFrame, n_numeric: int = 8, n_categorical: int = 8, top: int = 12) -> dict[str, DataFrame]:
-    """Histograms of the first 8 numeric-typed columns, top 12 values of the
-    first 8 text columns, and the zero-filled correlation matrix."""
+def report_tables(df: DataFrame, n_numeric: int | None = None, n_categorical: int | None = None,
+                  top: int | None = None) -> dict[str, DataFrame]:
+    """Histograms of the numeric-typed columns, the ``top`` values of the text columns
+    and the zero-filled correlation matrix; the first two arguments keep only the first
+    so many columns."""
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     numeric = [c for c, kd in kinds.items() if kd == "numeric"]
     text = [c for c, kd in kinds.items() if kd == "string"][:n_categorical]

@@ -17,6 +17,9 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     survivors per group, so a hot group never lands in one task. ``rank`` names
     an output column with the 1-based position."""
     salt = F.pmod(F.xxhash64(*[q(c) for c in (salt_on or df.columns)]), F.lit(salt_buckets))
+    if not group:
+        first = df.orderBy(*order).limit(n)  # a top-n plan: n rows per task, then n rows
+        return first.withColumn(rank, F.row_number().over(Window.orderBy(*order))) if rank else first
     keys = [q(g) for g in group]
     w1 = Window.partitionBy(*keys, F.col("__salt")).orderBy(*order)
     pre = (df.withColumn("__salt", salt).withColumn("__r", F.row_number().over(w1))

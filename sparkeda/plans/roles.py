@@ -193,6 +193,7 @@ def detect_task_type(df: DataFrame, target: str, facts: DataFrame | None = None)
 def detect_datetime_columns(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Non-numeric columns whose every non-null value is a date (any format of
     the list, per value) and that are non-null in more than 80 % of rows."""
+    from ..operators.clean import parse_with
     formats = formats or DATE_FORMATS
     fields = {f.name: f.dataType for f in df.schema.fields}
     cand = [c for c, t in fields.items() if kind_of(t) in ("string", "datetime")]
@@ -203,7 +204,7 @@ def detect_datetime_columns(df: DataFrame, formats: list[str] | None = None) ->
         if isinstance(fields[c], DATETIME_TYPES):
             parsed = q(c)
         else:
-            parsed = F.coalesce(*[F.try_to_timestamp(q(c), F.lit(fmt)) for fmt in formats])
+            parsed = F.coalesce(*[parse_with(q(c), fmt) for fmt in formats])
         aggs += [F.count(q(c)).alias(f"n{i}"), F.count(parsed).alias(f"p{i}"),
                  F.min(F.year(parsed)).alias(f"y0{i}"), F.max(F.year(parsed)).alias(f"y1{i}")]
     row = df.agg(*aggs)

@@ -108,7 +108,7 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST(6 AS BIGINT) AS columns, CAST(coun
     lambda spark, sf: an.profile_summary(table(spark, sf, "orders"))["summary"])
 register("profile_top_missing_events", with_views("events_missing") + "\nSELECT \"column\", missing_percent FROM ("
          + missing_sql("events_missing", [c for c, _ in TABLES["events"]]) + ") ORDER BY missing_percent DESC, position LIMIT 8")(
-    lambda spark, sf: an.profile_summary(dv.events_missing(spark, sf))["top_missing"])
+    lambda spark, sf: an.profile_summary(dv.events_missing(spark, sf), top_missing=8)["top_missing"])
 register("profile_imbalance_lineitem", f"""WITH {roles_ctes('lineitem', TABLES['lineitem'])},
 cand AS (SELECT "column", position FROM r WHERE NOT is_key AND is_categorical AND distinct_count BETWEEN 2 AND 20
          ORDER BY position LIMIT 5),
@@ -118,7 +118,7 @@ s AS (SELECT col, sum(n) AS total, count(*) AS classes, max(n) AS mx, min(n) AS
 SELECT col AS "column", CAST(total AS BIGINT) AS total, CAST(classes AS BIGINT) AS classes,
   {srnd('mx / total', 3)} AS majority_share, CASE WHEN classes <= 1 THEN 0.0 ELSE {srnd('mn / total', 3)} END AS minority_share,
   CASE WHEN classes <= 1 THEN 'inf'::DOUBLE ELSE {srnd('mx / greatest(1, mn)', 3)} END AS imbalance_ratio FROM s""")(
-    lambda spark, sf: an.profile_summary(table(spark, sf, "lineitem"))["imbalance"])
+    lambda spark, sf: an.profile_summary(table(spark, sf, "lineitem"), n_candidates=10, n_imbalance=5)["imbalance"])
 
 
 register("column_details_orders_status_info", f"""SELECT 'o_orderstatus' AS name, CAST(count(*) AS BIGINT) AS total_count,
@@ -177,11 +177,11 @@ register("categorical_analysis_orders_bars",
     lambda spark, sf: an.categorical_analysis(table(spark, sf, "orders"))["bars"])
 
 register("report_histograms_lineitem", "WITH " + histogram_sql("lineitem", _LI_NUM))(
-    lambda spark, sf: _r(an.report_tables(table(spark, sf, "lineitem"))["histograms"], ["lower", "upper"]))
+    lambda spark, sf: _r(an.report_tables(table(spark, sf, "lineitem"), n_numeric=8)["histograms"], ["lower", "upper"]))
 register("report_top_values_lineitem", """SELECT position, "column", value, count, rank FROM (
   SELECT position, "column", value, count, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM (
     SELECT 0 AS position, 'l_returnflag' AS "column", l_returnflag AS value, CAST(count(*) AS BIGINT) AS count FROM lineitem GROUP BY 3
     UNION ALL SELECT 1, 'l_linestatus', l_linestatus, CAST(count(*) AS BIGINT) FROM lineitem GROUP BY 3)) WHERE rank <= 12""")(
-    lambda spark, sf: an.report_tables(table(spark, sf, "lineitem"))["top_values"])
+    lambda spark, sf: an.report_tables(table(spark, sf, "lineitem"), n_categorical=8, top=12)["top_values"])
 register("report_correlation_lineitem", corr_sql("lineitem", _LI_NUM, fill=True))(
     lambda spark, sf: _r(an.report_tables(table(spark, sf, "lineitem"))["correlation"], ["corr"]))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import clean as cl
+from ..plans import roles as ro
 from ..registry import register, table
 from ..session import checkpoint_dir
 from ..sources import derived as dv
@@ -51,6 +52,19 @@ FROM events_dates""")(
     lambda spark, sf: _ts_text(cl.parse_datetime_columns(dv.events_dates(spark, sf)), ["d_iso", "d_us"]))
 
 
+_SPELLED = ["d_short", "d_zulu", "d_month", "d_minutes"]
+register("parse_datetime_events_spellings", """
+SELECT event_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS d_short,
+       strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS d_zulu,
+       strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS d_month,
+       strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS d_minutes FROM events""")(
+    lambda spark, sf: _ts_text(cl.parse_datetime_columns(dv.events_spellings(spark, sf)), _SPELLED))
+register("datetime_columns_events_spellings",
+         "SELECT i AS position, c AS \"column\" FROM (VALUES (1, 'd_short'), (2, 'd_zulu'), (3, 'd_month'), (4, 'd_minutes')) v(i, c) "
+         "WHERE (SELECT count(*) FROM events WHERE ts IS NOT NULL) > 0.8 * (SELECT count(*) FROM events)")(
+    lambda spark, sf: ro.detect_datetime_columns(dv.events_spellings(spark, sf)))
+
+
 def _ts_text(df, cols):
     return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in cols else F.col(c)
                        for c in df.columns])

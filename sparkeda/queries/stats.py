@@ -129,9 +129,9 @@ def _monthly_sql(source, col, cap=20):
 
 
 register("monthly_counts_events", _monthly_sql("events", "ts"))(
-    lambda spark, sf: st.monthly_counts(table(spark, sf, "events"), "ts"))
+    lambda spark, sf: st.monthly_counts(table(spark, sf, "events"), "ts", max_months=20))
 register("monthly_counts_orders_capped", _monthly_sql("orders", "o_orderdate"))(
-    lambda spark, sf: st.monthly_counts(table(spark, sf, "orders"), "o_orderdate"))
+    lambda spark, sf: st.monthly_counts(table(spark, sf, "orders"), "o_orderdate", max_months=20))
 register("monthly_counts_orders_all", _monthly_sql("orders", "o_orderdate", cap=None))(
     lambda spark, sf: st.monthly_counts(table(spark, sf, "orders"), "o_orderdate", max_months=None))
 

@@ -61,6 +61,15 @@ def events_dates(spark, sf_dir) -> DataFrame:
                     "event_type")
 
 
+def events_spellings(spark, sf_dir) -> DataFrame:
+    """Date spellings with one-digit parts, month names, offsets and without seconds."""
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", F.date_format("ts", "M/d/yyyy").alias("d_short"),
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("d_zulu"),
+                    F.date_format("ts", "MMM d, yyyy").alias("d_month"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm").alias("d_minutes"))
+
+
 def events_numtext(spark, sf_dir) -> DataFrame:
     e = _t(spark, sf_dir, "events")
     return e.select("event_id",
