@@ -2,8 +2,9 @@
 
 Everything that decides or measures is a DataFrame aggregate (labels, splits,
 folds, weights, metrics, ranking); the models are Spark ML estimators, so both
-training and scoring are distributed. Splits and folds are hash-based per row
-(stratified in expectation, no window over a whole class).
+training and scoring are distributed. Splits and folds are exact per class: rows are
+numbered inside their class in the order of a seeded hash, by one range sort (no window
+over a whole class).
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame, Window
@@ -24,6 +27,8 @@ from ..functions.exprs import numeric_value, q, rnd
 from ..plans.facts import column_facts
 from ..plans.quantiles import exact_quantiles
 from ..plans.roles import role_columns, select_prediction_features
+from ..session import cut_lineage
+from ..sources.io import with_global_index
 
 
 # ---------------------------------------------------------------- labels, splits
@@ -35,17 +40,30 @@ def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame
     return model.transform(src).drop("__cls"), list(model.labels)
 
 
-def _unit_hash(cols: list[str], seed: int, salt: str) -> F.Column:
-    h = F.xxhash64(*[q(c) for c in cols], F.lit(seed), F.lit(salt))
-    return (F.pmod(h, F.lit(1_000_000)) / F.lit(1_000_000.0))
+def _placed(df: DataFrame, label: str | None, key: list[str], seed: int, salt: str) -> DataFrame:
+    """Adds ``__place`` (0-based, in the order of a seeded hash of the key, inside the
+    class or over all rows when ``label`` is None), ``__size`` (rows of the class) and
+    ``__row`` (a number unique to the row)."""
+    h = F.md5(F.concat_ws("|", *[q(c).cast("string") for c in key], F.lit(f"{salt}{seed}")))
+    cls = q(label) if label else F.lit(0)
+    rows = with_global_index(df.withColumn("__cls", cls).withColumn("__h", h),
+                             [F.col("__cls"), F.col("__h"), *[q(c) for c in key]], "__row")
+    per = rows.groupBy(F.col("__cls").alias("__c")).agg(F.min("__row").alias("__first"),
+                                                        F.count(F.lit(1)).alias("__size"))
+    return rows.join(per, F.col("__cls").eqNullSafe(F.col("__c")), "left") \
+        .withColumn("__place", F.col("__row") - F.col("__first")).drop("__cls", "__c", "__h", "__first")
 
 
-def stratified_split(df: DataFrame, label: str, key: list[str], test: float = 0.2,
+def _n_test(test: float) -> F.Column:
+    return F.floor(F.col("__size") * F.lit(test) + F.lit(0.5))
+
+
+def stratified_split(df: DataFrame, label: str | None, key: list[str], test: float = 0.2,
                      seed: int = 42) -> DataFrame:
-    """L3: adds ``is_test``: a seeded hash of the row key below ``test``. Every
-    class is cut at the same fraction (stratified in expectation), per row, with
-    no shuffle."""
-    return df.withColumn("is_test", _unit_hash(key, seed, "split") < F.lit(test))
+    """L3: adds ``is_test``: of every class (of all rows when ``label`` is None) the share
+    ``test``, rounded half up, in the order of a seeded hash of the row key."""
+    return _placed(df, label, key, seed, "split").withColumn("is_test", F.col("__place") < _n_test(test)) \
+        .drop("__place", "__size", "__row")
 
 
 def fold_count(df: DataFrame, label: str, task: str = "classification") -> int:
@@ -56,23 +74,44 @@ def fold_count(df: DataFrame, label: str, task: str = "classification") -> int:
     return min(5, mn) if mn >= 2 else 3
 
 
-def stratified_folds(df: DataFrame, label: str, key: list[str], k: int, seed: int = 42) -> DataFrame:
-    """L4: ``fold`` in 0..k-1 from a seeded hash of the key (per row, no shuffle)."""
-    return df.withColumn("fold", F.floor(_unit_hash(key, seed, "fold") * k).cast("int"))
+def stratified_folds(df: DataFrame, label: str | None, key: list[str], k: int, seed: int = 42) -> DataFrame:
+    """L4: ``fold`` in 0..k-1, dealt in turn inside every class (over all rows when
+    ``label`` is None) in the order of a seeded hash of the key."""
+    return _placed(df, label, key, seed, "fold").withColumn("fold", (F.col("__place") % k).cast("int")) \
+        .drop("__place", "__size", "__row")
+
+
+def split_and_folds(df: DataFrame, label: str | None, key: list[str], k: int, test: float = 0.2,
+                    seed: int = 42, row: str | None = None) -> DataFrame:
+    """L3 and L4 by one sort: ``is_test`` as in ``stratified_split``, and ``fold`` dealt over
+    the training rows of every class (null for test rows). ``row`` names a column for the
+    row's unique number."""
+    p = _placed(df, label, key, seed, "split").withColumn("is_test", F.col("__place") < _n_test(test))
+    p = p.withColumn("fold", F.when(~F.col("is_test"), ((F.col("__place") - _n_test(test)) % k).cast("int")))
+    p = p.withColumnRenamed("__row", row) if row else p.drop("__row")
+    return p.drop("__place", "__size")
 
 
-def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """L5: 'balanced' weights n / (classes x count(class)); one tiny aggregate
-    (one row per class, bounded by the class cap) broadcast back."""
-    counts = df.groupBy(q(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+def class_weights(df: DataFrame, label: str, out: str = "weight", fit_on: DataFrame | None = None) -> DataFrame:
+    """L5: 'balanced' weights n / (classes x count(class)), counted over ``fit_on`` (the
+    frame itself by default); one tiny aggregate (one row per class, bounded by the class
+    cap) broadcast back."""
+    counts = (df if fit_on is None else fit_on).groupBy(q(label).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
     every = Window.partitionBy()  # over the per-class counts: one row per class
     w = counts.select("__c", (F.sum("__n").over(every) / (F.count(F.lit(1)).over(every) * F.col("__n"))).alias(out))
     return df.join(F.broadcast(w), q(label) == F.col("__c"), "left").drop("__c")
 
 
-def training_warnings(df: DataFrame, label: str) -> DataFrame:
+def training_warnings(df: DataFrame, label: str, task: str = "classification") -> DataFrame:
     """Imbalance (majority share >= 0.8), small sample (< 200 rows) and
-    rare classes (some class below 2 rows: no stratified split)."""
+    rare classes (some class below 2 rows: no stratified split); for regression that it is
+    one, and a small sample. The texts are fixed values."""
+    if task != "classification":
+        msgs = F.array(F.lit("Regression task detected (continuous target)."),
+                       F.when(F.col("total") < 200,
+                              F.lit("Small training sample — regression metrics may be unstable.")))
+        return df.agg(F.count(q(label)).alias("total")).select(F.posexplode(msgs).alias("n", "warning")) \
+            .filter(F.col("warning").isNotNull())
     counts = df.filter(q(label).isNotNull()).groupBy(q(label)).agg(F.count(F.lit(1)).alias("n"))
     s = counts.agg(F.sum("n").alias("total"), F.max("n").alias("mx"), F.min("n").alias("mn")) \
         .withColumn("majority_share", rnd(F.col("mx") / F.col("total"), 3))
@@ -100,23 +139,26 @@ def prepare_features(df: DataFrame, target: str, primary_keys: list[str] | None
 
 
 def impute_scale_encode(df: DataFrame, numeric: list[str], categorical: list[str],
-                        out: str = "features") -> tuple[DataFrame, list]:
+                        out: str = "features", fit_on: DataFrame | None = None) -> tuple[DataFrame, list]:
     """L2: exact-median imputation and standardisation of numeric features;
     most-frequent imputation and one-hot encoding (unseen -> extra slot) of
-    categorical ones. Fill values are one per column (driver-sized); returns
-    the filled frame and the pipeline stages to fit."""
+    categorical ones. Fill values (one per column, driver-sized) are learned from
+    ``fit_on``, by default the frame itself; returns the filled frame and the pipeline
+    stages to fit."""
+    if not numeric and not categorical:
+        raise ValueError("no usable feature columns")
+    learn = df if fit_on is None else fit_on
     fields = {f.name: f.dataType for f in df.schema.fields}
     vals = {c: numeric_value(c, fields[c]) for c in numeric}
-    meds = exact_quantiles(df, vals, [0.5]) if numeric else {}
-    filled = df.select(*[(F.coalesce(vals[c], F.lit(meds[(c, 0.5)] or 0.0))).alias(c) if c in numeric else q(c)
-                         for c in df.columns])
+    meds = exact_quantiles(learn, vals, [0.5]) if numeric else {}
     modes = {}
     if categorical:
         from .stats import value_counts
-        top = value_counts(df, categorical, top=1, include_null=False).collect()
-        modes = {r["column"]: r["value"] for r in top}
-        filled = filled.select(*[F.coalesce(q(c).cast("string"), F.lit(modes.get(c, ""))).alias(c)
-                                 if c in categorical else q(c) for c in filled.columns])
+        modes = {r["column"]: r["value"]
+                 for r in value_counts(learn, categorical, top=1, include_null=False).collect()}
+    fill = {c: F.coalesce(vals[c], F.lit(meds[(c, 0.5)] or 0.0)) for c in numeric}
+    fill |= {c: F.coalesce(q(c).cast("string"), F.lit(modes.get(c, ""))) for c in categorical}
+    filled = df.select(*[fill[c].alias(c) if c in fill else q(c) for c in df.columns])
     stages, parts = [], []
     if numeric:
         stages.append(VectorAssembler(inputCols=numeric, outputCol="__num", handleInvalid="keep"))
@@ -218,7 +260,8 @@ def rank_models(summary: DataFrame, order: dict[str, int], model: str = "model")
 # ---------------------------------------------------------------- models
 def classifiers(n_train: int, n_classes: int, weight: str | None = "weight") -> list[tuple[str, object]]:
     """Logistic (C = 1 -> regParam = 1/n), tree (depth 10), forest (150,
-    sqrt), boosting (80 rounds, step 0.1, depth 4; one-vs-rest past 2 classes)."""
+    sqrt), boosting (80 rounds, step 0.1, depth 4; one-vs-rest past 2 classes) and the
+    neighbour vote (k = min(5, n // 10 or 1))."""
     reg = 1.0 / max(1, n_train)
     kw = {"weightCol": weight} if weight else {}
     gbt = GBTClassifier(maxIter=80, stepSize=0.1, maxDepth=4, seed=42)
@@ -227,9 +270,29 @@ def classifiers(n_train: int, n_classes: int, weight: str | None = "weight") ->
         ("Decision Tree", DecisionTreeClassifier(maxDepth=10, seed=42, **kw)),
         ("Random Forest", RandomForestClassifier(numTrees=150, featureSubsetStrategy="sqrt", seed=42, **kw)),
         ("Gradient Boosting", gbt if n_classes <= 2 else OneVsRest(classifier=gbt)),
+        ("K-Nearest Neighbors", Neighbours(min(5, n_train // 10 or 1))),
     ]
 
 
+class Neighbours:
+    """The neighbour vote with the ``fit`` / ``transform`` shape of the other candidates,
+    over rows with ``__row`` (a unique long), ``features`` and an integer-valued ``label``."""
+
+    def __init__(self, k: int, train: DataFrame | None = None):
+        self.k, self.train = k, train
+
+    def fit(self, train: DataFrame) -> "Neighbours":
+        return Neighbours(self.k, self._vectors(train))
+
+    @staticmethod
+    def _vectors(rows: DataFrame) -> DataFrame:
+        return rows.select("__row", "label", vector_to_array("features").alias("v"))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        votes = knn_vote(self.train, self._vectors(rows), "v", "label", "__row", k=self.k)
+        return rows.join(votes.select("__row", F.col("prediction").cast("double").alias("prediction")), "__row")
+
+
 def regressors(n_train: int) -> list[tuple[str, object]]:
     """Ridge (alpha 1 -> regParam 1/n, no standardisation), tree, forest, boosting."""
     return [
@@ -269,98 +332,117 @@ def _vector_names(df: DataFrame, col: str) -> list[str]:
 
 
 def tournament(df: DataFrame, target: str, key: list[str], task: str | None = None,
-               primary_keys: list[str] | None = None, seed: int = 42, parallelism: int = 8) -> dict:
-    """L6 / L8 end to end: features, preprocessing, hash split and folds,
-    CV score per model (macro F1 or R^2), test metrics, ranking and the best
-    model's importances. Returns DataFrames plus the fitted best model."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    data, numeric, categorical = prepare_features(df.select(*[q(c) for c in df.columns]), target, primary_keys)
-    keyed = df.filter(q(target).isNotNull()).select(*[q(c) for c in dict.fromkeys(key + data.columns)])
+               primary_keys: list[str] | None = None, seed: int = 42, parallelism: int = 8,
+               neighbour_rows: int = 100_000) -> dict:
+    """L6 / L8 end to end: features, stratified split and folds, preprocessing fitted on
+    each fold's own training rows, CV score per model (macro F1 or R^2), test metrics,
+    ranking, warnings and the best model's importances. Returns DataFrames plus the fitted
+    best model.
+
+    The split and folds are stratified when every class has two rows or more. A
+    regression drops rows without a numeric target and needs 20 rows. The neighbour vote
+    learns from at most about ``neighbour_rows`` labelled rows (chosen by hash), so its
+    work is linear in the rows it judges; all other models learn from all training rows.
+    Every fold's encoded frame is written to the checkpoint folder, as every model reads it."""
     if task is None:
         from ..plans.roles import detect_task_type
-        task = detect_task_type(keyed, target).collect()[0]["task"]
-    filled, stages = impute_scale_encode(keyed, numeric, categorical)
+        task = detect_task_type(df.filter(q(target).isNotNull()), target).collect()[0]["task"]
+    classify = task == "classification"
+    if not classify:
+        df = df.filter(numeric_value(target, df.schema[target].dataType).isNotNull())
+    data, numeric, categorical = prepare_features(df, target, primary_keys)
+    keyed = df.filter(q(target).isNotNull()).select(*[q(c) for c in dict.fromkeys(key + data.columns)])
     spark = df.sparkSession
-    if task == "classification":
-        enc, classes = encode_label(filled, target)
+    if classify:
+        rows, classes = encode_label(keyed, target)
         if len(classes) < 2 or len(classes) > 50:
             raise ValueError("classification needs 2..50 classes")
-        k = fold_count(enc, "label")
-        enc = class_weights(stratified_folds(stratified_split(enc, "label", key, 0.2, seed), "label", key, k, seed),
-                            "label")
-        models = classifiers(enc.filter(~F.col("is_test")).count(), len(classes))
-        ev = MulticlassClassificationEvaluator(metricName="f1", labelCol="label")
+        per_class = [r["count"] for r in rows.groupBy("label").count().collect()]  # <= 50 rows
+        k = min(5, min(per_class)) if min(per_class) >= 2 else 3
+        stratify = "label" if min(per_class) >= 2 else None
     else:
-        enc = filled.withColumn("label", q(target).cast("double"))
-        k = 5
-        enc = stratified_folds(stratified_split(enc, "label", key, 0.2, seed), "label", key, k, seed)
-        models = regressors(enc.filter(~F.col("is_test")).count())
-        ev = RegressionEvaluator(metricName="r2", labelCol="label")
-    # preprocessing is fitted once on the training rows; the encoded frame is
-    # written to the checkpoint folder, as every model and fold re-reads it
-    prep = Pipeline(stages=stages).fit(enc.filter(~F.col("is_test")))
-    keep = [c for c in ["label", "weight", "fold", "is_test", "features"] if c in enc.columns or c == "features"]
-    from ..session import cut_lineage
-    enc = cut_lineage(prep.transform(enc).select(*keep))
-    train, test = enc.filter(~F.col("is_test")), enc.filter(F.col("is_test"))
-    # every (model, fold) fit is an independent Spark job graph: submit them
-    # from a thread pool, as CrossValidator(parallelism=...) does
-    def fit_one(job):
-        pos, name, est, f = job
-        if f is None:
-            return job, Pipeline(stages=[est]).fit(train)
-        m = Pipeline(stages=[est]).fit(train.filter(F.col("fold") != f))
-        p = m.transform(train.filter(F.col("fold") == f))
-        return job, (_macro_f1(p) if task == "classification" else ev.evaluate(p))
-
-    jobs = [(pos, name, est, f) for pos, (name, est) in enumerate(models) for f in list(range(k)) + [None]]
-    results: dict = {}
+        rows = keyed.withColumn("label", numeric_value(target, keyed.schema[target].dataType))
+        if rows.count() < 20:
+            raise ValueError("Not enough rows for regression analysis.")
+        k, stratify, classes = 5, None, []
+    rows = split_and_folds(rows, stratify, key, k, 0.2, seed, row="__row")
+    n_train = rows.filter(~F.col("is_test")).count()
+    models = classifiers(n_train, len(classes)) if classify else regressors(n_train)
+    keep = ["__row", "label", "fold", "is_test", "features"] + (["weight"] if classify else [])
+    ev = None if classify else RegressionEvaluator(metricName="r2", labelCol="label")
+
+    def encode(fold: int | None) -> DataFrame:
+        """All rows (the training rows, for a fold), encoded by what the learning rows say."""
+        own = rows if fold is None else rows.filter(~F.col("is_test"))
+        learns = ~F.col("is_test") if fold is None else F.col("fold") != fold
+        filled, stages = impute_scale_encode(own, numeric, categorical, fit_on=own.filter(learns))
+        if classify:
+            filled = class_weights(filled, "label", fit_on=own.filter(learns))
+        prep = Pipeline(stages=stages).fit(filled.filter(learns))
+        return cut_lineage(prep.transform(filled).select(*keep)).withColumn("__learns", learns)
+
+    def learn(est, enc: DataFrame):
+        train = enc.filter("__learns")
+        if isinstance(est, Neighbours) and n_train > neighbour_rows:
+            train = train.filter(F.pmod(F.xxhash64("__row"), F.lit(n_train)) < neighbour_rows)
+        return est.fit(train)
+
+    def run(job):
+        name, est, fold = job
+        try:
+            model = learn(est, encoded[fold])
+            judged = model.transform(encoded[fold].filter("not __learns"))
+            if fold is None:
+                return model, judged
+            return _macro_f1(judged) if classify else ev.evaluate(judged)
+        except Exception as e:  # noqa: BLE001 - a failed model is reported, not fatal
+            return e
+
+    # every encoding and every (model, fold) fit is an independent Spark job graph: submit
+    # them from a thread pool, as CrossValidator(parallelism=...) does
+    folds = [*range(k), None]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        futures = [pool.submit(fit_one, j) for j in jobs]
-        for fut, j in zip(futures, jobs):
-            try:
-                results[(j[0], j[3])] = fut.result()[1]
-            except Exception as e:  # noqa: BLE001 - a failed model is reported, not fatal
-                results[(j[0], j[3])] = e
-    rows, fitted = [], {}
-    for pos, (name, _) in enumerate(models):
-        got = [results[(pos, f)] for f in list(range(k)) + [None]]
+        encoded = dict(zip(folds, pool.map(encode, folds)))
+        jobs = [(name, est, f) for name, est in models for f in folds]
+        results = dict(zip([(name, f) for name, _, f in jobs], pool.map(run, jobs)))
+    names = ["accuracy", "f1_macro"] if classify else ["r2", "rmse", "mae"]
+    table, fitted = [], {}
+    for name, _ in models:
+        got = [results[(name, f)] for f in folds]
         err = next((g for g in got if isinstance(g, Exception)), None)
         if err is not None:
-            rows.append((name, pos, None, None, None, None, str(err)[:200]))
+            table.append((name, *[None] * len(names), None, None, str(err)[:200]))
             continue
-        fold_rows, m = got[:-1], got[-1]
-        fitted[name] = m
-        p = m.transform(test)
-        if task == "classification":
-            met = classification_metrics(p)["summary"].collect()[0]
-            rows.append((name, pos, float(met["accuracy"] or 0.0), float(met["macro_f1"] or 0.0),
-                         *_mean_std(fold_rows), None))
+        fitted[name] = got[-1]
+        judged = got[-1][1]
+        if classify:
+            met = classification_metrics(judged)["summary"].collect()[0]
+            own = [round(float(met[c] or 0.0), 4) for c in ("accuracy", "macro_f1")]
         else:
-            met = regression_metrics(p).collect()[0]
-            rows.append((name, pos, met["r2"], met["rmse"], *_mean_std(fold_rows), None))
-    schema = ("model string, position int, test_metric double, test_metric2 double, cv_mean double, "
-              "cv_std double, error string")
-    res = spark.createDataFrame(rows, schema)
+            met = regression_metrics(judged).collect()[0]
+            own = [met[c] for c in names]
+        table.append((name, *own, *_mean_std(got[:-1]), None))
+    schema = ", ".join(f"{c} double" for c in [*names, "cv_mean", "cv_std"])
+    res = spark.createDataFrame(table, f"model string, {schema}, error string")
     res = res.withColumn("stability", rnd(F.greatest(F.lit(0.0), 1 - F.col("cv_std")) * 100, 1))
     ranked = rank_models(res, {n: i for i, (n, _) in enumerate(models)})
+    ranked = ranked.withColumn("is_best", F.col("is_best") & F.col("cv_mean").isNotNull())
+    for c in ("cv_mean", "cv_std"):
+        ranked = ranked.withColumn(c, rnd(F.col(c), 4))
+    out = {"models": ranked, "task": task, "folds": k, "warnings": training_warnings(rows, "label", task)}
     best_row = ranked.filter("is_best").collect()
-    out = {"models": ranked, "task": task, "folds": k}
-    if best_row and best_row[0]["model"] in fitted:
-        best = fitted[best_row[0]["model"]]
-        p = best.transform(test)
+    if best_row:
+        best, judged = fitted[best_row[0]["model"]]
         out["best"] = best
-        if task == "classification":
-            out["metrics"] = classification_metrics(p)
-            out["confusion"] = confusion_matrix(p.withColumn("label", F.col("label").cast("int"))
+        if classify:
+            out["metrics"] = classification_metrics(judged)
+            out["confusion"] = confusion_matrix(judged.withColumn("label", F.col("label").cast("int"))
                                                 .withColumn("prediction", F.col("prediction").cast("int")),
                                                 list(range(len(classes))), max_classes=25)
         else:
-            out["metrics"] = regression_metrics(p)
-        names = _vector_names(enc, "features")
-        last = best.stages[-1]
-        out["importance"] = spark.createDataFrame(feature_importance(last, names, n=25) or [],
-                                                  "feature string, importance double")
+            out["metrics"] = regression_metrics(judged)
+        out["importance"] = spark.createDataFrame(
+            feature_importance(best, _vector_names(encoded[None], "features"), n=25), "feature string, importance double")
     return out
 
 
@@ -412,15 +494,21 @@ def _block_top_k(k: int, exclude_self: bool = False):
             keep = approx <= (kth + margin)[:, None]
             if exclude_self:
                 keep &= ~own
-            rows, cols = np.nonzero(keep)
-            diff = q[rows] - tv[cols]
-            d = np.einsum("nd,nd->n", diff, diff)
-            order = np.lexsort((tk[cols], d, rows))
-            rows, cols, d = rows[order], cols[order], d[order]
-            first = np.searchsorted(rows, rows, side="left")
-            take = (np.arange(len(rows)) - first) < kk
-            out.append(pd.DataFrame({"qk": qks[rows[take]], "tk": tk[cols[take]],
-                                     "y": ty[cols[take]], "d": d[take]}))
+            # ties within the margin may keep a whole block: re-measure in slices of queries
+            counts = keep.sum(axis=1)
+            part = (np.cumsum(counts) - counts) // max(1, 4_000_000 // max(1, tv.shape[1]))
+            for p in np.unique(part):
+                mine = np.nonzero(part == p)[0]
+                rows, cols = np.nonzero(keep[mine])
+                rows = mine[rows]
+                diff = q[rows] - tv[cols]
+                d = np.einsum("nd,nd->n", diff, diff)
+                order = np.lexsort((tk[cols], d, rows))
+                rows, cols, d = rows[order], cols[order], d[order]
+                first = np.searchsorted(rows, rows, side="left")
+                take = (np.arange(len(rows)) - first) < kk
+                out.append(pd.DataFrame({"qk": qks[rows[take]], "tk": tk[cols[take]],
+                                         "y": ty[cols[take]], "d": d[take]}))
         return pd.concat(out, ignore_index=True)
     return run
 

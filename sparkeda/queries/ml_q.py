@@ -1,6 +1,7 @@
 """Predictive-analysis queries (L1-L16). Metrics, weights, labels, warnings and
 ranking are checked against DuckDB on rule-based predictions derived from the
-tables; model fitting (tournaments, neighbours) is checked by rows only."""
+tables, splits, folds and the neighbour vote on the tables themselves; model fitting
+(tournaments) is checked by rows only."""
 
 from __future__ import annotations
 
@@ -121,12 +122,31 @@ def _prep(spark, sf):
     return Pipeline(stages=stages).fit(filled).transform(filled).select("quality", "features")
 
 
-@register("stratified_split_doc_quality")
-def _split(spark, sf):
+_SPLIT = with_views("doc_quality") + """,
+r AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY quality) AS n, row_number() OVER (
+        PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || '|split42'), doc_id) - 1 AS place FROM doc_quality),
+k AS (SELECT CASE WHEN min(n) >= 2 THEN least(5, min(n)) ELSE 3 END AS k FROM r),
+t AS (SELECT *, CAST(floor(n * 0.2::DOUBLE + 0.5) AS BIGINT) AS cut FROM r, k),
+s AS (SELECT doc_id, quality, place < cut AS is_test,
+             CASE WHEN place >= cut THEN CAST((place - cut) % k AS INTEGER) END AS fold FROM t)"""
+
+
+def _split_rows(spark, sf):
     d = dv.doc_quality(spark, sf)
-    k = ml.fold_count(d, "quality")
-    s = ml.stratified_folds(ml.stratified_split(d, "quality", ["doc_id"]), "quality", ["doc_id"], k)
-    return s.groupBy("quality", "is_test", "fold").count()
+    return ml.split_and_folds(d, "quality", ["doc_id"], ml.fold_count(d, "quality"))
+
+
+register("stratified_split_doc_quality",
+         _SPLIT + "\nSELECT quality, is_test, fold, count(*) AS count FROM s GROUP BY ALL")(
+    lambda spark, sf: _split_rows(spark, sf).groupBy("quality", "is_test", "fold").count())
+register("stratified_rows_doc_quality", _SPLIT + "\nSELECT * FROM s")(
+    lambda spark, sf: _split_rows(spark, sf).select("doc_id", "quality", "is_test", "fold"))
+register("training_warnings_regression_nation", """SELECT 0 AS n, 'Regression task detected (continuous target).' AS warning
+  UNION ALL SELECT 1, 'Small training sample — regression metrics may be unstable.' FROM nation HAVING count(n_regionkey) < 200""")(
+    lambda spark, sf: ml.training_warnings(table(spark, sf, "nation"), "n_regionkey", "regression").withColumn("n", F.col("n").cast("int")))
+register("training_warnings_regression_orders", """SELECT 0 AS n, 'Regression task detected (continuous target).' AS warning
+  UNION ALL SELECT 1, 'Small training sample — regression metrics may be unstable.' FROM orders HAVING count(o_totalprice) < 200""")(
+    lambda spark, sf: ml.training_warnings(table(spark, sf, "orders"), "o_totalprice", "regression").withColumn("n", F.col("n").cast("int")))
 
 
 @register("tournament_classification_doc_quality")
@@ -139,7 +159,19 @@ def _tourn_r(spark, sf):
     return ml.tournament(dv.doc_quality(spark, sf).drop("toxic"), "n_chars", ["doc_id"], task="regression")["models"]
 
 
-@register("knn_vote_embeddings")
+@register("knn_vote_embeddings", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, count(*) OVER (PARTITION BY label) AS n,
+        row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '|split42'), vec_id) - 1 AS place
+      FROM embeddings),
+s AS (SELECT *, place < floor(n * 0.2::DOUBLE + 0.5) AS is_test FROM e),
+p AS (SELECT a.vec_id AS qk, b.vec_id AS tk, b.label AS y,
+        list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+      FROM s a, s b WHERE a.is_test AND NOT b.is_test),
+r AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY d, tk) AS rn FROM p),
+n AS (SELECT qk, y, count(*) AS votes FROM r
+      WHERE rn <= (SELECT least(5, greatest(1, count(*) // 10)) FROM s WHERE NOT is_test) GROUP BY qk, y),
+b AS (SELECT *, row_number() OVER (PARTITION BY qk ORDER BY votes DESC, y) AS rn FROM n)
+SELECT qk AS vec_id, CAST(y AS BIGINT) AS prediction, CAST(votes AS BIGINT) AS votes FROM b WHERE rn = 1""")
 def _knn(spark, sf):
     e = table(spark, sf, "embeddings")
     s = ml.stratified_split(e, "label", ["vec_id"])
