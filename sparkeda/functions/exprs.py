@@ -118,3 +118,14 @@ def unpivot_values(df: DataFrame, cols: list[str], value: Column | None = None,
         structs.append(F.struct(F.lit(c).alias(name_col), F.lit(i).alias("position"),
                                 v.alias(value_col)))
     return df.select(F.inline(F.array(*structs)))
+
+
+def json_object(df) -> Column:
+    """A row of ``df`` as a JSON object: nulls are written, non-finite numbers become null."""
+    def finite(f):
+        if f.dataType.typeName() not in ("double", "float"):
+            return q(f.name)
+        bad = F.isnan(q(f.name)) | (F.abs(q(f.name)) == F.lit(float("inf")))
+        return F.when(~bad, q(f.name)).alias(f.name)
+
+    return F.to_json(F.struct(*[finite(f) for f in df.schema.fields]), {"ignoreNullFields": "false"})

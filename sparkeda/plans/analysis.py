@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import kind_of, local_frame, q, rnd
+from ..functions.exprs import json_object, kind_of, local_frame, q, rnd
 from ..operators import correlation as co
 from ..operators import distribution as di
 from ..operators import outliers as ou
@@ -31,24 +31,36 @@ def dedup_by_entity(df: DataFrame, entity: str, order: str, cols: list[str]) ->
     return df.filter(q(entity).isNotNull()).groupBy(q(entity).alias(entity)).agg(*aggs)
 
 
-def profile(df: DataFrame, method: str = "exact") -> dict[str, DataFrame]:
-    """Missing profile, numeric stats, value counts of text columns, datetime
-    ranges, duplicates and the correlation matrix of numeric-typed columns."""
+def profile(df: DataFrame, method: str = "exact", sections: list[str] | None = None) -> dict[str, DataFrame]:
+    """Missing profile, numeric stats, outliers, histograms, value counts of text
+    columns, datetime ranges, duplicates and the correlation matrix of numeric-typed
+    columns; ``sections`` picks some of them."""
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     numeric = [c for c, k in kinds.items() if k == "numeric"]
     text = [c for c, k in kinds.items() if k == "string"]
     dates = [c for c, k in kinds.items() if k == "datetime"]
-    out = {"missing": st.missing_profile(df), "duplicates": st.duplicate_summary(df)}
+    make = {"missing": lambda: st.missing_profile(df), "duplicates": lambda: st.duplicate_summary(df)}
     if numeric:
-        out["numeric"] = st.numeric_stats(df, numeric, method=method)
-        out["outliers"] = ou.iqr_outliers(df, numeric, method=method)
-        out["histograms"] = di.histogram(df, numeric)
+        make["numeric"] = lambda: st.numeric_stats(df, numeric, method=method)
+        make["outliers"] = lambda: ou.iqr_outliers(df, numeric, method=method)
+        make["histograms"] = lambda: di.histogram(df, numeric)
     if len(numeric) > 1:
-        out["correlations"] = co.correlation_matrix(df, numeric)
+        make["correlations"] = lambda: co.correlation_matrix(df, numeric)
     if text:
-        out["value_counts"] = st.value_counts(df, text)
+        make["value_counts"] = lambda: st.value_counts(df, text)
     if dates:
-        out["datetime"] = st.datetime_profile(df, dates)
+        make["datetime"] = lambda: st.datetime_profile(df, dates)
+    return {name: fn() for name, fn in make.items() if sections is None or name in sections}
+
+
+def profile_json(df: DataFrame, method: str = "exact", sections: list[str] | None = None) -> DataFrame:
+    """G9 as one long table (section, payload) over all sections of ``profile``: a JSON
+    object per row. Nulls are written; numbers that JSON lacks (NaN, infinities) are null."""
+    parts = [frame.select(F.lit(name).alias("section"), json_object(frame).alias("payload"))
+             for name, frame in profile(df, method, sections).items()]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
     return out
 
 

@@ -102,6 +102,20 @@ register("profile_long_lineitem", _profile_long_sql())(
     lambda spark, sf: _r(an.profile_long(table(spark, sf, "lineitem")), ["value"]))
 
 
+register("profile_json_events_missing", with_views("events_missing") + f""",
+m AS ({missing_sql('events_missing', [c for c, _ in TABLES['events']])}),
+v AS (SELECT 'event_type' AS col, 0 AS pos, event_type AS v FROM events_missing UNION ALL SELECT 'props', 1, props FROM events_missing),
+c AS (SELECT pos, col, coalesce(v, 'NoData') AS v, count(*) AS n FROM v WHERE v IS NULL OR lower(trim(v)) <> 'nan' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, v) AS rank FROM c),
+d AS (SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM events_missing)) AS dr FROM events_missing)
+SELECT 'missing' AS section, CAST(to_json({{'position': position, 'column': "column", 'missing_count': missing_count,
+  'missing_percent': CAST(missing_percent AS DOUBLE)}}) AS VARCHAR) AS payload FROM m
+UNION ALL SELECT 'duplicates', CAST(to_json({{'rows': rows, 'distinct_rows': dr, 'duplicate_rows': rows - dr,
+  'duplicate_percent': CAST({srnd('(rows - dr) * 100.0 / rows', 2)} AS DOUBLE)}}) AS VARCHAR) FROM d
+UNION ALL SELECT 'value_counts', CAST(to_json({{'column': col, 'position': pos, 'value': v, 'count': n, 'rank': rank}}) AS VARCHAR) FROM r""")(
+    lambda spark, sf: an.profile_json(dv.events_missing(spark, sf), sections=["missing", "duplicates", "value_counts"]))
+
+
 register("profile_summary_orders", f"""WITH {roles_ctes('orders', TABLES['orders'])}
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST(6 AS BIGINT) AS columns, CAST(count(*) AS BIGINT) AS sampled_rows,
   (SELECT string_agg("column", ', ' ORDER BY position) FROM r WHERE is_key) AS primary_keys, 1.0 AS sample_ratio FROM orders""")(

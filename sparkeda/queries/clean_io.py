@@ -131,9 +131,9 @@ register("downsample_events",
     lambda spark, sf: io.downsample_ordered(table(spark, sf, "events"), ["ts", "event_id"], 3000))
 
 
-@register("sample_rows_lineitem")
+@register("sample_rows_lineitem", """SELECT * FROM lineitem ORDER BY md5(CAST(l_orderkey AS VARCHAR) || '|' ||
+  CAST(l_linenumber AS VARCHAR) || '|sample42'), l_orderkey, l_linenumber LIMIT 5000""")
 def _sample(spark, sf):
-    """Rows-only check: exactly n rows of the whole table."""
     li = table(spark, sf, "lineitem")
     return io.sample_rows(li, 5000, keys=["l_orderkey", "l_linenumber"])
 

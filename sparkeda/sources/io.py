@@ -95,7 +95,9 @@ def dataset_inventory(spark: SparkSession, directory: str, names: list[str] | No
     """(dataset, rows, columns) for each parquet table of a folder; counts come
     from parquet footers, so nothing but metadata is read."""
     if names is None:
-        names = sorted(p[:-8] for p in os.listdir(directory) if p.endswith(".parquet"))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(directory)  # any store that Spark reads
+        listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        names = sorted(f[:-8] for f in (s.getPath().getName() for s in listed) if f.endswith(".parquet"))
     parts = []
     for nm in names:
         t = spark.read.parquet(f"{directory.rstrip('/')}/{nm}.parquet")
@@ -112,7 +114,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: list[str] | None =
                 total: int | None = None) -> DataFrame:
     """Exactly ``n`` rows without replacement (all rows when there are fewer).
 
-    Rows are ranked by a seeded 64-bit hash of ``keys`` (all columns by default);
+    Rows are ranked by a seeded MD5 of ``keys`` (all columns by default);
     the ``n`` smallest hashes win. A hash threshold chosen from the row count
     first cuts each task to ~n/tasks candidates, so the final top-n merge sees
     about n rows, not n per task.
@@ -121,12 +123,11 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: list[str] | None =
     total = df.count() if total is None else total
     if total <= n:
         return df
-    h = F.xxhash64(*[q(k) for k in keys], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[q(k).cast("string") for k in keys], F.lit(f"sample{seed}")))
     frac = min(1.0, n / total * 1.05 + 8.0 * (n ** 0.5) / total)
-    bound = -(2 ** 63) + int(frac * (2 ** 64))
     cand = df.withColumn("__h", h)
-    if bound < 2 ** 63 - 1:
-        pre = cand.filter(F.col("__h") < F.lit(bound))
+    if frac < 1.0:
+        pre = cand.filter(F.col("__h") < F.lit(f"{int(frac * 16 ** 15):015x}"))
         if pre.count() >= n:
             cand = pre
     return cand.orderBy("__h", *[q(k) for k in keys]).limit(n).drop("__h")
