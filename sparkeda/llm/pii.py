@@ -188,23 +188,42 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.expr(f"array_join({listed((*KINDS, 'term'))}, ',')").alias("spans"))
 
 
-def _replaced(text: str, kind: str) -> str:
-    """SQL: ``text`` with every valid match of a kind replaced by its name."""
-    p = _quote(_PATTERNS[kind])
-    parts = (f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (a, m) -> concat(a, "
-             f"case when m is null then '' when {_valid(kind, 'm')} then '[{kind.upper()}]' else m end))")
-    return f"case when {text} rlike {_quote(_HINTS[kind])} then array_join({parts}, '') else {text} end"
+def _merged(spans: str) -> str:
+    """SQL: (s, e, l, k) spans with those that overlap made one, under the kind of the longest,
+    in the order of the text and in blocks, so that very many spans stay near linear."""
+    span_t = "struct<s:int,e:int,l:int,k:string>"
+    return (f"aggregate(array_sort({spans}), named_struct('done', cast(array() as array<array<{span_t}>>), "
+            f"'b', cast(array() as array<{span_t}>), 'g', cast(null as {span_t})), "
+            "(acc, x) -> case when acc.g is null then named_struct('done', acc.done, 'b', acc.b, 'g', x) "
+            "when x.s < acc.g.e then named_struct('done', acc.done, 'b', acc.b, 'g', named_struct('s', acc.g.s, "
+            "'e', greatest(acc.g.e, x.e), 'l', greatest(acc.g.l, x.l), 'k', case when x.l > acc.g.l then x.k else acc.g.k end)) "
+            f"when size(acc.b) >= {_BLOCK} then named_struct('done', concat(acc.done, array(acc.b)), 'b', array(acc.g), 'g', x) "
+            "else named_struct('done', acc.done, 'b', concat(acc.b, array(acc.g)), 'g', x) end, "
+            "acc -> concat(acc.done, array(concat(acc.b, array(acc.g)))))")
+
+
+def _replaced(text: str, blocks: str) -> str:
+    """SQL: ``text`` with each span of the blocks replaced by the name of its kind."""
+    part = (f"named_struct('b', b, 'at', b[0].s, 'end', coalesce(get({blocks}, i + 1)[0].s, length({text})))")
+    cut = f"named_struct('b', p.b, 'at', p.at, 'end', p.end, 't', substring({text}, p.at + 1, p.end - p.at))"
+    named = ("array_join(transform(c.b, (x, j) -> concat('[', upper(x.k), ']', "
+             "substring(c.t, x.e - c.at + 1, coalesce(get(c.b, j + 1).s, c.end) - x.e))), '')")
+    return (f"concat(substring({text}, 1, {blocks}[0][0].s), array_join(transform(transform(transform({blocks}, "
+            f"(b, i) -> {part}), p -> {cut}), c -> {named}), ''))")
 
 
 def sanitise(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``df`` with personal data replaced by the name of its kind and disclosing terms
-    generalised to ``[TERM]``; all other columns and clean texts stay as they are."""
+    generalised to ``[TERM]``; all other columns and clean texts stay as they are. All spans
+    are found in the text as it was, overlapping ones are replaced as one."""
     terms = disclosing_terms(df, text_col, **how)
-    out = _with_terms(df, text_col, terms)
-    w = _quote(_WORD)
-    for kind in KINDS:
-        out = out.withColumn(text_col, F.expr(_replaced(f"`{text_col}`", kind)))
-    general = (f"case when size(__terms) > 0 then array_join(zip_with(split(`{text_col}`, {w}, -1), "
-               f"regexp_extract_all(`{text_col}`, {w}, 0), (a, m) -> concat(a, case when m is null then '' "
-               f"when array_contains(__terms, lower(m)) then '[TERM]' else m end)), '') else `{text_col}` end")
-    return out.withColumn(text_col, F.expr(general)).drop("__terms")
+    # the text as a string beside the columns of ``df``, which may have any names
+    held = _with_terms(df, text_col, terms).withColumn("__text", F.col(f"`{text_col}`").cast("string"))
+    found = base_spans(held.withColumn("__term", F.expr(_term_spans("__text", "__terms"))), "__text")
+    spans = "concat(" + ",".join(
+        f"transform(coalesce(__{k}, cast(array() as {_SPAN})), x -> named_struct('s', x.s, 'e', x.e, 'l', x.e - x.s, 'k', '{k}'))"
+        for k in (*KINDS, "term")) + ")"
+    out = found.withColumn("__spans", F.expr(spans)) \
+        .withColumn("__blocks", F.expr(f"case when size(__spans) > 0 then {_merged('__spans')} end"))
+    text = F.expr(f"case when __blocks is null then `{text_col}` else {_replaced('__text', '__blocks')} end")
+    return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])

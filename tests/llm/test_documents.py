@@ -1,6 +1,7 @@
 """BPE, packing, SimHash, personal data and language ID against brute force."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -224,6 +225,19 @@ def test_personal_data_edges(spark):
     assert pii.sanitise(clashing(df)).columns == clashing(df).columns
 
 
+def test_sanitise_leaves_nothing_of_a_span(spark):
+    """Every character of a span found in the text goes, also where kinds overlap."""
+    texts = ["call +33.1.42.68.53.00 now", "+1.2.3.4", "a@1.2.3.4 x", "+4111 1111 1111 1111", "x@y.z 10.0.0.1 " * 200,
+             "é😀 +44.20.7946.0958é x@y.zz", "clean", "", None] + random_texts(300, seed=8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[0] == "call [PHONE] now" and clean[7] == "" and clean[8] is None
+    for i, t in enumerate(texts):
+        gone = {at for x in brute_base(t) for at in range(*map(int, x.split(":")[1:]))}
+        kept = "".join(c for at, c in enumerate(t or "") if at not in gone)
+        assert re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "", clean[i] or "") == kept, t
+
+
 # -- op 8 ----------------------------------------------------------------------------------
 def test_language_id_on_held_out_documents(spark, sf, docs):
     got = {r["doc_id"]: r for r in queries.QUERIES["op8_language_id"](spark, sf).collect()}
