@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
-from .vectors import best, cells_for, matrix, usable
+from .vectors import best, cells_for, first_of_each, matrix, usable
 
 _PHI = np.vectorize(lambda x: 0.5 * (1.0 + erf(x / sqrt(2.0))), otypes=[float])
 _SPAN = 64                 # interval numbers are kept within +-_SPAN
@@ -77,7 +77,7 @@ def _by_length(batch: pa.RecordBatch):
         yield np.asarray(part.column(0)), matrix(part.column(1)), part.column(1)
 
 
-def _measure(k: int, tables: int):
+def _measure(k: int):
     """Cogroup step of one work cell: exact cosines of the rows in the visited buckets."""
 
     def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
@@ -98,6 +98,7 @@ def _measure(k: int, tables: int):
                 a, b = np.searchsorted(unit_key, [u, u + 1])
                 c, d = np.searchsorted(ask_unit, [u, u + 1])
                 x = matrix(vectors.slice(a, b - a))
+                most = int(np.unique(ids[a:b], return_counts=True)[1].max())
                 norm = np.sqrt((x * x).sum(axis=1))
                 for i in ask_row[c:d]:
                     q = np.asarray(query_v[int(i)].values, dtype=np.float64)
@@ -106,18 +107,22 @@ def _measure(k: int, tables: int):
                     # row by row, so equal vectors get equal scores wherever they lie
                     score = (x * q).sum(axis=1) / (norm * np.sqrt((q * q).sum()))
                     score[ids[a:b] == query_id[i]] = -np.inf
-                    if len(score) > k:
-                        cut = np.partition(score, len(score) - k)[len(score) - k]
+                    # an id with several vectors counts once, by its best
+                    wide = k * most
+                    if len(score) > wide:
+                        cut = np.partition(score, len(score) - wide)[len(score) - wide]
                         near = np.flatnonzero(score >= cut)
                     else:
                         near = np.arange(len(score))
                     near = near[score[near] > -np.inf]
-                    near = near[np.lexsort((ids[a:b][near], -score[near]))[:k]]
+                    near = near[np.lexsort((ids[a:b][near], -score[near]))]
+                    near = near[first_of_each(ids[a:b][near])[:k]]
                     found.setdefault(int(query_id[i]), []).append((ids[a:b][near], score[near]))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for q, parts in found.items():                            # the best of this cell for each query
             vec, score = (np.concatenate(x) for x in zip(*parts))
-            top = np.lexsort((vec, -score))[:k * tables]          # a row may be here once for each table
+            top = np.lexsort((vec, -score))
+            top = top[first_of_each(vec[top])[:k]]                # a row may be here once for each table
             out.append((np.full(len(top), q), vec[top], score[top]))
         q, vec, score = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": q.astype(np.int64), "vec_id": vec.astype(np.int64), "score": score})
@@ -174,5 +179,5 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     lists = visits.groupBy("query_id", "cell").agg(F.collect_set("unit").alias("units")) \
         .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     found = placed.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(
-        lambda a, b: _measure(k, tables)(a, b), "query_id long, vec_id long, score double")
+        lambda a, b: _measure(k)(a, b), "query_id long, vec_id long, score double")
     return best(found, k, "double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, cells_for, matrix, usable
+from .vectors import best, cells_for, first_of_each, matrix, usable
 
 QUERY_BLOCK = 1024
 _EXACT = 2.0 ** 52
@@ -56,7 +56,10 @@ def _exact(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
-    """For each query (index, ids, scores) of its best ``k`` rows: bounds first, then exact."""
+    """For each query (index, ids, scores) of its best ``k`` ids: bounds first, then exact. An
+    id with several rows counts once, by its best."""
+    most = int(np.unique(ids, return_counts=True)[1].max(initial=1))
+    wide = k * most                                           # rows that hold k ids at least
     levels = [(_statistics(rows, s), _statistics(queries, s)) for s in _segments(rows.shape[1])]
     row_len, query_len = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     slack = 1e-9 * (row_len.max(initial=0.0) + 1.0)           # for rounding in the bounds
@@ -66,12 +69,13 @@ def search_block(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_i
         floor = -np.inf
         for depth, (r, s) in enumerate(levels):
             bound = r[here] @ s[i] + extra
-            if depth == 0 and len(here) > 4 * k:              # a first k-th best from the best bounds
-                first = here[np.argpartition(-bound, 4 * k)[:4 * k]]
-                floor = float(np.partition(_exact(rows[first], q), -k)[-k])
+            if depth == 0 and len(here) > 4 * wide:           # a first k-th best from the best bounds
+                first = here[np.argpartition(-bound, 4 * wide)[:4 * wide]]
+                floor = float(np.partition(_exact(rows[first], q), -wide)[-wide])
             here = here[bound >= floor]
         score = _exact(rows[here], q)
-        top = np.lexsort((ids[here], -score.astype(object) if score.min(initial=0) == -2 ** 63 else -score))[:k]
+        top = np.lexsort((ids[here], -score.astype(object) if score.min(initial=0) == -2 ** 63 else -score))
+        top = top[first_of_each(ids[here][top])[:k]]
         yield i, ids[here][top], score[top]
 
 

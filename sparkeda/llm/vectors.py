@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): rows with an id and a vector without null or non-finite components."""
+    """(vec_id, v): distinct rows with an id and a vector without null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")) \
         .filter("vec_id is not null and v is not null and size(v) > 0") \
-        .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+        .filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))) \
+        .distinct()
+
+
+def first_of_each(ids: np.ndarray) -> np.ndarray:
+    """Places of the first of each id, in order."""
+    return np.sort(np.unique(ids, return_index=True)[1])
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -115,3 +115,26 @@ def test_probes_come_in_the_order_of_success():
     near = 0.6 * q + 0.8 * noise / np.linalg.norm(noise, axis=1)[:, None]
     share = np.isin(h.buckets(0, near), visited).mean()
     assert share > 0.85
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_repeated_rows_push_nobody_out(spark, copies):
+    """The nearest row many times over, and one id with many vectors, count once."""
+    r = np.random.default_rng(9)
+    near = r.normal(size=8)
+    rows = [(0, near)] + [(i, near + 0.05 * i * r.normal(size=8)) for i in range(1, 60)]
+    rows += [(1, rows[1][1])] * copies + [(2, rows[2][1] * (1 + j / 100)) for j in range(copies)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    asked = df.filter("vec_id = 0")
+    best_of = lambda f: sorted(((-max(f(v) for j, v in rows if j == i), i) for i in range(1, 60)))[:5]
+    cos = best_of(lambda v: v @ near / np.sqrt(v @ v) / np.sqrt(near @ near))
+    got = sorted(ann.nearest(df, asked, success=1 - 1e-9, width=8.0, hashes=2).collect(), key=lambda x: x["rank"])
+    assert [x["vec_id"] for x in got] == [i for _, i in cos]
+    assert [x["score"] for x in got] == pytest.approx([-x for x, _ in cos])
+    q = np.floor(1024 * near)
+    inner = best_of(lambda v: int(np.floor(1024 * v) @ q))
+    got = sorted(topk.top_k(df, asked, k=5).collect(), key=lambda x: x["rank"])
+    assert [(-x["score"], x["vec_id"]) for x in got] == inner
+    m = np.array([v for _, v in rows])
+    ((_, ids, score),) = topk.search_block(np.floor(1024 * m), np.array([i for i, _ in rows]), q[None], np.array([0]), 5)
+    assert list(zip(-score, ids)) == inner
