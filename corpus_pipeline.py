@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data; ``n_chars`` follows the text."""
-    out = pii.sanitise(docs)
+    out = pii.sanitise(docs, whole_texts=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

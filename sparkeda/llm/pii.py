@@ -9,7 +9,9 @@ discloses e when
     PMI(e; t) = log p(e|t) / p(e)  >=  disclosure * IC(e),   IC(e) = -log p(e),
 
 that is when knowing t removes at least that part of the information content of e. Such
-terms are spans too (kind ``term``), wherever they occur, and are generalised.
+terms are spans too (kind ``term``), wherever they occur, and are generalised. With
+``whole_texts`` every word of a text that holds e is weighed, whatever its length and
+however few the texts, by a p(e|t) drawn towards p(e); the queries do so.
 
 Patterns use possessive quantifiers and start only at the edge of a run (or where the last
 match ended), which gives the same leftmost matches in linear time.
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .tables import written
 
 KINDS = ("email", "ip", "card", "phone")
 _PATTERNS = {
@@ -33,6 +36,7 @@ _PATTERNS = {
 _HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 _WORD = r"\p{L}++"
 _BLOCK = 64
+_KEY = "unhex(md5(cast({} as binary)))"
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -104,13 +108,17 @@ def _beside(kind: str, text: str, chars: int, words: int) -> str:
 
 
 def disclosing_terms(df: DataFrame, text_col: str = "text", disclosure: float = 0.9, support: int = 3,
-                     letters: int = 4, context_words: int = 4, context_chars: int = 100) -> DataFrame:
+                     letters: int = 4, context_words: int = 4, context_chars: int = 100,
+                     whole_texts: bool = False, prior: float = 0.5) -> DataFrame:
     """(term, entity, texts, disclosure) of terms that disclose a protected entity.
 
     Counts are over distinct texts of the whole corpus, so exact copies add no evidence;
     a pair needs ``support`` texts. Words of fewer than ``letters`` letters are left
-    alone. The frame is checkpointed."""
+    alone. With ``whole_texts`` neither these two nor the context bound what is weighed:
+    see ``_whole_text_terms``. The frame is checkpointed."""
     rows = df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    if whole_texts:
+        return _whole_text_terms(rows, disclosure, prior)
     entities = rows.select(F.expr("md5(cast(text as binary))").alias("key"), F.explode(F.flatten(F.array(
         *[F.expr(_beside(k, "text", context_chars, context_words)) for k in KINDS]))).alias("x")) \
         .select("key", F.lower("x.entity").alias("entity"), "x.terms")
@@ -138,13 +146,58 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", disclosure: float =
                        .select("term", "entity", F.col("both").alias("texts"), "disclosure"))
 
 
-def _texts_with(rows: DataFrame, terms: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+def _whole_text_terms(rows: DataFrame, disclosure: float, prior: float) -> DataFrame:
+    """(term, entity, texts, disclosure) over all words, outside the entities, of the distinct
+    texts that hold an entity. p(e|t) is (texts with both + prior p(e)) / (texts with t +
+    prior): a pair seen in one text alone is judged too, and counts for less than one seen often."""
+    texts = written(rows.distinct().withColumn("key", F.expr("md5(cast(text as binary))")), "pii-texts")
+    spans = "concat(" + ",".join(f"coalesce(__{k}, cast(array() as {_SPAN}))" for k in KINDS) + ")"
+    blocks = _merged(f"transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'l', x.e - x.s, 'k', '1'))")
+    found = base_spans(texts).filter(F.expr(f"size({spans}) > 0")) \
+        .withColumn("entities", F.expr(f"array_distinct(transform({spans}, x -> lower(x.m)))")) \
+        .withColumn("__blocks", F.expr(blocks)) \
+        .withColumn("outside", F.expr(_replaced("text", "__blocks")))
+    words = f"array_distinct(regexp_extract_all(lower(outside), {_quote(_WORD)}, 0))"
+    held = written(found.select("key", "entities", F.expr(words).alias("words")), "pii-held")
+    n = texts.count()
+    # the most texts with t, t beside e in all texts of e, at which t can still disclose e
+    entities = held.select("key", F.explode("entities").alias("entity"))
+    per_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")) \
+        .withColumn("p_e", F.col("of_entity") / F.lit(float(max(n, 1)))).filter("p_e < 1.0") \
+        .withColumn("most", F.expr(f"(of_entity + {prior!r} * p_e) / pow(p_e, {1.0 - disclosure!r}) - {prior!r} + 1e-6"))
+    beside = held.select("key", F.explode("words").alias("term"))
+    near_any = beside.groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
+    measure = f"ln(((both + {prior!r} * p_e) / ({{}} + {prior!r})) / p_e) / -ln(p_e)"
+    # common words drop out within the join, before any pair of them is made
+    pairs = entities.join(per_entity, "entity").join(beside.join(near_any, "term"), "key") \
+        .filter("near_any <= most").groupBy("entity", "term") \
+        .agg(F.count(F.lit(1)).alias("both"), F.first("p_e").alias("p_e"), F.first("near_any").alias("near_any")) \
+        .filter(F.expr(measure.format("near_any")) >= disclosure).select("entity", "term", "both", "p_e")
+    pairs = written(pairs, "pii-pairs")
+    of_term = _words_of(texts).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    scored = pairs.join(of_term, "term").withColumn("disclosure", F.expr(measure.format("of_term")))
+    return cut_lineage(scored.filter(F.col("disclosure") >= disclosure)
+                       .select("term", "entity", F.col("both").alias("texts"), "disclosure"))
+
+
+def _words_of(rows: DataFrame) -> DataFrame:
+    """(key, term): every text's distinct words."""
+    words = F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quote(_WORD)}, 0)"))
+    # both before the explode, or the text would be digested again for each of its words
+    return rows.select(F.expr(_KEY.format("text")).alias("key"), words.alias("words")).select("key", F.explode("words").alias("term"))
+
+
+def _texts_with(rows: DataFrame, terms: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Distinct (key, term): which distinct texts hold which of the terms. The terms are
-    broadcast only when a count shows they are few; beyond that the join shuffles."""
-    small = F.broadcast(terms) if terms.count() <= broadcast_rows else terms
-    words = rows.select(F.expr("md5(cast(text as binary))").alias("key"),
-                        F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quote(_WORD)}, 0)"))).alias("term"))
-    return words.join(small, "term", "left_semi").distinct()
+    broadcast only when a count shows they are few; beyond that the join shuffles, without
+    the most frequent words that are no terms."""
+    words = _words_of(rows)
+    if terms.count() <= broadcast_rows:
+        return words.join(F.broadcast(terms), "term", "left_semi").distinct()
+    common = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(20_000)
+    common = cut_lineage(common.select("term").join(terms, "term", "left_anti"))
+    rare = words.join(F.broadcast(common), "term", "left_anti")
+    return rare.join(terms, "term", "left_semi").distinct()
 
 
 def _term_spans(text: str, terms: str) -> str:
@@ -162,7 +215,7 @@ def _with_terms(rows: DataFrame, text_col: str, terms: DataFrame, broadcast_rows
                                    terms.select("term").distinct()))
     per_text = hits.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
     per_text = F.broadcast(per_text) if hits.count() <= broadcast_rows else per_text
-    keyed = rows.withColumn("key", F.expr(f"md5(cast(`{text_col}` as binary))"))
+    keyed = rows.withColumn("key", F.expr(_KEY.format(f"`{text_col}`")))
     return keyed.join(per_text, "key", "left").drop("key").withColumn("__terms", F.coalesce("__terms", none))
 
 

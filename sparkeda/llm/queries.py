@@ -89,7 +89,7 @@ def op6_top_k(spark, sf_dir):
 @query
 def op7_personal_data(spark, sf_dir):
     from .pii import find_personal_data
-    return find_personal_data(table(spark, sf_dir, "documents"))
+    return find_personal_data(table(spark, sf_dir, "documents"), whole_texts=True)
 
 
 @query

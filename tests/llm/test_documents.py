@@ -1,9 +1,10 @@
 """BPE, packing, SimHash, personal data and language ID against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +217,47 @@ def test_personal_data_terms(spark):
     assert clean[0] == "text 0 please write [TERM] at [EMAIL] number 0"
 
 
+def brute_terms(texts, d=0.9, prior=0.5):
+    """{(term, entity): (texts, disclosure)} over whole distinct texts, from the definition."""
+    word = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
+    of_term, of_entity, both = Counter(), Counter(), Counter()
+    texts = {t for t in texts if t is not None}
+    for t in texts:
+        of_term.update(word(t))
+        spans = [tuple(map(int, x.split(":")[1:])) for x in brute_base(t)]
+        gone = {at for s in spans for at in range(*s)}
+        entities = {t[a:b].lower() for a, b in spans}
+        of_entity.update(entities)
+        both.update((w, e) for w in word("".join("1" if at in gone else c for at, c in enumerate(t))) for e in entities)
+    out = {}
+    for (w, e), k in both.items():
+        p = of_entity[e] / len(texts)
+        x = 0 if p == 1 else math.log((k + prior * p) / (of_term[w] + prior) / p) / -math.log(p)
+        if x >= d:
+            out[w, e] = (k, pytest.approx(x))
+    return out
+
+
+def test_personal_data_terms_of_whole_texts(spark, docs):
+    """Far words, short names and entities held by one text are judged like all others."""
+    far = "filler words " * 40
+    texts = [f"Bob {far} lives at 10.0.0.7"] + [f"Li {far} writes to q@w.org number {i}" for i in range(3)]
+    texts += [f"filler words writes to number lives at {'x' * i}" for i in range(1, 90)] + texts[:1] + [None, "so bob ran"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["term"], r["entity"]): (r["texts"], r["disclosure"]) for r in pii.disclosing_terms(df, whole_texts=True).collect()}
+    assert got == brute_terms(texts) and ("li", "q@w.org") in got and ("bob", "10.0.0.7") not in got
+    assert {k for k in brute_terms(texts[:-1]) if k[1] == "10.0.0.7"} == {("bob", "10.0.0.7")}
+    some = [r["text"] for r in docs.collect()]
+    want = brute_terms(some)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string")
+    terms = pii.disclosing_terms(df, whole_texts=True)
+    assert {(r["term"], r["entity"]): (r["texts"], r["disclosure"]) for r in terms.collect()} == want and want
+    rows, few = df.select("text"), terms.select("term").distinct()
+    assert rows_of(pii._texts_with(rows, few, 0), "key", "term") == rows_of(pii._texts_with(rows, few), "key", "term")
+    got = {r["doc_id"]: r["spans"] for r in queries.QUERIES["op7_personal_data"](spark, "/root/testdata/sf0.001").collect()}
+    assert "term:" in "".join(got.values())
+
+
 def test_personal_data_edges(spark):
     df = edge_documents(spark)
     got = pii.find_personal_data(clashing(df))
