@@ -26,11 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document per SimHash component, that with the smallest id. Documents
-    without an id are told apart by their text and yield to those with one."""
+    """Keep one document per SimHash component, that with the smallest id. Documents with
+    the same id or none are told apart by their text; those without yield to those with one."""
     own = docs.columns
     keyed = docs.withColumn("__k", F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"),
-                                            F.when(F.col("doc_id").isNull(), F.md5("text")).alias("digest")))
+                                            F.md5("text").alias("digest")))
     found = simhash.simhash_components(keyed, id_col="__k")
     first = found.filter(F.col("__k") == F.col("component_id")).select("__k").distinct()
     one = Window.partitionBy("__k").orderBy(F.xxhash64(*own))

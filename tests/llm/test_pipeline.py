@@ -59,3 +59,10 @@ def test_rejection_drops_unknown_scripts_only(spark, sf):
     df = spark.createDataFrame([(1, "это совсем другой язык и другие буквы " * 5), (2, "12 34"), (3, None),
                                 (4, docs.filter("lang = 'de' and n_chars > 500").first()["text"])], "doc_id long, text string")
     assert [r["doc_id"] for r in langid.keep_identified(df, model).collect()] == [4]
+
+
+def test_near_dedup_keeps_other_texts_of_a_repeated_id(spark, sf):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    df = spark.createDataFrame([(5, a), (5, b), (5, b), (3, b), (7, c), (9, c), (None, c)], "doc_id long, text string")
+    got = cp.near_dedup(spark, df, sf).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, b), (5, a), (7, c)]
