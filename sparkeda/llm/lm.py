@@ -1,23 +1,24 @@
 """Language-model scoring (operator 5) with a weighted back-off automaton.
 
-Words that make up at least ``state_share`` of the training tokens (and the text end) are
-histories: states of the automaton, at most 1 / state_share by definition. The arcs of a state are the word
-pairs seen at least ``min_pair`` times in training, weighted by absolute discounting;
-its failure arc leads to the empty history with the state's left-over probability, whose
-arcs are the add-one smoothed single words. A text is scored in one left-to-right pass
+Every training word (and the text end) is a history: a state of the automaton. The arcs of a
+state are all word pairs seen at least ``min_pair`` times in training, weighted by absolute
+discounting; its failure arc leads to the empty history with the state's left-over
+probability, whose arcs are the add-one smoothed single words. A ``state_share`` above 0
+leaves out words that make up less of the training tokens, and pairs with such a word. A text is scored in one left-to-right pass
 that carries the state (the word just read) and adds up log-probabilities.
 
 The model is never in one place. Texts are worked on in blocks (a split of the scan).
-Every block asks for the counts of just the words and pairs it holds, as pre-aggregated
-rows; the sums over all blocks are made by Spark, and come back to each block next to
+Every block asks for the counts and left-over weights of just the words and pairs it holds, as
+pre-aggregated rows; pairs are keyed by the 64-bit hashes of their words. The sums over all blocks are made by Spark, and come back to each block next to
 its texts, where its part of the automaton is put together. Memory is bounded by a
 block, and what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
+from collections import Counter, defaultdict
+from hashlib import blake2b
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .bpe import texts_in_slices
 from .tables import written
 
 END = b""                  # the text end; no word is empty
-_BITS = 24                 # of a state's number in a pair key
+_BITS = 32                 # of a word's number within a block in a pair key
 _MOST = 400_000            # distinct words or 4 times as many pairs held before rows are given out
 
 
@@ -61,15 +62,19 @@ def _runs(batch: pa.RecordBatch):
                 yield int(block[a]), part.column(2).slice(at, len(texts)).to_pylist(), texts
 
 
+def _hashes(words) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), dtype="<i8").astype(np.int64)
+
+
 def _word_rows(batches):
-    """(block, word, n): training count of every word a block holds, 0 if only held out."""
+    """(block, word, h, n): training count of every word a block holds, 0 if only held out."""
     block, counts, other = None, Counter(), set()
 
     def rows():
         extra = [w for w in other if w not in counts]
         words, n = [*counts, *extra], [*counts.values(), *repeat(0, len(extra))]
         out = pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(words, pa.binary()),
-                                          pa.array(n, pa.int64())], ["block", "word", "n"])
+                                          pa.array(_hashes(words)), pa.array(n, pa.int64())], ["block", "word", "h", "n"])
         counts.clear()
         other.clear()
         return out
@@ -92,46 +97,44 @@ def _word_rows(batches):
 
 
 def _pair_keys(numbers: list[np.ndarray], end: int) -> np.ndarray:
-    """Keys of adjacent states over texts given as state numbers (-1: no state), each text
-    between two ends."""
+    """Keys of adjacent words over texts given as word numbers, each text between two ends."""
     seq = np.concatenate([x for n in numbers for x in (n, [end])] or [np.zeros(0)]).astype(np.int64)
     before = np.concatenate([[end], seq[:-1]])
-    return ((before << _BITS) | seq)[(before >= 0) & (seq >= 0)]
-
+    return ((before << _BITS) | seq)[:len(seq)]
 
-def _pair_rows(states: dict[bytes, int]):
-    """Function giving (block, pair, n) rows, like _word_rows, for pairs of states."""
-    end = states[END]
 
-    def run(batches):
-        block, train, other, size = None, [], [], 0
-
-        def rows():
-            key, n = np.unique(np.concatenate([*train, np.zeros(0, np.int64)]), return_counts=True)
-            extra = np.setdiff1d(np.concatenate([*other, np.zeros(0, np.int64)]), key)
-            keys = np.concatenate([key, extra])
-            train.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), block, np.int64)), pa.array(keys),
-                 pa.array(np.concatenate([n, np.zeros(len(extra), np.int64)]).astype(np.int64))], ["block", "pair", "n"])
+def _pair_rows(batches):
+    """(block, a, b, n) rows, like _word_rows, for the hashes of adjacent words."""
+    block, train, other, size, number = None, [], [], 0, defaultdict(count().__next__)
 
-        for batch in batches:
-            for b, held, texts in _runs(batch):
-                if (b != block or size > 10 * _MOST) and size:
-                    yield rows()
-                    size = 0
-                block = b
-                numbers = [np.fromiter(map(states.get, w, repeat(-1)), dtype=np.int64, count=len(w))
-                           for w in map(tokens, texts)]
-                for into, flag in ((train, False), (other, True)):
-                    keys = _pair_keys([x for x, h in zip(numbers, held) if h == flag], end)
-                    into.append(keys)
-                    size += len(keys)
-        if size:
-            yield rows()
+    def rows():
+        nonlocal size, number
+        key, n = np.unique(np.concatenate([*train, np.zeros(0, np.int64)]), return_counts=True)
+        extra = np.setdiff1d(np.concatenate([*other, np.zeros(0, np.int64)]), key)
+        h, keys = _hashes(number), np.concatenate([key, extra])
+        train.clear()
+        other.clear()
+        size, number = 0, defaultdict(count().__next__)
+        n = np.concatenate([n, np.zeros(len(extra), np.int64)]).astype(np.int64)
+        for at in range(0, len(keys), _MOST):
+            k = keys[at:at + _MOST]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(k), block, np.int64)), pa.array(h[k >> _BITS]), pa.array(h[k & (1 << _BITS) - 1]),
+                 pa.array(n[at:at + _MOST])], ["block", "a", "b", "n"])
 
-    return run
+    for batch in batches:
+        for b, held, texts in _runs(batch):
+            if (b != block or size > 10 * _MOST or len(number) > _MOST) and size:
+                yield from rows()
+            block = b
+            end = number[END]
+            numbers = [np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)) for w in map(tokens, texts)]
+            for into, flag in ((train, False), (other, True)):
+                keys = _pair_keys([x for x, h in zip(numbers, held) if h == flag], end)
+                into.append(keys)
+                size += len(keys)
+    if size:
+        yield from rows()
 
 
 class _Block:
@@ -139,27 +142,33 @@ class _Block:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.counts: list[int] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ready = False
 
-    def add_words(self, words: list[bytes], counts: list[int]):
-        for w, c in zip(words, counts):                           # a word may come more than once
-            if self.number.setdefault(w, len(self.counts)) == len(self.counts):
-                self.counts.append(c)
-
-    def build(self, states: dict[bytes, int], log_all: float):
-        self.count = np.array(self.counts, dtype=np.float64)
+    def add_words(self, words: list[bytes], *columns: np.ndarray):
+        new = np.zeros(len(words), bool)                          # a word may come more than once
+        for i, w in enumerate(words):
+            if w not in self.number:
+                self.number[w] = len(self.number)
+                new[i] = True
+        self.words.append(tuple(c[new] for c in columns))
+
+    def build(self, log_all: float):
+        h, n, kept = (np.concatenate(x) for x in zip(*self.words))
+        self.count = n.astype(np.float64)
         self.single = np.log10(self.count + 1) - log_all          # arcs of the empty history
-        self.state = np.fromiter(map(states.get, self.number, repeat(-1)), dtype=np.int64, count=len(self.number))
-        keys, n = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*self.pairs) if self.pairs else ((), ())))
-        self.key, at = np.unique(keys.astype(np.int64), return_index=True)
+        self.left_over = np.maximum(1e-12, 1.0 - kept / np.maximum(self.count, 1))
+        order = np.argsort(h)
+        a, b, n = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*self.pairs) if self.pairs else ((), (), ())))
+        self.pairs = []
+        a, b = (order[np.searchsorted(h, x.astype(np.int64), sorter=order)] for x in (a, b))
+        self.key, at = np.unique((a << _BITS) | b, return_index=True)
         self.pair_count = n[at].astype(np.float64)
-        self.counts, self.pairs, self.ready = [], [], True
+        self.words, self.ready = [], True
 
 
-def _score_sorted(n_train: int, vocabulary: int, states: dict[bytes, int], left_over: np.ndarray,
-                  state_count: np.ndarray, discount: float):
+def _score_sorted(n_train: int, vocabulary: int, discount: float):
     """Function scoring the texts of a partition sorted by block and kind (words 0, pairs 1,
     texts 2): a block's model rows stream in before its texts."""
     log_all = np.log10(n_train + vocabulary + 1.0)
@@ -174,19 +183,15 @@ def _score_sorted(n_train: int, vocabulary: int, states: dict[bytes, int], left_
         start = np.cumsum(size) - size
         seq = np.concatenate(ids)
         base = block.single[seq]
-        here = block.state[seq]
-        before = np.concatenate([[0], here[:-1]])
-        before[start] = states[END]                               # a text begins after an end
-        out = base.copy()
-        inside = before >= 0
+        before = np.concatenate([[0], seq[:-1]])
+        before[start] = block.number[END]                         # a text begins after an end
         # an arc of the state adds its discounted share; the failure arc always gives its weight
-        p = left_over[before[inside]] * 10.0 ** base[inside]
+        p = block.left_over[before] * 10.0 ** base
         if len(block.key):
-            key = (before[inside] << _BITS) | here[inside]
+            key = (before << _BITS) | seq
             j = np.minimum(np.searchsorted(block.key, key), len(block.key) - 1)
-            hit = (here[inside] >= 0) & (block.key[j] == key)
-            p += np.where(hit, (block.pair_count[j] - discount) / np.maximum(state_count[before[inside]], 1), 0.0)
-        out[inside] = np.log10(p)
+            p += np.where(block.key[j] == key, (block.pair_count[j] - discount) / np.maximum(block.count[before], 1), 0.0)
+        out = np.log10(p)
         known = np.add.reduceat((block.count[seq] > 0).astype(np.int64), start)
         return size, known, np.add.reduceat(base, start), np.add.reduceat(out, start)
 
@@ -202,12 +207,12 @@ def _score_sorted(n_train: int, vocabulary: int, states: dict[bytes, int], left_
                     current, model = blocks[a], _Block()
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
-                    model.add_words(part.column(4).to_pylist(), part.column(6).to_pylist())
+                    model.add_words(part.column(4).to_pylist(), *(np.array(part.column(c)) for c in (5, 7, 8)))
                 elif kinds[a] == 1:
-                    model.pairs.append((np.array(part.column(5)), np.array(part.column(6))))
+                    model.pairs.append(tuple(np.array(part.column(c)) for c in (5, 6, 7)))
                 else:
                     if not model.ready:
-                        model.build(states, log_all)
+                        model.build(log_all)
                     for at in range(0, b - a, 256):
                         rows = part.slice(at, 256)
                         size, known, base, total = score(model, rows.column(4).to_pylist())
@@ -219,7 +224,7 @@ def _score_sorted(n_train: int, vocabulary: int, states: dict[bytes, int], left_
     return run
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = 1e-5,
+def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_share: float = 0.0,
                 min_pair: int = 2, discount: float = 0.75) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
 
@@ -230,38 +235,34 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts = _blocks(df, id_col, text_col)
     id_type = texts.schema["id"].dataType.simpleString()
     by_word = Window.partitionBy("word")
-    words = texts.mapInArrow(_word_rows, "block long, word binary, n long") \
+    words = texts.mapInArrow(_word_rows, "block long, word binary, h long, n long") \
         .withColumn("c", F.sum("n").over(by_word)).withColumn("r", F.row_number().over(by_word.orderBy("block")))
     words = written(words, "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.sum(F.expr("case when r = 1 and c > 0 then 1 else 0 end")).alias("v")).collect()[0]
     n_train, vocabulary = total["n"] or 0, total["v"] or 0
-    # words with at least this share of all tokens: no more than 1 / state_share
-    frequent = words.filter((F.col("r") == 1) & (F.col("c") >= F.lit(max(1.0, state_share * n_train)))
-                            & (F.length("word") > 0)).select("word", "c").collect()
-    ends = words.filter((F.col("r") == 1) & (F.length("word") == 0)).select("c").collect()
-    states = {END: 0} | {bytes(r["word"]): i + 1 for i, r in enumerate(sorted(frequent, key=lambda r: bytes(r["word"])))}
-    state_count = np.zeros(len(states))
-    state_count[0] = ends[0]["c"] if ends else 0
-    for r in frequent:
-        state_count[states[bytes(r["word"])]] = r["c"]
-    by_pair = Window.partitionBy("pair")
-    pairs = texts.mapInArrow(_pair_rows(states), "block long, pair long, n long") \
+    by_pair = Window.partitionBy("a", "b")
+    pairs = texts.mapInArrow(_pair_rows, "block long, a long, b long, n long") \
         .withColumn("c", F.sum("n").over(by_pair)).filter(F.col("c") >= min_pair) \
         .withColumn("r", F.row_number().over(by_pair.orderBy("block")))
-    pairs = written(pairs.select("block", "pair", "c", "r"), "lm-pairs")
-    left_over = np.ones(len(states))
-    # one row per state
-    for r in pairs.filter("r = 1").groupBy(F.shiftright("pair", _BITS).alias("s")) \
-            .agg(F.sum(F.col("c") - F.lit(discount)).alias("kept")).collect():
-        left_over[r["s"]] = max(1e-12, 1.0 - r["kept"] / state_count[r["s"]])
+    if state_share > 0:
+        states = words.filter((F.col("r") == 1) & ((F.col("c") >= F.lit(max(1.0, state_share * n_train)))
+                                                   | (F.length("word") == 0))).select("h")
+        for side in ("a", "b"):
+            pairs = pairs.join(states.withColumnRenamed("h", side), side, "left_semi")
+    pairs = written(pairs.select("block", "a", "b", "c", "r"), "lm-pairs")
+    # what the arcs of a word take of its probability goes back to the blocks that ask for the word
+    kept = pairs.filter("r = 1").groupBy(F.col("a").alias("h")).agg(F.sum(F.col("c") - F.lit(discount)).alias("kept"))
+    words = words.join(kept, "h", "left")
     null = F.lit(None)
+    long = null.cast("long")
     rows = texts.select("block", F.lit(2).alias("kind"), "id", "held", F.col("text").cast("binary").alias("data"),
-                        null.cast("long").alias("pair"), null.cast("long").alias("num"))
+                        long.alias("a"), long.alias("b"), long.alias("num"), null.cast("double").alias("kept"))
     asked = words.select("block", F.lit(0).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
-                         F.col("word").alias("data"), null.cast("long").alias("pair"), F.col("c").alias("num"))
+                         F.col("word").alias("data"), F.col("h").alias("a"), long.alias("b"), F.col("c").alias("num"),
+                         F.coalesce("kept", F.lit(0.0)).alias("kept"))
     arcs = pairs.select("block", F.lit(1).alias("kind"), null.cast(id_type).alias("id"), null.cast("boolean").alias("held"),
-                        null.cast("binary").alias("data"), "pair", F.col("c").alias("num"))
+                        null.cast("binary").alias("data"), "a", "b", F.col("c").alias("num"), null.cast("double").alias("kept"))
     scored = rows.union(asked).union(arcs).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
-        _score_sorted(n_train, vocabulary, states, left_over, state_count, discount),
+        _score_sorted(n_train, vocabulary, discount),
         f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumnRenamed("id", id_col)

@@ -71,3 +71,11 @@ def test_small_memory_gives_the_same(spark, sf, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     fresh = spark.createDataFrame(rows, "doc_id long, text string")
     _same([tuple(r) for r in lm.score_texts(fresh, state_share=0.001).collect()], brute(rows, 0.001))
+
+
+def test_rare_words_have_arcs_in_a_large_corpus(spark):
+    """No share of the tokens is asked of a word: a pair seen twice counts in any corpus."""
+    rows = [(i, "often read " * 60_000) for i in range(4)]
+    rows += [(10 + i, f"often meets seldom words here {i}") for i in range(30)] + [(50 + i, "quite seldom seen") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _same([tuple(r) for r in lm.score_texts(df).collect()], brute(rows, 0))
