@@ -4,7 +4,8 @@ Vectors are scaled to length one and hashed in every table by ``hashes`` Gaussia
 projections cut into intervals of ``width``. A query estimates for each bucket the
 probability that a neighbour of cosine ``near`` falls into it - its projection is normal
 around ``near`` times the query's own - and visits buckets, its own and perturbed ones, from
-the most to the least probable until they add up to ``success`` in each table. Every row
+the most to the least probable until they add up to ``success`` in each table. Queries that
+have met fewer than ``k`` rows go on to less probable buckets, at last to all. Every row
 is indexed. Candidates of all tables are measured exactly on the original vectors.
 
 Buckets are work units keyed (table, bucket); those with more than ``part_rows`` rows are
@@ -134,7 +135,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
             tables: int = 2, hashes: int = 5, width: float = 1.5, near: float = 0.4, success: float = 0.75,
             part_rows: int = 1024, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its ``k`` rows of largest cosine
-    among the visited buckets, ties to the smaller vec_id, its own id left out.
+    among the visited buckets, ties to the smaller vec_id, its own id left out; all rows
+    where there are no more than ``k``.
 
     Rows without an id, and vectors that are null, empty, zero or hold null or non-finite
     components, take no part; vectors of other lengths are not compared. A repeated query
@@ -148,21 +150,24 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
             for ids, m, column in _by_length(batch):
                 h, unit = Hasher(m.shape[1], tables, hashes, width, seed), _unit(m)
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), column, pa.array(h.buckets(t, unit))],
-                                                     ["vec_id", "v", "bucket"])
-
-    def probe(batches):
-        for batch in batches:
-            for ids, m, _ in _by_length(batch):
-                h, unit = Hasher(m.shape[1], tables, hashes, width, seed), _unit(m)
-                for i, u in zip(ids, unit):
-                    for t in range(tables):
-                        visited = h.probes(t, u, near, success)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(visited), i)), pa.array(visited)],
-                                                         ["query_id", "bucket"])
-
-    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, bucket long"), "ann-index")
-    sizes = written(indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids), column, pa.array(h.buckets(t, unit)), pa.array(np.full(len(ids), t, np.int32))],
+                        ["vec_id", "v", "bucket", "t"])
+
+    def probe(share):
+        def run(batches):
+            for batch in batches:
+                for ids, m, _ in _by_length(batch):
+                    h, unit = Hasher(m.shape[1], tables, hashes, width, seed), _unit(m)
+                    for i, u in zip(ids, unit):
+                        for t in range(tables):
+                            visited = h.probes(t, u, near, share)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(visited), i)), pa.array(visited)],
+                                                             ["query_id", "bucket"])
+        return run
+
+    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, bucket long, t int"), "ann-index")
+    sizes = written(indexed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first(F.size("v")).alias("dim"))
                     .withColumn("parts", F.ceil(F.col("n") / F.lit(part_rows)).cast("int")), "ann-sizes")
     total = sizes.agg(F.sum("n")).collect()[0][0] or 0
     cells = cells_for(total, 8192, spark)
@@ -172,12 +177,31 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     unit = F.xxhash64("bucket", "part").alias("unit")
     placed = indexed.join(split, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), one).cast("int")) \
         .select("vec_id", "v", unit).withColumn("cell", F.pmod("unit", F.lit(cells)))
-    visits = asked.mapInArrow(probe, "query_id long, bucket long").join(split, "bucket", "left") \
-        .select("query_id", "bucket", F.explode(F.sequence(F.lit(0), one - 1)).alias("part")) \
-        .select("query_id", unit).withColumn("cell", F.pmod("unit", F.lit(cells)))
-    # no more than the visited buckets of one query in a row
-    lists = visits.groupBy("query_id", "cell").agg(F.collect_set("unit").alias("units")) \
-        .join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-    found = placed.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(
-        lambda a, b: _measure(k)(a, b), "query_id long, vec_id long, score double")
+
+    def searched(some: DataFrame, visits: DataFrame) -> DataFrame:
+        visits = visits.join(split, "bucket", "left") \
+            .select("query_id", "bucket", F.explode(F.sequence(F.lit(0), one - 1)).alias("part")) \
+            .select("query_id", unit).withColumn("cell", F.pmod("unit", F.lit(cells)))
+        # no more than the visited buckets of one query in a row
+        lists = visits.groupBy("query_id", "cell").agg(F.collect_set("unit").alias("units")) \
+            .join(some.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+        out = placed.groupBy("cell").cogroup(lists.groupBy("cell")).applyInArrow(
+            lambda a, b: _measure(k)(a, b), "query_id long, vec_id long, score double")
+        return written(best(out, k, "double"), "ann-found").drop("rank")
+
+    asked = written(asked, "ann-asked")
+    visited = "query_id long, bucket long"
+    found = searched(asked, asked.mapInArrow(probe(success), visited))
+    for share in (0.99, 0.9999, None):
+        done = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= k)
+        short = asked.join(done.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_anti")
+        if short.isEmpty():
+            break
+        if share is not None and share <= success:
+            continue
+        # every row is in one bucket of the first table
+        wider = short.mapInArrow(probe(share), visited) if share is not None else \
+            short.select(F.col("vec_id").alias("query_id"), F.size("v").alias("dim")) \
+            .join(sizes.filter("t = 0").select("dim", "bucket"), "dim").select("query_id", "bucket")
+        found = found.union(searched(short, wider))
     return best(found, k, "double")

@@ -138,3 +138,14 @@ def test_repeated_rows_push_nobody_out(spark, copies):
     m = np.array([v for _, v in rows])
     ((_, ids, score),) = topk.search_block(np.floor(1024 * m), np.array([i for i, _ in rows]), q[None], np.array([0]), 5)
     assert list(zip(-score, ids)) == inner
+
+
+def test_small_tables_give_all_rows(spark):
+    """With the default parameters a query gets every other row of a table of four or six."""
+    r = np.random.default_rng(11)
+    schema = "vec_id long, embedding array<double>"
+    for n in (4, 6):
+        df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=64)]) for i in range(n)], schema)
+        vs = {x["vec_id"]: np.array(x["embedding"]) for x in df.collect()}
+        got = sorted((x["query_id"], x["rank"], x["vec_id"]) for x in ann.nearest(df, df).collect())
+        assert got == [(q, i + 1, c) for q, best in sorted(brute_cosine(vs, 1, 5).items()) for i, (c, _) in enumerate(best)]
