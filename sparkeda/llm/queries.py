@@ -42,6 +42,27 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE["op13_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+             regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
+           FROM documents),
+s AS (SELECT row, doc_id, ts, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS alls FROM s),
+i AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+t AS (SELECT row, doc_id, n, unnest(ts) AS term FROM s),
+p AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term),
+scored AS (
+  SELECT item_id, text, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // alls))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -110,6 +131,12 @@ def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_ranked_search(spark, sf_dir):
+    from .search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
