@@ -44,6 +44,31 @@ FROM f"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ORACLE["op12_collocations"] = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(ws) >= m)),
+n AS (SELECT lang, count(*)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, phrase, m, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+x AS (SELECT lang, f, m, string_split(phrase, ' ') AS ws, phrase FROM f),
+longer AS (SELECT lang, sub, max(f) AS f FROM (
+             SELECT lang, f, unnest([array_to_string(ws[s:s + k - 1], ' ') for s in range(1, m - k + 2)]) AS sub
+             FROM (SELECT *, unnest(range(2, m)) AS k FROM x WHERE m > 2)) GROUP BY ALL),
+c AS (SELECT x.* FROM x LEFT JOIN longer y ON x.lang = y.lang AND x.phrase = y.sub
+      WHERE x.m > 1 AND (y.f IS NULL OR 100 * y.f < 100 * x.f)),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+        FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, n,
+        ((1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = first JOIN f r ON r.lang = cut.lang AND r.phrase = rest
+      JOIN n ON n.lang = cut.lang),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM one QUALIFY rank <= 2000"""
+
 ORACLE["op13_ranked_search"] = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id,
              regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts
@@ -131,6 +156,12 @@ def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_collocations(spark, sf_dir):
+    from .phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_ranked_search(spark, sf_dir):
     from .search import ranked_search
