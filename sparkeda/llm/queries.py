@@ -44,6 +44,20 @@ FROM f"""
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+ORACLE["op11_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT row, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT row, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*)::BIGINT AS n FROM sh GROUP BY row),
+shared AS (SELECT a.row AS a, b.row AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.row < b.row GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT row, row FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d ON d.row = reach.a JOIN d o ON o.row = reach.b LEFT JOIN n ON n.row = d.row
+GROUP BY d.row, d.doc_id"""
+
 ORACLE["op12_collocations"] = f"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang,
              unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
@@ -156,6 +170,12 @@ def op10_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ngram_join(spark, sf_dir):
+    from .ngram_join import similar_documents
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_collocations(spark, sf_dir):
     from .phrases import collocations
