@@ -10,8 +10,8 @@ discloses e when
 
 that is when knowing t removes at least that part of the information content of e. Such
 terms are spans too (kind ``term``), wherever they occur, and are generalised. With
-``whole_texts`` every word of a text that holds e is weighed, whatever its length and
-however few the texts, by a p(e|t) drawn towards p(e); the queries do so.
+``whole_texts`` every word of a text that holds e is weighed, whatever its length, by a
+p(e|t) drawn towards p(e) the more the rarer e is; the queries do so (``_whole_text_terms``).
 
 Patterns use possessive quantifiers and start only at the edge of a run (or where the last
 match ended), which gives the same leftmost matches in linear time.
@@ -118,7 +118,7 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", disclosure: float =
     see ``_whole_text_terms``. The frame is checkpointed."""
     rows = df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
     if whole_texts:
-        return _whole_text_terms(rows, disclosure, prior)
+        return _whole_text_terms(rows, disclosure, prior)[0]
     entities = rows.select(F.expr("md5(cast(text as binary))").alias("key"), F.explode(F.flatten(F.array(
         *[F.expr(_beside(k, "text", context_chars, context_words)) for k in KINDS]))).alias("x")) \
         .select("key", F.lower("x.entity").alias("entity"), "x.terms")
@@ -146,38 +146,61 @@ def disclosing_terms(df: DataFrame, text_col: str = "text", disclosure: float =
                        .select("term", "entity", F.col("both").alias("texts"), "disclosure"))
 
 
-def _whole_text_terms(rows: DataFrame, disclosure: float, prior: float) -> DataFrame:
+def _whole_text_terms(rows: DataFrame, disclosure: float, prior: float) -> tuple[DataFrame, DataFrame | None]:
     """(term, entity, texts, disclosure) over all words, outside the entities, of the distinct
-    texts that hold an entity. p(e|t) is (texts with both + prior p(e)) / (texts with t +
-    prior): a pair seen in one text alone is judged too, and counts for less than one seen often."""
-    texts = written(rows.distinct().withColumn("key", F.expr("md5(cast(text as binary))")), "pii-texts")
+    texts that hold an entity, and (key, term) of the texts that hold a word which was weighed.
+
+    p(e|t) is drawn towards p(e) by prior * IC(e) texts: (both + w p(e)) / (of_term + w) with
+    w = prior * IC(e). Besides the part of the information content it must reach one half, so the
+    texts that are needed grow with the logarithm of the corpus, and a word that met an
+    entity once or twice is no evidence however large the corpus is. Entities that stand in exactly the
+    same texts are weighed as one (under the smallest of them), so that a text with very
+    many entities gives each of its words once, not once for each entity."""
     spans = "concat(" + ",".join(f"coalesce(__{k}, cast(array() as {_SPAN}))" for k in KINDS) + ")"
     blocks = _merged(f"transform({spans}, x -> named_struct('s', x.s, 'e', x.e, 'l', x.e - x.s, 'k', '1'))")
-    found = base_spans(texts).filter(F.expr(f"size({spans}) > 0")) \
+    hinted = rows.filter(" or ".join(f"text rlike {_quote(h)}" for h in _HINTS.values()))
+    found = base_spans(hinted).filter(F.expr(f"size({spans}) > 0")) \
         .withColumn("entities", F.expr(f"array_distinct(transform({spans}, x -> lower(x.m)))")) \
         .withColumn("__blocks", F.expr(blocks)) \
         .withColumn("outside", F.expr(_replaced("text", "__blocks")))
     words = f"array_distinct(regexp_extract_all(lower(outside), {_quote(_WORD)}, 0))"
-    held = written(found.select("key", "entities", F.expr(words).alias("words")), "pii-held")
-    n = texts.count()
-    # the most texts with t, t beside e in all texts of e, at which t can still disclose e
+    held = written(found.select(F.expr(_KEY.format("text")).alias("key"), "entities", F.expr(words).alias("words"))
+                   .dropDuplicates(["key"]), "pii-held")
+    n = rows.select(F.expr(_KEY.format("text"))).distinct().count()
+    content = "-ln(p_e)"
+    weight = f"({prior!r} * {content})"
+    least = f"greatest(pow(p_e, {1.0 - disclosure!r}), 0.5D)"
     entities = held.select("key", F.explode("entities").alias("entity"))
-    per_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity")) \
+    # with t beside e in all texts of e: the most texts with t at which it can still disclose e
+    per_entity = entities.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("of_entity"), F.expr("bit_xor(xxhash64(key))").alias("mark"),
+        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("marks")) \
         .withColumn("p_e", F.col("of_entity") / F.lit(float(max(n, 1)))).filter("p_e < 1.0") \
-        .withColumn("most", F.expr(f"(of_entity + {prior!r} * p_e) / pow(p_e, {1.0 - disclosure!r}) - {prior!r} + 1e-6"))
-    beside = held.select("key", F.explode("words").alias("term"))
+        .withColumn("most", F.expr(f"(of_entity + {weight} * p_e) / {least} - {weight} + 1e-6")).filter("of_entity <= most")
+    same = ["of_entity", "mark", "marks"]
+    groups = per_entity.groupBy(*same).agg(F.min("entity").alias("first"), F.first("p_e").alias("p_e"), F.first("most").alias("most"))
+    keys = written(entities.join(per_entity.select("entity", *same), "entity").select("key", *same).distinct()
+                   .join(groups, same).select("key", F.col("first").alias("entity"), "p_e", "most"), "pii-entities")
+    none = rows.sparkSession.createDataFrame([], "term string, entity string, texts bigint, disclosure double")
+    if keys.isEmpty():
+        return none, None
+    beside = held.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term"))
     near_any = beside.groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
-    measure = f"ln(((both + {prior!r} * p_e) / ({{}} + {prior!r})) / p_e) / -ln(p_e)"
+    measure = f"ln(((both + {weight} * p_e) / ({{}} + {weight})) / p_e) / {content}"
     # common words drop out within the join, before any pair of them is made
-    pairs = entities.join(per_entity, "entity").join(beside.join(near_any, "term"), "key") \
+    pairs = keys.join(beside.join(near_any, "term"), "key") \
         .filter("near_any <= most").groupBy("entity", "term") \
-        .agg(F.count(F.lit(1)).alias("both"), F.first("p_e").alias("p_e"), F.first("near_any").alias("near_any")) \
+        .agg(F.count(F.lit(1)).alias("both"), F.first("p_e").alias("p_e"), F.first("near_any").alias("near_any"),
+             F.first("most").alias("most")) \
         .filter(F.expr(measure.format("near_any")) >= disclosure).select("entity", "term", "both", "p_e")
     pairs = written(pairs, "pii-pairs")
-    of_term = _words_of(texts).groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    scored = pairs.join(of_term, "term").withColumn("disclosure", F.expr(measure.format("of_term")))
-    return cut_lineage(scored.filter(F.col("disclosure") >= disclosure)
-                       .select("term", "entity", F.col("both").alias("texts"), "disclosure"))
+    if pairs.isEmpty():
+        return none, None
+    hits = written(_texts_with(rows, pairs.select("term").distinct()), "pii-hits")
+    of_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
+    scored = pairs.join(of_term, "term").withColumn("disclosure", F.expr(measure.format("of_term"))) \
+        .filter(F.expr(f"(both + {weight} * p_e) / (of_term + {weight}) >= {least} - 1e-12"))
+    return cut_lineage(scored.select("term", "entity", F.col("both").alias("texts"), "disclosure")), hits
 
 
 def _words_of(rows: DataFrame) -> DataFrame:
@@ -187,16 +210,23 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.expr(_KEY.format("text")).alias("key"), words.alias("words")).select("key", F.explode("words").alias("term"))
 
 
-def _texts_with(rows: DataFrame, terms: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _small(df: DataFrame, most_bytes: int, *cols: str) -> bool:
+    """The rows, with ``cols`` as text, take no more than so many bytes."""
+    size = df.agg(F.sum(sum((F.octet_length(c) for c in cols), F.lit(32)))).collect()[0][0] or 0
+    return size <= most_bytes
+
+
+def _texts_with(rows: DataFrame, terms: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Distinct (key, term): which distinct texts hold which of the terms. The terms are
-    broadcast only when a count shows they are few; beyond that the join shuffles, without
+    broadcast only when their size shows they are few; beyond that the join shuffles, without
     the most frequent words that are no terms."""
     words = _words_of(rows)
-    if terms.count() <= broadcast_rows:
+    if _small(terms, broadcast_bytes, "term"):
         return words.join(F.broadcast(terms), "term", "left_semi").distinct()
-    common = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(20_000)
+    common = words.filter("octet_length(term) <= 256").groupBy("term").agg(F.count(F.lit(1)).alias("n")) \
+        .orderBy(F.desc("n"), "term").limit(20_000)
     common = cut_lineage(common.select("term").join(terms, "term", "left_anti"))
-    rare = words.join(F.broadcast(common), "term", "left_anti")
+    rare = words.join(F.broadcast(common), "term", "left_anti")   # at most 20,000 words of 256 bytes
     return rare.join(terms, "term", "left_semi").distinct()
 
 
@@ -206,17 +236,25 @@ def _term_spans(text: str, terms: str) -> str:
             f"else cast(array() as {_SPAN}) end")
 
 
-def _with_terms(rows: DataFrame, text_col: str, terms: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
-    """``rows`` plus ``__terms``: the disclosing terms of each text (an empty array mostly)."""
+def _with_terms(rows: DataFrame, text_col: str, broadcast_bytes: int = 8 << 20, whole_texts: bool = False,
+                disclosure: float = 0.9, prior: float = 0.5, **how) -> DataFrame:
+    """``rows`` plus ``__terms``: the disclosing terms of each text (an empty array mostly).
+    No other column of ``rows`` may be named ``__key``."""
+    texts = rows.select(F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null")
+    if whole_texts:
+        terms, hits = _whole_text_terms(texts, disclosure, prior)
+    else:
+        terms, hits = disclosing_terms(rows, text_col, disclosure=disclosure, **how), None
+    terms = terms.select("term").distinct()
     none = F.expr("cast(array() as array<string>)")
     if terms.isEmpty():
         return rows.withColumn("__terms", none)
-    hits = cut_lineage(_texts_with(rows.select(F.col(text_col).alias("text")).filter("text is not null"),
-                                   terms.select("term").distinct()))
-    per_text = hits.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("__terms"))
-    per_text = F.broadcast(per_text) if hits.count() <= broadcast_rows else per_text
-    keyed = rows.withColumn("key", F.expr(_KEY.format(f"`{text_col}`")))
-    return keyed.join(per_text, "key", "left").drop("key").withColumn("__terms", F.coalesce("__terms", none))
+    hits = _texts_with(texts, terms) if hits is None else hits.join(terms, "term", "left_semi")
+    per_text = cut_lineage(hits.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("term")).alias("__terms")))
+    if _small(per_text.select(F.array_join("__terms", " ").alias("all")), broadcast_bytes, "all"):
+        per_text = F.broadcast(per_text)
+    keyed = rows.withColumn("__key", F.expr(_KEY.format(f"`{text_col}`")))
+    return keyed.join(per_text, "__key", "left").drop("__key").withColumn("__terms", F.coalesce("__terms", none))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -225,10 +263,10 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``base_sha256`` is of the base spans, ``kind:start:end`` by kind and start, joined by
     commas; ``spans`` adds the method's ``term`` spans. Places are code points, ends
     exclusive. Null and empty texts have no spans; equal rows give equal rows; an
-    empty table gives an empty result."""
+    empty table gives an empty result. Very long texts are searched whole; entities that
+    share all their texts, as thousands in one text do, are weighed as one."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    terms = disclosing_terms(rows, "text", **how)
-    found = base_spans(_with_terms(rows, "text", terms).withColumn("__term", F.expr(_term_spans("text", "__terms"))), "text")
+    found = base_spans(_with_terms(rows, "text", **how).withColumn("__term", F.expr(_term_spans("text", "__terms"))), "text")
 
     def listed(kinds):
         return "concat(" + ",".join(f"transform(coalesce(__{k}, cast(array() as {_SPAN})), "
@@ -269,14 +307,15 @@ def sanitise(df: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``df`` with personal data replaced by the name of its kind and disclosing terms
     generalised to ``[TERM]``; all other columns and clean texts stay as they are. All spans
     are found in the text as it was, overlapping ones are replaced as one."""
-    terms = disclosing_terms(df, text_col, **how)
-    # the text as a string beside the columns of ``df``, which may have any names
-    held = _with_terms(df, text_col, terms).withColumn("__text", F.col(f"`{text_col}`").cast("string"))
+    # the columns of ``df`` may have any names: they get numbers, which none of our own is
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    own = f"c{df.columns.index(text_col)}"
+    held = _with_terms(plain, own, **how).withColumn("__text", F.col(own).cast("string"))
     found = base_spans(held.withColumn("__term", F.expr(_term_spans("__text", "__terms"))), "__text")
     spans = "concat(" + ",".join(
         f"transform(coalesce(__{k}, cast(array() as {_SPAN})), x -> named_struct('s', x.s, 'e', x.e, 'l', x.e - x.s, 'k', '{k}'))"
         for k in (*KINDS, "term")) + ")"
     out = found.withColumn("__spans", F.expr(spans)) \
         .withColumn("__blocks", F.expr(f"case when size(__spans) > 0 then {_merged('__spans')} end"))
-    text = F.expr(f"case when __blocks is null then `{text_col}` else {_replaced('__text', '__blocks')} end")
-    return out.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in df.columns])
+    text = F.expr(f"case when __blocks is null then {own} else {_replaced('__text', '__blocks')} end")
+    return out.withColumn(own, text).select(*plain.columns).toDF(*df.columns)

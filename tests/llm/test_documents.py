@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkeda.llm import bpe, langid, packing, pii, queries, simhash
@@ -218,44 +219,86 @@ def test_personal_data_terms(spark):
 
 
 def brute_terms(texts, d=0.9, prior=0.5):
-    """{(term, entity): (texts, disclosure)} over whole distinct texts, from the definition."""
+    """{(term, entity): (texts, disclosure)} over whole distinct texts, from the definition; of
+    entities with the same texts the smallest stands for all."""
     word = lambda t: set(re.findall(r"[^\W\d_]+", t.lower()))
-    of_term, of_entity, both = Counter(), Counter(), Counter()
+    of_term, of_entity, both = Counter(), defaultdict(set), defaultdict(set)
     texts = {t for t in texts if t is not None}
     for t in texts:
         of_term.update(word(t))
         spans = [tuple(map(int, x.split(":")[1:])) for x in brute_base(t)]
         gone = {at for s in spans for at in range(*s)}
-        entities = {t[a:b].lower() for a, b in spans}
-        of_entity.update(entities)
-        both.update((w, e) for w in word("".join("1" if at in gone else c for at, c in enumerate(t))) for e in entities)
+        for e in {t[a:b].lower() for a, b in spans}:
+            of_entity[e].add(t)
+            for w in word("".join("1" if at in gone else c for at, c in enumerate(t))):
+                both[w, e].add(t)
+    first = {}
+    for e in sorted(of_entity):
+        first.setdefault(frozenset(of_entity[e]), e)
     out = {}
     for (w, e), k in both.items():
-        p = of_entity[e] / len(texts)
-        x = 0 if p == 1 else math.log((k + prior * p) / (of_term[w] + prior) / p) / -math.log(p)
-        if x >= d:
-            out[w, e] = (k, pytest.approx(x))
+        p = len(of_entity[e]) / len(texts)
+        if p == 1 or first[frozenset(of_entity[e])] != e:
+            continue
+        weight = prior * -math.log(p)
+        drawn = (len(k) + weight * p) / (of_term[w] + weight)
+        if drawn >= max(0.5, p ** (1 - d)) - 1e-12:
+            out[w, e] = (len(k), pytest.approx(math.log(drawn / p) / -math.log(p)))
     return out
 
 
 def test_personal_data_terms_of_whole_texts(spark, docs):
-    """Far words, short names and entities held by one text are judged like all others."""
+    """Far words and short names are judged like all others; one or two texts prove nothing."""
     far = "filler words " * 40
-    texts = [f"Bob {far} lives at 10.0.0.7"] + [f"Li {far} writes to q@w.org number {i}" for i in range(3)]
-    texts += [f"filler words writes to number lives at {'x' * i}" for i in range(1, 90)] + texts[:1] + [None, "so bob ran"]
+    texts = [f"Bob {far} lives at 10.0.0.7"] + [f"Li {far} writes to q@w.org number {'x' * i}" for i in range(6)]
+    texts += [f"filler words writes to number lives at {'x' * i}" for i in range(90)] + texts[:1] + [None, "so bob ran"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {(r["term"], r["entity"]): (r["texts"], r["disclosure"]) for r in pii.disclosing_terms(df, whole_texts=True).collect()}
-    assert got == brute_terms(texts) and ("li", "q@w.org") in got and ("bob", "10.0.0.7") not in got
-    assert {k for k in brute_terms(texts[:-1]) if k[1] == "10.0.0.7"} == {("bob", "10.0.0.7")}
+    assert got == brute_terms(texts) and set(got) == {("li", "q@w.org")}
     some = [r["text"] for r in docs.collect()]
+    some += [f"{t} ask qzor for 10.9.8.7 or +44 20 7946 0958" for t in some[:9] if t]
     want = brute_terms(some)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string")
     terms = pii.disclosing_terms(df, whole_texts=True)
-    assert {(r["term"], r["entity"]): (r["texts"], r["disclosure"]) for r in terms.collect()} == want and want
+    assert {(r["term"], r["entity"]): (r["texts"], r["disclosure"]) for r in terms.collect()} == want
+    assert ("qzor", "+44 20 7946 0958") in want and not any(e == "10.9.8.7" for _, e in want)
     rows, few = df.select("text"), terms.select("term").distinct()
     assert rows_of(pii._texts_with(rows, few, 0), "key", "term") == rows_of(pii._texts_with(rows, few), "key", "term")
-    got = {r["doc_id"]: r["spans"] for r in queries.QUERIES["op7_personal_data"](spark, "/root/testdata/sf0.001").collect()}
-    assert "term:" in "".join(got.values())
+
+
+def test_needed_support_does_not_shrink_with_the_corpus():
+    """The texts a word must share with an entity, at least, over growing corpora."""
+    need = []
+    for n in (10 ** 3, 10 ** 4, 10 ** 6, 10 ** 9, 10 ** 12):
+        for k in range(1, 50):
+            p, weight = k / n, -0.5 * math.log(k / n)
+            if (k + weight * p) / (k + weight) >= max(0.5, p ** 0.1):
+                need.append(k)
+                break
+    assert need == sorted(need) and need[0] >= 3
+
+
+def test_a_text_of_very_many_entities(spark):
+    """20,000 addresses in the same five texts are weighed as one entity."""
+    many = " ".join(f"u{i}@h.org" for i in range(20_000))
+    rows = [(i, f"{many} kept by zorblat {'y' * (i + 1)}") for i in range(5)] + [(10 + i, f"plain text kept by {'z' * i}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["term"], r["entity"], r["texts"]) for r in pii.disclosing_terms(df, whole_texts=True).collect()]
+    assert got == [("zorblat", "u0@h.org", 5)]
+
+
+def test_sanitise_keeps_clashing_columns_with_terms(spark):
+    """Terms are present, and columns are named like the operator's own."""
+    rows = [(i, f"zorblat {'w' * (i + 1)} z@private.org") for i in range(8)] + [(20 + i, f"other words {'v' * i}") for i in range(200)] \
+        + [(99, "the zorblat spoke")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("key", "__terms", "__key", "__text", "__spans", "__blocks", "__email", "term", "entities", "words", "c0", "c1", "n"):
+        df = df.withColumn(name, F.lit(name))
+    out = pii.sanitise(df, whole_texts=True)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[0]["text"] == "[TERM] w [EMAIL]" and got[20]["text"] == rows[8][1]
+    assert got[99]["text"].startswith("the [") and got[99]["key"] == "key" and got[99]["__terms"] == "__terms"
 
 
 def test_personal_data_edges(spark):
