@@ -105,6 +105,8 @@ class _Bands:
     """Bands of set sizes for a similarity of ``percent`` hundredths."""
 
     def __init__(self, percent: int, largest: int):
+        if not 50 < percent <= 100:
+            raise ValueError("signatures need a similarity above one half")
         first, last = [1], []
         while True:
             last.append(max(first[-1], first[-1] * 100 // percent))
@@ -153,6 +155,7 @@ def signatures(sets: list[np.ndarray], bands: _Bands):
         while len(todo):
             n, band = n_all[todo], band_all[todo]
             k = bands.k[band]
+            differ = np.minimum(k, n * (100 - bands.percent) // bands.percent)    # of a similar set, at most
             take = np.repeat(begin[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             elements = all_elements[take]
             if level:
@@ -162,7 +165,7 @@ def signatures(sets: list[np.ndarray], bands: _Bands):
             which, cell, sums = _cells(elements, n, cells)
             filled = np.bincount(which, minlength=len(todo))
             small = (k > 0) & (k <= 3) if level == 0 else np.zeros(len(k), bool)
-            agreeing = np.where(small, filled > k, filled - k).clip(0)
+            agreeing = np.where(small, filled > differ, filled - differ).clip(0)
             flat = ~small[which]
             yield (todo[which[flat]], band[which[flat]], level, agreeing[which[flat]],
                    _signed(sums[flat], band[which[flat]], level, cell[flat]))
