@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import struct
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,31 +22,55 @@ def _dtype(df, c):
     return df.schema[c].dataType
 
 
+_WHOLE = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _bound(x, dt: T.DataType, up: bool):
+    """A range bound as a literal of the column's own type, so that it reaches the scan:
+    the least value of the type from ``x`` on (``up``), or the greatest up to it. None where every
+    value of the type fits, False where none does."""
+    exact = Fraction(x) if not isinstance(x, float) or math.isfinite(x) else None
+    if exact is None:
+        return False if math.isnan(x) or (x > 0) == up else None
+    if type(dt) in _WHOLE or isinstance(dt, T.DecimalType):
+        scale = dt.scale if isinstance(dt, T.DecimalType) else 0
+        units = math.ceil(exact * 10 ** scale) if up else math.floor(exact * 10 ** scale)
+        most = 10 ** dt.precision - 1 if isinstance(dt, T.DecimalType) else 2 ** _WHOLE[type(dt)] - 1
+        least = -most if isinstance(dt, T.DecimalType) else -most - 1
+        if not least <= units <= most:
+            return False if (units > most) == up else None
+        if isinstance(dt, T.DecimalType):
+            sign, digits = "-" if units < 0 else "", f"{abs(units):0{scale + 1}d}"
+            return F.lit(sign + (digits[:-scale] + "." + digits[-scale:] if scale else digits)).cast(dt)
+        return F.lit(units).cast(dt)
+    value = float(x)
+    if isinstance(dt, T.FloatType):
+        near = struct.unpack("f", struct.pack("f", max(min(value, 3.4028234663852886e38), -3.4028234663852886e38)))[0]
+        if (near < value) if up else (near > value):              # the next float on the right side
+            bits = struct.unpack("i", struct.pack("f", near))[0]
+            step = 1 if (near > 0 or (near == 0 and up)) == up else -1
+            near = math.copysign(1e-45, 1 if up else -1) if near == 0 else struct.unpack("f", struct.pack("i", bits + step))[0]
+        return F.lit(near).cast("float")
+    return F.lit(value)
+
+
 def filter_range(df: DataFrame, col: str, lo=None, hi=None) -> DataFrame:
     """inclusive numeric range; values that are not numbers never pass. Numeric columns
-    are compared as they are, so the bounds reach the scan."""
+    are compared as they are with bounds of their own type, exactly and within the scan."""
     dt = _dtype(df, col)
-    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and \
-            all(x is None or abs(x) < 2 ** 31 for x in (lo, hi)):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (q(col) >= F.lit(math.ceil(lo)))
-        if hi is not None:
-            cond = cond & (q(col) <= F.lit(math.floor(hi)))
-        return df.filter(cond)
-    if isinstance(dt, T.DoubleType):
-        cond = F.lit(True)
-        if lo is not None:                       # NaN counts as larger than any number
-            cond = cond & (q(col) >= F.lit(float(lo))) & ~F.isnan(q(col))
-        if hi is not None:
-            cond = cond & (q(col) <= F.lit(float(hi))) & ~F.isnan(q(col))
-        return df.filter(cond)
-    v = numeric_value(col, dt)
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (v >= F.lit(float(lo)))
-    if hi is not None:
-        cond = cond & (v <= F.lit(float(hi)))
+    own = type(dt) in _WHOLE or isinstance(dt, (T.DecimalType, T.FloatType, T.DoubleType))
+    v = q(col) if own else numeric_value(col, dt)
+    cond = v.isNotNull()
+    if isinstance(dt, (T.FloatType, T.DoubleType)):               # NaN counts as larger than any number
+        cond = cond & ~F.isnan(v)
+    for x, up in ((lo, True), (hi, False)):
+        if x is None:
+            continue
+        bound = _bound(x, dt if own else T.DoubleType(), up)
+        if bound is False:
+            return df.filter(F.lit(False))
+        if bound is not None:
+            cond = cond & (v >= bound if up else v <= bound)
     return df.filter(cond)
 
 

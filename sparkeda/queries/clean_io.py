@@ -154,5 +154,18 @@ register("csv_roundtrip_documents", "SELECT * FROM documents")(
     lambda spark, sf: _roundtrip(spark, sf, "documents"))
 register("csv_roundtrip_customer", "SELECT * FROM customer")(
     lambda spark, sf: _roundtrip(spark, sf, "customer"))
+
+
+@register("csv_roundtrip_orders_long_ids",
+          "SELECT CAST(1152921504606846976 + o_orderkey AS BIGINT) AS order_id, "
+          "CAST(9223372036854775807 - o_orderkey AS BIGINT) AS back_id, o_custkey FROM orders")
+def _long_ids(spark, sf):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-ids-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey").cast("long")
+    io.write_csv(table(spark, sf, "orders").select((F.lit(2 ** 60) + key).alias("order_id"),
+                                                   (F.lit(2 ** 63 - 1) - key).alias("back_id"), "o_custkey"), path)
+    return io.read_table(spark, path, fmt="csv")
+
+
 register("read_parquet_nation", "SELECT * FROM nation")(
     lambda spark, sf: io.read_table(spark, f"{sf.rstrip('/')}/nation.parquet"))

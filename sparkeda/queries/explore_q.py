@@ -239,22 +239,24 @@ register("trend_direction_lineitem", """SELECT 'l_shipdate' AS date_column, 'l_q
 
 
 def _words(spark, sf, name):
-    """Distinct lower-cased ASCII words of a text table (split on non-letters)."""
+    """Lower-cased words of a text table (split on all that is no letter of any script)."""
     t = spread(table(spark, sf, name).select("text"))
-    w = t.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).filter(F.length("w") > 0)
+    w = t.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("w")).filter(F.length("w") > 0)
     return w.select(F.lower("w").alias("word"))
 
 
-_WORDS_SQL = """(SELECT DISTINCT lower(w) AS {alias} FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w
+_WORDS_SQL = """(SELECT DISTINCT lower(w) AS {alias} FROM (SELECT unnest(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS w
                  FROM {table}) WHERE w <> '')"""
 
 register("match_vocabulary_document_words", f"""
 WITH v AS {_WORDS_SQL.format(alias="value", table="documents")},
 e AS {_WORDS_SQL.format(alias="entry", table="benchmark")},
+near AS (SELECT lv, le FROM (SELECT DISTINCT length(value) AS lv FROM v), (SELECT DISTINCT length(entry) AS le FROM e)
+         WHERE abs(lv - le) <= 0.3 * greatest(lv, le) + 1e-9),
 c AS (SELECT v.value, e.entry,
         1.0 - levenshtein(v.value, e.entry) / greatest(length(v.value), length(e.entry)) AS score,
         lower(v.value) = lower(e.entry) AS exact
-      FROM v, e),
+      FROM v JOIN near ON length(v.value) = near.lv JOIN e ON length(e.entry) = near.le),
 b AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY exact DESC, score DESC, entry) AS r
       FROM c WHERE exact OR score >= 0.7)
 SELECT v.value, coalesce(b.entry, v.value) AS match, CASE WHEN b.exact THEN 1.0 ELSE {srnd('b.score')} END AS score

@@ -12,7 +12,7 @@ from ..functions.exprs import q, strip
 from ..functions.values import IMAGE_SUFFIXES, NA_TOKENS
 from ..session import cut_lineage
 
-_INT_RE = r"^\s*[+-]?\d{1,18}\s*$"
+_INT_RE = r"^\s*[+-]?\d{1,38}\s*$"
 _FLOAT_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 #: Quoted fields may hold quotes (doubled), line breaks and blanks at their ends.
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
@@ -31,25 +31,30 @@ def _normalise_nan(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
-    """All-string frame -> typed frame: NA tokens become NULL, then each column
-    becomes long / double / boolean when every non-null value fits, else stays
-    string. One aggregate decides all columns; one select applies it."""
+def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS, refuse_empty: bool = False) -> DataFrame:
+    """All-string frame -> typed frame: NA tokens become NULL, then each column becomes
+    long / decimal(38, 0) / double / boolean when every non-null value fits, else stays string.
+    Whole numbers that a long cannot hold stay exact as decimals. One aggregate decides all
+    columns; one select applies it. ``refuse_empty``: a frame without rows is an error."""
     tokens = list(na_tokens)
     nulled = df.select(*[F.when(~strip(q(c)).isin(tokens) & ~q(c).isin(tokens), q(c)).alias(c)
                          for c in df.columns])
-    aggs = []
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(df.columns):
         v = q(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count(F.when(v.rlike(_INT_RE), 1)).alias(f"i{i}"),
+        whole = v.rlike(_INT_RE)
+        aggs += [F.count(v).alias(f"n{i}"), F.count(F.when(whole, 1)).alias(f"i{i}"),
+                 F.count(F.when(whole, strip(v).try_cast("long"))).alias(f"l{i}"),
                  F.count(F.when(v.rlike(_FLOAT_RE), 1)).alias(f"f{i}"),
                  F.count(F.when(v.isin(_TRUE + _FALSE), 1)).alias(f"b{i}")]
     row = nulled.agg(*aggs).collect()[0]
+    if refuse_empty and not row["rows"]:
+        raise ValueError("the table is empty")
     exprs = []
     for i, c in enumerate(df.columns):
         n, v = row[f"n{i}"], q(c)
         if n and row[f"i{i}"] == n:
-            exprs.append(strip(v).cast("long").alias(c))
+            exprs.append(strip(v).cast("long" if row[f"l{i}"] == n else "decimal(38,0)").alias(c))
         elif n and row[f"f{i}"] == n:
             exprs.append(strip(v).cast("double").alias(c))
         elif n and row[f"b{i}"] == n:
@@ -59,21 +64,34 @@ def infer_csv_types(df: DataFrame, na_tokens=NA_TOKENS) -> DataFrame:
     return nulled.select(*exprs)
 
 
+def has_line_breaks_in_fields(spark: SparkSession, path: str) -> bool:
+    """Some line holds an odd number of quotes, as lines do where a quoted field goes on
+    on the next one. One pass over splits of the files."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, na_tokens=NA_TOKENS,
-               schema=None, multi_line: bool = True) -> DataFrame:
+               schema=None, multi_line: bool | None = None, allow_empty: bool = False) -> DataFrame:
     """CSV (header, reader-style type inference, missing tokens) or parquet,
-    chosen by suffix unless ``fmt`` is given. Other suffixes are rejected. Files whose
-    fields hold no line breaks can be read in splits with ``multi_line=False``."""
+    chosen by suffix unless ``fmt`` is given. Other suffixes are rejected, and so are tables
+    without rows unless ``allow_empty``. CSV files are read in splits; only where a quoted field holds a
+    line break (looked up when ``multi_line`` is None) is a file read by one task."""
     fmt = fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     if fmt == "csv":
+        if multi_line is None:
+            multi_line = has_line_breaks_in_fields(spark, path)
         reader = spark.read.options(**_CSV).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        if schema is not None:
-            return _normalise_nan(reader.schema(schema).csv(path))
-        raw = reader.option("inferSchema", False).csv(path)
-        return infer_csv_types(raw, na_tokens)
-    if fmt == "parquet":
-        return _normalise_nan(spark.read.parquet(path))
-    raise ValueError(f"unsupported file type: {fmt!r} (csv or parquet)")
+        if schema is None:
+            return infer_csv_types(reader.option("inferSchema", False).csv(path), na_tokens, not allow_empty)
+        out = _normalise_nan(reader.schema(schema).csv(path))
+    elif fmt == "parquet":
+        out = _normalise_nan(spark.read.parquet(path))
+    else:
+        raise ValueError(f"unsupported file type: {fmt!r} (csv or parquet)")
+    if not allow_empty and out.isEmpty():
+        raise ValueError("the table is empty")
+    return out
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
