@@ -24,6 +24,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +38,11 @@ _CHUNK = 4_000_000           # bytes of a text split at once
 _PIECE_END = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case; everything that ends a piece becomes ".", which no word can hold
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in _PIECE_END else b for b in range(256))
-_STATE = "block string, seq binary, lo binary, hi binary, f binary, last binary, lang binary, text binary, " \
-         "langs array<string>, found array<struct<lang: string, phrase: string, f: bigint>>"
+_PACKED = ("seq", "id", "f", "last", "lang", "text")
+_STATE = "block string, " + ", ".join(f"{c} binary" for c in _PACKED) + \
+         ", langs array<string>, found array<struct<lang: string, phrase: string, f: bigint>>"
 _STATE_ARROW = pa.schema([
-    ("block", pa.string()), *((c, pa.binary()) for c in ("seq", "lo", "hi", "f", "last", "lang", "text")),
-    ("langs", pa.list_(pa.string())),
+    ("block", pa.string()), *((c, pa.binary()) for c in _PACKED), ("langs", pa.list_(pa.string())),
     ("found", pa.list_(pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])))])
 
 
@@ -64,72 +65,97 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _joined(prefix: np.ndarray, following: np.ndarray) -> np.ndarray:
-    return _mix(prefix * np.uint64(0x9E3779B97F4A7C15) + _mix(following + np.uint64(0xD6E8FEB86659FD93)))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 64-bit numbers, one after another, compressed."""
+    size = np.array([len(arrays), *map(len, arrays)], "<u8")
+    return zstandard.ZstdCompressor(level=3).compress(size.tobytes() + b"".join(x.astype("<u8").tobytes() for x in arrays))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u8")
+    n = int(data[0])
+    return np.split(data[n + 1:], np.cumsum(data[1:n + 1].astype(np.int64))[:-1])
+
+
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of sorted runs that begin at ``starts``; each run's first number as it is."""
+    out = np.diff(x, prepend=x[:1])
+    out[starts] = x[starts]
+    return out
+
+
+def _summed(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    c = np.cumsum(steps)
+    return c - np.repeat(c[starts] - steps[starts], np.diff(np.append(starts, len(steps))))
+
+
+def _word_hashes(words: list[bytes], lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    seeds = [xxhash.xxh64_intdigest(x.encode()) for x in langs]
+    digests = b"".join(xxhash.xxh3_128_digest(w, seeds[at]) for w, at in zip(words, lang.tolist()))
+    return np.frombuffer(digests, "<u8").reshape(-1, 2)
 
 
 class _State:
     """A block at a level: ``seq`` holds at each place the number (from 1) of the frequent
-    phrase that begins there, or 0; per phrase its two hashes, its total, the hashes of its
-    last word, its language and its text. At level 0 the phrases are all single words."""
+    phrase that begins there, or 0; per phrase its number in the corpus, its total, the number of
+    its last word, its language and its text. At level 0 the phrases are all single words, without
+    numbers or totals."""
 
-    def __init__(self, seq, lo, hi, f, last, lang, text, langs, block=None):
-        self.seq, self.lo, self.hi, self.f, self.last, self.lang = seq, lo, hi, f, last, lang
+    def __init__(self, seq, id, f, last, lang, text, langs, block=None):
+        self.seq, self.id, self.f, self.last, self.lang = seq, id, f, last, lang
         self.text, self.langs, self.block = text, langs, block or uuid.uuid4().hex
 
     def row(self, found=()) -> pa.RecordBatch:
-        cells = [self.block, *(x.tobytes() for x in (self.seq, self.lo, self.hi, self.f, self.last, self.lang)),
-                 b"\n".join(self.text), self.langs, list(found)]
+        pack = zstandard.ZstdCompressor(level=3).compress
+        cells = [self.block, *(pack(x.tobytes()) for x in (self.seq, self.id, self.f, self.last, self.lang)),
+                 pack(b"\n".join(self.text)), self.langs, list(found)]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _STATE_ARROW)], schema=_STATE_ARROW)
 
     @classmethod
     def read(cls, rows: pa.RecordBatch | pa.Table, i: int) -> _State:
-        c = {name: rows.column(name)[i].as_py() for name in _STATE_ARROW.names[:-1]}
-        text = c["text"].split(b"\n") if c["lo"] else []
-        return cls(np.frombuffer(c["seq"], "<i4"), np.frombuffer(c["lo"], "<u8"), np.frombuffer(c["hi"], "<u8"),
-                   np.frombuffer(c["f"], "<i8"), np.frombuffer(c["last"], "<u8").reshape(-1, 2),
-                   np.frombuffer(c["lang"], "<i4"), text, c["langs"], c["block"])
+        plain = {c: zstandard.ZstdDecompressor().decompress(rows.column(c)[i].as_py()) for c in _PACKED}
+        arrays = (np.frombuffer(plain[c], kind) for c, kind in zip(_PACKED, ("<i4", "<u8", "<i8", "<u8", "<i4")))
+        return cls(*arrays, plain["text"].split(b"\n") if plain["text"] else [],
+                   rows.column("langs")[i].as_py(), rows.column("block")[i].as_py())
 
-    def extensions(self, level: int, buckets: int):
+    def extensions(self, level: int):
         """The block's phrases of ``level`` words, as far as their parts are frequent: counts,
-        prefix and rest (numbers from 0; the rest ends with the next word), place of each pair
-        in ``seq``, and the bucket of each phrase."""
+        prefix and rest (numbers from 0; the rest ends with the next word), and the places in
+        ``seq`` with the phrase at each."""
         if level == 1:
-            n = np.bincount(self.seq, minlength=len(self.lo) + 1)[1:]
+            n = np.bincount(self.seq, minlength=len(self.text) + 1)[1:]
             index = np.arange(len(n))
-            return n, index, index, None, (self.hi % np.uint64(buckets)).astype(np.int64)
+            return n, index, index, None
         places = np.flatnonzero((self.seq[:-1] > 0) & (self.seq[1:] > 0))
         key = (self.seq[places].astype(np.int64) - 1) << 32 | (self.seq[places + 1].astype(np.int64) - 1)
         key, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        prefix, rest = key >> 32, key & 0xFFFFFFFF
-        slices = (1 + self.f[prefix] // _SLICE).astype(np.uint64)
-        bucket = (self.hi[prefix] + self.last[rest, 1] % slices) % np.uint64(buckets)
-        return n, prefix, rest, (places, which), bucket.astype(np.int64)
+        return n, key >> 32, key & 0xFFFFFFFF, (places, which)
 
-    def stripes(self, level: int, buckets: int):
+    def stripes(self, level: int, buckets: int, extensions=None):
         """(bucket, phrases in it, blob): prefixes, lengths of their stripes, next words, counts."""
-        n, prefix, rest, _, bucket = self.extensions(level, buckets)
-        order = np.argsort(bucket, kind="stable")                 # stays grouped by prefix
-        edges = np.flatnonzero(np.diff(bucket[order])) + 1
-        for mine in np.split(order, edges):
+        n, prefix, rest, _ = extensions or self.extensions(level)
+        if level == 1:                                            # the stripe of the empty prefix
+            both = _word_hashes(self.text, self.lang, self.langs)
+            head, following, bucket = np.zeros(len(n), np.uint64), both[:, 0], both[:, 1] % np.uint64(buckets)
+        else:
+            head, following = self.id[prefix], self.last[rest]
+            slices = (1 + self.f[prefix] // _SLICE).astype(np.uint64)
+            bucket = (_mix(head) + _mix(following) % slices) % np.uint64(buckets)
+        order = np.lexsort((following, head, bucket))
+        for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if not len(mine):
                 continue
-            own = prefix[mine] if level > 1 else np.zeros(len(mine), np.int64)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-            head = self.lo[own[starts]] if level > 1 else np.zeros(1, np.uint64)
-            blob = np.array([len(starts)], "<u4").tobytes() + head.astype("<u8").tobytes() \
-                + np.diff(np.append(starts, len(mine))).astype("<u4").tobytes() \
-                + self.last[rest[mine], 0].astype("<u8").tobytes() + n[mine].astype("<u4").tobytes()
-            yield int(bucket[mine[0]]), mine, blob
+            h = head[mine]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
+            yield int(bucket[mine[0]]), mine, _pack(_steps(h[starts], np.zeros(1, np.int64)), np.diff(np.append(starts, len(mine))),
+                                                    _steps(following[mine], starts), n[mine])
 
 
 def _read_stripes(blob: bytes):
-    """Prefix and next-word hashes and counts of a blob of _State.stripes."""
-    heads = int(np.frombuffer(blob, "<u4", 1)[0])
-    head = np.frombuffer(blob, "<u8", heads, 4)
-    size = np.frombuffer(blob, "<u4", heads, 4 + 8 * heads)
-    n, at = int(size.sum()), 4 + 12 * heads
-    return np.repeat(head, size), np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<u4", n, at + 8 * n)
+    """Prefixes, next words and counts of a blob of _State.stripes."""
+    head, size, steps, n = _unpack(blob)
+    size = size.astype(np.int64)
+    return np.cumsum(head).repeat(size), _summed(steps, np.cumsum(size) - size), n.astype(np.int64)
 
 
 def _number_words(batches):
@@ -156,13 +182,9 @@ def _number_words(batches):
         return numbers[lang]
 
     def state():
-        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in langs]
-        digests = b"".join(xxhash.xxh3_128_digest(w, seeds[at]) for w, at in zip(words, lang_of))
-        h = np.frombuffer(digests, "<u8").reshape(-1, 2)
-        seq = np.concatenate(parts)
-        lang = np.array(lang_of, "<i4")
+        seq, lang, none = np.concatenate(parts), np.array(lang_of, "<i4"), np.zeros(0, "<i8")
         n = np.bincount(lang, weights=np.bincount(seq, minlength=len(words) + 1)[1:], minlength=len(langs))
-        return _State(seq, h[:, 0].astype("<u8"), h[:, 1].astype("<u8"), np.zeros(0, "<i8"), h, lang, words, langs) \
+        return _State(seq, none, none, none, lang, words, langs) \
             .row({"lang": x, "phrase": "", "f": int(c)} for x, c in zip(langs, n))
 
     for batch in batches:
@@ -192,23 +214,30 @@ def _give_stripes(level: int, buckets: int):
     return run
 
 
-def _merge(min_count: int):
-    """Merge the stripes of a bucket elementwise and tell every block the totals of its
-    frequent phrases; the first block that holds one has it negative and reports it."""
+def _merge(min_count: int, buckets: int):
+    """Merge the stripes of a bucket elementwise, number its frequent phrases in the order of
+    prefix and next word, and tell every block numbers and totals; the least block that
+    holds a phrase has its total negative and reports it."""
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")                              # the same in every attempt
         parts = [_read_stripes(blob) for blob in rows.column("stripes").to_pylist()]
-        size = [len(p[2]) for p in parts]
-        key = _joined(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        n = np.concatenate([p[2] for p in parts])
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(which, weights=n, minlength=len(first)).astype(np.int64)    # exact below 2 ** 53
-        answer = np.where(total >= min_count, total, 0)
-        of_all = answer[which]
-        of_all[first] *= -1
-        out = []
-        for mine in np.split(of_all, np.cumsum(size)[:-1]):
-            at = np.flatnonzero(mine)
-            out.append(at.astype("<u4").tobytes() + mine[at].astype("<i8").tobytes())
+        prefix, following, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((following, prefix))                   # stable: the least block comes first
+        p, f = prefix[order], following[order]
+        starts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (f[1:] != f[:-1])]))
+        total = np.add.reduceat(n[order], starts)
+        frequent = total >= min_count
+        number = (np.cumsum(frequent) - 1) * buckets + rows.column("bucket")[0].as_py()
+        size = np.diff(np.append(starts, len(order)))
+        totals, numbers = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        totals[order] = np.where(frequent, total, 0).repeat(size)
+        totals[order[starts]] *= -1
+        numbers[order] = number.repeat(size)
+        out, ends = [], np.cumsum([0, *(len(x[2]) for x in parts)])
+        for a, b in zip(ends, ends[1:]):
+            at = np.flatnonzero(totals[a:b])
+            out.append(_pack(_steps(at.astype(np.uint64), np.zeros(1 if len(at) else 0, np.int64)),
+                             np.abs(totals[a:b][at]), totals[a:b][at] < 0, numbers[a:b][at]))
         return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "totals": pa.array(out, pa.binary())})
     return run
 
@@ -219,35 +248,33 @@ def _go_on(level: int, buckets: int, last_level: bool):
         if not states.num_rows:
             return _STATE_ARROW.empty_table()
         state = _State.read(states, 0)
-        n, prefix, rest, pairs, _ = state.extensions(level, buckets)
-        total = np.zeros(len(n), np.int64)
+        n, prefix, rest, pairs = extensions = state.extensions(level)
+        total, number, own = np.zeros(len(n), np.int64), np.zeros(len(n), np.uint64), np.zeros(len(n), bool)
         given = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist()))
-        for bucket, mine, _ in state.stripes(level, buckets):
-            blob = given[bucket]
-            k = len(blob) // 12
-            total[mine[np.frombuffer(blob, "<u4", k)]] = np.frombuffer(blob, "<i8", k, 4 * k)
+        for bucket, mine, _ in state.stripes(level, buckets, extensions):
+            at, totals, owned, numbers = _unpack(given[bucket])
+            here = mine[np.cumsum(at.astype(np.int64))]
+            total[here], own[here], number[here] = totals, owned, numbers
         keep = np.flatnonzero(total)
-        number = np.zeros(len(n) + 1, "<i4")                      # the last one stands for no phrase
-        number[keep] = np.arange(1, len(keep) + 1)
+        local = np.zeros(len(n) + 1, "<i4")                       # the last one stands for no phrase
+        local[keep] = np.arange(1, len(keep) + 1)
         p, r = prefix[keep], rest[keep]
         if level == 1:
-            seq = number[state.seq - 1]                           # place 0 - 1 is the last
-            text = [state.text[i] for i in keep]
-            lo, hi = state.lo[keep], state.hi[keep]
+            seq = local[state.seq - 1]                            # place 0 - 1 is the last
+            text, last = [state.text[i] for i in keep], number[keep]
         else:
             seq = np.zeros(len(state.seq), "<i4")
             places, which = pairs
-            seq[places] = number[which]
+            seq[places] = local[which]
             text = [state.text[a] + b" " + state.text[b].rsplit(b" ", 1)[-1] for a, b in zip(p, r)]
-            lo, hi = _joined(state.lo[p], state.last[r, 0]), _joined(state.hi[p], state.last[r, 1])
+            last = state.last[r]
+        found = [{"lang": state.langs[state.lang[p[i]]], "phrase": text[i].decode(), "f": int(total[keep[i]])}
+                 for i in np.flatnonzero(own[keep])]
         used = seq > 0
         used[1:] |= seq[:-1] > 0                                  # one gap between runs is enough
-        new = _State(np.zeros(0, "<i4") if last_level else seq[used], lo, hi, np.abs(total[keep]), state.last[r],
-                     state.lang[p], text, state.langs, state.block)
-        found = [{"lang": state.langs[new.lang[i]], "phrase": text[i].decode(), "f": int(-total[keep[i]])}
-                 for i in np.flatnonzero(total[keep] < 0)]
         if last_level:                                            # nothing goes on
-            new = _State(new.seq, lo[:0], hi[:0], new.f[:0], new.last[:0], new.lang[:0], [], state.langs, state.block)
+            used, keep, p, last, text = used[:0], keep[:0], p[:0], last[:0], []
+        new = _State(seq[:len(used)][used], number[keep], total[keep], last, state.lang[p], text, state.langs, state.block)
         return pa.Table.from_batches([new.row(found)])
     return run
 
@@ -266,7 +293,7 @@ def frequent_phrases(df: DataFrame, min_count: int = 100, max_words: int = 5, la
     buckets = 1 + words // _BUCKET_TOKENS
     for level in range(1, max_words + 1):
         merged = state.mapInArrow(_give_stripes(level, buckets), "bucket long, block string, stripes binary") \
-            .groupBy("bucket").applyInArrow(_merge(min_count), "bucket long, block string, totals binary")
+            .groupBy("bucket").applyInArrow(_merge(min_count, buckets), "bucket long, block string, totals binary")
         state = written(state.groupBy("block").cogroup(merged.groupBy("block"))
                         .applyInArrow(_go_on(level, buckets, level == max_words), _STATE), f"phrases-{level}")
         found.append(state.select(F.explode("found").alias("x"))
