@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +32,34 @@ def _projected(df: DataFrame, cols: list[str]) -> tuple[DataFrame, dict]:
     return base, {c: F.col(n) for c, n in names.items()}
 
 
-def _bounds(df: DataFrame, vals: dict, distinct: bool = False) -> dict:
-    """Count, min, max and whole-number test per column; distinct values only on demand
-    (they cost a shuffle of all values)."""
+def few_distinct(df: DataFrame, most: int) -> dict[str, int]:
+    """{column: distinct values} of the columns with at most ``most`` of them. Every task keeps
+    a set of at most ``most`` + 1 values per column, and only those are shuffled."""
+    names = df.columns
+
+    def capped(batches):
+        seen = [None] * len(names)
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                if seen[i] is None or len(seen[i]) <= most:
+                    new = pc.unique(c.drop_null())
+                    seen[i] = new if seen[i] is None else pc.unique(pa.concat_arrays([seen[i], new]))
+                    seen[i] = seen[i].slice(0, most + 1)
+        for i, values in enumerate(seen):
+            if values is not None and len(values):
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(values), pa.int32()), values.cast(pa.float64())], ["i", "v"])
+
+    kept = df.select(*[q(c).cast("double").alias(c) for c in names]).mapInArrow(capped, "i int, v double").distinct()
+    found = {names[r["i"]]: r["n"] for r in kept.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(c, 0) for c in names if found.get(c, 0) <= most}
+
+
+def _bounds(df: DataFrame, vals: dict) -> dict:
+    """Count, min, max and whole-number test per column."""
     aggs = []
     for i, c in enumerate(vals):
         v = vals[c]
         aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"),
-                 (F.count_distinct(v) if distinct else F.lit(None).cast("long")).alias(f"d{i}"),
                  F.count(F.when(v % 1 != 0, 1)).alias(f"f{i}")]
     aggs.append(F.count(F.lit(1)).alias("__rows"))
     row = df.agg(*aggs).collect()[0]
@@ -46,7 +68,7 @@ def _bounds(df: DataFrame, vals: dict, distinct: bool = False) -> dict:
         lo, hi = row[f"a{i}"], row[f"b{i}"]
         if lo is not None and lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
-        out[c] = {"n": row[f"n{i}"], "lo": lo, "hi": hi, "distinct": row[f"d{i}"],
+        out[c] = {"n": row[f"n{i}"], "lo": lo, "hi": hi,
                   "integral": row[f"n{i}"] > 0 and row[f"f{i}"] == 0, "rows": row["__rows"]}
     return out
 
@@ -99,8 +121,10 @@ def distribution_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
     min(50, max(10, floor(sqrt(n)))) equal-width bins (label = bin number).
     Columns: column, label, lower, upper, count."""
     df, vals = _projected(df, cols)
-    b = _bounds(df, vals, distinct=True)
-    bar_cols = [c for c in cols if b[c]["integral"] and b[c]["distinct"] <= 60]
+    b = _bounds(df, vals)
+    whole = [c for c in vals if b[c]["integral"]]
+    few = few_distinct(df.select(*[vals[c].alias(c) for c in whole]), 60) if whole else {}
+    bar_cols = [c for c in cols if c in few]
     hist_cols = [c for c in cols if c not in bar_cols and b[c]["n"]]
     parts = []
     if bar_cols:

@@ -2,19 +2,20 @@
 
 A series at scale is one long ordered sequence, so nothing here uses an
 un-partitioned window over the data: positions come from a range-partitioned
-sort with per-partition offsets, and the moving average is an equi-join-free
-"each row feeds the w windows it belongs to" aggregate on that position.
+sort with per-partition offsets, and the moving average is a window inside buckets of
+neighbouring positions, to which only the few rows at a bucket's borders are copied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import kind_of, numeric_value, q
 from ..sources.io import with_global_index
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
+_BUCKET = 8192             # neighbouring positions of a series in one window group
 
 
 def _ts(df, col):
@@ -46,11 +47,10 @@ def centered_moving_average(df: DataFrame, ts: str, val: str, key: str,
     the window is full. For width w the window of row i spans rows
     [i - (w - 1 - off), i + off] with off = (w - 1) // 2.
 
-    Whole-table series: each row is numbered (distributed), then feeds the w
-    windows it belongs to (w <= 7 copies), and one grouped sum/count per
-    window gives the average; no single task sees the series.
-    ``partition_by``: many independent series, each with its own width; handled the
-    same way over one global numbering, so a hot series is never one task.
+    Rows are numbered (distributed) and put into buckets by position; rows within a
+    window's reach of a border go to the next bucket too, so every bucket has the whole
+    windows of its own rows and no task sees the series. ``partition_by``: many independent
+    series, each with its own width, over one global numbering, so a hot series is never one task.
     """
     v = numeric_value(val, df.schema[val].dataType)
     base = df.select(*[q(c) for c in (partition_by or [])], _ts(df, ts).alias("ts"),
@@ -64,13 +64,21 @@ def centered_moving_average(df: DataFrame, ts: str, val: str, key: str,
         return base.withColumn("trend", F.lit(None).cast("double"))
     off = (w - 1) // 2
     idx = with_global_index(base, [F.col("ts"), F.col("key")], "idx")
-    # row j belongs to the windows centred at i = j + d, d in [-off, w - 1 - off]
-    feeds = idx.select(F.explode(F.sequence(F.col("idx") - off, F.col("idx") + (w - 1 - off))).alias("idx"),
-                       "value")
-    win = feeds.groupBy("idx").agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    out = idx.join(win, "idx", "left")
-    return out.select("ts", "value", "key", "idx",
-                      F.when(F.col("_c") == w, F.col("_s") / w).alias("trend"))
+    near = Window.partitionBy("_bucket").orderBy("idx").rowsBetween(-(w - 1 - off), off)
+    out = _with_halo(idx, "idx", w - 1).withColumn("_s", F.sum("value").over(near)).withColumn("_c", F.count(F.lit(1)).over(near))
+    return out.filter("_own").select("ts", "value", "key", "idx", F.when(F.col("_c") == w, F.col("_s") / w).alias("trend"))
+
+
+def _with_halo(idx: DataFrame, pos: str, reach: int) -> DataFrame:
+    """Rows with their bucket of neighbouring positions (``_bucket``); those within
+    ``reach`` of a border once more, not ``_own``, in the bucket beyond it."""
+    size = max(_BUCKET, 4 * reach)
+    at, b = F.col(pos) % size, F.floor(F.col(pos) / size)
+    where = F.array(F.struct(b.alias("_bucket"), F.lit(True).alias("_own")))
+    before = F.array(F.struct((b - 1).alias("_bucket"), F.lit(False).alias("_own")))
+    after = F.array(F.struct((b + 1).alias("_bucket"), F.lit(False).alias("_own")))
+    copies = F.when(at < reach, F.concat(where, before)).when(at >= size - reach, F.concat(where, after)).otherwise(where)
+    return idx.select("*", F.inline(copies))
 
 
 def series_stats(df: DataFrame, pairs: list[tuple[str, str]], key: str,
@@ -112,27 +120,21 @@ def timeseries(df: DataFrame, key: str, date_cols: list[str], numeric_cols: list
     return series_stats(df, pairs, key)
 
 
-def _moving_average_per_series(base: DataFrame, partition_by: list[str],
-                               broadcast_limit: int = 1_000_000) -> DataFrame:
-    """W2 for many series at once. Rows are numbered over (series, ts, key); each
-    series owns a contiguous range [g0, g0 + n). Every row feeds the <= 7 windows
-    of its own series it belongs to, and one grouped sum/count per window position
-    gives the averages. Per-series (g0, n) -- one row per series -- is broadcast
-    when the series count is within ``broadcast_limit``, else joined by a shuffle
-    that AQE's skew-join handling splits for a hot series."""
+def _moving_average_per_series(base: DataFrame, partition_by: list[str]) -> DataFrame:
+    """W2 for many series at once: numbered over (series, ts, key), windows of at most 7
+    rows of the same series inside buckets of positions. The size of each series joins back
+    by its key; AQE splits a hot one."""
     keys = [q(c) for c in partition_by]
     idx = with_global_index(base, keys + [F.col("ts"), F.col("key")], "gi")
-    per = idx.groupBy(*keys).agg(F.min("gi").alias("g0"), F.count(F.lit(1)).alias("_n"))
-    n_series = per.count()
-    idx = idx.join(F.broadcast(per) if n_series <= broadcast_limit else per, partition_by)
-    w = F.when(F.col("_n") > 7, F.least(F.lit(7), F.floor(F.col("_n") / 3)).cast("long"))
-    off = F.floor((w - 1) / 2).cast("long")
-    idx = idx.withColumn("_w", w).withColumn("_off", off)
-    lo = F.greatest(F.col("gi") - F.col("_off"), F.col("g0"))
-    hi = F.least(F.col("gi") + (F.col("_w") - 1 - F.col("_off")), F.col("g0") + F.col("_n") - 1)
-    feeds = (idx.filter(F.col("_w").isNotNull())
-             .select(F.explode(F.sequence(lo, hi)).alias("gi"), "value"))
-    win = feeds.groupBy("gi").agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    out = idx.join(win, "gi", "left")
-    return out.select(*[q(c) for c in partition_by], "ts", "value", "key",
-                      F.when(F.col("_c") == F.col("_w"), F.col("_s") / F.col("_w")).alias("trend"))
+    per = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    series = Window.partitionBy("_bucket", *keys).orderBy("gi")
+    at = [F.lag("value", -d).over(series) if d else F.col("value") for d in range(-3, 4)]
+    near = _with_halo(idx, "gi", 6).select("*", *[v.alias(f"_v{i}") for i, v in enumerate(at)]).filter("_own")
+    out = near.join(per, partition_by)
+    w = F.when(F.col("_n") > 7, F.least(F.lit(7), F.floor(F.col("_n") / 3)).cast("int"))
+    trend = F.lit(None).cast("double")
+    for width in range(2, 8):
+        off = (width - 1) // 2
+        members = [F.col(f"_v{3 + d}") for d in range(-(width - 1 - off), off + 1)]   # a missing one makes the sum NULL
+        trend = F.when(w == width, sum(members[1:], members[0]) / width).otherwise(trend)
+    return out.select(*[q(c) for c in partition_by], "ts", "value", "key", trend.alias("trend"))
