@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_index, numeric_value, q, rnd, strip
 from ..functions.values import NO_VALUE
-from ..plans.ranking import top_n_per_group
-from ..session import spread
+from ..plans.quantiles import NumericFacts
+from ..plans.ranking import rank_in_groups
+from ..session import cut_lineage, spread
 
 
 def _fields(df):
@@ -91,14 +92,18 @@ def _bin_frame(spark, spec) -> DataFrame:
                         F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
 
 
-def histogram(df: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+def histogram(df: DataFrame, cols: list[str], bins: int = 10, facts: NumericFacts | None = None) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed; a constant column
     uses [v - 0.5, v + 0.5]); zero bins kept; the null bucket is the row with
     ``bin`` NULL. Columns: column, bin, lower, upper, count."""
-    df, vals = _projected(df, cols)
-    b = _bounds(df, vals)
-    spec = {c: (b[c]["lo"], b[c]["hi"], bins) for c in cols}
-    return _assemble(df, vals, spec)
+    if facts is None:
+        df, vals = _projected(df, cols)
+        bounds = {c: (b["lo"], b["hi"]) for c, b in _bounds(df, vals).items()}
+    else:
+        df, vals = facts.base, facts.values
+        bounds = {c: (None, None) if m["min"] is None else (m["min"] - 0.5, m["max"] + 0.5) if m["min"] == m["max"] else (m["min"], m["max"])
+                  for c, m in facts.moments.items()}
+    return _assemble(df, vals, {c: (*bounds[c], bins) for c in cols})
 
 
 def _assemble(df, vals, spec) -> DataFrame:
@@ -115,17 +120,17 @@ def _assemble(df, vals, spec) -> DataFrame:
     return full.unionByName(nulls)
 
 
-def distribution_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
+def distribution_histogram(df: DataFrame, cols: list[str], facts: NumericFacts | None = None) -> DataFrame:
     """A whole-number column with <= 60 distinct values gets one bar per value
     (label = the integer, plus ``No Value`` for missing); others get
     min(50, max(10, floor(sqrt(n)))) equal-width bins (label = bin number).
     Columns: column, label, lower, upper, count."""
-    df, vals = _projected(df, cols)
-    b = _bounds(df, vals)
-    whole = [c for c in vals if b[c]["integral"]]
+    facts = facts or NumericFacts(df, cols, passes=3)
+    df, vals, m = facts.base, facts.values, facts.moments
+    whole = [c for c in dict.fromkeys(cols) if m[c]["n"] and not m[c]["broken"]]
     few = few_distinct(df.select(*[vals[c].alias(c) for c in whole]), 60) if whole else {}
     bar_cols = [c for c in cols if c in few]
-    hist_cols = [c for c in cols if c not in bar_cols and b[c]["n"]]
+    hist_cols = [c for c in cols if c not in bar_cols and m[c]["n"]]
     parts = []
     if bar_cols:
         structs = [F.struct(F.lit(c).alias("column"), vals[c].cast("long").cast("string").alias("label"))
@@ -137,37 +142,58 @@ def distribution_histogram(df: DataFrame, cols: list[str]) -> DataFrame:
                                  F.when(F.col("label") != NO_VALUE, F.col("label").cast("double")).alias("upper"),
                                  F.col("count").cast("long")))
     if hist_cols:
-        spec = {c: (b[c]["lo"], b[c]["hi"], min(50, max(10, int(math.sqrt(b[c]["n"]))))) for c in hist_cols}
+        spec = {}
+        for c in hist_cols:
+            lo, hi = m[c]["min"], m[c]["max"]
+            spec[c] = (*((lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)), min(50, max(10, int(math.sqrt(m[c]["n"])))))
         h = _assemble(df, vals, spec).filter(F.col("bin").isNotNull())
         parts.append(h.select("column", F.col("bin").cast("string").alias("label"), "lower", "upper", "count"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, label string, lower double, upper double, count bigint")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def category_bars(df: DataFrame, col: str, k: int = 30) -> DataFrame:
-    """D3: top ``k`` values (ties by value) plus ``No Value`` = nulls + cells blank
+def bars_of_columns(df: DataFrame, cols: list[str], k: int | None = 30) -> DataFrame:
+    """D3 for many columns: (column, label, count, rank). One scan counts every value of every
+    column; bars and missing buckets are read off those counts. ``k`` None: all values."""
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), q(c).cast("string").alias("label")) for i, c in enumerate(cols)]
+    counts = cut_lineage(df.select(F.inline(F.array(*cells))).groupBy("i", "column", "label").agg(F.count(F.lit(1)).alias("count")))
+    v = F.col("label")
+    missing = counts.filter(v.isNull() | (strip(v) == "")).groupBy("i", "column").agg(F.sum("count").alias("count"))
+    values = counts.filter(v.isNotNull() & (v != "") & (F.lower(v) != "nan"))
+    top = rank_in_groups(values, ["i", "column"], [F.desc("count"), F.col("label")], "rank", k)
+    if k is None:
+        last = values.groupBy("i", "column").agg((F.count(F.lit(1)) + 1).alias("rank"))
+        missing = missing.join(last, ["i", "column"], "left").withColumn("rank", F.coalesce("rank", F.lit(1)))
+    else:
+        missing = missing.withColumn("rank", F.lit(k + 1))
+    missing = missing.select("column", F.lit(NO_VALUE).alias("label"), F.col("count").cast("long").alias("count"), "rank")
+    return top.select("column", "label", F.col("count").cast("long").alias("count"), "rank").unionByName(missing)
+
+
+def shares_of_bars(bars: DataFrame, max_bars: int | None = 15) -> DataFrame:
+    """D4 of ``bars_of_columns``: percent shares (2 dp) for columns of 2..``max_bars`` bars (None:
+    any number from 2)."""
+    w = Window.partitionBy("column")
+    n = F.col("_n")
+    return (bars.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_t", F.sum("count").over(w))
+            .filter((n > 1) & (n <= max_bars) if max_bars is not None else n > 1)
+            .select("column", "label", "count", rnd(F.col("count") * 100.0 / F.col("_t"), 2).alias("percent")))
+
+
+def category_bars(df: DataFrame, col: str, k: int | None = 30) -> DataFrame:
+    """D3: top ``k`` values (ties by value; None: all) plus ``No Value`` = nulls + cells blank
     after trimming. As in the reference, a whitespace-only cell counts both as
     missing and as a value (only the exact empty string is removed)."""
-    v = q(col).cast("string")
-    missing = df.agg(F.count(F.when(v.isNull() | (strip(v) == ""), 1)).alias("m"))
-    vals = df.filter(v.isNotNull() & (v != "") & (F.lower(v) != "nan"))
-    counts = vals.groupBy(v.alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    top = top_n_per_group(counts, [], [F.desc("count"), F.col("label")], k, rank="rank")
-    miss = missing.filter(F.col("m") > 0).select(F.lit(NO_VALUE).alias("label"),
-                                                 F.col("m").cast("long").alias("count"),
-                                                 F.lit(k + 1).alias("rank"))
-    return top.select("label", F.col("count").cast("long"), "rank").unionByName(miss)
-
-
-def category_shares(df: DataFrame, col: str, k: int = 30, max_bars: int = 15) -> DataFrame:
-    """Percent shares (2 dp) of the D3 bars when there are 2..15 of them."""
-    bars = category_bars(df, col, k)
-    w = Window.partitionBy()
-    return (bars.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_t", F.sum("count").over(w))
-            .filter((F.col("_n") > 1) & (F.col("_n") <= max_bars))
-            .select("label", "count", rnd(F.col("count") * 100.0 / F.col("_t"), 2).alias("percent")))
+    return bars_of_columns(df, [col], k).drop("column")
+
+
+def category_shares(df: DataFrame, col: str, k: int | None = 30, max_bars: int | None = 15) -> DataFrame:
+    """Percent shares (2 dp) of the D3 bars when there are 2..``max_bars`` of them."""
+    return shares_of_bars(bars_of_columns(df, [col], k), max_bars).drop("column")
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 20, min_rows: int = 10) -> DataFrame:

@@ -1,9 +1,6 @@
-"""Outliers (O1-O4) and box summaries.
-
-Pass 1: moments (one aggregate) and exact quartiles (distributed selection);
-pass 2: one aggregate counting values outside the literal bounds for every
-column at once. Bounds are a handful of doubles per column, so they travel as
-literals in the plan rather than as a join.
+"""Outliers (O1-O4) and box summaries (D5), all read off ``NumericFacts``: one aggregate of
+moments, one search for the quartiles of all columns, one count outside the fences. ``facts``
+shares these between analyses of the same columns.
 """
 
 from __future__ import annotations
@@ -11,155 +8,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import numeric_value, rnd
-from ..plans.quantiles import exact_quantiles
-from ..session import spread
-
-
-def _vals(df, cols):
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    return {c: numeric_value(c, fields[c]) for c in cols}
-
-
-def _projected(df, cols):
-    """Numeric values computed once in a projection the counting passes read."""
-    vals = _vals(df, cols)
-    names = {c: f"__v{i}" for i, c in enumerate(cols)}
-    base = spread(df.select(*[vals[c].alias(n) for c, n in names.items()]), passes=3)
-    return base, {c: F.col(n) for c, n in names.items()}
-
+from ..functions.exprs import rnd
+from ..plans.quantiles import NumericFacts
 
-def outlier_bounds(df: DataFrame, cols: list[str], method: str = "exact", quartiles: bool = True) -> dict:
-    """Per column: n, mean, sample std, min, max, q1, q3, iqr and IQR fences (the
-    last four None without ``quartiles``, which saves the selection passes)."""
-    df, vals = _projected(df, cols)
-    row = df.agg(*[e for i, c in enumerate(cols) for e in
-                   (F.count(vals[c]).alias(f"n{i}"), F.avg(vals[c]).alias(f"m{i}"),
-                    F.stddev_samp(vals[c]).alias(f"s{i}"), F.min(vals[c]).alias(f"a{i}"),
-                    F.max(vals[c]).alias(f"b{i}"))]).collect()[0]
-    qs = exact_quantiles(df, vals, [0.25, 0.75], method=method) if quartiles else {}
-    out = {}
-    for i, c in enumerate(cols):
-        q1, q3 = qs.get((c, 0.25)), qs.get((c, 0.75))
-        iqr = None if q1 is None else q3 - q1
-        out[c] = {"n": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"], "min": row[f"a{i}"],
-                  "max": row[f"b{i}"], "q1": q1, "q3": q3, "iqr": iqr,
-                  "lower": None if iqr is None else q1 - 1.5 * iqr,
-                  "upper": None if iqr is None else q3 + 1.5 * iqr}
-    return out
-
-
-def _is_iqr(v, b):
-    return (v < F.lit(b["lower"])) | (v > F.lit(b["upper"]))
-
-
-def _is_z(v, b, t):
-    return F.abs((v - F.lit(b["mean"])) / F.lit(b["std"])) > t
+_SUMMARY = ("column string, total_values long, iqr_outliers long, iqr_percent double, "
+            "zscore_outliers long, zscore_percent double, mean double, std double, q1 double, q3 double, "
+            "iqr double, lower_bound double, upper_bound double, min double, max double")
+_BOX = ("column string, min double, q1 double, median double, q3 double, max double, mean double, std double, "
+        "lower_fence double, upper_fence double, whisker_low double, whisker_high double")
 
 
 def outlier_summary(df: DataFrame, cols: list[str], z: float = 3.0, min_values: int = 4,
-                    max_cols: int | None = None, method: str = "exact") -> DataFrame:
+                    max_cols: int | None = None, method: str = "exact", facts: NumericFacts | None = None) -> DataFrame:
     """O1 + O2 + O3: for the columns (or the first ``max_cols``) with >= ``min_values``
     values: IQR outliers (strictly outside Q1 - 1.5 IQR, Q3 + 1.5 IQR) and
     z-score outliers (|z| > 3; none when std = 0), counts and percents (2 dp)."""
     cols = cols[:max_cols]
-    b = outlier_bounds(df, cols, method)
-    df, vals = _projected(df, cols)
-    keep = [c for c in cols if b[c]["n"] and b[c]["n"] >= min_values]
-    spark = df.sparkSession
-    schema = ("column string, total_values long, iqr_outliers long, iqr_percent double, "
-              "zscore_outliers long, zscore_percent double, mean double, std double, q1 double, q3 double, "
-              "iqr double, lower_bound double, upper_bound double, min double, max double")
-    if not keep:
-        return spark.createDataFrame([], schema)
-    aggs = []
-    for i, c in enumerate(keep):
-        v, bc = vals[c], b[c]
-        aggs.append(F.count(F.when(_is_iqr(v, bc), 1)).alias(f"i{i}"))
-        aggs.append(F.count(F.when(_is_z(v, bc, z), 1)).alias(f"z{i}") if bc["std"] and bc["std"] > 0
-                    else F.lit(0).cast("long").alias(f"z{i}"))
-    row = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(keep):
-        bc = b[c]
-        n = bc["n"]
-        structs.append(F.struct(
-            F.lit(c).alias("column"), F.lit(n).cast("long").alias("total_values"),
-            F.col(f"i{i}").cast("long").alias("iqr_outliers"),
-            rnd(F.col(f"i{i}") * 100.0 / F.lit(n), 2).alias("iqr_percent"),
-            F.col(f"z{i}").cast("long").alias("zscore_outliers"),
-            rnd(F.col(f"z{i}") * 100.0 / F.lit(n), 2).alias("zscore_percent"),
-            *[F.lit(bc[k]).cast("double").alias(a) for k, a in
-              [("mean", "mean"), ("std", "std"), ("q1", "q1"), ("q3", "q3"), ("iqr", "iqr"),
-               ("lower", "lower_bound"), ("upper", "upper_bound"), ("min", "min"), ("max", "max")]]))
-    return row.select(F.inline(F.array(*structs)))
-
-
-def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+    facts = facts or NumericFacts(df, cols, method)
+    keep = [c for c in cols if facts.moments[c]["n"] >= max(1, min_values)]
+    out = facts.outside(z) if keep else {}
+    rows = []
+    for c in keep:
+        m, (q1, _, q3), (lower, upper) = facts.moments[c], facts.quartiles[c], facts.fences[c]
+        rows.append((c, m["n"], out[c]["iqr"], out[c]["iqr"] * 100.0 / m["n"], out[c]["zscore"], out[c]["zscore"] * 100.0 / m["n"],
+                     m["mean"], m["std"], q1, q3, q3 - q1, lower, upper, m["min"], m["max"]))
+    found = df.sparkSession.createDataFrame(rows, _SUMMARY)
+    return found.withColumn("iqr_percent", rnd(F.col("iqr_percent"), 2)).withColumn("zscore_percent", rnd(F.col("zscore_percent"), 2))
+
+
+def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact", facts: NumericFacts | None = None) -> DataFrame:
     """O1: count, percent and fences per column."""
-    return outlier_summary(df, cols, min_values=1, max_cols=None, method=method).select(
+    return outlier_summary(df, cols, min_values=1, max_cols=None, method=method, facts=facts).select(
         "column", "total_values", "iqr_outliers", "iqr_percent", "lower_bound", "upper_bound")
 
 
-def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
+def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0, facts: NumericFacts | None = None) -> DataFrame:
     """O2: |x - mean| / sample std > z (no outliers when std is 0). One aggregate for the
     moments, one for the counts."""
-    b = outlier_bounds(df, cols, quartiles=False)
-    df, vals = _projected(df, cols)
-    keep = [c for c in cols if b[c]["n"]]
-    if not keep:
-        return df.sparkSession.createDataFrame(
-            [], "column string, total_values long, zscore_outliers long, zscore_percent double, mean double, std double")
-    row = df.agg(*[(F.count(F.when(_is_z(vals[c], b[c], z), 1)) if b[c]["std"] else F.lit(0).cast("long")).alias(f"z{i}")
-                   for i, c in enumerate(keep)])
-    return row.select(F.inline(F.array(*[F.struct(
-        F.lit(c).alias("column"), F.lit(b[c]["n"]).cast("long").alias("total_values"),
-        F.col(f"z{i}").cast("long").alias("zscore_outliers"),
-        rnd(F.col(f"z{i}") * 100.0 / F.lit(b[c]["n"]), 2).alias("zscore_percent"),
-        F.lit(b[c]["mean"]).cast("double").alias("mean"), F.lit(b[c]["std"]).cast("double").alias("std"))
-        for i, c in enumerate(keep)])))
+    facts = facts or NumericFacts(df, cols, passes=2)
+    out = facts.outside(z, by_quartiles=False)
+    rows = [(c, m["n"], out[c]["zscore"], out[c]["zscore"] * 100.0 / m["n"], m["mean"], m["std"])
+            for c in cols if (m := facts.moments[c])["n"]]
+    found = df.sparkSession.createDataFrame(
+        rows, "column string, total_values long, zscore_outliers long, zscore_percent double, mean double, std double")
+    return found.withColumn("zscore_percent", rnd(F.col("zscore_percent"), 2))
 
 
 def outlier_rows(df: DataFrame, col: str, k: int = 20, method: str = "iqr", z: float = 3.0) -> DataFrame:
     """Up to ``k`` outlying values, farthest from the bound first (then by
     value), so the pick is stable whatever the row order."""
-    v = _vals(df, [col])[col]
-    b = outlier_bounds(df, [col])[col]
-    if b["n"] == 0:
-        return df.sparkSession.createDataFrame([], "value double, distance double")
+    facts = NumericFacts(df, [col], passes=3)
+    m, v = facts.moments[col], facts.values[col]
+    none = df.sparkSession.createDataFrame([], "value double, distance double")
+    if not m["n"] or (method != "iqr" and not m["std"]):
+        return none
     if method == "iqr":
-        cond = _is_iqr(v, b)
-        dist = F.greatest(F.lit(b["lower"]) - v, v - F.lit(b["upper"]))
+        lower, upper = facts.fences[col]
+        cond, dist = (v < F.lit(lower)) | (v > F.lit(upper)), F.greatest(F.lit(lower) - v, v - F.lit(upper))
     else:
-        if not b["std"]:
-            return df.sparkSession.createDataFrame([], "value double, distance double")
-        cond = _is_z(v, b, z)
-        dist = F.abs((v - F.lit(b["mean"])) / F.lit(b["std"]))
-    return (df.filter(cond).select(v.alias("value"), dist.alias("distance"))
+        dist = F.abs((v - F.lit(m["mean"])) / F.lit(m["std"]))
+        cond = dist > z
+    return (facts.base.filter(cond).select(v.alias("value"), dist.alias("distance"))
             .orderBy(F.desc("distance"), F.desc("value")).limit(k))
 
 
-def box_summary(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def box_summary(df: DataFrame, cols: list[str], method: str = "exact", facts: NumericFacts | None = None) -> DataFrame:
     """Five numbers, mean +/- sd, IQR fences and whisker ends (most extreme
     values inside the fences)."""
-    b = outlier_bounds(df, cols, method)
-    df, vals = _projected(df, cols)
-    live = [c for c in cols if b[c]["n"]]
-    if not live:
-        return df.sparkSession.createDataFrame([], "column string")
-    row = df.agg(*[e for i, c in enumerate(live) for e in
-                   (F.min(F.when(vals[c] >= F.lit(b[c]["lower"]), vals[c])).alias(f"wl{i}"),
-                    F.max(F.when(vals[c] <= F.lit(b[c]["upper"]), vals[c])).alias(f"wh{i}"))])
-    qs = exact_quantiles(df, {c: vals[c] for c in live}, [0.5], method=method)
-    structs = []
-    for i, c in enumerate(live):
-        bc = b[c]
-        structs.append(F.struct(
-            F.lit(c).alias("column"), F.lit(bc["min"]).cast("double").alias("min"),
-            F.lit(bc["q1"]).cast("double").alias("q1"), F.lit(qs[(c, 0.5)]).cast("double").alias("median"),
-            F.lit(bc["q3"]).cast("double").alias("q3"), F.lit(bc["max"]).cast("double").alias("max"),
-            F.lit(bc["mean"]).cast("double").alias("mean"), F.lit(bc["std"]).cast("double").alias("std"),
-            F.lit(bc["lower"]).cast("double").alias("lower_fence"),
-            F.lit(bc["upper"]).cast("double").alias("upper_fence"),
-            F.col(f"wl{i}").alias("whisker_low"), F.col(f"wh{i}").alias("whisker_high")))
-    return row.select(F.inline(F.array(*structs)))
+    facts = facts or NumericFacts(df, cols, method)
+    live = [c for c in cols if facts.moments[c]["n"]]
+    out = facts.outside() if live else {}
+    rows = []
+    for c in live:
+        m = facts.moments[c]
+        rows.append((c, m["min"], *facts.quartiles[c], m["max"], m["mean"], m["std"], *facts.fences[c], out[c]["low"], out[c]["high"]))
+    return df.sparkSession.createDataFrame(rows, _BOX)

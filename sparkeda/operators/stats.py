@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (bias_corrected_kurt, bias_corrected_skew, clean_value, kind_of, strip,
-                               local_frame, numeric_value, q, rnd)
+                               numeric_value, q, rnd)
 from ..functions.values import NODATA
-from ..plans.quantiles import exact_quantiles
-from ..session import spread
+from ..plans.quantiles import NumericFacts
 
 
 def _fields(df):
@@ -54,28 +53,24 @@ def column_moments(df: DataFrame, vals: dict) -> DataFrame:
         F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"))
 
 
-def numeric_stats(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def numeric_stats(df: DataFrame, cols: list[str], method: str = "exact", facts: NumericFacts | None = None) -> DataFrame:
     """G2 + G3: count, missing, mean, median, sample std, min, max, q25, q75,
     bias-corrected skewness and excess kurtosis, per column.
 
-    Moments come from ``column_moments`` (one grouped aggregate); quantiles from
-    ``exact_quantiles`` (distributed selection) or ``percentile_approx`` when
-    ``method='approx'``. The quartiles join back as a one-row-per-column frame.
-    """
-    df = spread(df.select(*[q(c) for c in cols]), passes=3)
-    vals = _numeric_exprs(df, cols)
-    mom = local_frame(column_moments(df, vals))  # one row per column
-    known = {r["column"]: (r["n"], r["min"], r["max"]) for r in mom.collect()}
-    quant = exact_quantiles(df, vals, [0.25, 0.5, 0.75], method=method, known=known)
-    qf = df.sparkSession.createDataFrame(
-        [(c, quant[(c, 0.25)], quant[(c, 0.5)], quant[(c, 0.75)]) for c in cols],
-        "column string, q25 double, median double, q75 double")
-    n = F.col("n").cast("double")
-    return mom.join(F.broadcast(qf), "column").select(
-        "position", "column", F.col("n").cast("long").alias("count"),
-        (F.col("rows") - F.col("n")).cast("long").alias("missing"), "mean", "median", "std", "min", "max",
-        "q25", "q75", bias_corrected_skew(F.col("g1"), n).alias("skewness"),
-        bias_corrected_kurt(F.col("g2"), n).alias("kurtosis"))
+    Moments are one grouped aggregate; quartiles come from ``exact_quantiles`` (distributed
+    selection) or ``percentile_approx`` when ``method='approx'``. ``facts`` hands over
+    what another analysis of the same columns already has."""
+    facts = facts or NumericFacts(df, cols, method)
+    rows = []
+    for i, c in enumerate(cols):
+        m, (q25, median, q75) = facts.moments[c], facts.quartiles[c]
+        rows.append((i, c, m["n"], m["rows"] - m["n"], m["mean"], median, m["std"], m["min"], m["max"], q25, q75, m["g1"], m["g2"]))
+    found = df.sparkSession.createDataFrame(
+        rows, "position int, column string, count long, missing long, mean double, median double, std double, "
+              "min double, max double, q25 double, q75 double, g1 double, g2 double")
+    n = F.col("count").cast("double")
+    return found.select("position", "column", "count", "missing", "mean", "median", "std", "min", "max", "q25", "q75",
+                        bias_corrected_skew(F.col("g1"), n).alias("skewness"), bias_corrected_kurt(F.col("g2"), n).alias("kurtosis"))
 
 
 def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ to every rule; per-entity de-duplication is an explicit argument (``entity`` +
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,41 @@ from ..operators import correlation as co
 from ..operators import distribution as di
 from ..operators import outliers as ou
 from ..operators import stats as st
-from .facts import column_facts
-from .roles import (detect_candidate_targets, role_columns, select_visual_columns)
+from ..session import cut_lineage
+from .facts import column_facts, decisive_facts
+from .quantiles import NumericFacts
+from .roles import detect_candidate_targets, role_columns, select_visual_columns
 
 
-def _roles(df, primary_keys=None):
-    facts = local_frame(column_facts(df))
+def _roles(df, primary_keys=None, exact=True):
+    """Facts and roles; ``exact=False`` counts distinct values only as far as rules need it."""
+    facts = local_frame(column_facts(df)) if exact else decisive_facts(df)
     return facts, local_frame(role_columns(facts, primary_keys=primary_keys))
 
 
-def dedup_by_entity(df: DataFrame, entity: str, order: str, cols: list[str]) -> DataFrame:
+def dedup_by_entity(df: DataFrame, entity: str, order: str | None, cols: list[str]) -> DataFrame:
     """Last non-null value of each column per entity (G6 for many columns in one
-    grouping); the entity column itself is kept."""
-    aggs = [F.max_by(q(c), F.when(q(c).isNotNull(), q(order))).alias(c) for c in cols if c != entity]
+    grouping); the entity column itself is kept. Without ``order`` the last row is the
+    greatest one by all columns."""
+    last = q(order) if order else F.struct(*[q(c) for c in df.columns])
+    aggs = [F.max_by(q(c), F.when(q(c).isNotNull(), last)).alias(c) for c in cols if c != entity]
     return df.filter(q(entity).isNotNull()).groupBy(q(entity).alias(entity)).agg(*aggs)
 
 
+def _per_entity(df: DataFrame, roles: list, entity: str | None, order: str | None, cols: list[str]) -> DataFrame:
+    """One row per entity: the one named, else the first detected key (``""``: none). A key
+    without repeats needs no grouping, only its rows without a key go."""
+    if entity is None:
+        entity = next((r["column"] for r in roles if r["is_key"]), "")
+    if not entity:
+        return df
+    keys = column_facts(df.select(q(entity)))
+    r = keys.collect()[0]
+    if r["distinct_count"] == r["rows"] - r["nulls"]:
+        return df.filter(q(entity).isNotNull()) if r["nulls"] else df
+    return dedup_by_entity(df, entity, order, list(dict.fromkeys([*cols, entity])))
+
+
 def profile(df: DataFrame, method: str = "exact", sections: list[str] | None = None) -> dict[str, DataFrame]:
     """Missing profile, numeric stats, outliers, histograms, value counts of text
     columns, datetime ranges, duplicates and the correlation matrix of numeric-typed
@@ -41,9 +62,10 @@ def profile(df: DataFrame, method: str = "exact", sections: list[str] | None = N
     dates = [c for c, k in kinds.items() if k == "datetime"]
     make = {"missing": lambda: st.missing_profile(df), "duplicates": lambda: st.duplicate_summary(df)}
     if numeric:
-        make["numeric"] = lambda: st.numeric_stats(df, numeric, method=method)
-        make["outliers"] = lambda: ou.iqr_outliers(df, numeric, method=method)
-        make["histograms"] = lambda: di.histogram(df, numeric)
+        shared = cache(lambda: NumericFacts(df, numeric, method))
+        make["numeric"] = lambda: st.numeric_stats(df, numeric, facts=shared())
+        make["outliers"] = lambda: ou.iqr_outliers(df, numeric, facts=shared())
+        make["histograms"] = lambda: di.histogram(df, numeric, facts=shared())
     if len(numeric) > 1:
         make["correlations"] = lambda: co.correlation_matrix(df, numeric)
     if text:
@@ -152,50 +174,55 @@ def column_details(df: DataFrame, col: str, primary_keys: list[str] | None = Non
 
 
 def numerical_analysis(df: DataFrame, entity: str | None = None, order: str | None = None,
-                       primary_keys: list[str] | None = None, k: int = 30,
+                       primary_keys: list[str] | None = None, k: int | None = 30,
                        method: str = "exact") -> dict[str, DataFrame]:
-    """Numeric -> sensible -> top-k visual columns -> (per-entity dedup) ->
-    statistics, IQR/z outliers, distribution bars/bins and box summaries;
-    plus the numeric columns skipped as identifiers."""
-    facts, roles = _roles(df, primary_keys)
+    """Numeric -> sensible -> top-k visual columns (``k`` None: all) -> one row per entity
+    (by T3 when none is named; ``entity=""``: all rows) -> statistics, IQR/z outliers,
+    distribution bars/bins and box summaries; plus the numeric columns skipped as identifiers.
+    All parts read one ``NumericFacts``, so the number of scans does not grow with the columns."""
+    facts, roles = _roles(df, primary_keys, exact=False)
     rows = roles.orderBy("position").collect()
     numeric = [r["column"] for r in rows if r["is_numeric"]]
-    sensible = [c for c in numeric if next(r for r in rows if r["column"] == c)["is_sensible"]]
+    sensible = [r["column"] for r in rows if r["is_numeric"] and r["is_sensible"]]
     skipped = [c for c in numeric if c not in sensible]
-    spark = df.sparkSession
     vis = select_visual_columns(df, k, facts, primary_keys=primary_keys)
     chosen = {r["column"] for r in vis.filter("role = 'numeric'").collect()}
     cols = [c for c in sensible if c in chosen][:k]
-    out = {"skipped": spark.createDataFrame([(c,) for c in skipped], "column string")}
+    out = {"skipped": df.sparkSession.createDataFrame([(c,) for c in skipped], "column string")}
     if not cols:
         return out
-    data = dedup_by_entity(df, entity, order, cols) if entity and order else df
-    out["statistics"] = st.numeric_stats(data, cols, method=method)
-    out["outliers"] = ou.outlier_summary(data, cols, max_cols=None, min_values=1, method=method)
-    out["distribution"] = di.distribution_histogram(data, cols)
-    out["box"] = ou.box_summary(data, cols, method=method)
+    shared = NumericFacts(_per_entity(df, rows, entity, order, cols), cols, method, passes=6)
+    out["statistics"] = st.numeric_stats(df, cols, facts=shared)
+    out["outliers"] = ou.outlier_summary(df, cols, max_cols=None, min_values=1, facts=shared)
+    out["distribution"] = di.distribution_histogram(df, cols, facts=shared)
+    out["box"] = ou.box_summary(df, cols, facts=shared)
     return out
 
 
 def categorical_analysis(df: DataFrame, entity: str | None = None, order: str | None = None,
-                         primary_keys: list[str] | None = None, k: int = 30) -> dict[str, DataFrame]:
-    """Categorical -> top-k visual columns -> (per-entity dedup) -> bars
-    (top 30 + No Value) and shares; plus identifiers skipped with uniqueness."""
+                         primary_keys: list[str] | None = None, k: int | None = 30, bars: int | None = 30,
+                         max_shares: int | None = 15) -> dict[str, DataFrame]:
+    """Categorical -> top-k visual columns (``k`` None: all) -> one row per entity (as in
+    G16) -> bars (top ``bars`` + No Value) and shares, both from one count of all values of
+    all columns; plus identifiers skipped with uniqueness."""
     from .roles import skipped_columns
-    facts, roles = _roles(df, primary_keys)
+    facts, roles = _roles(df, primary_keys, exact=False)
+    rows = roles.orderBy("position").collect()
+    if k is not None and sum(r["is_categorical"] for r in rows) > k:
+        facts = local_frame(column_facts(df))                     # which k are best hangs on exact counts
     vis = select_visual_columns(df, k, facts, primary_keys=primary_keys)
     cols = [r["column"] for r in vis.filter("role = 'categorical'").orderBy("rank").collect()]
-    out = {"skipped": skipped_columns(df, facts, primary_keys=primary_keys)}
+    unlike = [r["column"] for r in rows if not r["is_categorical"] and r["is_unique"]]
+    keys = [r["column"] for r in rows if r["is_key"]]
+    # the uniqueness reported for skipped columns is exact: only theirs are counted again
+    skip = [x.asDict() for x in column_facts(df, unlike).collect()] if unlike else []
+    at = {r["column"]: r["position"] for r in rows}
+    skip = df.sparkSession.createDataFrame([tuple({**x, "position": at[x["column"]]}.values()) for x in skip], column_facts(df, df.columns[:1]).schema)
+    out = {"skipped": skipped_columns(df, skip, primary_keys=keys)}
     if not cols:
         return out
-    data = dedup_by_entity(df, entity, order, cols) if entity and order else df
-    bars, shares = None, None
-    for c in cols:
-        b = di.category_bars(data, c).select(F.lit(c).alias("column"), "*")
-        s = di.category_shares(data, c).select(F.lit(c).alias("column"), "*")
-        bars = b if bars is None else bars.unionByName(b)
-        shares = s if shares is None else shares.unionByName(s)
-    out["bars"], out["shares"] = bars, shares
+    out["bars"] = cut_lineage(di.bars_of_columns(_per_entity(df, rows, entity, order, cols), cols, bars))
+    out["shares"] = di.shares_of_bars(out["bars"], max_shares)
     return out
 
 

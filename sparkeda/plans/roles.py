@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import DATETIME_TYPES, kind_of, local_frame, numeric_value, q, rnd
 from ..functions.values import DATE_FORMATS
-from .facts import column_facts, facts_rows
+from .facts import column_facts, decisive_facts, facts_rows
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -75,6 +75,13 @@ def column_roles(df: DataFrame, facts: DataFrame | None = None, **kw) -> DataFra
     return role_columns(facts, **kw)
 
 
+def column_role_flags(df: DataFrame, **kw) -> DataFrame:
+    """T1-T7, T14 without counts: the flags of ``column_roles`` from ``decisive_facts``, which
+    recounts exactly only the columns whose sketched counts leave a rule open."""
+    return role_columns(decisive_facts(df), **kw).select(
+        "position", "column", "kind", "is_key", "is_numeric", "is_sensible", "is_categorical", "group_name", "is_unique")
+
+
 def detect_primary_keys(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Key columns (position, column, unique_ratio, null_ratio)."""
     return (column_roles(df, facts).filter("is_key")
@@ -132,13 +139,14 @@ def _scores(df: DataFrame, roles: DataFrame, min_numeric: int, cat_range: tuple[
     return numeric_part.unionByName(cat_part)
 
 
-def select_visual_columns(df: DataFrame, k: int = 30, facts: DataFrame | None = None,
+def select_visual_columns(df: DataFrame, k: int | None = 30, facts: DataFrame | None = None,
                           primary_keys=None) -> DataFrame:
-    """Top ``k`` numeric and categorical columns by score (rank 1 = best)."""
+    """Top ``k`` (None: all) numeric and categorical columns by score (rank 1 = best)."""
     roles = column_roles(df, facts, primary_keys=primary_keys)
     s = _scores(df, roles, 3, (2, 1 << 62), [])
     w = Window.partitionBy("role").orderBy(F.desc("score"), "position")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = s.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def select_prediction_features(df: DataFrame, target: str, facts: DataFrame | None = None,

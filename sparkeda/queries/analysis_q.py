@@ -10,7 +10,7 @@ from ..plans import analysis as an
 from ..registry import register, table
 from ..sources import derived as dv
 from ._sql import TABLES, qi, rnd as srnd, roles_ctes, with_views
-from .dist import bars_sql, corr_sql, histogram_sql
+from .dist import BOX_VALUES, OUTLIER_VALUES, bars_sql, box_sql, corr_sql, dist_hist_sql, histogram_sql, outlier_sql, shares_sql
 from .stats import missing_sql, numeric_stats_sql
 
 
@@ -183,6 +183,18 @@ SELECT * EXCLUDE (position) FROM ({numeric_stats_sql('d', ['value'])})""")(
                          ["statistics"].filter(F.col("column") == "value").drop("position"),
                          ["mean", "median", "std", "min", "max", "q25", "q75", "skewness", "kurtosis"]))
 
+_EV_NUM = ["event_id", "user_id", "value"]
+_EV_ROLES = with_views("events_missing") + f",\n{roles_ctes('events_missing', TABLES['events'])}\n"
+register("numerical_analysis_events_outliers",
+         _EV_ROLES + _guarded("events_missing", _EV_NUM, _NUM_RULE, lambda s, c: outlier_sql(s, [c], 1)))(
+    lambda spark, sf: _r(an.numerical_analysis(dv.events_missing(spark, sf))["outliers"], OUTLIER_VALUES))
+register("numerical_analysis_events_distribution",
+         _EV_ROLES + _guarded("events_missing", _EV_NUM, _NUM_RULE, dist_hist_sql))(
+    lambda spark, sf: _r(an.numerical_analysis(dv.events_missing(spark, sf))["distribution"], ["lower", "upper"]))
+register("numerical_analysis_events_box",
+         _EV_ROLES + _guarded("events_missing", _EV_NUM, _NUM_RULE, lambda s, c: box_sql(s, [c])))(
+    lambda spark, sf: _r(an.numerical_analysis(dv.events_missing(spark, sf))["box"], BOX_VALUES))
+
 _CAT_RULE = "is_categorical AND NOT is_key AND NOT is_numeric AND distinct_count >= 2"
 register("categorical_analysis_orders_bars",
          f"WITH {roles_ctes('orders', TABLES['orders'])}\n"
@@ -190,6 +202,12 @@ register("categorical_analysis_orders_bars",
                     lambda s, c: f"SELECT '{c}' AS \"column\", * FROM ({bars_sql(s, c)})"))(
     lambda spark, sf: an.categorical_analysis(table(spark, sf, "orders"))["bars"])
 
+register("categorical_analysis_orders_shares",
+         f"WITH {roles_ctes('orders', TABLES['orders'])}\n"
+         + _guarded("orders", [c for c, _ in TABLES["orders"]], _CAT_RULE,
+                    lambda s, c: f"SELECT '{c}' AS \"column\", * FROM ({shares_sql('', s, c)})"))(
+    lambda spark, sf: an.categorical_analysis(table(spark, sf, "orders"))["shares"])
+
 register("report_histograms_lineitem", "WITH " + histogram_sql("lineitem", _LI_NUM))(
     lambda spark, sf: _r(an.report_tables(table(spark, sf, "lineitem"), n_numeric=8)["histograms"], ["lower", "upper"]))
 register("report_top_values_lineitem", """SELECT position, "column", value, count, rank FROM (

@@ -231,13 +231,13 @@ SELECT '{c}' AS "column", CAST(n AS BIGINT) AS total_values, CAST(i AS BIGINT) A
     return "\nUNION ALL\n".join(parts)
 
 
-_OUT_R = ["mean", "std", "q1", "q3", "iqr", "lower_bound", "upper_bound", "min", "max"]
+OUTLIER_VALUES = ["mean", "std", "q1", "q3", "iqr", "lower_bound", "upper_bound", "min", "max"]
 register("outlier_summary_lineitem_spike",
          with_views("lineitem_spike") + "\n" + outlier_sql("lineitem_spike", ["l_quantity", "l_extendedprice", "l_discount"]))(
-    lambda spark, sf: _r(ou.outlier_summary(dv.lineitem_spike(spark, sf), ["l_quantity", "l_extendedprice", "l_discount"]), _OUT_R))
+    lambda spark, sf: _r(ou.outlier_summary(dv.lineitem_spike(spark, sf), ["l_quantity", "l_extendedprice", "l_discount"]), OUTLIER_VALUES))
 register("outlier_summary_events_missing",
          with_views("events_missing") + "\n" + outlier_sql("events_missing", ["value", "user_id"]))(
-    lambda spark, sf: _r(ou.outlier_summary(dv.events_missing(spark, sf), ["value", "user_id"]), _OUT_R))
+    lambda spark, sf: _r(ou.outlier_summary(dv.events_missing(spark, sf), ["value", "user_id"]), OUTLIER_VALUES))
 register("iqr_outliers_customer",
          "SELECT \"column\", total_values, iqr_outliers, iqr_percent, lower_bound, upper_bound FROM ("
          + outlier_sql("customer", ["c_acctbal"], 1) + ")")(
@@ -270,6 +270,6 @@ SELECT '{c}' AS "column", {srnd('a')} AS min, {srnd('q1')} AS q1, {srnd('q2')} A
     return "\nUNION ALL\n".join(parts)
 
 
-_BOX_R = ["min", "q1", "median", "q3", "max", "mean", "std", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+BOX_VALUES = ["min", "q1", "median", "q3", "max", "mean", "std", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
 register("box_summary_lineitem_spike", with_views("lineitem_spike") + "\n" + box_sql("lineitem_spike", ["l_quantity", "l_tax"]))(
-    lambda spark, sf: _r(ou.box_summary(dv.lineitem_spike(spark, sf), ["l_quantity", "l_tax"]), _BOX_R))
+    lambda spark, sf: _r(ou.box_summary(dv.lineitem_spike(spark, sf), ["l_quantity", "l_tax"]), BOX_VALUES))

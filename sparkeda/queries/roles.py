@@ -34,6 +34,12 @@ def _reg_roles(tname: str):
 for _t in ["events", "lineitem", "orders", "customer", "supplier", "part", "nation", "labels"]:
     _reg_roles(_t)
 
+_FLAGS = ["position", "column", "kind", "is_key", "is_numeric", "is_sensible", "is_categorical", "group_name", "is_unique"]
+for _t in ["events", "lineitem", "orders", "customer", "part"]:
+    register(f"column_role_flags_{_t}",
+             f"WITH {roles_ctes(_t, TABLES[_t])}\nSELECT " + ", ".join(f'"{c}"' for c in _FLAGS) + " FROM r")(
+        lambda spark, sf, _t=_t: ro.column_role_flags(table(spark, sf, _t)))
+
 _MISSING_COLS = TABLES["events"]
 register("column_roles_events_missing",
          with_views("events_missing") + f",\n{roles_ctes('events_missing', _MISSING_COLS)}\n{ROLE_SQL}")(
