@@ -2,8 +2,8 @@
 
 A document is the set of its distinct word shingles. Two sets of sizes n and m with a
 Jaccard similarity of at least s differ in at most (n + m) (1 - s) / (1 + s) elements.
-Sizes are cut into bands, each reaching to its start divided by s, so a pair lies in one band or
-two neighbours; a set is signed for its own band and for the next. For a band, whose pairs
+Sizes are cut into bands, each reaching to its start divided by s squared, so a pair lies in one
+band or two neighbours; a set is signed for its own band and, where it can meet larger ones, for the next. For a band, whose pairs
 differ in at most k elements, the domain of the shingle hashes is partitioned in two
 levels: one of the n1 first-level parts holds at most k2 differences, so of its n2 cells
 some n2 - k2 hold none, and the two sets agree there. All subsets of n2 - k2 cells are
@@ -17,7 +17,7 @@ sets are one class throughout. Candidates become links in rounds: a member is co
 class of its group, links give components, and only groups that still hold several
 components go on; at the end these give their pairs between components. Pairs are sieved
 by a parity sketch (which bounds their differences from below, so it loses none) and
-then measured on the whole sets. In a group of very many classes a member may leave if it
+then measured on the whole sets, packed as differences of 48-bit hashes. In a group of very many classes a member may leave if it
 has more agreeing signatures with any similar set than it has such groups: they meet elsewhere.
 So passages that many documents share make no large groups of documents that
 have text of their own.
@@ -30,7 +30,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -40,8 +41,8 @@ from .tables import written
 
 _CHUNK = 4_000_000            # bytes of a text split at once
 _ENOUGH = 1_000_000           # set elements signed at once
-_FLUSH = 3_000_000            # signatures dealt to buckets at once
-_BUCKET = 5_000_000           # signatures of a bucket
+_FLUSH = 2_000_000            # signatures dealt to buckets at once
+_BUCKET = 4_000_000           # signatures of a bucket
 _LARGE = 64                   # classes of a group from which members with other meeting places leave
 _SKETCH = 16                  # longs of a parity sketch
 _WORDS = 300_000              # word hashes remembered by a task
@@ -77,16 +78,37 @@ def _word_hashes(text: str | None, known: _WordHashes) -> np.ndarray:
     return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
-def shingle_set(text: str | None, size: int = 5, known: _WordHashes | None = None) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles of ``size`` words; one of all words if they are fewer."""
-    w = _word_hashes(text, _WordHashes() if known is None else known)
-    if not len(w):
-        return w
-    take = min(size, len(w))
-    h = np.full(len(w) - take + 1, np.uint64(take))
-    for i in range(take):
-        h += w[i:len(w) - take + 1 + i] * _FACTORS[i]
-    return np.unique(_mix(h))
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    keep[1:] = h[1:] != h[:-1]
+    return h[keep]
+
+
+def _sets_of(texts: list[str | None], size: int, known: _WordHashes) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct shingles of ``size`` words; one of all its words if
+    they are fewer. Shingles of all the texts are hashed together, where they do not cross an end."""
+    each = [_word_hashes(t, known) for t in texts]
+    w = np.concatenate([*each, np.zeros(0, np.uint64)])
+    h = np.full(max(0, len(w) - size + 1), np.uint64(size))
+    for i in range(size):
+        h += w[i:len(w) - size + 1 + i] * _FACTORS[i]
+    h = _mix(h)
+    out, at = [], 0
+    for x in each:
+        n = len(x)
+        if n >= size:
+            out.append(_distinct(h[at:at + n - size + 1]))
+        elif n:
+            out.append(_mix((x * np.array(_FACTORS[:n])).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
+        else:
+            out.append(x)
+        at += n
+    return out
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    return _sets_of([text], size, _WordHashes())[0]
 
 
 def _sets(batches, size: int):
@@ -94,7 +116,7 @@ def _sets(batches, size: int):
     known = _WordHashes()
     for batch in batches:
         for at, texts in texts_in_slices(batch.column(batch.num_columns - 1)):
-            yield batch, at, [shingle_set(t, size, known) for t in texts]
+            yield batch, at, _sets_of(texts, size, known)
 
 
 def _class(s: np.ndarray) -> int:
@@ -104,18 +126,14 @@ def _class(s: np.ndarray) -> int:
 class _Bands:
     """Bands of set sizes for a similarity of ``percent`` hundredths."""
 
-    def __init__(self, percent: int, largest: int):
+    def __init__(self, percent: int):
         if not 50 < percent <= 100:
             raise ValueError("signatures need a similarity above one half")
         first, last = [1], []
-        while True:
-            last.append(max(first[-1], first[-1] * 100 // percent))
-            if last[-1] >= largest:
-                break
+        while first[-1] < 1 << 40:
+            last.append(max(first[-1], first[-1] * 10_000 // percent ** 2))
             first.append(last[-1] + 1)
-        last.append(max(last[-1] + 1, (last[-1] + 1) * 100 // percent))
-        first.append(last[-2] + 1)
-        self.percent, self.first = percent, np.array(first)
+        self.percent, self.first = percent, np.array(first[:-1])
         self.k = 2 * np.array(last) * (100 - percent) // (100 + percent)
 
     def of(self, n: np.ndarray, step: int):
@@ -126,7 +144,7 @@ class _Bands:
 
 def _cells(elements: np.ndarray, n: np.ndarray, cells: np.ndarray):
     """Filled cells of many sets: (set, cell, sum of the elements' hashes); a set's elements are
-    sorted and cells are ranges of the hash domain."""
+    sorted and cells are ranges of the hash domain, so no sort is needed."""
     total = np.repeat(cells.astype(np.uint64), n)
     at = ((elements >> np.uint64(32)) * total >> np.uint64(32)).astype(np.int64)
     start = np.cumsum(cells) - cells
@@ -161,7 +179,7 @@ def signatures(sets: list[np.ndarray], bands: _Bands):
             if level:
                 cells = (k + 1) << level
             else:
-                cells = np.where(k == 0, 1, np.where(k <= 3, k + 3, 2 * -(-(5 * (k + 1)) // 8)))
+                cells = np.where(k == 0, 1, np.where(k <= 3, k + 3, 2 * -(-np.where(k < 50, 10, 9) * (k + 1) // 16)))
             which, cell, sums = _cells(elements, n, cells)
             filled = np.bincount(which, minlength=len(todo))
             small = (k > 0) & (k <= 3) if level == 0 else np.zeros(len(k), bool)
@@ -183,16 +201,30 @@ def signatures(sets: list[np.ndarray], bands: _Bands):
             todo, level = todo[agreeing == 0], level + 1
 
 
-def _give_signatures(size: int, bands: _Bands, buckets: int):
-    """(bucket, blob): packed signatures, with class, band, level and sure agreements of each entry."""
+def _give_signatures(size: int, bands: _Bands, buckets: int, id_type: pa.DataType):
+    """(bucket, blob): packed signatures, with class, band, level and sure agreements of each
+    entry, that is of each set, band and level; and (bucket below 0, id, key, n, c) of every row."""
+    names = ["bucket", "blob", "id", "key", "n", "c"]
+
+    def members_of(batch, at, sets, found):
+        k = len(sets)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(-1 - (at + np.arange(k)) % buckets, pa.int64()), pa.nulls(k, pa.binary()), batch.column(0).slice(at, k),
+             batch.column(1).slice(at, k), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.int64())], names)
+
     def packed(parts):
-        c, band, level, agreeing, sig = (np.concatenate(x) for x in zip(*parts))
-        bucket = (sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)
-        order = np.lexsort((level, band, c, bucket))
-        c, band, level, agreeing, sig, bucket = (x[order] for x in (c, band, level, agreeing, sig, bucket))
-        new = (np.diff(bucket) != 0) | (np.diff(c) != 0) | (np.diff(band) != 0) | (np.diff(level) != 0)
-        entry = np.concatenate([[0], np.flatnonzero(new) + 1])
+        number, base = [], 0
+        for p in parts:                                           # sets of one band step and level
+            number.append(p[0] + base)
+            base += int(p[0].max(initial=0)) + 1
+        number = np.concatenate(number)
+        c, band, level, agreeing, sig = (np.concatenate(x) for x in list(zip(*parts))[1:])
+        bucket = ((sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket * base + number)
+        number, sig, bucket = (x[order] for x in (number, sig, bucket))
+        entry = np.concatenate([[0], np.flatnonzero((np.diff(bucket) != 0) | (np.diff(number) != 0)) + 1])
         count = np.diff(np.append(entry, len(sig)))
+        c, band, level, agreeing = (x[order] for x in (c, band, level, agreeing))
         short = np.ascontiguousarray((sig >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5])
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[entry])) + 1, [len(entry)]])
         at = np.append(entry, len(sig))
@@ -201,8 +233,9 @@ def _give_signatures(size: int, bands: _Bands, buckets: int):
             blob = b"".join([np.array([b - a], "<u4").tobytes(), c[e].astype("<i8").tobytes(), band[e].astype("<u2").tobytes(),
                              level[e].astype("u1").tobytes(), np.minimum(agreeing[e], 65535).astype("<u2").tobytes(),
                              count[a:b].astype("<u4").tobytes(), short[at[a]:at[b]].tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[e[0]])], pa.int64()), pa.array([blob], pa.binary())],
-                                             ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[e[0]])], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.string()),
+                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
 
     def run(batches):
         held, elements, parts, ready, met = [], 0, [], 0, set()
@@ -212,14 +245,16 @@ def _give_signatures(size: int, bands: _Bands, buckets: int):
             nonlocal ready
             c = np.array(classes, np.int64)
             for which, band, level, agreeing, sig in signatures(held, bands):
-                parts.append((c[which], band.astype(np.int32), np.full(len(which), level, np.int16), agreeing, sig))
+                parts.append((which, c[which], band.astype(np.int32), np.full(len(which), level, np.int16), agreeing, sig))
                 ready += len(sig)
             held.clear()
             classes.clear()
 
-        for _, _, sets in _sets(batches, size):
-            for s in sets:
-                if not len(s) or (c := _class(s)) in met:
+        for batch, at, sets in _sets(batches, size):
+            found = [_class(s) if len(s) else None for s in sets]
+            yield members_of(batch, at, sets, found)
+            for s, c in zip(sets, found):
+                if c is None or c in met:
                     continue
                 met.add(c)
                 held.append(s)
@@ -250,12 +285,23 @@ def _unpack(blob: bytes):
     return [x.repeat(count) for x in out], short.view("<u8").ravel()
 
 
-_GROUPS = "g long, c long, least long, band int, level int, agreeing int, large boolean, times long"
+_GROUPS = [("g", pa.int64()), ("c", pa.int64()), ("least", pa.int64()), ("band", pa.int32()), ("level", pa.int32()),
+           ("agreeing", pa.int32()), ("large", pa.bool_()), ("times", pa.int64())]
+_GROUPS_SQL = "g long, c long, least long, band int, level int, agreeing int, large boolean, times long"
 
 
 def _groups(rows: pa.Table) -> pa.Table:
     """Groups of several classes with an equal signature in one bucket, each set of classes
-    once; for large groups how often (``times``) a member was in such a one."""
+    once; for large groups how often (``times``) a member was in such a one. Rows of documents pass."""
+    if rows.column("bucket")[0].as_py() < 0:
+        return pa.table({**{name: rows.column("c") if name == "c" else pa.nulls(rows.num_rows, kind) for name, kind in _GROUPS},
+                         **{name: rows.column(name) for name in ("id", "key", "n")}})
+    found = _bucket_groups(rows)
+    return pa.table({**found, "id": pa.nulls(len(found["g"]), rows.schema.field("id").type), "key": pa.nulls(len(found["g"]), pa.string()),
+                     "n": pa.nulls(len(found["g"]), pa.int64())})
+
+
+def _bucket_groups(rows: pa.Table) -> dict:
     parts = [_unpack(blob) for blob in rows.column("blob").to_pylist()]
     sig = np.concatenate([p[1] for p in parts])
     c, band, level, agreeing = (np.concatenate(x) for x in zip(*(p[0] for p in parts)))
@@ -273,8 +319,7 @@ def _groups(rows: pa.Table) -> pa.Table:
         first = np.concatenate([[True], (s[1:] != s[:-1]) | (cc[1:] != cc[:-1])])
         order, s, cc = order[first], s[first], cc[first]
     else:
-        return pa.table({f.split()[0]: pa.array([], t) for f, t in zip(_GROUPS.split(", "), (
-            pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))})
+        return {name: pa.array([], kind) for name, kind in _GROUPS}
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     size = np.diff(np.append(start, len(s)))
     g = np.add.reduceat(_mix(cc.view(np.uint64) + np.uint64(3)), start)
@@ -287,69 +332,130 @@ def _groups(rows: pa.Table) -> pa.Table:
     chosen = np.flatnonzero(rows_of)
     group = np.repeat(np.arange(len(g)), size)[chosen]
     o = order[chosen]
-    return pa.table({"g": g[group].view(np.int64), "c": cc[chosen], "least": cc[start][group], "band": band[o].astype(np.int32),
-                     "level": level[o].astype(np.int32), "agreeing": agreeing[o].astype(np.int32),
-                     "large": size[group] > _LARGE, "times": rows_of[chosen]})
-
-
-def _candidate_groups(narrow: DataFrame, size: int, bands: _Bands, buckets: int) -> DataFrame:
-    """(g, c, least): groups of classes that may hold similar pairs; every similar pair shares one."""
-    found = narrow.select("text").mapInArrow(_give_signatures(size, bands, buckets), "bucket long, blob binary") \
-        .groupBy("bucket").applyInArrow(_groups, _GROUPS)
+    values = (g[group].view(np.int64), cc[chosen], cc[start][group], band[o], level[o], agreeing[o], size[group] > _LARGE, rows_of[chosen])
+    return {name: pa.array(v, kind) for (name, kind), v in zip(_GROUPS, values)}
+
+
+def _members_and_groups(keyed: DataFrame, size: int, bands: _Bands) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, c) of every row, and (g, c, least): groups of classes that may hold similar
+    pairs; every similar pair shares one."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    chars = keyed.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    buckets = 1 + chars // (6 * _BUCKET)                          # about six characters a signature, or fewer signatures
+    kind = keyed.schema["id"].dataType
+    rows = f"id {kind.simpleString()}, key string, n long"
+    found = keyed.mapInArrow(_give_signatures(size, bands, buckets, to_arrow_type(kind)), f"bucket long, blob binary, {rows}, c long") \
+        .groupBy("bucket").applyInArrow(_groups, f"{_GROUPS_SQL}, {rows}")
     found = written(found, "join-groups")
+    members, found = found.filter("n is not null").select("id", "key", "n", "c"), found.filter("n is null")
     # in large groups only those stay that might meet a similar set nowhere else
     large = found.filter("large")
     leave = large.groupBy("c", "band", "level").agg(F.sum("times").alias("times"), F.max("agreeing").alias("agreeing")) \
         .filter("agreeing > times").select("c", "band", "level")
     stay = large.join(leave, ["c", "band", "level"], "left_anti")
-    return written(found.filter("not large").select("g", "c", "least").union(stay.select("g", "c", "least")).distinct(),
-                   "join-candidates")
+    groups = written(found.filter("not large").select("g", "c", "least").union(stay.select("g", "c", "least")).distinct(),
+                     "join-candidates")
+    return members, groups
+
+
+_BITS = np.uint64(16)         # left out of a hash when two sets are compared element by element
+
+
+def _pack_set(s: np.ndarray) -> bytes:
+    """A sorted set's hashes without their last bits, as differences in planes of bytes."""
+    steps = np.diff(s >> _BITS, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:6]).tobytes())
+
+
+def _unpack_set(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel())
 
 
 def _with_sketch(size: int):
-    """(c, n, sketch, elements) of each text: signed longs."""
+    """(c, a, rep, n, sketch, elements) of each packed text; rows of the same text follow each other."""
     def run(batches):
-        for batch, at, sets in _sets(batches, size):
-            n = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            bits = np.zeros((len(sets), 64 * _SKETCH), np.uint8)
-            np.add.at(bits, (np.repeat(np.arange(len(sets)), n), (_mix(flat) % np.uint64(64 * _SKETCH)).astype(np.int64)), 1)
-            sketch = np.packbits(bits & 1, axis=1).view(np.int64)
-            offsets = lambda k: pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(sets)), pa.array(n),
-                 pa.ListArray.from_arrays(offsets(np.full(len(sets), _SKETCH)), pa.array(sketch.ravel())),
-                 pa.ListArray.from_arrays(offsets(n), pa.array(flat.view(np.int64)))], ["c", "n", "sketch", "elements"])
+        known, before = _WordHashes(), None
+        for batch in batches:
+            classes = batch.column(0).to_pylist()
+            new = [i for i, c in enumerate(classes) if c != (classes[i - 1] if i else before)]
+            before = classes[-1] if classes else before
+            for at in range(0, len(new), 64):
+                take = new[at:at + 64]
+                unpack = zstandard.ZstdDecompressor().decompress
+                sets = _sets_of([unpack(batch.column(3)[i].as_py()).decode() for i in take], size, known)
+                n = np.array([len(s) for s in sets], np.int64)
+                place = _mix(np.concatenate(sets)) % np.uint64(64 * _SKETCH) + np.repeat(np.arange(len(sets), dtype=np.uint64), n) * np.uint64(64 * _SKETCH)
+                odd = np.bincount(place.astype(np.int64), minlength=len(sets) * 64 * _SKETCH) & 1
+                sketch = np.packbits(odd.astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.int64)
+                offsets = pa.array(np.arange(len(sets) + 1) * _SKETCH, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(pa.array(take)) for k in range(3)), pa.array(n),
+                     pa.ListArray.from_arrays(offsets, pa.array(sketch.ravel())), pa.array([_pack_set(s) for s in sets], pa.binary())],
+                    ["c", "a", "rep", "n", "sketch", "elements"])
     return run
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    short = sets.select("c", "n", "sketch")
-    one = lambda df, side: df.toDF(*(f"{side}{c}" if c != "c" else side for c in df.columns))
-    near = pairs.join(one(short, "a"), "a").join(one(short, "b"), "b") \
-        .filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)") \
-        .filter(f"aggregate(zip_with(asketch, bsketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-                f" <= ((an + bn) * {100 - percent}) div {100 + percent}").select("a", "b")
-    whole = sets.select("c", "elements")
-    return near.join(one(whole, "a"), "a").join(one(whole, "b"), "b") \
-        .withColumn("both", F.size(F.array_intersect("aelements", "belements"))) \
-        .filter(f"100 * both >= {percent} * (size(aelements) + size(belements) - both)").select("a", "b")
+def _packed_texts(batches):
+    """(id, key, packed text): texts as they go to the tasks of their classes."""
+    for batch in batches:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for at, texts in texts_in_slices(batch.column(2)):
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)),
+                 pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["id", "key", "packed"])
 
 
-def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """(node, root) of the classes linked by similar pairs."""
-    # every class with the class it meets most often among the least of its groups
-    most = groups.filter("least <> c").groupBy("c", "least").count() \
-        .groupBy("c").agg(F.max(F.struct("count", "least")).alias("m"))
-    found = cut_lineage(_similar(most.select(F.col("m.least").alias("a"), F.col("c").alias("b")), sets, percent))
-    tried = most.select(F.col("m.least").alias("a"), F.col("c").alias("b"))
+_ALIKE = "aggregate(zip_with(asketch, bsketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.toDF(*(side if c == "c" else f"{side}{c}" for c in df.columns))
+
+
+def _maybe(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and parity sketches leave the similarity open."""
+    return pairs.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)") \
+        .filter(f"{_ALIKE} <= ((an + bn) * {100 - percent}) div {100 + percent}")
+
+
+def _similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    def run(batches):
+        for batch in batches:
+            keep, last = [], (None, None)
+            for i in range(batch.num_rows):
+                blob = batch.column(2)[i].as_py()
+                if last[0] != blob:                               # pairs of one class follow each other
+                    last = blob, _unpack_set(blob)
+                x, y = last[1], _unpack_set(batch.column(3)[i].as_py())
+                both = np.sort(np.concatenate([x, y]))
+                both = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            if keep:
+                yield batch.select([0, 1]).take(pa.array(keep))
+
+    return pairs.select("a", "b", "aelements", "belements").mapInArrow(run, "a long, b long")
+
+
+def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+    """(node, root) of the classes linked by similar pairs. ``sets`` has every class's partner of
+    the first round (``a``) and whether it is one (``rep``)."""
+    whole = ["c", "n", "sketch", "elements"]
+    # every class with the class it meets most often among the least of its groups: the only
+    # round that moves the sets of all classes, once to their partner's
+    first = sets.filter("a is not null").select("a", *[F.col(c).alias(c if c == "a" else "b" if c == "c" else f"b{c}") for c in whole]) \
+        .join(_side(sets.filter("rep").select(*whole), "a"), "a")
+    found = cut_lineage(_similar(_maybe(first, percent), percent))
     for at in range(rounds + 1):
         root = cut_lineage(connected_components(found))
         named = groups.join(root, groups["c"] == root["node"], "left").select("g", "c", F.coalesce("root", "c").alias("root"))
         mixed = named.groupBy("g").agg(F.min(F.struct("root", "c")).alias("lo"), F.max("root").alias("hi")) \
             .filter("lo.root <> hi").select("g", "lo")
-        open_groups = cut_lineage(named.join(mixed, "g"))
+        open_groups = written(named.join(mixed, "g"), "join-open")
         if at < rounds:
             # one pair for each two components that meet: the star of the least component
             pairs = open_groups.filter("root <> lo.root").groupBy("root", "lo.root") \
@@ -359,7 +465,11 @@ def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) ->
             other = open_groups.select("g", F.col("c").alias("b"), F.col("root").alias("b_root"))
             pairs = open_groups.select("g", F.col("c").alias("a"), F.col("root").alias("a_root")).join(other, "g") \
                 .filter("a_root < b_root").select("a", "b").distinct()
-        found = cut_lineage(found.union(_similar(pairs, sets, percent)).distinct())
+        short = sets.select("c", "n", "sketch")
+        pairs = _maybe(pairs.join(_side(short, "a"), "a").join(_side(short, "b"), "b"), percent).select("a", "b")
+        pairs = written(pairs, "join-pairs")                      # its size is known: the sets need not move to few pairs
+        elements = sets.select("c", "elements")
+        found = cut_lineage(found.union(_similar(pairs.join(_side(elements, "a"), "a").join(_side(elements, "b"), "b"), percent)).distinct())
     return connected_components(found)
 
 
@@ -373,31 +483,22 @@ def similar_documents(df: DataFrame, size: int = 5, percent: int = 80, id_col: s
     their own id. Whole texts of any length are read. Equal rows give equal rows; rows
     without an id link like others but are never the smallest id, and a component without any
     id has a null component_id. An empty table gives an empty result. Shingles and sets are
-    told apart by 64-bit hashes."""
+    told apart by 64-bit hashes, of which 48 bits are compared between two sets."""
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = narrow.schema["id"].dataType.simpleString()
-
-    def members_of(batches):
-        for batch, at, sets in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(sets)), batch.column(1).slice(at, len(sets)),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())],
-                ["id", "key", "n", "c"])
-
     keyed = narrow.select("id", F.md5("text").alias("key"), "text")
-    members = written(keyed.mapInArrow(members_of, f"id {id_type}, key string, n long, c long"), "join-members")
-    total = members.agg(F.max("n").alias("largest"), F.sum("n").alias("all")).collect()[0]
-    if not total["largest"]:
-        return members.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    groups = _candidate_groups(narrow, size, _Bands(percent, total["largest"]), 1 + total["all"] // _BUCKET)
+    members, groups = _members_and_groups(keyed, size, _Bands(percent))
     # the sets of the classes in those groups, each from one of its texts
-    asked = members.join(groups.select("c").distinct(), "c", "left_semi") \
-        .groupBy("c").agg(F.min(F.struct("key", "id")).alias("one")).select("c", "one.key", "one.id")
-    texts = keyed.join(asked, keyed["key"].eqNullSafe(asked["key"]) & keyed["id"].eqNullSafe(asked["id"])) \
-        .select("c", keyed["key"], keyed["id"], "text")
-    one = Window.partitionBy("key", "id").orderBy("c")            # repeated rows: one is enough
-    texts = texts.withColumn("row", F.row_number().over(one)).filter("row = 1").select("c", "text")
-    sets = written(texts.mapInArrow(_with_sketch(size), "c long, n long, sketch array<long>, elements array<long>"), "join-sets")
+    most = groups.filter("least <> c").groupBy("c", "least").count() \
+        .groupBy("c").agg(F.max(F.struct("count", "least")).alias("m")).select("c", F.col("m.least").alias("a"))
+    most = cut_lineage(groups.select("c").distinct().join(most, "c", "left"))
+    reps = most.select(F.col("a").alias("c")).distinct().withColumn("rep", F.lit(True))
+    asked = members.join(most, "c").groupBy("c").agg(F.min(F.struct("key", "id")).alias("one"), F.first("a").alias("a")) \
+        .join(reps, "c", "left").select("c", "one.key", "one.id", "a", F.coalesce("rep", F.lit(False)).alias("rep"))
+    id_type = narrow.schema["id"].dataType.simpleString()
+    packed = keyed.mapInArrow(_packed_texts, f"id {id_type}, key string, packed binary")
+    texts = packed.join(asked, packed["key"].eqNullSafe(asked["key"]) & packed["id"].eqNullSafe(asked["id"])).select("c", "a", "rep", "packed")
+    sets = written(texts.mapInArrow(_with_sketch(size), "c long, a long, rep boolean, n long, sketch array<long>, elements binary"),
+                   "join-sets")
     root = cut_lineage(links(groups, sets, percent))
     classes = members.filter("c is not null").groupBy("c").agg(F.min("id").alias("first"))
     rooted = classes.join(root, classes["c"] == root["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
