@@ -4,38 +4,55 @@ and fuzzy matching of values against a vocabulary."""
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import q
 from ..session import cut_lineage
-from ..sources.io import number_rows
-from .explore import apply_filters, page_of, paginate, top_n
+from .explore import apply_filters, page_in_order, paginate, top_n
 from .stats import group_aggregate, scalar_result
 
 
 _SELECT = re.compile(r"(select|with)\b", re.I)
 _CHANGES = re.compile(r"\)\s*(insert|merge|update|delete)\b", re.I)
+_TEXT = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+
+
+def _named(statement: str, view: str, name: str) -> str:
+    """The statement with the table name ``view`` replaced outside of texts and comments."""
+    out, at = [], 0
+    for m in [*_TEXT.finditer(statement), None]:
+        end = m.start() if m else len(statement)
+        out.append(re.sub(rf"(?<![\w.]){re.escape(view)}(?!\w)", name, statement[at:end], flags=re.I))
+        if m:
+            own = m.group()
+            out.append(name if own.lower() == f"`{view}`".lower() else own)
+            at = m.end()
+    return "".join(out)
 
 
 def run_sql(df: DataFrame, sql: str, page: int = 1, size: int = 50, view: str = "dataset",
             tiebreak: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Q1: run a user SELECT against ``df`` registered as ``dataset``; page the result in
+    """Q1: run a user SELECT against ``df`` under the table name ``dataset``; page the result in
     the order the statement gives it. Spark's parser and Catalyst do all the work; a
     trailing ';' is allowed, anything but a SELECT (or WITH ... SELECT) is rejected.
-    ``tiebreak`` replaces the statement's order by an order on those columns."""
+    The table stands under a name of its own while the statement is read, so a view that
+    the session has under ``dataset`` stays as it is. ``tiebreak`` replaces the statement's
+    order by an order on those columns."""
     statement = sql.strip().rstrip(";").strip()
-    if not _SELECT.match(statement) or _CHANGES.search(statement):
+    if not _SELECT.match(statement) or _CHANGES.search(_TEXT.sub("''", statement)):
         raise ValueError("only SELECT statements can be run")
-    df.createOrReplaceTempView(view)
+    name = f"dataset_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
     try:
-        result = df.sparkSession.sql(statement)
+        result = df.sparkSession.sql(_named(statement, view, name))
     finally:
-        df.sparkSession.catalog.dropTempView(view)
+        df.sparkSession.catalog.dropTempView(name)
     if tiebreak:
         return paginate(result, page, size, None, "asc", tiebreak)
-    return page_of(number_rows(result, "__row"), page, size)
+    return page_in_order(result, page, size)
 
 
 def run_query_spec(df: DataFrame, spec: dict) -> DataFrame:

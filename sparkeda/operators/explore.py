@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import numeric_value, q
 from ..plans.facts import column_facts
 from ..plans.roles import role_columns
-from ..sources.io import null_to_display, with_global_index
+from ..sources.io import null_to_display, number_rows, with_global_index
 from .stats import value_counts
 
 
@@ -120,30 +120,101 @@ def clamp_page(page: int, size: int) -> tuple[int, int]:
     return max(1, int(page)), min(500, max(10, int(size)))
 
 
+_SHALLOW = 10_000          # rows up to which a page is a top-n of every task
+_SPLITTERS = 15            # keys a pass of the rank search counts against
+
+
+def _literal(value, dt: T.DataType):
+    if isinstance(dt, T.TimestampNTZType) and value is not None:
+        return F.expr(f"timestamp_ntz'{value.isoformat(sep=' ')}'")
+    return F.lit(value).cast(dt)
+
+
+def _before(keys: list[tuple[str, bool, T.DataType]], at: tuple):
+    """Rows that sort before the key ``at``: (column, ascending, type) keys, nulls last in both directions."""
+    out = F.lit(False)
+    for (c, up, dt), value in reversed(list(zip(keys, at))):
+        here, v = _literal(value, dt), q(c)
+        less = v.isNotNull() if value is None else F.coalesce(v < here if up else v > here, F.lit(False))
+        out = less | (v.eqNullSafe(here) & out)
+    return out
+
+
+def _key_range(df: DataFrame, keys: list[tuple[str, bool, T.DataType]], start: int, end: int, total: int, most: int):
+    """(rows of a range of keys that holds the ranks from ``start`` to ``end``, their number,
+    rows before them).
+
+    Every pass takes a few keys of the range (those of least hash), counts exactly how many
+    rows sort before each, and goes on between the two around the ranks. The range is a
+    filter, which for the first key reaches the scan. Ends when at most ``most`` rows are left, or
+    equal keys let it shrink no further."""
+    names = list(dict.fromkeys(c for c, _, _ in keys))
+    part, before, size, idle = df, 0, total, 0
+    up, dt = keys[0][1:]
+    while size > most and idle < 3:
+        h = F.xxhash64(*[q(c) for c in names], F.lit(size), F.lit(idle))
+        found = part.select(*[q(c) for c in names]).distinct().orderBy(h).limit(_SPLITTERS).collect()
+        at = [tuple(r[c] for c, _, _ in keys) for r in found]
+        row = part.agg(*[F.count(F.when(_before(keys, a), 1)).alias(f"n{i}") for i, a in enumerate(at)]).collect()[0]
+        counts = sorted((row[f"n{i}"], i) for i in range(len(at)))
+        lo = max((x for x in counts if x[0] <= start - before), default=(0, None))
+        hi = min((x for x in counts if x[0] >= end - before and x[0] > lo[0]), default=(size, None))
+        idle = idle + 1 if hi[0] - lo[0] == size else 0
+        for (n, i), from_it in ((lo, True), (hi, False)):
+            if i is None or (from_it and not n):
+                continue
+            part = part.filter(~_before(keys, at[i]) if from_it else _before(keys, at[i]))
+            if at[i][0] is not None:                              # once more, as the scan understands it
+                v, first = q(keys[0][0]), _literal(at[i][0], dt)
+                part = part.filter(v <= first if up else v >= first) if not from_it else \
+                    part.filter((v >= first if up else v <= first) | v.isNull())
+        before, size = before + lo[0], hi[0] - lo[0]
+    return part, size, before
+
+
 def paginate(df: DataFrame, page: int = 1, size: int = 50, sort_by: str | None = None,
              order: str = "asc", tiebreak: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of the page, pagination facts). Page >= 1, size clamped to 10..500.
 
-    Rows are numbered through a range-partitioned sort with per-partition
-    offsets, so any page costs one distributed sort: no task ever holds
-    offset + size rows (which ``offset().limit()`` would gather in one task).
-    """
-    return page_of(with_global_index(df, sort_keys(df, sort_by, order, tiebreak), "__row"), page, size)
+    The first pages are a top-n: every task keeps as many rows as the page reaches. For a
+    page further on the keys around it are searched by exact counts, and only that range of
+    keys is read and sorted. Nothing is sorted or written as a whole."""
+    page, size = clamp_page(page, size)
+    start, total = (page - 1) * size, df.count()
+    keys = sort_keys(df, sort_by, order, tiebreak)
+    if start >= total:
+        rows = df.limit(0)
+    elif start + size <= _SHALLOW or not keys:
+        rows = df.orderBy(*keys).offset(start).limit(size)
+    else:
+        names = [(sort_by, order.lower() == "asc", _dtype(df, sort_by))] if sort_by and sort_by in df.columns else []
+        names += [(c, True, _dtype(df, c)) for c in (tiebreak if tiebreak is not None else df.columns)]
+        part, held, before = _key_range(df, names, start, min(start + size, total), total, _SHALLOW)
+        if held > _SHALLOW:                                       # very many equal keys
+            idx = with_global_index(part, keys, "__row")
+            rows = idx.filter((F.col("__row") >= start - before) & (F.col("__row") < start - before + size)).orderBy("__row").drop("__row")
+        else:
+            rows = part.orderBy(*keys).offset(start - before).limit(size)
+    return rows, _page_facts(df.sparkSession, page, size, total)
+
 
+def _page_facts(spark, page: int, size: int, total: int) -> DataFrame:
+    return spark.createDataFrame(
+        [(page, size, total, -(-total // size), page * size < total, page > 1)],
+        "page int, page_size int, total_rows long, total_pages long, has_next boolean, has_prev boolean")
 
-def page_of(idx: DataFrame, page: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """One page of a frame numbered by ``__row``, and the pagination facts."""
+
+def page_in_order(df: DataFrame, page: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """One page of a frame in the order it comes in, and the pagination facts. First pages
+    are cut off the plan (a top-n where it ends in a sort); later ones are numbered."""
     page, size = clamp_page(page, size)
-    start = (page - 1) * size
-    rows = (idx.filter((F.col("__row") >= start) & (F.col("__row") < start + size))
-            .orderBy("__row").drop("__row"))
-    meta = idx.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        F.lit(page).alias("page"), F.lit(size).alias("page_size"),
-        F.col("total_rows").cast("long").alias("total_rows"),
-        F.floor((F.col("total_rows") + size - 1) / size).cast("long").alias("total_pages"),
-        (F.lit(start + size) < F.col("total_rows")).alias("has_next"),
-        F.lit(page > 1).alias("has_prev"))
-    return rows, meta
+    start, total = (page - 1) * size, df.count()
+    if start + size <= _SHALLOW:
+        rows = df.offset(start).limit(size)
+    else:
+        idx = number_rows(df, "__row")
+        rows = idx.filter((F.col("__row") >= start) & (F.col("__row") < start + size)).orderBy("__row").drop("__row")
+    return rows, _page_facts(df.sparkSession, page, size, total)
 
 
 def explore_column_info(df: DataFrame, primary_keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
