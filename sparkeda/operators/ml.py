@@ -471,8 +471,8 @@ def _block_top_k(k: int, exclude_self: bool = False):
 
     def run(tr: "pd.DataFrame", te: "pd.DataFrame") -> "pd.DataFrame":
         if tr.empty or te.empty:
-            return pd.DataFrame({"qk": pd.Series([], "int64"), "tk": pd.Series([], "int64"),
-                                 "y": pd.Series([], "int64"), "d": pd.Series([], "float64")})
+            return pd.DataFrame({"qk": pd.Series([], dtype="int64"), "tk": pd.Series([], dtype="int64"),
+                                 "y": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64")})
         tv = np.stack(tr["v"].to_numpy()).astype(np.float64)
         tk = tr["tk"].to_numpy(np.int64)
         ty = tr["y"].to_numpy(np.int64)
@@ -513,37 +513,137 @@ def _block_top_k(k: int, exclude_self: bool = False):
     return run
 
 
+def _to_pivots(rows: DataFrame, pivots, name: str = "v"):
+    """Each row with its nearest pivot (``cell``) and the distance to it (``r``)."""
+    import numpy as np
+    import pyarrow as pa
+    shared, at = rows.sparkSession.sparkContext.broadcast(pivots), rows.columns.index(name)
+
+    def run(batches):
+        p = shared.value
+        pn = np.einsum("pd,pd->p", p, p)
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                v = np.array(part.column(at).to_pylist(), dtype=np.float64)
+                d = np.einsum("nd,nd->n", v, v)[:, None] + pn - 2.0 * (v @ p.T)
+                cell = d.argmin(axis=1)
+                r = np.sqrt(((v - p[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(r)], [*part.schema.names, "cell", "r"])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{types}, cell int, r double")
+
+
+def _open_blocks(pivots, cells: list[tuple], blocks: dict[int, list[int]]):
+    """mapInArrow step over (qk, v, home, tau): a row for every block besides ``home`` with a
+    cell that may hold a row within ``tau`` of the query. In a cell whose rows lie between r0 and r1 from its
+    pivot, none is nearer to a query at distance d than d - r1 or r0 - d (triangle inequality)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        cell, r0, r1 = (np.array(x) for x in zip(*cells))
+        p = pivots[cell]
+        of = [(block, j) for j, c in enumerate(cell) for block in blocks[int(c)]]
+        names = np.array(sorted({b for b, _ in of}))
+        pn = np.einsum("pd,pd->p", p, p)
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                v = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                vn = np.einsum("nd,nd->n", v, v)
+                d = np.sqrt(np.maximum(vn[:, None] + pn - 2.0 * (v @ p.T), 0.0))
+                slack = 1e-6 * np.sqrt(vn[:, None] + pn)          # far above the rounding of d
+                may = np.maximum(d - r1, r0 - d) <= np.asarray(part.column(3))[:, None] + slack
+                visit = np.zeros((len(v), len(names)), bool)
+                for block, j in of:
+                    visit[:, np.searchsorted(names, block)] |= may[:, j]
+                visit &= names[None, :] != np.asarray(part.column(2))[:, None]
+                q, b = np.nonzero(visit)
+                for at in range(0, len(q), 4096):
+                    take = pa.array(q[at:at + 4096])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take),
+                                                      pa.array(names[b[at:at + 4096]].astype(np.int64))], ["qk", "v", "tb"])
+    return run
+
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, vec: str, label: str, key: str, k: int, block_rows: int = 16384,
+                       max_pivots: int = 1024, exclude_self: bool = False) -> tuple[DataFrame, dict]:
+    """Exact k nearest train rows of every test row by squared L2 distance (ties: smaller key):
+    (qk, tk, y, d), and how many (query, block) visits there were of how many there could be.
+
+    Train rows go to the cell of their nearest pivot (rows of least key hash, their number
+    bounded by ``max_pivots``); cells are put together to blocks of about ``block_rows`` rows, and larger cells
+    are cut into several. A query first meets the block of its own cell, which
+    bounds its k-th distance from above, and then only blocks with a cell that can hold a
+    nearer row by the triangle inequality. Blocks meet blocks of queries, so no task holds
+    a whole side. On data without structure every block stays open, as for any exact search."""
+    import numpy as np
+    spark = train.sparkSession
+    tr = train.select(F.col(key).cast("long").alias("tk"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("long").alias("y"))
+    te = test.select(F.col(key).cast("long").alias("qk"), F.col(vec).cast("array<double>").alias("v"))
+    n_train, n_test = tr.count(), te.count()
+    qb = max(1, math.ceil(n_test / block_rows))
+    pivots = tr.select("v").orderBy(F.xxhash64("tk"), "tk").limit(max(1, min(max_pivots, 8 * math.ceil(n_train / block_rows)))).collect()
+    if not pivots:
+        return te.select("qk").limit(0).select("qk", F.lit(0).cast("long").alias("tk"), F.lit(0).cast("long").alias("y"),
+                                               F.lit(0.0).alias("d")), {"visits": 0, "of": 0}
+    p = np.array([r["v"] for r in pivots], dtype=np.float64)
+    p = p[np.argsort(p @ np.linalg.svd(p - p.mean(axis=0), full_matrices=False)[2][0])]    # neighbours close to each other
+    tr = _to_pivots(tr, p)
+    if n_train > block_rows:
+        tr = cut_lineage(tr)
+    cells = [tuple(r) for r in tr.groupBy("cell").agg(F.min("r"), F.max("r"), F.count(F.lit(1))).orderBy("cell").collect()]
+    blocks: dict[int, list[int]] = {}
+    last, held = 0, 0
+    for cell, _, _, n in cells:                                   # at most max_pivots
+        if held and held + n > block_rows:
+            last, held = last + 1, 0
+        parts = max(1, math.ceil(n / block_rows))
+        blocks[cell] = list(range(last, last + parts))
+        last, held = (last + parts, 0) if parts > 1 else (last, held + n)
+    total = max(b for bs in blocks.values() for b in bs) + 1
+    first = F.create_map(*[x for c, bs in blocks.items() for x in (F.lit(c), F.lit(bs[0]))])
+    width = F.create_map(*[x for c, bs in blocks.items() for x in (F.lit(c), F.lit(len(bs)))])
+    tr = tr.select("tk", "v", "y", (first[F.col("cell")] + F.pmod(F.xxhash64("tk"), width[F.col("cell")])).cast("long").alias("tb"))
+
+    def meet(asked: DataFrame) -> DataFrame:
+        spread_tr = tr.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>")))
+        asked = asked.withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(qb)))
+        return spread_tr.groupBy("qb", "tb").cogroup(asked.groupBy("qb", "tb")) \
+            .applyInPandas(_block_top_k(k, exclude_self), "qk long, tk long, y long, d double")
+
+    live = sorted(blocks)
+    near = F.array(*[F.lit(x) for x in _nearest_live(p, live)])   # cells no row went to have the nearest one that is there
+    homes = _to_pivots(te, p).select("qk", "v", first[near[F.col("cell")]].cast("long").alias("tb"))
+    if total == 1:
+        return meet(homes), {"visits": n_test, "of": n_test}
+    homes = cut_lineage(homes)
+    found = cut_lineage(meet(homes))
+    tau = found.groupBy("qk").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d"))).otherwise(float("inf")).alias("tau"))
+    rest = homes.join(tau, "qk", "left").select("qk", "v", F.col("tb").alias("home"), F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
+    rest = cut_lineage(rest.mapInArrow(_open_blocks(p, [c[:3] for c in cells], blocks), "qk long, v array<double>, tb long"))
+    w = Window.partitionBy("qk").orderBy("d", "tk")               # at most k rows a block and query
+    best = found.unionByName(meet(rest)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return best, {"visits": n_test + rest.count(), "of": n_test * total}
+
+
+def _nearest_live(p, live: list[int]) -> list[int]:
+    import numpy as np
+    d = np.einsum("pd,pd->p", p, p)[:, None] + np.einsum("pd,pd->p", p[live], p[live]) - 2.0 * (p @ p[live].T)
+    return [live[i] for i in d.argmin(axis=1)]
+
+
 def knn_vote(train: DataFrame, test: DataFrame, vec: str, label: str, key: str, k: int | None = None,
              block_rows: int = 16384, exclude_self: bool = False) -> DataFrame:
     """Exact k-nearest-neighbour vote (squared L2), k = min(5, n_train // 10 or 1);
     the majority label wins (ties: smaller label).
 
-    Brute force like the reference, but never a whole side in one task: train and
-    test rows are hashed into blocks of about ``block_rows``; each train row is
-    copied to every query block and each query row to every train block, and a
-    cogrouped Pandas step per (query block, train block) cell emits only its k
-    nearest per query. The <= k x train-blocks survivors per query are then ranked
-    once more. Shuffle volume is n_train x query blocks + n_test x train blocks
-    (about 2 n^2 / block_rows), so blocks are as large as the bounded-memory NumPy
-    step allows; compute is n_train x n_test distances, as for any exact kNN.
-    Labels must be integers. ``exclude_self`` gives the leave-one-out
-    vote (train = test, a row never votes for itself)."""
-    n_train, n_test = train.count(), test.count()
-    k = k or min(5, n_train // 10 or 1)
-    tb = max(1, math.ceil(n_train / block_rows))
-    qb = max(1, math.ceil(n_test / block_rows))
-    tr = train.select(F.col(key).cast("long").alias("tk"), F.col(vec).cast("array<double>").alias("v"),
-                      F.col(label).cast("long").alias("y"))
-    te = test.select(F.col(key).cast("long").alias("qk"), F.col(vec).cast("array<double>").alias("v"))
-    queries = te.select("qk")
-    tr = (tr.withColumn("tb", F.pmod(F.xxhash64("tk"), F.lit(tb)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
-    te = (te.withColumn("qb", F.pmod(F.xxhash64("qk"), F.lit(qb)))
-          .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tb - 1)).cast("array<long>"))))
-    cells = (tr.groupBy("qb", "tb").cogroup(te.groupBy("qb", "tb"))
-             .applyInPandas(_block_top_k(k, exclude_self), "qk long, tk long, y long, d double"))
-    w = Window.partitionBy("qk").orderBy("d", "tk")  # <= k x train blocks rows per query
-    near = cells.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    The neighbours come from ``nearest_neighbours``: blocks of cells around pivots, of which
+    a query visits those that can hold a nearer row. Labels must be integers.
+    ``exclude_self`` gives the leave-one-out vote (train = test, a row never votes for itself)."""
+    k = k or min(5, train.count() // 10 or 1)
+    near, _ = nearest_neighbours(train, test, vec, label, key, k, block_rows, exclude_self=exclude_self)
+    queries = test.select(F.col(key).cast("long").alias("qk"))
     votes = near.groupBy("qk", "y").agg(F.count(F.lit(1)).alias("votes"))
     w2 = Window.partitionBy("qk").orderBy(F.desc("votes"), "y")  # <= k rows per query
     best = votes.withColumn("_r", F.row_number().over(w2)).filter("_r = 1")

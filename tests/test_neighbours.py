@@ -95,3 +95,38 @@ def test_vocabulary_match_rejects_cutoff_outside_unit_interval(spark):
     for bad in (0.0, -0.1, 1.5):
         with pytest.raises(ValueError):
             ad.match_to_vocabulary(df, "name", df, "name", cutoff=bad)
+
+
+def _clusters(n=600, dims=6, centres=12, seed=1):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(centres, dims)) * 40
+    which = r.integers(0, centres, n)
+    return [(i, [float(x) for x in c[w] + r.normal(size=dims)], int(w)) for i, w in enumerate(which)]
+
+
+def test_clustered_rows_visit_few_blocks(spark):
+    rows = _clusters()
+    df = spark.createDataFrame(rows, "id long, v array<double>, y long")
+    near, how = ml.nearest_neighbours(df, df, "v", "y", "id", 4, block_rows=60, exclude_self=True)
+    got = {}
+    for r in near.orderBy("qk", "d", "tk").collect():
+        got.setdefault(r["qk"], []).append(r["tk"])
+    x = np.array([r[1] for r in rows])
+    for i in range(len(rows)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert got[i] == sorted(range(len(rows)), key=lambda j: (d[j], j))[:4]
+    assert how["visits"] < 0.5 * how["of"], how
+
+
+def test_equal_vectors_and_large_cells(spark):
+    rows = [(i, [1.0, 2.0], i % 3) for i in range(150)] + [(200 + i, [5.0 + i, 2.0], 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y long")
+    near, _ = ml.nearest_neighbours(df, df, "v", "y", "id", 3, block_rows=20, exclude_self=True)
+    got = {}
+    for r in near.orderBy("qk", "d", "tk").collect():
+        got.setdefault(r["qk"], []).append(r["tk"])
+    assert got[10] == [0, 1, 2] and got[0] == [1, 2, 3] and got[200] == [201, 202, 203]
+    few, how = ml.nearest_neighbours(df.limit(2), df, "v", "y", "id", 5)
+    assert few.groupBy("qk").count().agg({"count": "max"}).collect()[0][0] == 2 and how["visits"] == 155
+    assert ml.nearest_neighbours(df.limit(0), df, "v", "y", "id", 5)[0].count() == 0
