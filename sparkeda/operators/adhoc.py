@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import q
@@ -216,3 +216,69 @@ def replace_with_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col
     out = df.join(m, q(col) == F.col("__v"), "left")
     return out.withColumn(col, F.coalesce("__m", q(col))).drop("__v", "__m")
 
+
+
+def _char_tokens(s: str) -> str:
+    """SQL: the characters of a string, each with its how-many-eth occurrence."""
+    chars = f"transform(sequence(1, length({s})), i -> substring({s}, i, 1))"
+    return (f"case when length({s}) = 0 then array() else transform({chars}, (x, i) -> "
+            f"concat(x, cast(size(filter(slice({chars}, 1, i + 1), y -> y = x)) as string))) end")
+
+
+def _ratios(batches):
+    """Ratcliff-Obershelp ratio of (value, entry) pairs: matched characters of the longest common
+    block and, recursively, of what lies to its left and right, twice over all characters."""
+    import pyarrow as pa
+    from difflib import SequenceMatcher
+    for batch in batches:
+        values, entries = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        score, matcher, last = [], SequenceMatcher(), None
+        for v, e in zip(values, entries):
+            if v != last:                                         # what it keeps about its second text is reused
+                matcher.set_seq2(v)
+                last = v
+            matcher.set_seq1(e)
+            score.append(matcher.ratio())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], ["value", "entry", "score"])
+
+
+def match_by_ratio(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str, cutoff: float = 0.7) -> DataFrame:
+    """Q3 with the ratio of close matches: each distinct value of ``col`` is mapped to its
+    case-insensitive equal in the vocabulary (the least one), else to the entry of greatest ratio >=
+    ``cutoff`` (ties: the greatest entry). Values without a match keep themselves (score NULL).
+
+    Exact, without pairing every value with every entry. Matched characters are no more than the
+    overlap of the two multisets of characters, so a ratio of c needs an overlap of
+    o = c (lv + le) / 2. Characters, numbered by occurrence, are put in one order, rarest
+    first; two strings that overlap in o of them share one among the first l - o + 1 of each.
+    These are the keys of an equi-join (with both lengths); pairs whose whole overlap is
+    large enough are measured."""
+    if not 0.0 < cutoff <= 1.0:
+        raise ValueError("cutoff must be in (0, 1]")
+    vals = cut_lineage(df.select(q(col).alias("value")).filter(F.col("value").isNotNull()).distinct())
+    entries = cut_lineage(vocab.select(q(vocab_col).alias("entry")).filter(F.col("entry").isNotNull()).distinct())
+    sides = {}
+    for name, strings in (("value", vals), ("entry", entries)):
+        sides[name] = strings.filter(F.length(name) > 0).select(
+            name, F.length(name).alias("own"), F.explode(F.expr(_char_tokens(name))).alias("token"))
+    counts = sides["value"].select("token").union(sides["entry"].select("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    reach = (F.lit(2.0) - cutoff) / cutoff                        # lengths differ by no more than this factor
+    lengths = {name: s.select("own").distinct().withColumnRenamed("own", "other") for name, s in sides.items()}
+    keys = {}
+    for name, partner in (("value", "entry"), ("entry", "value")):
+        ordered = sides[name].join(counts, "token").withColumn(
+            "at", F.row_number().over(Window.partitionBy(name).orderBy("n", "token")))
+        own, other = F.col("own"), F.col("other")
+        pairs = sides[name].select("own").distinct().join(lengths[partner], (other <= own * reach + 1e-9) & (own <= other * reach + 1e-9)) \
+            .withColumn("first", own - F.ceil(F.lit(cutoff / 2) * (own + other) - 1e-9) + 1).filter("first > 0")
+        keys[name] = ordered.join(pairs, "own").filter("at <= first").select(name, "token", own.alias(f"l_{name}"), other.alias(f"l_{partner}"))
+    found = keys["value"].join(keys["entry"], ["token", "l_value", "l_entry"]).select("value", "entry").distinct()
+    overlap = F.size(F.array_intersect(F.expr(_char_tokens("value")), F.expr(_char_tokens("entry"))))
+    found = found.filter(2.0 * overlap >= F.lit(cutoff) * (F.length("value") + F.length("entry")) - 1e-9)
+    scored = found.mapInArrow(_ratios, "value string, entry string, score double").filter(F.col("score") >= cutoff)
+    same = vals.withColumn("k", F.lower("value")).join(entries.withColumn("k", F.lower("entry")), "k") \
+        .groupBy("value").agg(F.min("entry").alias("same"))
+    best = scored.groupBy("value").agg(F.max(F.struct("score", "entry")).alias("b"))
+    return vals.join(same, "value", "left").join(best, "value", "left").select(
+        "value", F.coalesce("same", "b.entry", "value").alias("match"),
+        F.when(F.col("same").isNotNull(), F.lit(1.0)).otherwise(F.col("b.score")).alias("score"))

@@ -238,6 +238,11 @@ register("trend_direction_lineitem", """SELECT 'l_shipdate' AS date_column, 'l_q
     lambda spark, sf: tsr.trend_direction(table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "l_orderkey"))
 
 
+register("match_ratio_typos")(
+    lambda spark, sf: ad.match_by_ratio(dv.typos(spark, sf), "name", table(spark, sf, "nation"), "n_name")
+    .withColumn("score", rnd(F.col("score"))))
+
+
 def _words(spark, sf, name):
     """Lower-cased words of a text table (split on all that is no letter of any script)."""
     t = spread(table(spark, sf, name).select("text"))

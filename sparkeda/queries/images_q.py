@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import images as im
 from ..registry import register
 from ..sources import derived as dv
+from ..sources.io import image_headers
 from ._sql import rnd as srnd, with_views
 
 _LABEL = with_views("doc_paths") + """,
@@ -45,3 +46,13 @@ cand AS ({_rules_sql()})
 SELECT technique, reason, priority, code_hint, priority_rank, rule FROM cand
 WHERE rule = (SELECT min(rule) FROM cand c2 WHERE c2.technique = cand.technique)""")(
     lambda spark, sf: im.augmentation_advice(im.image_imbalance(dv.doc_paths(spark, sf))))
+
+_SIZES = """s AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(vec_id % 700 + 16 AS INTEGER) AS width,
+       CAST(vec_id % 500 + 9 AS INTEGER) AS height, CASE vec_id % 4 WHEN 1 THEN 1 ELSE 3 END AS channels FROM embeddings)"""
+register("image_headers_embeddings", f"WITH {_SIZES}\nSELECT * FROM s")(
+    lambda spark, sf: image_headers(dv.image_bytes(spark, sf)).drop("content"))
+register("image_size_stats_embeddings", f"""WITH {_SIZES}
+SELECT label, {srnd("avg(width)", 1)} AS avg_width, {srnd("avg(height)", 1)} AS avg_height, min(width) AS min_width, max(width) AS max_width,
+  min(height) AS min_height, max(height) AS max_height, {srnd("avg(channels)", 1)} AS avg_channels,
+  count(CASE WHEN channels = 1 THEN 1 END) > count(*) * 0.7 AS is_predominantly_grayscale FROM s GROUP BY label""")(
+    lambda spark, sf: im.image_size_stats(image_headers(dv.image_bytes(spark, sf)), "label"))

@@ -187,30 +187,88 @@ def downsample_ordered(df: DataFrame, order: list[str], max_rows: int, total: in
     return idx.filter(F.col("__idx") % step == 0).drop("__idx")
 
 
+def _be(c: str, at, n: int) -> str:
+    """SQL: the big-endian number of ``n`` bytes from place ``at`` (0-based) of binary ``c``."""
+    return f"cast(conv(hex(substring({c}, {at} + 1, {n})), 16, 10) as bigint)"
+
+
+def _le(c: str, at, n: int) -> str:
+    parts = [f"{_be(c, f'({at}) + {i}', 1)} * {256 ** i}" for i in range(n)]
+    return "(" + " + ".join(parts) + ")"
+
+
+def _size(width: str, height: str, channels: str) -> str:
+    return f"named_struct('width', cast({width} as int), 'height', cast({height} as int), 'channels', cast({channels} as int))"
+
+
+def _jpeg(c: str) -> str:
+    """SQL: walk over the segments up to the frame header, as many as there can be bytes for."""
+    frame = "x.m between 192 and 207 and x.m not in (196, 200, 204)"
+    alone = "x.m = 1 or x.m between 208 and 217"
+    step = (f"case when a.done then a else transform(array(named_struct('m', {_be(c, 'a.at + 1', 1)}, 'l', {_be(c, 'a.at + 2', 2)})), "
+            f"x -> case when x.m is null or {_be(c, 'a.at', 1)} <> 255 then named_struct('at', a.at, 'done', true, 'hit', false) "
+            f"when x.m = 255 then named_struct('at', a.at + 1, 'done', false, 'hit', false) "
+            f"when {frame} then named_struct('at', a.at, 'done', true, 'hit', true) "
+            f"when {alone} then named_struct('at', a.at + 2, 'done', false, 'hit', false) "
+            f"else named_struct('at', a.at + 2 + x.l, 'done', false, 'hit', false) end)[0] end")
+    walk = (f"aggregate(sequence(1, least(4096, length({c}))), named_struct('at', cast(2 as bigint), 'done', false, 'hit', false), "
+            f"(a, i) -> {step})")
+    found = _size(_be(c, "s.at + 7", 2), _be(c, "s.at + 5", 2), _be(c, "s.at + 9", 1))
+    return f"transform(array({walk}), s -> case when s.hit then {found} end)[0]"
+
+
+def _tiff(c: str) -> str:
+    """SQL: width, height and samples a pixel from the first directory, in the file's byte order."""
+    def number(at: str, n: int) -> str:
+        return f"case when substring({c}, 1, 1) = X'49' then {_le(c, at, n)} else {_be(c, at, n)} end"
+
+    def value(tag: int) -> str:
+        found = (f"filter(transform(sequence(0, greatest(d.n, 1) - 1), i -> named_struct('t', {number('d.at + 2 + 12 * i', 2)}, "
+                 f"'v', case when {number('d.at + 4 + 12 * i', 2)} = 3 then {number('d.at + 10 + 12 * i', 2)} "
+                 f"else {number('d.at + 10 + 12 * i', 4)} end)), e -> e.t = {tag})")
+        return f"get({found}, 0).v"
+
+    at = number("4", 4)
+    return (f"transform(transform(array({at}), o -> named_struct('at', o, 'n', {number('o', 2)})), "
+            f"d -> {_size(value(256), value(257), f'coalesce({value(277)}, 1)')})[0]")
+
+
+def image_headers(df: DataFrame, content: str = "content") -> DataFrame:
+    """``df`` with width, height and channels read off the first bytes of each image file, in
+    column expressions; no pixel is decoded. PNG, GIF, BMP, JPEG, WebP and TIFF; null for
+    anything else and for files that end too early. Palettes count as one channel."""
+    c = "`" + content.replace("`", "``") + "`"
+    head = f"hex(substring({c}, 1, 16))"
+    png = _size(_be(c, 16, 4), _be(c, 20, 4), f"element_at(map(0, 1, 2, 3, 3, 1, 4, 2, 6, 4), cast({_be(c, 25, 1)} as int))")
+    gif = _size(_le(c, 6, 2), _le(c, 8, 2), "1")
+    bits = _le(c, 28, 2)
+    tall = _le(c, 22, 4)
+    bmp = _size(_le(c, 18, 4), f"case when {tall} >= 2147483648 then 4294967296 - {tall} else {tall} end", f"case when {bits} <= 8 then 1 else 3 end")
+    webp = (f"case hex(substring({c}, 13, 4)) when '56503820' then {_size(f'{_le(c, 26, 2)} & 16383', f'{_le(c, 28, 2)} & 16383', '3')} "
+            f"when '5650384C' then {_size(f'({_le(c, 21, 4)} & 16383) + 1', f'(shiftright({_le(c, 21, 4)}, 14) & 16383) + 1', f'case when shiftright({_le(c, 21, 4)}, 28) & 1 = 1 then 4 else 3 end')} "
+            f"when '56503858' then {_size(f'{_le(c, 24, 3)} + 1', f'{_le(c, 27, 3)} + 1', f'case when {_be(c, 20, 1)} & 16 = 16 then 4 else 3 end')} end")
+    found = (f"case when {head} like '89504E470D0A1A0A%' then {png} when {head} like '474946383_61%' then {gif} "
+             f"when {head} like '424D%' then {bmp} when {head} like 'FFD8FF%' then {_jpeg(c)} "
+             f"when {head} like '52494646________57454250%' then {webp} "
+             f"when {head} like '49492A00%' or {head} like '4D4D002A%' then {_tiff(c)} end")
+    sized = df.withColumn("__size", F.expr(found))
+    whole = F.col("__size.width").isNotNull() & F.col("__size.height").isNotNull()
+    return sized.select(*[q(x) for x in df.columns], *[F.when(whole, F.col(f"__size.{x}")).alias(x) for x in ("width", "height", "channels")])
+
+
 def read_images(spark: SparkSession, directory: str, with_size: bool = False) -> DataFrame:
     """Image files under class folders (suffix allow-list), with their class
     label (parent folder, ``__root__`` for files at the top), path relative to
-    the set (``relpath``) and byte length.
-    ``with_size=True`` adds width, height and channels from Spark's image source
-    (formats the JVM can decode)."""
+    the set (``relpath``) and byte length. ``with_size=True`` adds width, height and
+    channels from the files' headers."""
     root = directory.rstrip("/")
     pattern = "(?i).*(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-             .select("path", "length").filter(F.col("path").rlike(pattern)))
-    def rel_of(c):  # the two sources spell the scheme differently (file:/ vs file:///)
-        return F.regexp_replace(c, r"^.*?" + _escape(root.lstrip("/")) + "/", "")
-
-    rel = rel_of(F.col("path"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("path").rlike(pattern))
+    rel = F.regexp_replace(F.col("path"), r"^.*?" + _escape(root.lstrip("/")) + "/", "")
     parts = F.split(rel, "/")
-    files = files.withColumn("relpath", rel).withColumn(
-        "label", F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("__root__")))
-    if with_size:
-        img = (spark.read.format("image").option("dropInvalid", True)
-               .option("recursiveFileLookup", True).load(root)
-               .select(rel_of(F.col("image.origin")).alias("relpath"), F.col("image.width").alias("width"),
-                       F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels")))
-        files = files.join(img, "relpath", "left")
-    return files
+    files = files.select("path", "length", *(["content"] if with_size else []), rel.alias("relpath"),
+                         F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("__root__")).alias("label"))
+    return image_headers(files).drop("content") if with_size else files
 
 
 def _escape(s: str) -> str:
