@@ -250,27 +250,40 @@ def density_pairs(df: DataFrame, cols: list[str], bins: int = 20, min_rows: int
                       F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+_KDE_TERMS = 21            # moments kept of each cell
+_KDE_CELLS = 10            # cells a bandwidth
+
+
 def kde_curve(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian kernel density on ``grid`` points spanning [min, max], Scott
-    bandwidth h = sd * n^(-1/5). Exact: values are first collapsed to (value,
-    weight) map-side, then each distinct value meets the grid through a narrow
-    explode and one grouped sum per grid point (linear in distinct values)."""
+    bandwidth h = sd * n^(-1/5).
+
+    A fast Gauss transform: values fall into cells of a tenth of the bandwidth, and a cell keeps
+    the sums of its first 21 powers, combined map-side, of t = (v - centre) / h. With
+    u = (x - centre) / h the cell's part of the density at x is exp(-u^2 / 2) times the sum of
+    He_m(u) sum(t^m) / m!, the Hermite series of all its kernels. As |t| <= 1/20 and kernels
+    beyond |u| = 39 are zero in doubles, what the series leaves out is below 1e-12 of
+    each kernel. So the work is cells x grid, however many distinct values there are."""
     v = numeric_value(col, _fields(df)[col])
     s = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"),
                F.max(v).alias("hi")).collect()[0]
     spark = df.sparkSession
     if not s["n"] or s["n"] < 2 or not s["sd"]:
         return spark.createDataFrame([], "column string, point int, x double, density double")
-    n, h = s["n"], s["sd"] * s["n"] ** (-0.2)
-    lo, hi = s["lo"], s["hi"]
-    step = (hi - lo) / (grid - 1)
-    xs = [lo + k * step for k in range(grid)]
+    n, h, lo = s["n"], s["sd"] * s["n"] ** (-0.2), s["lo"]
+    step = (s["hi"] - lo) / (grid - 1)
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    weights = df.select(v.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(
-        F.count(F.lit(1)).alias("w"))
-    pts = F.posexplode(F.array(*[F.lit(x) for x in xs])).alias("point", "x")
-    return (weights.select("v", "w", pts)
-            .groupBy("point", "x")
-            .agg(F.sum(F.col("w") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.lit(h), 2))).alias("k"))
-            .select(F.lit(col).alias("column"), F.col("point").cast("int").alias("point"), "x",
-                    (F.col("k") * F.lit(norm)).alias("density")))
+    at = (F.col("v") - F.lit(lo)) / F.lit(h)                      # in bandwidths from the least value
+    cells = df.select(v.alias("v")).filter(F.col("v").isNotNull()).select(at.alias("at")) \
+        .withColumn("centre", (F.floor(F.col("at") * _KDE_CELLS) + 0.5) / _KDE_CELLS).withColumn("t", F.col("at") - F.col("centre"))
+    powers = [F.sum(F.pow("t", F.lit(m)) / math.factorial(m)).alias(f"m{m}") if m else F.count(F.lit(1)).cast("double").alias("m0")
+              for m in range(_KDE_TERMS)]
+    cells = cells.groupBy("centre").agg(*powers).select("centre", F.array(*[f"m{m}" for m in range(_KDE_TERMS)]).alias("moments"))
+    # He_0 = 1, He_1 = u, He_(m+1) = u He_m - m He_(m-1)
+    series = F.expr("aggregate(moments, named_struct('m', 0D, 'low', 0D, 'now', 1D, 'sum', 0D), (a, x) -> named_struct('m', a.m + 1, "
+                    "'low', a.now, 'now', u * a.now - a.m * a.low, 'sum', a.sum + a.now * x), a -> a.sum)")
+    points = F.posexplode(F.array(*[F.lit(k * step / h) for k in range(grid)])).alias("point", "place")
+    return (cells.select("centre", "moments", points).withColumn("u", F.col("place") - F.col("centre"))
+            .groupBy("point").agg(F.sum(F.when(F.abs("u") < 39, F.exp(-0.5 * F.col("u") * F.col("u")) * series).otherwise(F.lit(0.0))).alias("k"))
+            .select(F.lit(col).alias("column"), F.col("point").cast("int").alias("point"),
+                    (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), (F.col("k") * F.lit(norm)).alias("density")))
