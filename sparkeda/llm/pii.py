@@ -184,8 +184,9 @@ def _whole_text_terms(rows: DataFrame, disclosure: float, prior: float) -> tuple
     none = rows.sparkSession.createDataFrame([], "term string, entity string, texts bigint, disclosure double")
     if keys.isEmpty():
         return none, None
+    # every text that holds any entity is a text with its words: common ones show here already
     beside = held.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("term"))
-    near_any = beside.groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
+    near_any = held.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("near_any"))
     measure = f"ln(((both + {weight} * p_e) / ({{}} + {weight})) / p_e) / {content}"
     # common words drop out within the join, before any pair of them is made
     pairs = keys.join(beside.join(near_any, "term"), "key") \
