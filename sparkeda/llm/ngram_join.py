@@ -45,6 +45,7 @@ _FLUSH = 2_000_000            # signatures dealt to buckets at once
 _BUCKET = 4_000_000           # signatures of a bucket
 _LARGE = 64                   # classes of a group from which members with other meeting places leave
 _SKETCH = 16                  # longs of a parity sketch
+_BROADCAST_BYTES = 8 << 20    # of class numbers
 _WORDS = 300_000              # word hashes remembered by a task
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FACTORS = [np.uint64(f) for f in np.random.default_rng(11).integers(1, 2 ** 62, 64) * 2 + 1]
@@ -467,8 +468,11 @@ def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) ->
                 .filter("a_root < b_root").select("a", "b").distinct()
         short = sets.select("c", "n", "sketch")
         pairs = _maybe(pairs.join(_side(short, "a"), "a").join(_side(short, "b"), "b"), percent).select("a", "b")
-        pairs = written(pairs, "join-pairs")                      # its size is known: the sets need not move to few pairs
+        pairs = written(pairs, "join-pairs")
+        asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         elements = sets.select("c", "elements")
+        if 8 * asked.count() <= _BROADCAST_BYTES:                 # else all sets move to the join
+            elements = elements.join(F.broadcast(asked), "c", "left_semi")
         found = cut_lineage(found.union(_similar(pairs.join(_side(elements, "a"), "a").join(_side(elements, "b"), "b"), percent)).distinct())
     return connected_components(found)
 
