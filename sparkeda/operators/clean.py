@@ -8,6 +8,7 @@ then a single ``select`` applies all conversions. No per-column loop of jobs.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +111,67 @@ def parse_with(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(format_shape(fmt)), F.try_to_timestamp(c, F.lit(fmt)))
 
 
+#: what the parts of a datetime pattern look like: 9 for each digit, a for each letter, | for a T
+#: between digits, ~ for a Z behind the last one
+_PART_SHAPES = [("yyyy", ["9999"]), ("SSSSSS", ["999999"]), ("SSS", ["999"]), ("MMMM", ["a" * k for k in range(3, 10)]), ("MMM", ["aaa"]),
+                ("MM", ["99"]), ("M", ["9", "99"]), ("dd", ["99"]), ("d", ["9", "99"]), ("HH", ["99"]), ("H", ["9", "99"]), ("mm", ["99"]),
+                ("ss", ["99"]), ("XXX", ["~", "+99:99", "-99:99"]), ("'T'", ["|"])]
+
+
+def format_shapes(fmt: str) -> list[str]:
+    """Every shape that a string of a datetime pattern can have."""
+    shapes, i = [""], 0
+    while i < len(fmt):
+        part, looks = next(((p, x) for p, x in _PART_SHAPES if fmt.startswith(p, i)),
+                           (fmt[i], ["a" if fmt[i].isalpha() else "9" if fmt[i].isdigit() else fmt[i]]))
+        shapes = [s + x for s in shapes for x in looks]
+        i += len(part)
+    return shapes
+
+
+def _loose(fmt: str) -> str:
+    """The pattern with one-digit parts allowed, where no other digits touch them: on a string of
+    the strict pattern's shape both say the same."""
+    return re.sub(r"(?<![A-Za-z])(MM|dd|HH)(?![A-Za-z])", lambda m: m[0][0], fmt)
+
+
+def with_dates(values: DataFrame, formats: list[str], name: str = "v") -> DataFrame:
+    """``values`` plus ``dates``: (format number, year) for each pattern that parses the value.
+
+    A dictionary of shapes, made from the patterns, says which of them can parse a value;
+    patterns that differ only in allowing one digit count as one. So a value is parsed once (or
+    twice, where the name of a month may be short or whole), and most values not at all."""
+    loose = list(dict.fromkeys(map(_loose, formats)))
+    by_shape: dict[str, dict[int, list[int]]] = {}
+    for j, fmt in enumerate(formats):
+        for shape in format_shapes(fmt):
+            by_shape.setdefault(shape, {}).setdefault(loose.index(_loose(fmt)), []).append(j)
+    none = F.array().cast("array<struct<j:int,y:int>>")
+    if not formats:
+        return values.withColumn("dates", none)
+    v = q(name)
+    shape = v
+    for pattern, mark in (("[0-9]", "9"), ("(?<=9)T(?=9)", "|"), (r"(?<=9)Z\z", "~"), ("[A-Za-z]", "a")):
+        shape = F.regexp_replace(shape, pattern, mark)
+    shape = F.when(F.length(v) <= max(map(len, by_shape)), shape)
+    listed = ", ".join("'" + x.replace("'", "''") + f"', array({', '.join(f'{g}' for g in groups)})" for x, groups in by_shape.items())
+    out = values.withColumn("__shape", shape).withColumn("__g", F.expr(f"try_element_at(map({listed}), __shape)"))
+    most = max(map(len, by_shape.values()))
+    found = none
+    credit = ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}|{g}', array({', '.join(map(str, js))})"
+                       for x, groups in by_shape.items() for g, js in groups.items())
+    for k in range(most):
+        g = F.get("__g", F.lit(k))
+        year = None
+        for i, fmt in enumerate(loose):
+            parsed = F.year(F.try_to_timestamp(v, F.lit(fmt)))
+            year = F.when(g == i, parsed) if year is None else year.when(g == i, parsed)
+        out = out.withColumn(f"__y{k}", year).withColumn(f"__c{k}", F.expr(f"try_element_at(map({credit}), concat(__shape, '|', get(__g, {k})))"))
+        own = F.expr(f"transform(__c{k}, j -> named_struct('j', j, 'y', __y{k}))")
+        found = F.concat(found, F.when(F.col(f"__y{k}").isNotNull(), own).otherwise(none))
+    return out.withColumn("dates", found).drop("__shape", "__g", *[f"__{x}{k}" for x in "yc" for k in range(most)])
+
+
 def _date_columns(row, cols, formats, rows) -> dict[str, str]:
     """Pick, per column, the format with most parses; convert when it parses more
     than 80 % of all rows with years in [1900, 2100]. Low-cardinality columns
@@ -180,19 +242,17 @@ def clean_facts(base: DataFrame, formats: list[str]) -> dict:
     if not texts:
         return out
     long = base.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pos"), q(cols[i]).alias("v")) for i in texts])))
-    vals = long.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
+    vals = with_dates(long.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n")), formats)
     v, n = F.col("v"), F.col("n")
     t = strip(v)
+    word = F.lower(t)
     aggs = [F.sum(F.when(v.isNotNull(), n)).alias("nn"), F.sum(F.when(is_blank(v), n)).alias("blank"),
             F.count(v).alias("distinct"), F.count(F.when(_looks_categorical(t), 1)).alias("cat")]
-    for j, fmt in enumerate(formats):
-        p = parse_with(v, fmt)
-        aggs += [F.sum(F.when(p.isNotNull(), n)).alias(f"n{j}"), F.min(F.year(p)).alias(f"y0{j}"),
-                 F.max(F.year(p)).alias(f"y1{j}")]
+    aggs += [F.count(F.when(word == w, 1)).alias(f"w_{w}") for pair in BOOLEAN_WORD_PAIRS for w in pair]
+    for j in range(len(formats)):
+        y = F.expr(f"get(filter(dates, d -> d.j = {j}), 0).y")
+        aggs += [F.sum(F.when(y.isNotNull(), n)).alias(f"n{j}"), F.min(y).alias(f"y0{j}"), F.max(y).alias(f"y1{j}")]
     per = {r["pos"]: r for r in vals.groupBy("pos").agg(*aggs).collect()}
-    words = (vals.filter(v.isNotNull()).select("pos", F.lower(strip(v)).alias("w")).distinct()
-             .groupBy("pos").agg(F.count(F.lit(1)).alias("d"), F.min("w").alias("lo"), F.max("w").alias("hi")))
-    wd = {r["pos"]: r for r in words.collect()}
     for i in texts:
         r = per.get(i)
         out[f"e_n{i}"] = (r["nn"] or 0) if r else 0
@@ -203,8 +263,10 @@ def clean_facts(base: DataFrame, formats: list[str]) -> dict:
             out[f"t_n{i}_{j}"] = (r[f"n{j}"] or 0) if r else 0
             out[f"t_y0{i}_{j}"] = r[f"y0{j}"] if r else None
             out[f"t_y1{i}_{j}"] = r[f"y1{j}"] if r else None
-        w = wd.get(i)
-        out[f"b_d{i}"], out[f"b_lo{i}"], out[f"b_hi{i}"] = (w["d"], w["lo"], w["hi"]) if w else (0, None, None)
+        # two words that are all there is
+        pair = next((p for p in BOOLEAN_WORD_PAIRS if r and all(r[f"w_{w}"] for w in p)
+                     and sum(r[f"w_{w}"] for w in p) == r["distinct"]), None)
+        out[f"b_d{i}"], out[f"b_lo{i}"], out[f"b_hi{i}"] = (2, *pair) if pair else (0, None, None)
     return out
 
 
@@ -234,8 +296,8 @@ def _decide(df: DataFrame, base: DataFrame, formats: list[str]):
 
 
 def clean(df: DataFrame, strict_empty_rows: bool = False, formats: list[str] | None = None) -> DataFrame:
-    """K8: K1-K6 with every data-dependent decision taken from ONE aggregate pass
-    over the non-empty rows; raises when nothing remains."""
+    """K8: K1-K6 with every data-dependent decision taken from two aggregates over the
+    non-empty rows (of counts, and of distinct texts); raises when nothing remains."""
     formats = formats or DATE_FORMATS
     base = spread(drop_empty_rows(df, strict_empty_rows), passes=3)
     rows, empty, bools, dates = _decide(df, base, formats)

@@ -200,32 +200,29 @@ def detect_task_type(df: DataFrame, target: str, facts: DataFrame | None = None)
 
 def detect_datetime_columns(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     """Non-numeric columns whose every non-null value is a date (any format of
-    the list, per value) and that are non-null in more than 80 % of rows."""
-    from ..operators.clean import parse_with
-    formats = formats or DATE_FORMATS
+    the list, per value) and that are non-null in more than 80 % of rows. Texts are parsed once
+    for each distinct value, with the patterns its shape allows."""
+    from ..operators.clean import with_dates
     fields = {f.name: f.dataType for f in df.schema.fields}
     cand = [c for c, t in fields.items() if kind_of(t) in ("string", "datetime")]
     if not cand:
         return df.sparkSession.createDataFrame([], "position int, column string")
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    cells = []
     for i, c in enumerate(cand):
-        if isinstance(fields[c], DATETIME_TYPES):
-            parsed = q(c)
-        else:
-            parsed = F.coalesce(*[parse_with(q(c), fmt) for fmt in formats])
-        aggs += [F.count(q(c)).alias(f"n{i}"), F.count(parsed).alias(f"p{i}"),
-                 F.min(F.year(parsed)).alias(f"y0{i}"), F.max(F.year(parsed)).alias(f"y1{i}")]
-    row = df.agg(*aggs)
-    pos = {c: i for i, c in enumerate(fields)}
-    out = row.select(F.inline(F.array(*[
-        F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column"),
-                 F.col("rows"), F.col(f"n{i}").alias("non_null"), F.col(f"p{i}").alias("parsed"),
-                 F.col(f"y0{i}").alias("y0"), F.col(f"y1{i}").alias("y1"),
-                 F.lit(isinstance(fields[c], DATETIME_TYPES)).alias("native"))
-        for i, c in enumerate(cand)])))
+        native = isinstance(fields[c], DATETIME_TYPES)
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(q(c).isNotNull(), F.lit("")).alias("v") if native else q(c).alias("v")))
+    counts = df.select(F.inline(F.array(*cells))).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    native = F.col("i").isin([i for i, c in enumerate(cand) if isinstance(fields[c], DATETIME_TYPES)] or [-1])
+    y0, y1 = F.array_min(F.transform("dates", lambda d: d["y"])), F.array_max(F.transform("dates", lambda d: d["y"]))
+    there = F.col("v").isNotNull()
+    per = with_dates(counts, formats or DATE_FORMATS).groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(there, F.col("n"))).alias("non_null"),
+        F.sum(F.when(there & (native | (F.size("dates") > 0)), F.col("n"))).alias("parsed"), F.min(y0).alias("y0"), F.max(y1).alias("y1"))
     ok = (F.col("parsed") == F.col("non_null")) & (F.col("parsed") > F.col("rows") * 0.8) \
-        & (F.col("native") | ((F.col("y0") >= 1900) & (F.col("y1") <= 2100)))
-    return out.filter(ok).select("position", "column")
+        & (native | ((F.col("y0") >= 1900) & (F.col("y1") <= 2100)))
+    pos = {c: i for i, c in enumerate(fields)}
+    names = F.array(*[F.struct(F.lit(pos[c]).alias("position"), F.lit(c).alias("column")) for c in cand])
+    return per.filter(ok).select(F.get(names, F.col("i")).alias("c")).select("c.position", "c.column")
 
 
 def skipped_columns(df: DataFrame, facts: DataFrame | None = None, primary_keys=None) -> DataFrame:
