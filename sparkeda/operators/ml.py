@@ -10,6 +10,7 @@ over a whole class).
 from __future__ import annotations
 
 import math
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -31,6 +32,11 @@ from ..session import cut_lineage
 from ..sources.io import with_global_index
 
 
+#: failures of the cluster, not of a model
+_CLUSTER_FAULT = re.compile(r"ExecutorLost|FetchFailed|No space left|OutOfMemory|Container .*killed|SparkContext was shut down|"
+                            r"Python worker exited unexpectedly")
+
+
 # ---------------------------------------------------------------- labels, splits
 def encode_label(df: DataFrame, col: str, out: str = "label") -> tuple[DataFrame, list[str]]:
     """Classes (as text) -> 0..k-1 in sorted order; returns (frame, classes)."""
@@ -331,10 +337,10 @@ def _vector_names(df: DataFrame, col: str) -> list[str]:
     return [out.get(i, str(i)) for i in range(len(out))]
 
 
-def tournament(df: DataFrame, target: str, key: list[str], task: str | None = None,
+def tournament(df: DataFrame, target: str | None, key: list[str], task: str | None = None,
                primary_keys: list[str] | None = None, seed: int = 42, parallelism: int = 8,
                neighbour_rows: int = 100_000) -> dict:
-    """L6 / L8 end to end: features, stratified split and folds, preprocessing fitted on
+    """L6 / L8 end to end (on the target of T10 where none is named): features, stratified split and folds, preprocessing fitted on
     each fold's own training rows, CV score per model (macro F1 or R^2), test metrics,
     ranking, warnings and the best model's importances. Returns DataFrames plus the fitted
     best model.
@@ -344,6 +350,12 @@ def tournament(df: DataFrame, target: str, key: list[str], task: str | None = No
     learns from at most about ``neighbour_rows`` labelled rows (chosen by hash), so its
     work is linear in the rows it judges; all other models learn from all training rows.
     Every fold's encoded frame is written to the checkpoint folder, as every model reads it."""
+    if target is None:
+        from ..plans.roles import auto_select_target
+        found = auto_select_target(df, primary_keys=primary_keys).collect()
+        if not found:
+            raise ValueError("no column qualifies as a target")
+        target = found[0]["column"]
     if task is None:
         from ..plans.roles import detect_task_type
         task = detect_task_type(df.filter(q(target).isNotNull()), target).collect()[0]["task"]
@@ -396,6 +408,8 @@ def tournament(df: DataFrame, target: str, key: list[str], task: str | None = No
                 return model, judged
             return _macro_f1(judged) if classify else ev.evaluate(judged)
         except Exception as e:  # noqa: BLE001 - a failed model is reported, not fatal
+            if _CLUSTER_FAULT.search(str(e)):                     # says nothing about the model
+                raise
             return e
 
     # every encoding and every (model, fold) fit is an independent Spark job graph: submit

@@ -208,6 +208,16 @@ def strong_sql(source, cols, t=0.5):
             f"ELSE 'Strong Negative' END AS strength FROM ({' UNION ALL '.join(parts)}) WHERE abs(r) >= {t}")
 
 
+_RELATED = ["l_quantity", "l_extendedprice", "net", "left_over", "rate", "l_tax"]
+register("strong_correlations_lineitem_related",
+         "WITH related AS (SELECT l_quantity, l_extendedprice, l_extendedprice * (1 - l_discount) AS net, 50 - l_quantity AS left_over, "
+         "l_extendedprice / l_quantity AS rate, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax END AS l_tax FROM lineitem)\n"
+         + strong_sql("related", _RELATED))(
+    lambda spark, sf: co.strong_correlations(table(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
+        (50 - F.col("l_quantity")).alias("left_over"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("rate"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax")).alias("l_tax")), _RELATED))
+
 register("strong_correlations_lineitem", strong_sql("lineitem", _CO))(
     lambda spark, sf: co.strong_correlations(table(spark, sf, "lineitem"), _CO))
 register("strong_correlations_lineitem_low", strong_sql("lineitem", ["l_orderkey", "l_partkey", "l_extendedprice", "l_quantity"], 0.01))(
