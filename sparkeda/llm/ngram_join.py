@@ -17,10 +17,13 @@ sets are one class throughout. Candidates become links in rounds: a member is co
 class of its group, links give components, and only groups that still hold several
 components go on; at the end these give their pairs between components. Pairs are sieved
 by a parity sketch (which bounds their differences from below, so it loses none) and
-then measured on the whole sets, packed as differences of 48-bit hashes. In a group of very many classes a member may leave if it
-has more agreeing signatures with any similar set than it has such groups: they meet elsewhere.
-So passages that many documents share make no large groups of documents that
-have text of their own.
+then measured on the whole sets, packed as differences of 48-bit hashes.
+
+Similar sets share not one but many signatures: all filled cells but those with a difference. So
+a member need only stay in the smallest of its groups, as many as it has more than it surely shares
+with any similar set, and one; with groups in one order, two similar sets still meet (the prefix
+filter). Sets that have fewer groups than that drop out. So passages that many documents share make no
+large groups of documents that have text of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -43,7 +46,6 @@ _CHUNK = 4_000_000            # bytes of a text split at once
 _ENOUGH = 1_000_000           # set elements signed at once
 _FLUSH = 2_000_000            # signatures dealt to buckets at once
 _BUCKET = 4_000_000           # signatures of a bucket
-_LARGE = 64                   # classes of a group from which members with other meeting places leave
 _SKETCH = 16                  # longs of a parity sketch
 _BROADCAST_BYTES = 8 << 20    # of class numbers
 _WORDS = 300_000              # word hashes remembered by a task
@@ -180,7 +182,7 @@ def signatures(sets: list[np.ndarray], bands: _Bands):
             if level:
                 cells = (k + 1) << level
             else:
-                cells = np.where(k == 0, 1, np.where(k <= 3, k + 3, 2 * -(-np.where(k < 50, 10, 9) * (k + 1) // 16)))
+                cells = np.where(k == 0, 1, np.where(k <= 3, k + 3, 2 * -(-13 * (k + 1) // 16)))
             which, cell, sums = _cells(elements, n, cells)
             filled = np.bincount(which, minlength=len(todo))
             small = (k > 0) & (k <= 3) if level == 0 else np.zeros(len(k), bool)
@@ -286,14 +288,14 @@ def _unpack(blob: bytes):
     return [x.repeat(count) for x in out], short.view("<u8").ravel()
 
 
-_GROUPS = [("g", pa.int64()), ("c", pa.int64()), ("least", pa.int64()), ("band", pa.int32()), ("level", pa.int32()),
-           ("agreeing", pa.int32()), ("large", pa.bool_()), ("times", pa.int64())]
-_GROUPS_SQL = "g long, c long, least long, band int, level int, agreeing int, large boolean, times long"
+_GROUPS = [("g", pa.int64()), ("c", pa.int64()), ("band", pa.int32()), ("level", pa.int32()),
+           ("agreeing", pa.int32()), ("size", pa.int64()), ("times", pa.int64())]
+_GROUPS_SQL = "g long, c long, band int, level int, agreeing int, size long, times long"
 
 
 def _groups(rows: pa.Table) -> pa.Table:
-    """Groups of several classes with an equal signature in one bucket, each set of classes
-    once; for large groups how often (``times``) a member was in such a one. Rows of documents pass."""
+    """Groups of several classes with an equal signature in one bucket; each set of classes once,
+    and how often (``times``) it was such a group. Rows of documents pass."""
     if rows.column("bucket")[0].as_py() < 0:
         return pa.table({**{name: rows.column("c") if name == "c" else pa.nulls(rows.num_rows, kind) for name, kind in _GROUPS},
                          **{name: rows.column(name) for name in ("id", "key", "n")}})
@@ -333,7 +335,7 @@ def _bucket_groups(rows: pa.Table) -> dict:
     chosen = np.flatnonzero(rows_of)
     group = np.repeat(np.arange(len(g)), size)[chosen]
     o = order[chosen]
-    values = (g[group].view(np.int64), cc[chosen], cc[start][group], band[o], level[o], agreeing[o], size[group] > _LARGE, rows_of[chosen])
+    values = (g[group].view(np.int64), cc[chosen], band[o], level[o], agreeing[o], size[group], rows_of[chosen])
     return {name: pa.array(v, kind) for (name, kind), v in zip(_GROUPS, values)}
 
 
@@ -349,13 +351,15 @@ def _members_and_groups(keyed: DataFrame, size: int, bands: _Bands) -> tuple[Dat
         .groupBy("bucket").applyInArrow(_groups, f"{_GROUPS_SQL}, {rows}")
     found = written(found, "join-groups")
     members, found = found.filter("n is not null").select("id", "key", "n", "c"), found.filter("n is null")
-    # in large groups only those stay that might meet a similar set nowhere else
-    large = found.filter("large")
-    leave = large.groupBy("c", "band", "level").agg(F.sum("times").alias("times"), F.max("agreeing").alias("agreeing")) \
-        .filter("agreeing > times").select("c", "band", "level")
-    stay = large.join(leave, ["c", "band", "level"], "left_anti")
-    groups = written(found.filter("not large").select("g", "c", "least").union(stay.select("g", "c", "least")).distinct(),
-                     "join-candidates")
+    # the prefix filter: each member's smallest groups, as many as may hold no similar set and one
+    own = ["c", "band", "level"]
+    each = found.repartition(*own).groupBy(*own, "g").agg(
+        F.sum("times").alias("times"), F.max("size").alias("size"), F.max("agreeing").alias("agreeing"))
+    by_size = Window.partitionBy(*own).orderBy("size", "g")
+    kept = each.withColumn("upto", F.sum("times").over(by_size) - F.col("times")) \
+        .withColumn("all", F.sum("times").over(Window.partitionBy(*own))).filter("upto <= all - agreeing").select("g", "c")
+    bounds = kept.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").drop("most")
+    groups = written(kept.join(bounds, "g").select("g", "c", "least"), "join-candidates")
     return members, groups
 
 
