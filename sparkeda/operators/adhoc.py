@@ -109,8 +109,7 @@ _RANK_TYPE = "struct<inexact:boolean,neg:double,entry:string>"
 
 
 def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: str,
-                        cutoff: float = 0.7, broadcast_limit: int = 10_000,
-                        key_broadcast_limit: int = 2_000_000) -> DataFrame:
+                        cutoff: float = 0.7, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Q3: map each distinct value of ``col`` to a vocabulary entry: its
     case-insensitive equal when there is one, else the most similar entry with
     similarity 1 - levenshtein / max(length) >= ``cutoff`` (ties: the smallest
@@ -124,10 +123,9 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
     equi-join yields the candidates (plus a join on lower() for case-insensitive
     equals). Only entries too short to cut (Le <= t, possible for cutoff <= 0.5)
     fall back to a join on the two lengths. Values emit keys only for entry
-    lengths present in the vocabulary; that length list (at most one row per
-    length) is broadcast when its size is within ``broadcast_limit``, and the
-    vocabulary's pieces when their row count is within ``key_broadcast_limit``,
-    so the many value keys are joined where they are made, without a shuffle.
+    lengths present in the vocabulary. The vocabulary's pieces are broadcast when
+    their size is within ``broadcast_bytes``, so the many value keys are joined where they are
+    made, without a shuffle; beyond that the join shuffles.
     The best entry per value is a grouped min, combined map-side.
     """
     if not 0.0 < cutoff <= 1.0:
@@ -150,8 +148,6 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
 
     # values: substrings at every position a piece can have moved to
     lengths = vocab.select(F.length("entry").alias("le")).distinct()
-    n_len = lengths.count()  # bounded by the longest entry
-    lengths = F.broadcast(lengths) if n_len <= broadcast_limit else lengths
     v = (vals.withColumn("lv", F.length("value"))
          .withColumn("le", F.explode(_length_reach(F.col("lv"), cutoff)))
          .join(lengths, "le")
@@ -176,10 +172,8 @@ def match_to_vocabulary(df: DataFrame, col: str, vocab: DataFrame, vocab_col: st
               .select("value", "lv", "le", "i",
                       F.when(F.col("i") >= 0, F.substring("value", F.col("st") + 1, F.col("n")))
                       .otherwise(F.lit("")).alias("piece")))
-    # the entry side is small next to the values (pieces of the vocabulary only):
-    # broadcast it when its row count is within the limit, else a shuffled join
-    n_keys = ent_keys.count()
-    small = n_keys <= key_broadcast_limit
+    size = ent_keys.agg(F.sum(F.octet_length("entry") + F.octet_length("piece") + 64)).collect()[0][0] or 0
+    small = size <= broadcast_bytes
     ent_side = F.broadcast(ent_keys) if small else ent_keys
     by_piece = v_keys.join(ent_side, ["lv", "le", "i", "piece"]).select("value", "entry")
     low = vocab.withColumn("k", F.lower("entry"))

@@ -217,23 +217,25 @@ def page_in_order(df: DataFrame, page: int, size: int) -> tuple[DataFrame, DataF
     return rows, _page_facts(df.sparkSession, page, size, total)
 
 
-def explore_column_info(df: DataFrame, primary_keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def explore_column_info(df: DataFrame, primary_keys: list[str] | None = None, top: int | None = 20,
+                        max_values: int | None = 50) -> tuple[DataFrame, DataFrame]:
     """per column (after filters) distinct and null counts, numeric and
-    categorical roles, min/max when numeric; plus the top 20 values (nulls
-    excluded) of categorical columns with at most 50 distinct values."""
+    categorical roles, min/max when numeric; plus the ``top`` values (nulls
+    excluded; None: all) of categorical columns with at most ``max_values`` distinct ones (None: any number)."""
     facts = column_facts(df)
     roles = role_columns(facts, primary_keys=primary_keys)
     info = roles.select("position", F.col("column").alias("name"), "is_numeric", "is_categorical",
                         F.col("distinct_count").alias("unique_count"), F.col("nulls").alias("null_count"),
                         F.when(F.col("is_numeric"), F.col("num_min")).alias("min"),
                         F.when(F.col("is_numeric"), F.col("num_max")).alias("max"))
-    sel = [r["name"] for r in info.filter("is_categorical and unique_count <= 50").select("name").collect()]
+    few = F.col("is_categorical") & (F.col("unique_count") <= max_values if max_values is not None else F.lit(True))
+    sel = [r["name"] for r in info.filter(few).select("name").collect()]
     if sel:
-        top = (value_counts(df, sel, top=20, drop_nan_text=False, include_null=False)
-               .select("column", "value", "count", "rank"))
+        values = (value_counts(df, sel, top=top, drop_nan_text=False, include_null=False)
+                  .select("column", "value", "count", "rank"))
     else:
-        top = df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
-    return info, top
+        values = df.sparkSession.createDataFrame([], "column string, value string, count long, rank int")
+    return info, values
 
 
 def top_n(df: DataFrame, col: str, n: int = 10, tiebreak: list[str] | None = None) -> DataFrame:

@@ -151,10 +151,10 @@ def profile_summary(df: DataFrame, primary_keys: list[str] | None = None,
 
 
 def column_details(df: DataFrame, col: str, primary_keys: list[str] | None = None,
-                   method: str = "exact") -> dict[str, DataFrame]:
+                   method: str = "exact", top: int | None = 50, max_values: int | None = 100) -> dict[str, DataFrame]:
     """Counts, null % (2 dp), distinct, roles; numeric statistics when
-    numeric; top 50 values (nulls excluded) with % of all rows when categorical
-    or at most 100 distinct values."""
+    numeric; the ``top`` values (nulls excluded; None: all) with % of all rows when categorical
+    or at most ``max_values`` distinct values (None: always)."""
     facts, roles = _roles(df.select(q(col)), primary_keys)
     r = roles.collect()[0]
     info = roles.select(F.col("column").alias("name"), F.col("rows").alias("total_count"),
@@ -166,8 +166,8 @@ def column_details(df: DataFrame, col: str, primary_keys: list[str] | None = Non
     if r["is_numeric"]:
         out["statistics"] = st.numeric_stats(df, [col], method=method).select(
             "mean", "median", "std", "min", "max", "q25", "q75")
-    if r["is_categorical"] or r["distinct_count"] <= 100:
-        vc = st.value_counts(df, [col], top=50, drop_nan_text=False, include_null=False)
+    if r["is_categorical"] or max_values is None or r["distinct_count"] <= max_values:
+        vc = st.value_counts(df, [col], top=top, drop_nan_text=False, include_null=False)
         out["top_values"] = vc.select("value", "count", "rank",
                                       rnd(F.col("count") * 100.0 / F.lit(max(1, r["rows"])), 2).alias("percentage"))
     return out

@@ -41,5 +41,5 @@ def rank_in_groups(df: DataFrame, group: list[str], order: list[Column], rank: s
     if not group:
         return idx.withColumn(rank, (F.col("__gi") + 1).cast("long")).drop("__gi")
     first = idx.groupBy(*[q(g).alias(g) for g in group]).agg(F.min("__gi").alias("__g0"))
-    joined = idx.join(F.broadcast(first), group)  # one row per group
+    joined = idx.join(first, group)  # one row per group; AQE splits a hot one
     return joined.withColumn(rank, (F.col("__gi") - F.col("__g0") + 1).cast("long")).drop("__gi", "__g0")
