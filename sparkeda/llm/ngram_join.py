@@ -413,7 +413,7 @@ def _packed_texts(batches):
                  pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["id", "key", "packed"])
 
 
-_ALIKE = "aggregate(zip_with(asketch, bsketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+_ALIKE = " + ".join(f"bit_count(get(asketch, {i}) ^ get(bsketch, {i}))" for i in range(_SKETCH))
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -423,7 +423,7 @@ def _side(df: DataFrame, side: str) -> DataFrame:
 def _maybe(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and parity sketches leave the similarity open."""
     return pairs.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)") \
-        .filter(f"{_ALIKE} <= ((an + bn) * {100 - percent}) div {100 + percent}")
+        .filter(f"({_ALIKE}) <= ((an + bn) * {100 - percent}) div {100 + percent}")
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -461,17 +461,19 @@ def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) ->
         mixed = named.groupBy("g").agg(F.min(F.struct("root", "c")).alias("lo"), F.max("root").alias("hi")) \
             .filter("lo.root <> hi").select("g", "lo")
         open_groups = written(named.join(mixed, "g"), "join-open")
+        short = sets.select("c", "n", "sketch")
         if at < rounds:
             # one pair for each two components that meet: the star of the least component
             pairs = open_groups.filter("root <> lo.root").groupBy("root", "lo.root") \
                 .agg(F.max(F.struct(F.xxhash64("c", F.lit(at)), F.col("lo.c").alias("a"), F.col("c").alias("b"))).alias("p")) \
                 .select("p.a", "p.b")
+            pairs = _maybe(pairs.join(_side(short, "a"), "a").join(_side(short, "b"), "b"), percent).select("a", "b")
         else:
-            other = open_groups.select("g", F.col("c").alias("b"), F.col("root").alias("b_root"))
-            pairs = open_groups.select("g", F.col("c").alias("a"), F.col("root").alias("a_root")).join(other, "g") \
-                .filter("a_root < b_root").select("a", "b").distinct()
-        short = sets.select("c", "n", "sketch")
-        pairs = _maybe(pairs.join(_side(short, "a"), "a").join(_side(short, "b"), "b"), percent).select("a", "b")
+            # sizes and sketches go along, so the join itself gives out only pairs that may be similar
+            known = open_groups.select("g", "c", "root").join(short, "c")
+            one, two = (known.select("g", F.col("c").alias(x), F.col("root").alias(f"{x}root"), F.col("n").alias(f"{x}n"),
+                                     F.col("sketch").alias(f"{x}sketch")) for x in "ab")
+            pairs = _maybe(one.join(two, "g").filter("aroot < broot"), percent).select("a", "b").distinct()
         pairs = written(pairs, "join-pairs")
         asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         elements = sets.select("c", "elements")
