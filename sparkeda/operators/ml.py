@@ -471,6 +471,9 @@ def _mean_std(xs: list[float]) -> tuple[float, float]:
 
 
 # ---------------------------------------------------------------- neighbours
+_HELD = 500_000               # doubles of a step's distances or differences
+
+
 def _block_top_k(k: int, exclude_self: bool = False):
     """Per (query block, train block) cell: the k nearest train rows of every query
     by squared L2 distance (ties: smaller train key), exactly.
@@ -487,19 +490,21 @@ def _block_top_k(k: int, exclude_self: bool = False):
         if tr.empty or te.empty:
             return pd.DataFrame({"qk": pd.Series([], dtype="int64"), "tk": pd.Series([], dtype="int64"),
                                  "y": pd.Series([], dtype="int64"), "d": pd.Series([], dtype="float64")})
-        tv = np.stack(tr["v"].to_numpy()).astype(np.float64)
+        tv = np.stack(tr.pop("v").to_numpy()).astype(np.float64, copy=False)
         tk = tr["tk"].to_numpy(np.int64)
         ty = tr["y"].to_numpy(np.int64)
-        qv = np.stack(te["v"].to_numpy()).astype(np.float64)
+        qv = np.stack(te.pop("v").to_numpy()).astype(np.float64, copy=False)
         qk = te["qk"].to_numpy(np.int64)
         kk = min(k, len(tk))
         tn = np.einsum("td,td->t", tv, tv)
-        chunk = max(1, 8_000_000 // len(tk))  # (chunk x train rows) doubles per step
+        chunk = max(1, _HELD // len(tk))  # (chunk x train rows) doubles per step
         out = []
         for s in range(0, len(qk), chunk):
             q, qks = qv[s:s + chunk], qk[s:s + chunk]
             qn = np.einsum("qd,qd->q", q, q)
-            approx = qn[:, None] + tn[None, :] - 2.0 * (q @ tv.T)
+            approx = q @ tv.T
+            approx *= -2.0
+            approx += qn[:, None] + tn[None, :]
             own = qks[:, None] == tk[None, :] if exclude_self else None
             if exclude_self:  # leave-one-out: a row is not its own neighbour
                 approx[own] = np.inf
@@ -510,7 +515,7 @@ def _block_top_k(k: int, exclude_self: bool = False):
                 keep &= ~own
             # ties within the margin may keep a whole block: re-measure in slices of queries
             counts = keep.sum(axis=1)
-            part = (np.cumsum(counts) - counts) // max(1, 4_000_000 // max(1, tv.shape[1]))
+            part = (np.cumsum(counts) - counts) // max(1, _HELD // max(1, tv.shape[1]))
             for p in np.unique(part):
                 mine = np.nonzero(part == p)[0]
                 rows, cols = np.nonzero(keep[mine])
@@ -521,9 +526,8 @@ def _block_top_k(k: int, exclude_self: bool = False):
                 rows, cols, d = rows[order], cols[order], d[order]
                 first = np.searchsorted(rows, rows, side="left")
                 take = (np.arange(len(rows)) - first) < kk
-                out.append(pd.DataFrame({"qk": qks[rows[take]], "tk": tk[cols[take]],
-                                         "y": ty[cols[take]], "d": d[take]}))
-        return pd.concat(out, ignore_index=True)
+                out.append((qks[rows[take]], tk[cols[take]], ty[cols[take]], d[take]))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("qk", "tk", "y", "d"), zip(*out))})
     return run
 
 

@@ -1,8 +1,10 @@
 """Exact neighbour vote and fuzzy vocabulary match against brute force on small fixtures."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkeda.operators import adhoc as ad
@@ -34,6 +36,25 @@ def test_knn_vote_equals_brute_force(spark, sf):
     assert got == _brute_knn(tr, te, k)
 
 
+def test_a_block_needs_little_beside_its_rows():
+    """A whole block of rows against many queries, apart and without the row itself."""
+    r = np.random.default_rng(2)
+    v = r.integers(0, 50, (16384, 8)).astype(np.float64)
+    tr = pd.DataFrame({"tk": np.arange(16384), "y": np.arange(16384) % 3, "v": list(v)})
+    for without in (False, True):
+        te = pd.DataFrame({"qk": np.arange(600), "v": list(v[:600])})
+        tracemalloc.start()
+        got = ml._block_top_k(5, without)(tr.copy(), te)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000
+        for qk in (0, 17, 599):
+            d = ((v - v[qk]) ** 2).sum(axis=1)
+            if without:
+                d[qk] = np.inf
+            assert list(got["tk"][got["qk"] == qk]) == sorted(range(16384), key=lambda i: (d[i], i))[:5]
+
+
 def _lev(a, b):
     prev = list(range(len(b) + 1))
     for i, ca in enumerate(a, 1):
