@@ -48,6 +48,7 @@ _FLUSH = 2_000_000            # signatures dealt to buckets at once
 _BUCKET = 4_000_000           # signatures of a bucket
 _SKETCH = 16                  # longs of a parity sketch
 _BROADCAST_BYTES = 8 << 20    # of class numbers
+_FIRST = 64                   # of a member's groups that it names to others
 _WORDS = 300_000              # word hashes remembered by a task
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FACTORS = [np.uint64(f) for f in np.random.default_rng(11).integers(1, 2 ** 62, 64) * 2 + 1]
@@ -420,10 +421,13 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.toDF(*(side if c == "c" else f"{side}{c}" for c in df.columns))
 
 
+def _open(percent: int) -> str:
+    return f"{percent} * greatest(an, bn) <= 100 * least(an, bn) AND ({_ALIKE}) <= ((an + bn) * {100 - percent}) div {100 + percent}"
+
+
 def _maybe(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and parity sketches leave the similarity open."""
-    return pairs.filter(f"{percent} * greatest(an, bn) <= 100 * least(an, bn)") \
-        .filter(f"({_ALIKE}) <= ((an + bn) * {100 - percent}) div {100 + percent}")
+    return pairs.filter(_open(percent))
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -446,6 +450,22 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "aelements", "belements").mapInArrow(run, "a long, b long")
 
 
+def _pairs_once(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (g, c, root, n, sketch) of one group and different roots that
+    ``_maybe`` leaves open. Two members may share very many groups: each row names the first of its
+    member's groups, and a pair is given out by the first that both name, not by each group it shares.
+    Where the first shared one is not among them, the pair comes from several groups, and never from none."""
+    firsts = members.select("c", "g").withColumn("at", F.row_number().over(Window.partitionBy("c").orderBy("g"))) \
+        .filter(F.col("at") <= _FIRST).groupBy("c").agg(F.collect_list("g").alias("firsts"))
+    named = members.join(firsts, "c")
+    one, two = (named.select("g", *[F.col(x).alias(side if x == "c" else f"{side}{x}") for x in ("c", "root", "n", "sketch", "firsts")])
+                for side in "ab")
+    # the lists are met only for pairs that the sieve leaves
+    once = "coalesce(array_min(array_intersect(afirsts, bfirsts)) >= g, true)"
+    return one.join(two, "g").filter(f"CASE WHEN aroot < broot AND {_open(percent)} THEN {once} ELSE false END") \
+        .select("a", "b")
+
+
 def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """(node, root) of the classes linked by similar pairs. ``sets`` has every class's partner of
     the first round (``a``) and whether it is one (``rep``)."""
@@ -470,10 +490,7 @@ def links(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) ->
             pairs = _maybe(pairs.join(_side(short, "a"), "a").join(_side(short, "b"), "b"), percent).select("a", "b")
         else:
             # sizes and sketches go along, so the join itself gives out only pairs that may be similar
-            known = open_groups.select("g", "c", "root").join(short, "c")
-            one, two = (known.select("g", F.col("c").alias(x), F.col("root").alias(f"{x}root"), F.col("n").alias(f"{x}n"),
-                                     F.col("sketch").alias(f"{x}sketch")) for x in "ab")
-            pairs = _maybe(one.join(two, "g").filter("aroot < broot"), percent).select("a", "b").distinct()
+            pairs = _pairs_once(open_groups.select("g", "c", "root").join(short, "c"), percent).distinct()
         pairs = written(pairs, "join-pairs")
         asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
         elements = sets.select("c", "elements")

@@ -143,6 +143,17 @@ def test_members_of_large_groups_that_meet_elsewhere_leave(spark):
     assert rows_of(ngram_join.similar_documents(df), "doc_id", "n_shingles", "component_id") == brute_join(rows)
 
 
+def test_pairs_that_share_many_groups_are_given_out_once(spark):
+    """Five classes that share 40 groups and two that share 200 of their 300."""
+    rows = [(g, c, c, 10, [0] * 16) for g in range(40) for c in range(5)]
+    rows += [(g, c, c, 10, [0] * 16) for c, own in ((10, range(1000, 1300)), (11, range(1100, 1400))) for g in own]
+    members = spark.createDataFrame(rows, "g long, c long, root long, n long, sketch array<long>")
+    got = [tuple(x) for x in ngram_join._pairs_once(members, 80).collect()]
+    small = [x for x in got if x[0] < 5]
+    assert sorted(small) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+    assert (10, 11) in got
+
+
 def test_join_edges(spark):
     df = edge_documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
