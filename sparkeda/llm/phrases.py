@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import texts_in_slices
-from .tables import written
+from .tables import remove, written
 
 _BLOCK_TOKENS = 2_000_000
 _BUCKET_TOKENS = 4_000_000   # occurrences, thus stripe entries at most, for one bucket of a level
@@ -65,16 +65,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(data)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit numbers, one after another, compressed."""
-    size = np.array([len(arrays), *map(len, arrays)], "<u8")
-    return zstandard.ZstdCompressor(level=3).compress(size.tobytes() + b"".join(x.astype("<u8").tobytes() for x in arrays))
+    """Arrays of numbers from 0, one after another, compressed: the lowest byte of all numbers of
+    an array, then the next byte, as far as the largest number has bytes."""
+    sizes, parts = [len(arrays)], []
+    for x in arrays:
+        x = np.ascontiguousarray(x, "<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        sizes += [len(x), width]
+        parts.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return _squeeze(np.array(sizes, "<u8").tobytes() + b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u8")
-    n = int(data[0])
-    return np.split(data[n + 1:], np.cumsum(data[1:n + 1].astype(np.int64))[:-1])
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    out, at = [], 8 * (1 + 2 * n)
+    for size, width in np.frombuffer(data, "<u8", 2 * n, 8).reshape(n, 2).tolist():
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = np.frombuffer(data, np.uint8, size * width, at).reshape(width, size).T
+        out.append(x.view("<u8").reshape(size))
+        at += size * width
+    return out
+
+
+def _pack_places(seq: np.ndarray) -> bytes:
+    """Numbers of which most are small: 7 bits of each and a mark where more follow, then the rest."""
+    rest = seq >> 7
+    return _pack(seq & 127 | (rest > 0) << 7, rest[rest > 0])
+
+
+def _unpack_places(blob: bytes) -> np.ndarray:
+    low, rest = _unpack(blob)
+    seq = (low & np.uint64(127)).astype("<i4")
+    seq[low > 127] |= rest.astype("<i4") << 7
+    return seq
 
 
 def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -106,16 +135,16 @@ class _State:
         self.text, self.langs, self.block = text, langs, block or uuid.uuid4().hex
 
     def row(self, found=()) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        cells = [self.block, *(pack(x.tobytes()) for x in (self.seq, self.id, self.f, self.last, self.lang)),
-                 pack(b"\n".join(self.text)), self.langs, list(found)]
+        cells = [self.block, _pack_places(self.seq), *map(_pack, (self.id, self.f, self.last, self.lang)),
+                 _squeeze(b"\n".join(self.text)), self.langs, list(found)]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _STATE_ARROW)], schema=_STATE_ARROW)
 
     @classmethod
     def read(cls, rows: pa.RecordBatch | pa.Table, i: int) -> _State:
-        plain = {c: zstandard.ZstdDecompressor().decompress(rows.column(c)[i].as_py()) for c in _PACKED}
-        arrays = (np.frombuffer(plain[c], kind) for c, kind in zip(_PACKED, ("<i4", "<u8", "<i8", "<u8", "<i4")))
-        return cls(*arrays, plain["text"].split(b"\n") if plain["text"] else [],
+        seq, *packed, text = (rows.column(c)[i].as_py() for c in _PACKED)
+        arrays = (_unpack(x)[0].astype(kind) for x, kind in zip(packed, ("<u8", "<i8", "<u8", "<i4")))
+        text = zstandard.ZstdDecompressor().decompress(text)
+        return cls(_unpack_places(seq), *arrays, text.split(b"\n") if text else [],
                    rows.column("langs")[i].as_py(), rows.column("block")[i].as_py())
 
     def extensions(self, level: int):
@@ -183,8 +212,12 @@ def _number_words(batches):
 
     def state():
         seq, lang, none = np.concatenate(parts), np.array(lang_of, "<i4"), np.zeros(0, "<i8")
-        n = np.bincount(lang, weights=np.bincount(seq, minlength=len(words) + 1)[1:], minlength=len(langs))
-        return _State(seq, none, none, none, lang, words, langs) \
+        often = np.bincount(seq, minlength=len(words) + 1)[1:]
+        n = np.bincount(lang, weights=often, minlength=len(langs))
+        order = np.argsort(-often, kind="stable")                 # small numbers for frequent words
+        number = np.zeros(len(words) + 1, "<i4")
+        number[order + 1] = np.arange(1, len(words) + 1)
+        return _State(number[seq], none, none, none, lang[order], [words[i] for i in order.tolist()], langs) \
             .row({"lang": x, "phrase": "", "f": int(c)} for x, c in zip(langs, n))
 
     for batch in batches:
@@ -237,7 +270,8 @@ def _merge(min_count: int, buckets: int):
         for a, b in zip(ends, ends[1:]):
             at = np.flatnonzero(totals[a:b])
             out.append(_pack(_steps(at.astype(np.uint64), np.zeros(1 if len(at) else 0, np.int64)),
-                             np.abs(totals[a:b][at]), totals[a:b][at] < 0, numbers[a:b][at]))
+                             np.abs(totals[a:b][at]), totals[a:b][at] < 0,
+                             _steps(numbers[a:b][at], np.zeros(1 if len(at) else 0, np.int64))))
         return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "totals": pa.array(out, pa.binary())})
     return run
 
@@ -254,7 +288,7 @@ def _go_on(level: int, buckets: int, last_level: bool):
         for bucket, mine, _ in state.stripes(level, buckets, extensions):
             at, totals, owned, numbers = _unpack(given[bucket])
             here = mine[np.cumsum(at.astype(np.int64))]
-            total[here], own[here], number[here] = totals, owned, numbers
+            total[here], own[here], number[here] = totals, owned, np.cumsum(numbers)
         keep = np.flatnonzero(total)
         local = np.zeros(len(n) + 1, "<i4")                       # the last one stands for no phrase
         local[keep] = np.arange(1, len(keep) + 1)
@@ -283,21 +317,26 @@ def frequent_phrases(df: DataFrame, min_count: int = 100, max_words: int = 5, la
                      text_col: str = "text") -> DataFrame:
     """(lang, phrase, words, f): every phrase of up to ``max_words`` words found at least
     ``min_count`` times in texts of its language, and for each language the empty phrase
-    with the number of all its words (0 words)."""
+    with the number of all its words (0 words).
+
+    A level's blocks are deleted once the next level is written; what they found is kept apart."""
     narrow = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
+    def told(level: int) -> DataFrame:
+        return written(state.select(F.explode("found").alias("x")).select("x.*"), f"phrases-told-{level}")
+
     state = written(narrow.mapInArrow(_number_words, _STATE), "phrases-0")
-    found = [state.select(F.explode("found").alias("x")).groupBy("x.lang").agg(F.sum("x.f").alias("f"))
-             .select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f")]
+    found = [told(0).groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f")]
     words = found[0].agg(F.sum("f")).collect()[0][0] or 0
     buckets = 1 + words // _BUCKET_TOKENS
     for level in range(1, max_words + 1):
-        merged = state.mapInArrow(_give_stripes(level, buckets), "bucket long, block string, stripes binary") \
+        before, blocks = state, state.drop("found")
+        merged = blocks.mapInArrow(_give_stripes(level, buckets), "bucket long, block string, stripes binary") \
             .groupBy("bucket").applyInArrow(_merge(min_count, buckets), "bucket long, block string, totals binary")
-        state = written(state.groupBy("block").cogroup(merged.groupBy("block"))
+        state = written(blocks.groupBy("block").cogroup(merged.groupBy("block"))
                         .applyInArrow(_go_on(level, buckets, level == max_words), _STATE), f"phrases-{level}")
-        found.append(state.select(F.explode("found").alias("x"))
-                     .select("x.lang", "x.phrase", F.lit(level).alias("words"), "x.f"))
+        remove(before)
+        found.append(told(level).select("lang", "phrase", F.lit(level).alias("words"), "f"))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)

@@ -1,6 +1,7 @@
 """N-gram join, phrase mining and ranked search against brute force and their SQL twins."""
 
 import math
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,9 +10,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from sparkeda.llm import ngram_join, phrases, queries, search
 
+from sparkeda.session import checkpoint_dir
+
 from .helpers import DOCS, clashing, edge_documents, rows_of, words
 
 
@@ -274,6 +278,37 @@ def test_phrase_levels_in_small_blocks_and_slices(monkeypatch):
         assert found == {(lang, " ".join(p)): c for lang, x in counts.items() for p, c in x.items() if len(p) == level and c >= 4}
 
 
+def test_blocks_of_past_levels_are_deleted(spark):
+    """Only the last level's blocks, which are empty, stay beside the phrases found."""
+    folder = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    there = set(folder.iterdir())
+    rows = _chatter(60, seed=3)
+    df = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    known = phrases.frequent_phrases(df, min_count=5)
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - there}
+    assert left == {"phrases-5", *(f"phrases-told-{i}" for i in range(6))}
+    counts, _ = brute_counts(rows)
+    want = {(x, " ".join(p), c) for x, own in counts.items() for p, c in own.items() if c >= 5}
+    assert {(r.lang, r.phrase, r.f) for r in known.filter("words > 0").collect()} == want
+
+
+def test_packed_numbers_come_back_and_are_small():
+    rng = np.random.default_rng(5)
+    arrays = [np.zeros(0, np.uint64), np.array([0, 2 ** 64 - 1, 255, 256], np.uint64), rng.integers(0, 2 ** 40, 1000), np.array([True, False])]
+    for x, got in zip(arrays, phrases._unpack(phrases._pack(*arrays)), strict=True):
+        assert (x.astype(np.uint64) == got).all() and len(x) == len(got)
+    for seq in (np.zeros(0, "<i4"), np.array([0, 127, 128, 2 ** 31 - 1], "<i4")):
+        assert phrases._unpack_places(phrases._pack_places(seq)).tolist() == seq.tolist()
+    words = [f"w{int(x)}" for x in rng.permutation(5000)[np.minimum(rng.zipf(1.2, 60_000), 5000) - 1]]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(words)]})
+    state, = phrases._number_words([batch])
+    own = phrases._State.read(state, 0)
+    assert [own.text[i - 1].decode() for i in own.seq[:-1]] == words
+    numbers = {}
+    first_seen = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], "<i4")
+    assert len(state.column("seq")[0].as_py()) < 0.85 * len(zstandard.ZstdCompressor(level=3).compress(first_seen.tobytes()))
+
+
 def test_collocation_edges(spark):
     df = edge_documents(spark)
     rows = [(r["lang"], r["text"]) for r in df.collect()]
