@@ -413,11 +413,12 @@ def tournament(df: DataFrame, target: str | None, key: list[str], task: str | No
             return e
 
     # every encoding and every (model, fold) fit is an independent Spark job graph: submit
-    # them from a thread pool, as CrossValidator(parallelism=...) does
+    # them from a thread pool, as CrossValidator(parallelism=...) does; the later models take
+    # longer and go first, so that their rounds do not run on by themselves at the end
     folds = [*range(k), None]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         encoded = dict(zip(folds, pool.map(encode, folds)))
-        jobs = [(name, est, f) for name, est in models for f in folds]
+        jobs = [(name, est, f) for name, est in reversed(models) for f in folds]
         results = dict(zip([(name, f) for name, _, f in jobs], pool.map(run, jobs)))
     names = ["accuracy", "f1_macro"] if classify else ["r2", "rmse", "mae"]
     table, fitted = [], {}

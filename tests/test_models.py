@@ -83,3 +83,21 @@ def test_tournament_ranks_every_candidate(spark):
     assert sum(r["is_best"] for r in rows) == 1 and rows[0]["rank"] == 1
     assert max(r["cv_mean"] for r in rows) == [r["cv_mean"] for r in rows if r["is_best"]][0] >= 0.95
     assert [r["warning"] for r in out["warnings"].collect()] == ["Small training sample — metrics may be unstable."]
+
+
+def test_the_models_that_take_longest_are_fitted_first(spark, monkeypatch):
+    fitted = []
+
+    class Seen:
+        def __init__(self, depth):
+            self.depth = depth
+
+        def fit(self, train):
+            fitted.append(self.depth)
+            return ml.DecisionTreeRegressor(maxDepth=self.depth, seed=42).fit(train)
+
+    monkeypatch.setattr(ml, "regressors", lambda n: [("Short", Seen(1)), ("Long", Seen(2))])
+    df = spark.range(200).selectExpr("id as row_key", "concat('k', id % 3) as kind", "id % 3 * 2.5 + id % 5 as y")
+    out = ml.tournament(df, "y", ["row_key"], task="regression", parallelism=1)["models"].collect()
+    assert fitted == [2] * 6 + [1] * 6
+    assert {r["model"]: r["position"] for r in out} == {"Short": 0, "Long": 1} and [r["error"] for r in out] == [None] * 2
