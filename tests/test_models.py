@@ -101,3 +101,22 @@ def test_the_models_that_take_longest_are_fitted_first(spark, monkeypatch):
     out = ml.tournament(df, "y", ["row_key"], task="regression", parallelism=1)["models"].collect()
     assert fitted == [2] * 6 + [1] * 6
     assert {r["model"]: r["position"] for r in out} == {"Short": 0, "Long": 1} and [r["error"] for r in out] == [None] * 2
+
+
+def test_the_neighbour_vote_learns_from_every_training_row(spark, monkeypatch):
+    learned = []
+
+    class Seen(ml.Neighbours):
+        def fit(self, train):
+            learned.append(train.count())
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.col("label"))
+
+    monkeypatch.setattr(ml, "classifiers", lambda n, c: [("Seen", Seen(1))])
+    df = spark.range(130_000).selectExpr("id as row_key", "case when id < 2 then 'rare' else 'most' end as outcome",
+                                         "concat('k', id % 3) as kind")
+    out = ml.tournament(df, "outcome", ["row_key"], task="classification")
+    assert out["folds"] == 2 and [r["error"] for r in out["models"].collect()] == [None]
+    assert max(learned) == 104_000 and sum(sorted(learned)[:2]) == 104_000
